@@ -36,7 +36,8 @@ ANCHOR = WINDOW - PERIOD + 1
 FLUSH = 2_000_000  # hashes a task gathers before it sends them
 PART_BYTES = 256 << 20  # of input text for each part, about 200 MB of packed hashes at most
 PACKED = "part int, found boolean, keys binary, doc binary, pos binary, h1 binary, h2 binary"
-FOUND = "key binary, pos binary"
+FOUND = "part int, keys binary, doc binary, pos binary"
+POSITIONS = "key binary, pos binary"
 
 
 def anchors(n: int) -> np.ndarray:
@@ -70,15 +71,44 @@ def _sorted(h1: np.ndarray, h2: np.ndarray | None) -> np.ndarray:
     return np.argsort(h1, kind="stable") if h2 is None else np.lexsort((h2, h1))
 
 
-def _by_doc(keys: list[bytes], doc: np.ndarray, pos: np.ndarray):
-    """(key, positions) for each document among the entries."""
+def _packed(parts: int, keys: list[bytes], doc: np.ndarray, pos: np.ndarray):
+    """(part, keys, doc, pos): the entries of some documents, one row for each part that their keys belong to."""
     if not len(doc):
         return
-    order = np.argsort(doc, kind="stable")
+    docs, doc = np.unique(doc, return_inverse=True)
+    part = np.array([int.from_bytes(keys[d][:4], "little") % parts for d in docs], dtype=np.int64)
+    order = np.argsort(part[doc], kind="stable")
     doc, pos = doc[order], pos[order]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    cut = np.flatnonzero(np.r_[True, part[doc][1:] != part[doc][:-1]])
     for s, e in zip(cut, np.r_[cut[1:], len(doc)], strict=True):
-        yield keys[doc[s]], pos[s:e].astype("<u4").tobytes()
+        here, local = np.unique(doc[s:e], return_inverse=True)
+        yield int(part[here[0]]), b"".join(keys[docs[d]] for d in here), local.astype("<u4").tobytes(), pos[s:e].astype("<u4").tobytes()
+
+
+def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "doc", "pos"])
+
+
+def _gather(batches):
+    """The positions of each document, of the packed rows of whole parts."""
+    keys, doc, pos, n = [], [], [], 0
+    for b in batches:
+        for k, d, p in zip(*(b.column(x).to_pylist() for x in ("keys", "doc", "pos")), strict=True):
+            keys.append(k)
+            doc.append(np.frombuffer(d, "<u4").astype(np.int64) + n)
+            pos.append(np.frombuffer(p, "<u4"))
+            n += len(k) // 16
+    if not n:
+        return
+    names, at = np.unique(np.frombuffer(b"".join(keys), dtype="V16"), return_inverse=True)
+    doc, pos = at[np.concatenate(doc)], np.concatenate(pos)
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    rows = [(names[doc[s]].tobytes(), pos[s:e].tobytes()) for s, e in zip(cut, np.r_[cut[1:], len(doc)], strict=True)]
+    for k in range(0, len(rows), 5_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows[k : k + 5_000], strict=True)], names=["key", "pos"])
 
 
 class Packer:
@@ -115,8 +145,7 @@ class Packer:
         sent[order] = ~again
         rows: list[tuple] = []
         at = np.flatnonzero(repeats)
-        for key, p in _by_doc(self.keys, doc[at], pos[at]):
-            rows.append((int.from_bytes(key[:4], "little") % self.parts, True, key, b"", p, b"", b""))
+        rows += [(part, True, k, d, p, b"", b"") for part, k, d, p in _packed(self.parts, self.keys, doc[at], pos[at])]
         at = np.flatnonzero(sent)
         part = (h1[at] % np.uint64(self.parts)).astype(np.int64)
         at = at[np.argsort(part, kind="stable")]
@@ -137,34 +166,44 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "found", "keys", "doc", "pos", "h1", "h2"])
 
 
-def _settle(batches):
-    """Of the packed rows of whole parts: which entries share their hash with another."""
-    keys, doc, pos, h1, h2 = [], [], [], [], []
-    for b in batches:
-        done = []
-        for found, k, d, p, a, c in zip(*(b.column(x).to_pylist() for x in ("found", "keys", "doc", "pos", "h1", "h2")), strict=True):
-            if found:
-                done.append((k, p))
-                continue
-            doc.append(np.frombuffer(d, "<u4").astype(np.int64) + len(keys))
-            keys += [k[i : i + 16] for i in range(0, len(k), 16)]
-            pos.append(np.frombuffer(p, "<u4"))
-            h1.append(np.frombuffer(a, "<u8"))
-            if c:
-                h2.append(np.frombuffer(c, "<u8"))
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*done, strict=True)], names=["key", "pos"])
-    if not h1:
-        return
-    doc, pos, h1 = map(np.concatenate, (doc, pos, h1))
-    h2 = np.concatenate(h2) if h2 else None
-    order = _sorted(h1, h2)
-    same = _same_as_next(h1[order], h2[order] if h2 is not None else None)
-    hit = order[np.r_[False, same] | np.r_[same, False]]
-    hit = hit[pos[hit] & 1 == 0]  # those marked have been reported by the task that sent them
-    rows = list(_by_doc(keys, doc[hit], pos[hit] >> 1))
-    for k in range(0, len(rows), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows[k : k + 20_000], strict=True)], names=["key", "pos"])
+def _settle(parts: int):
+    """Of the packed rows of whole parts: which entries share their hash with another, packed by document."""
+
+    def run(batches):
+        keys, doc, pos, h1, h2 = [], [], [], [], []
+        for b in batches:
+            done = []
+            for part, found, k, d, p, a, c in zip(*(b.column(x).to_pylist() for x in ("part", "found", "keys", "doc", "pos", "h1", "h2")), strict=True):
+                if found:
+                    done.append((part, k, d, p))
+                    continue
+                doc.append(np.frombuffer(d, "<u4").astype(np.int64) + len(keys))
+                keys += [k[i : i + 16] for i in range(0, len(k), 16)]
+                pos.append(np.frombuffer(p, "<u4"))
+                h1.append(np.frombuffer(a, "<u8"))
+                if c:
+                    h2.append(np.frombuffer(c, "<u8"))
+            if done:
+                yield _found_batch(done)
+        if not h1:
+            return
+        doc, pos, h1 = map(np.concatenate, (doc, pos, h1))
+        h2 = np.concatenate(h2) if h2 else None
+        order = _sorted(h1, h2)
+        same = _same_as_next(h1[order], h2[order] if h2 is not None else None)
+        hit = order[np.r_[False, same] | np.r_[same, False]]
+        hit = hit[pos[hit] & 1 == 0]  # those marked have been reported by the task that sent them
+        rows = list(_packed(parts, keys, doc[hit], pos[hit] >> 1))
+        for k in range(0, len(rows), 5_000):
+            yield _found_batch(rows[k : k + 5_000])
+
+    return run
+
+
+def _repeated(rows: DataFrame, pack, parts: int) -> DataFrame:
+    """(key, pos): positions whose hash occurs elsewhere too, one row for each document that has any."""
+    sent = rows.mapInArrow(pack(parts), PACKED).repartition(parts, "part")
+    return sent.mapInArrow(_settle(parts), FOUND).repartition(parts, "part").mapInArrow(_gather, POSITIONS)
 
 
 def _anchored(parts: int):
@@ -190,7 +229,7 @@ def _windowed(parts: int):
         for b in batches:
             for key, t, found in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("pos").to_pylist(), strict=True):
                 tokens = t.split()
-                at = window_starts(np.frombuffer(b"".join(found), "<u4").astype(np.int64), len(tokens))
+                at = window_starts(np.frombuffer(found, "<u4").astype(np.int64), len(tokens))
                 one, two = hashes.of(tokens, wide=True)
                 packer.add(key, at, window_hashes(one, WINDOW)[at], window_hashes(two, WINDOW)[at])
                 if packer.n >= FLUSH:
@@ -220,7 +259,7 @@ def _cut(batches):
         gone, sha, kept = [], [], []
         for t, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), strict=True):
             tokens = t.split()
-            mask = covered(np.unique(np.frombuffer(b"".join(found or []), "<u4")).astype(np.int64), len(tokens))
+            mask = covered(np.unique(np.frombuffer(found or b"", "<u4")).astype(np.int64), len(tokens))
             text = b" ".join(w for w, m in zip(tokens, mask.tolist(), strict=True) if not m)
             gone.append(int(mask.sum()))
             kept.append(text)
@@ -242,13 +281,11 @@ def repeated_words(docs: DataFrame, *, texts: bool = False) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     keyed = keyed.select("doc_id", F.unhex(row_key("doc_id", "text")).alias("key"), "text")
     parts = _parts(keyed, F.col("text"))
-    found = keyed.select("key", "text").mapInArrow(_anchored(4 * parts), PACKED).repartition(parts, "part").mapInArrow(_settle, FOUND)
-    found = found.groupBy("key").agg(F.collect_list("pos").alias("pos"))
-    left = keyed.join(found, "key", "left").mapInArrow(_whole, "doc_id long, key binary, pos array<binary>, n_words long, kept_sha256 string, text string")
+    found = _repeated(keyed.select("key", "text"), _anchored, parts)
+    left = keyed.join(found, "key", "left").mapInArrow(_whole, "doc_id long, key binary, pos binary, n_words long, kept_sha256 string, text string")
     left = written(left, "cover-anchored")
     near = left.where("pos is not null")
-    starts = near.select("key", "text", "pos").mapInArrow(_windowed(4 * parts), PACKED).repartition(parts, "part").mapInArrow(_settle, FOUND)
-    starts = starts.groupBy("key").agg(F.collect_list("pos").alias("starts"))
+    starts = _repeated(near.select("key", "text", "pos"), _windowed, parts).withColumnRenamed("pos", "starts")
     cut = near.select("key", "doc_id", "n_words", "text").join(starts, "key", "left").select("doc_id", "n_words", "text", "starts")
     cut = cut.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     done = left.where("pos is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
