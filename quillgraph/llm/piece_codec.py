@@ -62,21 +62,26 @@ def _fields(buf: bytes):
 
 
 class Memo(dict):
-    """Results by segment. Long segments are not kept; texts empty the memo before they start when it is full."""
+    """Results by segment in two generations: a full one becomes the older one, from which what is used again comes back. Long segments are not kept."""
 
     def __init__(self, make, limit: int) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, s: str):
-        made = self.make(s)
+        made = self.older.get(s) or self.make(s)
         if len(s) <= 48 and len(self) < 2 * self.limit:
             self[s] = made
         return made
 
+    def turn(self) -> None:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+
 
 class PieceCodec:
-    def __init__(self, model: bytes, memo: int = 500_000) -> None:
+    def __init__(self, model: bytes, memo: int = 120_000) -> None:
         pieces, self.dummy, squeeze, charsmap, bpe, self.unk_surface = [], True, True, b"", False, " ⁇ "
         for num, v in _fields(model):
             if num == 1:
@@ -173,7 +178,7 @@ class PieceCodec:
         """Whether the two tokens, merged again from their characters, stay these two."""
         known = self.ok.get(left << 24 | right)
         if known is None:
-            if len(self.ok) >= 1_000_000:
+            if len(self.ok) >= 300_000:
                 self.ok.clear()
             known = self.ok[left << 24 | right] = self._goes(left, right)
         return known
@@ -337,8 +342,7 @@ class PieceCodec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, their decimal digits joined by commas, decoded text)."""
         memo = self.memo
-        if len(memo) >= memo.limit:
-            memo.clear()
+        memo.turn()
         parts = list(map(memo.__getitem__, self._segments(text)))
         if not parts:
             return 0, "", ""
