@@ -44,9 +44,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here and lost executors lose nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # The shuffle files behind the table are garbage now, but Spark deletes them only when the driver's JVM collects.
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -56,7 +59,7 @@ def partitions(spark: SparkSession) -> int:
 class WordHashes(dict):
     """word (bytes) -> row of two 64-bit hashes; the memo is emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 150_000) -> None:
         super().__init__()
         self.limit = limit
         self.first = np.empty(limit + 1, dtype=np.uint64)

@@ -71,18 +71,36 @@ def _sorted(h1: np.ndarray, h2: np.ndarray | None) -> np.ndarray:
     return np.argsort(h1, kind="stable") if h2 is None else np.lexsort((h2, h1))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as their low and then their high halves: the high ones are mostly zero and compress away."""
+    x = x.astype(np.uint32)
+    return (x & np.uint32(0xFFFF)).astype("<u2").tobytes() + (x >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    half = np.frombuffer(raw, "<u2").astype(np.uint32)
+    n = len(half) // 2
+    return half[:n] | half[n:] << np.uint32(16)
+
+
+def _owners(raw: bytes) -> np.ndarray:
+    """The document of each entry, from the entries' counts."""
+    counts = _numbers(raw)
+    return np.repeat(np.arange(len(counts)), counts)
+
+
 def _packed(parts: int, keys: list[bytes], doc: np.ndarray, pos: np.ndarray):
-    """(part, keys, doc, pos): the entries of some documents, one row for each part that their keys belong to."""
+    """(part, keys, counts, pos): the entries of some documents, one row for each part that their keys belong to."""
     if not len(doc):
         return
     docs, doc = np.unique(doc, return_inverse=True)
     part = np.array([int.from_bytes(keys[d][:4], "little") % parts for d in docs], dtype=np.int64)
-    order = np.argsort(part[doc], kind="stable")
+    order = np.lexsort((pos, doc, part[doc]))
     doc, pos = doc[order], pos[order]
     cut = np.flatnonzero(np.r_[True, part[doc][1:] != part[doc][:-1]])
     for s, e in zip(cut, np.r_[cut[1:], len(doc)], strict=True):
-        here, local = np.unique(doc[s:e], return_inverse=True)
-        yield int(part[here[0]]), b"".join(keys[docs[d]] for d in here), local.astype("<u4").tobytes(), pos[s:e].astype("<u4").tobytes()
+        here, counts = np.unique(doc[s:e], return_counts=True)
+        yield int(part[here[0]]), b"".join(keys[docs[d]] for d in here), _planes(counts), _planes(pos[s:e])
 
 
 def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -96,8 +114,8 @@ def _gather(batches):
     for b in batches:
         for k, d, p in zip(*(b.column(x).to_pylist() for x in ("keys", "doc", "pos")), strict=True):
             keys.append(k)
-            doc.append(np.frombuffer(d, "<u4").astype(np.int64) + n)
-            pos.append(np.frombuffer(p, "<u4"))
+            doc.append(_owners(d) + n)
+            pos.append(_numbers(p))
             n += len(k) // 16
     if not n:
         return
@@ -153,10 +171,10 @@ class Packer:
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for s, e in zip(cut, np.r_[cut[1:], len(part)], strict=True):
             here = at[s:e]
-            docs, local = np.unique(doc[here], return_inverse=True)
+            docs, counts = np.unique(doc[here], return_counts=True)
             rows.append((
-                int(part[s]), False, b"".join(self.keys[d] for d in docs), local.astype("<u4").tobytes(),
-                (pos[here] << np.uint32(1) | repeats[here].astype(np.uint32)).astype("<u4").tobytes(),
+                int(part[s]), False, b"".join(self.keys[d] for d in docs), _planes(counts),
+                _planes(pos[here] << np.uint32(1) | repeats[here].astype(np.uint32)),
                 h1[here].tobytes(), h2[here].tobytes() if self.wide else b"",
             ))
         self.clear()
@@ -177,9 +195,9 @@ def _settle(parts: int):
                 if found:
                     done.append((part, k, d, p))
                     continue
-                doc.append(np.frombuffer(d, "<u4").astype(np.int64) + len(keys))
+                doc.append(_owners(d) + len(keys))
                 keys += [k[i : i + 16] for i in range(0, len(k), 16)]
-                pos.append(np.frombuffer(p, "<u4"))
+                pos.append(_numbers(p))
                 h1.append(np.frombuffer(a, "<u8"))
                 if c:
                     h2.append(np.frombuffer(c, "<u8"))
