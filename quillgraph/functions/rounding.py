@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def round4(x: Column) -> Column:
-    """``format_number`` renders the exact value of the double and rounds half to even, as Python's round does."""
-    return F.regexp_replace(F.format_number(x, 4), ",", "").cast("double")
+    """``format_number`` renders the exact value of the double and rounds half to even, as Python's round does.
+
+    It drops a half in the very first place, so values under 0.0001 are decided
+    here; the double next to 0.00005 lies above it.
+    """
+    tiny = F.when(F.abs(x) >= 0.00005, F.signum(x) * 0.0001).otherwise(F.lit(0.0))
+    return F.when(F.abs(x) < 0.0001, tiny).otherwise(F.regexp_replace(F.format_number(x, 4), ",", "").cast("double"))
 
 
 def clamp_weight(x: Column) -> Column:

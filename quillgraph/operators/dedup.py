@@ -52,22 +52,16 @@ def merge_plan(entities: DataFrame, candidates: DataFrame, order: tuple[str, ...
     both = a.union(a.select("y", "x")).distinct()
     both = both.join(rank.select(F.col("entity_id").alias("x"), F.col("at").alias("at_x")), "x").join(rank.select(F.col("entity_id").alias("y"), F.col("at").alias("at_y")), "y")
     earlier = kept(both.where("at_y < at_x").select("x", "y", "at_y"))  # y comes before x
-    open_ = kept(both.select("x").distinct())
-    survivors = absorbed = None
+    open_ = kept(both.select("x").distinct())  # undecided: no earlier neighbour survives so far
+    survivors = open_.where("false")
     while not open_.isEmpty():
         waits = earlier.join(open_.select(F.col("x").alias("y")), "y", "left_semi").select("x").distinct()
-        now = open_.join(waits, "x", "left_anti")
-        survivors = now if survivors is None else kept(survivors.union(now))
-        hit = earlier.join(survivors.select(F.col("x").alias("y")), "y", "left_semi")
-        taken = kept(hit.join(open_, "x", "left_semi").groupBy("x").agg(F.min_by("y", "at_y").alias("survivor_id")))
-        # A node with a surviving earlier neighbour is absorbed by the earliest; it never survives, so later nodes need not wait for it.
-        survivors = survivors.join(taken.select("x"), "x", "left_anti")
-        absorbed = taken if absorbed is None else kept(absorbed.union(taken))
-        survivors = kept(survivors)
-        open_ = kept(open_.join(survivors, "x", "left_anti").join(taken.select("x"), "x", "left_anti"))
-    if absorbed is None:
-        return rank.where("false").select("entity_id", F.col("entity_id").alias("survivor_id"))
-    return absorbed.select(F.col("x").alias("entity_id"), "survivor_id")
+        ready = open_.join(waits, "x", "left_anti")
+        survivors = kept(survivors.union(ready))
+        hit = earlier.join(survivors.select(F.col("x").alias("y")), "y", "left_semi").select("x").distinct()
+        open_ = kept(open_.join(survivors, "x", "left_anti").join(hit, "x", "left_anti"))
+    taken = earlier.join(survivors.select(F.col("x").alias("y")), "y", "left_semi").groupBy("x").agg(F.min_by("y", "at_y").alias("survivor_id"))
+    return taken.select(F.col("x").alias("entity_id"), "survivor_id")
 
 
 def merged_aliases(entities: DataFrame, plan: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ they are broadcast; nothing here forces it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +74,6 @@ def _kind(x) -> str:
 
 def contains_json(metadata: Column, wanted: dict) -> Column:
     """B05 for arrays of objects: Arrow-batched containment of any JSON."""
-    import json
-
-    import pandas as pd
-
     def inside(big, small) -> bool:
         if isinstance(small, dict):
             return isinstance(big, dict) and all(k in big and inside(big[k], v) for k, v in small.items())
