@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two first-order models over 67 characters are trained on labelled samples taken
-from the corpus itself: the values of the fixed patterns (random strings) and
-the other runs of at least ``RUN`` such characters (ordinary identifiers). A
-run outside the fixed spans is reported as ``markov`` if its log-likelihood
+from the corpus itself: the values of the fixed patterns (random strings) and,
+of the other runs of at least ``RUN`` such characters, those made of words and
+short numbers (ordinary identifiers). A run outside the fixed spans is reported as ``markov`` if its log-likelihood
 ratio passes ``THRESHOLD``. Only built-in functions run on the executors; the
 driver gets the transition counts, at most 2 x 68 x 67 numbers.
 
@@ -38,6 +38,9 @@ ASSIGN = rf"({KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the same spans as runs of any length of which the short ones are dropped
 CHARS = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
+#: A run that is labelled ordinary.
+ORDINARY = r"^([A-Za-z]+[0-9]{0,4}|[0-9]{1,4})([+/_=-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*[+/_=-]*$"
+PRIOR = 10.0  # weight, in characters, of the single-character model behind the ordinary one
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -75,7 +78,7 @@ def transitions(rows: DataFrame) -> DataFrame:
     value = lambda c: F.transform(c, lambda x: x["v"])
     labelled = F.concat(
         F.transform(F.concat(value("assign"), value("access"), value("hex")), lambda v: F.struct(F.lit(True).alias("random"), v.alias("v"))),
-        F.transform(value("runs"), lambda v: F.struct(F.lit(False).alias("random"), v.alias("v"))),
+        F.transform(F.filter(value("runs"), lambda v: v.rlike(ORDINARY)), lambda v: F.struct(F.lit(False).alias("random"), v.alias("v"))),
     )
     rows = rows.select(F.explode(labelled).alias("x")).select("x.random", F.transform(F.split("x.v", ""), place).alias("c"))
     rows = rows.select("random", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), F.slice("c", 1, F.size("c") - 1)), "c", lambda a, b: a * 1000 + b)).alias("step"))
@@ -87,17 +90,24 @@ def place(ch: Column) -> Column:
 
 
 def log_ratios(counts: list[tuple[bool, int, int, int]]) -> list[int]:
-    """ln P(next | prev, random) - ln P(next | prev, ordinary), add-one smoothed; row prev, column next - 1."""
+    """ln P(next | prev, random) - ln P(next | prev, ordinary); row prev, column next - 1.
+
+    Random strings are smoothed towards even characters, ordinary ones towards
+    how often each character is, so a character that identifiers hardly use
+    speaks for a random string after any other.
+    """
     k = len(ALPHABET)
     n = {True: [[0] * k for _ in range(k + 1)], False: [[0] * k for _ in range(k + 1)]}
     for random, prev, nxt, c in counts:
         if nxt:  # a character outside the alphabet, as in a value with a full stop, has place 0
             n[random][prev][nxt - 1] = c
+    single = [sum(row[nxt] for row in n[False]) for nxt in range(k)]
+    share = [(c + 0.5) / (sum(single) + 0.5 * k) for c in single]
     out = []
     for prev in range(k + 1):
         r, o = n[True][prev], n[False][prev]
         for nxt in range(k):
-            out.append(math.floor(UNIT * (math.log((r[nxt] + 1) / (sum(r) + k)) - math.log((o[nxt] + 1) / (sum(o) + k))) + 0.5))
+            out.append(math.floor(UNIT * (math.log((r[nxt] + 1) / (sum(r) + k)) - math.log((o[nxt] + PRIOR * share[nxt]) / (sum(o) + PRIOR))) + 0.5))
     return out
 
 
@@ -145,10 +155,11 @@ base AS (SELECT * FROM sp WHERE kind <> 'run'),
 runs AS (SELECT x.* FROM sp x WHERE kind = 'run' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.s < x.e AND x.s < b.e)),
 steps AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE instr('{ALPHABET}', v[i-1:i-1]) END AS prev, instr('{ALPHABET}', v[i:i]) AS next
   FROM (SELECT kind <> 'run' AS random, r, s, v, unnest(range(1, length(v) + 1)) AS i FROM (SELECT * FROM base UNION ALL SELECT * FROM runs) u) y),
-c AS (SELECT random, prev, next, count(*) AS n FROM steps WHERE next > 0 GROUP BY 1, 2, 3),
+c AS (SELECT random, prev, next, count(*) AS n FROM steps WHERE next > 0 AND (random OR regexp_matches(v, {q(ORDINARY)})) GROUP BY 1, 2, 3),
+sg AS (SELECT n.n AS next, (coalesce(sum(c.n), 0) + 0.5::DOUBLE) / (coalesce((SELECT sum(n) FROM c WHERE NOT random), 0) + 0.5::DOUBLE * {k}) AS share FROM range(1, {k + 1}) n(n) LEFT JOIN c ON c.next = n.n AND NOT c.random GROUP BY 1),
 grid AS (SELECT p.p AS prev, n.n AS next FROM range(0, {k + 1}) p(p), range(1, {k + 1}) n(n)),
-lr AS (SELECT prev, next, floor({UNIT} * (ln((coalesce(rn, 0) + 1)::DOUBLE / (sum(coalesce(rn, 0)) OVER (PARTITION BY prev) + {k})) - ln((coalesce(on_, 0) + 1)::DOUBLE / (sum(coalesce(on_, 0)) OVER (PARTITION BY prev) + {k}))) + 0.5)::BIGINT AS llr
-  FROM grid LEFT JOIN (SELECT prev, next, n AS rn FROM c WHERE random) a USING (prev, next) LEFT JOIN (SELECT prev, next, n AS on_ FROM c WHERE NOT random) b USING (prev, next)),
+lr AS (SELECT prev, next, floor({UNIT} * (ln((coalesce(rn, 0) + 1)::DOUBLE / (sum(coalesce(rn, 0)) OVER (PARTITION BY prev) + {k})) - ln((coalesce(on_, 0) + {PRIOR}::DOUBLE * share) / (sum(coalesce(on_, 0)) OVER (PARTITION BY prev) + {PRIOR}::DOUBLE))) + 0.5)::BIGINT AS llr
+  FROM grid JOIN sg USING (next) LEFT JOIN (SELECT prev, next, n AS rn FROM c WHERE random) a USING (prev, next) LEFT JOIN (SELECT prev, next, n AS on_ FROM c WHERE NOT random) b USING (prev, next)),
 mk AS (SELECT r, 'markov' AS kind, any_value(v) AS v, s, any_value(s + length(v)) AS e FROM steps JOIN lr USING (prev, next) WHERE NOT random GROUP BY r, s HAVING sum(llr) > {THRESHOLD}),
 allsp AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, kind, s, e FROM mk),
 named AS (SELECT r, kind, s, e, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS k, kind || ':' || s || ':' || e AS txt FROM allsp),
