@@ -29,7 +29,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import written
 
@@ -108,6 +107,13 @@ def share_needed(forest: Forest, sample: np.ndarray, k: int, aim: float, queries
     return float(seen[min(len(seen) - 1, math.ceil(aim * len(seen)))]) / max(1, len(sample))
 
 
+def depth_for(n: int, leaf: int, most: int) -> int:
+    """64 leaves a tree as soon as they hold some rows each, more once they pass ``leaf`` rows, up to ``most`` bits."""
+    if n <= leaf and n < 2048:
+        return max(0, min(6, int(math.log2(n / 32)))) if n >= 64 else 0
+    return min(most, max(6, math.ceil(math.log2(n / leaf))))
+
+
 def exact_scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products summed component by component in double precision: the same for equal rows, wherever they stand."""
     out = np.zeros(len(rows))
@@ -136,8 +142,8 @@ def usable(embeddings: DataFrame) -> tuple[DataFrame, int, int, float]:
 
 
 def nearest(
-    embeddings: DataFrame, *, every: int = 20, k: int = 20, trees: int = 4, leaf: int = 1024, most_depth: int = 10,
-    sample: int = 8192, aim: float = 0.96, block: int = 2048, query_block: int = 4096,
+    embeddings: DataFrame, *, every: int = 20, k: int = 20, trees: int = 4, leaf: int = 16384, most_depth: int = 10,
+    sample: int = 8192, aim: float = 0.96, block: int = 16384, query_block: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the ``k`` nearest found."""
     spark = embeddings.sparkSession
@@ -147,7 +153,7 @@ def nearest(
         return spark.createDataFrame([], out)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     drawn = np.array(drawn["v"].tolist(), dtype=np.float64)
-    depth = max(0, min(most_depth, math.ceil(math.log2(n / leaf)))) if n > leaf else 0
+    depth = depth_for(n, leaf, most_depth)
     forest = Forest(drawn, trees, depth, top)
     share = share_needed(forest, drawn, k, aim)
     model = spark.sparkContext.broadcast(forest)
@@ -187,12 +193,12 @@ def nearest(
 
     def rank(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(vs):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype="object"), "scores": pd.Series(dtype="object")})
         ids = vs["vec_id"].to_numpy()
         v = np.frombuffer(b"".join(vs["raw"]), dtype=np.float64).reshape(len(vs), dim)
-        got = ([], [], [])
-        for start in range(0, len(qs), 512):
-            part = qs.iloc[start : start + 512]
+        got = []
+        for start in range(0, len(qs), 256):
+            part = qs.iloc[start : start + 256]
             q = np.frombuffer(b"".join(part["q"]), dtype=np.float64).reshape(len(part), dim)
             s = q @ v.T
             for i, own in enumerate(part["query_id"].to_numpy()):
@@ -205,13 +211,23 @@ def nearest(
                     at = np.flatnonzero(np.isfinite(row))
                 exact = exact_scores(q[i], v[at])
                 best = np.lexsort((ids[at], -exact))[:k]
-                got[0].append(np.full(len(best), own))
-                got[1].append(ids[at][best])
-                got[2].append(exact[best])
-        return pd.DataFrame({"query_id": np.concatenate(got[0]), "vec_id": np.concatenate(got[1]), "score": np.concatenate(got[2])})
+                got.append((own, ids[at][best].astype("<i8").tobytes(), exact[best].astype("<f8").tobytes()))
+        return pd.DataFrame(got, columns=["query_id", "ids", "scores"])
+
+    def merge(batches):
+        """The nearest of a query over its blocks; a row that several trees found counts once."""
+        for b in batches:
+            cols = ([], [], [], [])
+            for own, ids, scores in zip(b.column("query_id").to_pylist(), b.column("ids").to_pylist(), b.column("scores").to_pylist(), strict=True):
+                i, first = np.unique(np.frombuffer(b"".join(ids), "<i8"), return_index=True)
+                s = np.frombuffer(b"".join(scores), "<f8")[first]
+                best = np.lexsort((i, -s))[:k]
+                for c, x in zip(cols, ([own] * len(best), range(1, len(best) + 1), i[best].tolist(), s[best].tolist()), strict=True):
+                    c.extend(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
 
     keys = ["leaf", "part", "q_part"]
-    found = asked.groupBy(*keys).cogroup(rows_in.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.groupBy(*keys).cogroup(rows_in.groupBy(*keys)).applyInPandas(rank, "query_id long, ids binary, scores binary")
+    # A query has at most one row from each leaf block that it took.
+    found = found.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("x")).select("query_id", "x.ids", "x.scores")
+    return found.mapInArrow(merge, out)
