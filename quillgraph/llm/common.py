@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -42,13 +44,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here and lost executors lose nothing."""
+def written(df: DataFrame, name: str, *, free: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends here and lost executors lose nothing.
+
+    Shuffle files behind a table are garbage once it is written, but Spark
+    deletes them only when the driver's garbage is collected; ``free`` asks for
+    that after steps that shuffle whole texts.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # The shuffle files behind the table are garbage now, but Spark deletes them only when the driver's JVM collects.
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        for _ in range(2):  # the first makes references of the finished job weak, the second finds them
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -301,7 +301,7 @@ def repeated_words(docs: DataFrame, *, texts: bool = False) -> DataFrame:
     parts = _parts(keyed, F.col("text"))
     found = _repeated(keyed.select("key", "text"), _anchored, parts)
     left = keyed.join(found, "key", "left").mapInArrow(_whole, "doc_id long, key binary, pos binary, n_words long, kept_sha256 string, text string")
-    left = written(left, "cover-anchored")
+    left = written(left, "cover-anchored", free=True)
     near = left.where("pos is not null")
     starts = _repeated(near.select("key", "text", "pos"), _windowed, parts).withColumnRenamed("pos", "starts")
     cut = near.select("key", "doc_id", "n_words", "text").join(starts, "key", "left").select("doc_id", "n_words", "text", "starts")

@@ -135,7 +135,7 @@ def removals(docs: DataFrame) -> DataFrame:
     wanted = occ.join(repeated, "h").select("_ld_key", "idx", "h", place.eqNullSafe(F.col("first")).alias("is_first"))
     wanted = written(wanted.distinct(), "line-chunks-repeated")
     cand = wanted.groupBy("_ld_key").agg(F.collect_list("idx").alias("cand"))
-    bodies = written(docs.join(cand, "_ld_key").mapInArrow(_candidate_texts, "_ld_id long, _ld_key string, idx int, h long, body binary"), "line-chunk-bodies")
+    bodies = written(docs.join(cand, "_ld_key").mapInArrow(_candidate_texts, "_ld_id long, _ld_key string, idx int, h long, body binary"), "line-chunk-bodies", free=True)
     marked = bodies.join(wanted.select("_ld_key", "idx", "is_first"), ["_ld_key", "idx"])
     firsts = marked.where("is_first").groupBy("h", "body").agg(F.lit(True).alias("_"))
     gone = marked.where("not is_first").join(firsts, ["h", "body"], "left_semi")
