@@ -162,9 +162,9 @@ def thresholds(sketch: DataFrame, *, least: int = 200, reach: int = REACH) -> Da
     """(lang, source, low_word_length, and most_<metric>): fences of every group seen."""
     own = quartiles(sketch, "lang", "source").select("lang", "source", F.col("n").alias("n_own"), F.col("q").alias("q_own"))
     langs = quartiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("_l"), F.col("n").alias("n_lang"), F.col("q").alias("q_lang"))
-    every = quartiles(merged(sketch.withColumn("one", F.lit(1)), "one"), "one").select(F.col("one").alias("_o"), F.col("q").alias("q_all"))
-    all_ = own.join(langs, F.col("lang").eqNullSafe(F.col("_l"))).withColumn("one", F.lit(1)).join(every, F.col("one") == F.col("_o"))
-    all_ = all_.withColumn("q", F.when(F.col("n_own") >= least, F.col("q_own")).when(F.col("n_lang") >= least, F.col("q_lang")).otherwise(F.col("q_all")))
+    every = quartiles(merged(sketch.withColumn("one", F.lit(1)), "one"), "one").select("q").scalar()  # one row
+    all_ = own.join(langs, F.col("lang").eqNullSafe(F.col("_l")))
+    all_ = all_.withColumn("q", F.when(F.col("n_own") >= least, F.col("q_own")).when(F.col("n_lang") >= least, F.col("q_lang")).otherwise(every))
     out = {}
     for m in METRICS:
         q1, q3 = F.col("q")[m]["q1"], F.col("q")[m]["q3"]

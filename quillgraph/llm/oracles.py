@@ -67,9 +67,7 @@ def quality_rules(least: int = 200) -> str:
   SELECT {group}metric, b, sum(c) OVER ({over} ORDER BY b) AS run, sum(c) OVER ({over}) AS n FROM (SELECT {group}metric, b, count(*) AS c FROM v GROUP BY {group}metric, b) x) y GROUP BY {group}metric)"""
 
     slacks = "CASE a.metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in slack.items()) + " END"
-    checks = " AND ".join(f"{x} <= max(CASE WHEN metric = '{m}' THEN hi END)" for m, x in rate.items())
-    del checks
-    tests = " AND ".join([*(f"({x}) <= hi['{m}'][1]" for m, x in rate.items()), f"({rate['word_length']}) >= lo['word_length'][1]"])
+    tests = " AND ".join([*(f"({x}) <= hi['{m}']" for m, x in rate.items()), f"({rate['word_length']}) >= lo['word_length']"])
     return f"""
 WITH {quality_stats()},
 v0 AS ({rows}), v AS (SELECT *, {low} AS b FROM v0),
@@ -78,7 +76,7 @@ q AS (SELECT a.lang, a.source, a.metric, CASE WHEN a.n >= {least} THEN a.q1 WHEN
   FROM a JOIN l ON a.metric = l.metric AND a.lang IS NOT DISTINCT FROM l.lang JOIN e ON a.metric = e.metric),
 f AS (SELECT lang, source, map_from_entries(list((metric, q3 + greatest({reach} * (q3 - q1), sl)))) AS hi, map_from_entries(list((metric, q1 - greatest({reach} * (q3 - q1), sl)))) AS lo
   FROM (SELECT a.*, {slacks} AS sl FROM q a) z GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({tests.replace('[1]', '')}, false) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({tests}, false) AS kept
 FROM st LEFT JOIN f ON st.lang IS NOT DISTINCT FROM f.lang AND st.source IS NOT DISTINCT FROM f.source"""
 
 

@@ -59,8 +59,8 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 def _places(url: Column, blocks: int, k: int) -> tuple[Column, list[Column]]:
     """Block number and the k bit numbers (0..511) of a URL."""
     h1, h2 = F.xxhash64(url), F.xxhash64(url, F.lit(1))
-    nine = [F.shiftrightunsigned(h2, 9 * i).bitwiseAND(511).cast("int") for i in range(min(k, 7))]
-    return F.pmod(h1, F.lit(blocks)), nine
+    bits = [F.shiftrightunsigned(h2, 9 * i).bitwiseAND(511).cast("int") for i in range(min(k, 7))]
+    return F.pmod(h1, F.lit(blocks)), bits
 
 
 def bloom_blocks(listed: DataFrame, url: str, blocks: int, k: int = 6) -> DataFrame:
