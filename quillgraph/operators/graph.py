@@ -168,9 +168,10 @@ def degree_centrality(edges: DataFrame, entities: DataFrame | None = None, keys:
     degree = ends.groupBy(*keys, "entity_id").agg(F.count("*").alias("degree"))
     if entities is not None:
         degree = entities.select(*keys, "entity_id").join(degree, [*keys, "entity_id"], "left").na.fill(0, ["degree"])
-    one = degree.withColumn("_one", F.lit(1))
-    top = one.groupBy(*keys, "_one").agg(F.max("degree").alias("_top"))
-    rows = one.join(top, [*keys, "_one"])
+    if keys:
+        rows = degree.join(degree.groupBy(*keys).agg(F.max("degree").alias("_top")), list(keys))
+    else:
+        rows = degree.withColumn("_top", degree.agg(F.max("degree")).scalar())
     return rows.select(*keys, "entity_id", "degree", F.when(F.col("_top") > 0, round4(F.col("degree") / F.col("_top"))).otherwise(F.lit(0.0)).alias("centrality"))
 
 

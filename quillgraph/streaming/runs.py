@@ -67,16 +67,16 @@ def without_conflict(candidates: DataFrame, runs: DataFrame) -> DataFrame:
     """Candidates whose scope nobody holds: a dataset by a run of its own or by a global one, the global scope by any other run.
 
     The OR of the four conditions is taken apart: one anti-join by dataset, and
-    two facts about the whole table that come in one aggregate row.
+    facts about the whole table as a scalar subquery.
     """
     busy = runs.where(F.col("status").isin(*BUSY))
-    facts = busy.agg(F.count_if(F.col("dataset_id").isNull()).alias("n_global"), F.count_if(F.col("dataset_id").isNotNull()).alias("n_scoped"), F.max(F.when(F.col("dataset_id").isNull(), F.col("run_id"))).alias("one_global"))
+    facts = busy.agg(F.struct(F.count_if(F.col("dataset_id").isNull()).alias("n_global"), F.count_if(F.col("dataset_id").isNotNull()).alias("n_scoped"), F.max(F.when(F.col("dataset_id").isNull(), F.col("run_id"))).alias("one_global"))).scalar()
     held = busy.where("dataset_id is not null").select("dataset_id").distinct()
-    f = facts.withColumn("_k", F.lit(1))
-    rows = candidates.withColumn("_k", F.lit(1)).join(held, "dataset_id", "left_anti").join(f, "_k")
-    own = (F.col("n_global") == 1) & (F.col("one_global") == F.col("run_id"))
-    free = F.when(F.col("dataset_id").isNotNull(), F.col("n_global") == 0).otherwise((F.col("n_scoped") == 0) & ((F.col("n_global") == 0) | own))
-    return rows.where(free).drop("_k", "n_global", "n_scoped", "one_global").select(*candidates.columns)
+    rows = candidates.join(held, "dataset_id", "left_anti").withColumn("_f", facts)
+    n_global = F.col("_f.n_global")
+    own = (n_global == 1) & (F.col("_f.one_global") == F.col("run_id"))
+    free = F.when(F.col("dataset_id").isNotNull(), n_global == 0).otherwise((F.col("_f.n_scoped") == 0) & ((n_global == 0) | own))
+    return rows.where(free).select(*candidates.columns)
 
 
 def representatives(runs: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
@@ -90,13 +90,11 @@ def arbitrated(runs: DataFrame, as_of: Column) -> DataFrame:
     """The runs to start now: representatives, but no dataset's run that is younger than an eligible global one, and a global run only alone."""
     reps = representatives(runs, as_of)
     waiting = runs.where("status = 'queued' and dataset_id is null").where(eligible(F.col("next_attempt_at"), as_of))
-    first = waiting.agg(F.min(F.struct("created_at", "run_id")).alias("g")).withColumn("_k", F.lit(1))
-    rows = reps.withColumn("_k", F.lit(1)).join(first, "_k")
+    rows = reps.withColumn("g", waiting.agg(F.min(F.struct("created_at", "run_id"))).scalar())
     me = F.struct(F.col("created_at"), F.col("run_id"))
     scoped = rows.where("dataset_id is not null").where(F.col("g").isNull() | (me < F.col("g")))
     # A global run starts only if no dataset's run starts before it in the same round.
-    before = scoped.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
-    alone = rows.where("dataset_id is null").join(before, "_k").where("n = 0").drop("n")
+    alone = rows.where("dataset_id is null").withColumn("n", scoped.agg(F.count("*")).scalar()).where("n = 0").drop("n")
     return scoped.unionByName(alone).select(*reps.columns)
 
 
