@@ -150,3 +150,16 @@ def test_chunks(spark):
     assert not [r for r in rows if r.document_id in "nz"]
     again = chunk_documents(docs, most=24, overlap=6, least=4).orderBy("document_id", "ordinal").collect()
     assert [r.chunk_id for r in again] == [r.chunk_id for r in rows]
+
+
+def test_clock(spark):
+    import datetime as dt
+
+    from quillgraph.functions.clock import as_of, timed
+
+    moment = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
+    assert spark.range(1).select(as_of(moment).cast("long").alias("x")).first().x == int(moment.timestamp())
+    took = {}
+    with timed(took, "a"):
+        pass
+    assert took["a"] >= 0
