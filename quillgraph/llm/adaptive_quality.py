@@ -27,7 +27,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: What is sketched: rates in 1 of 10,000 words (word length in 1/100 characters).
 METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
 #: The least distance of a fence from its quartile, so that an even group does not lose its ordinary documents.
-SLACK = {"symbol_rate": 2000, "dup_line_rate": 2500, "repeat_rate": 2500, "word_length": 200}
+SLACK = {"symbol_rate": 2000, "dup_line_rate": 5000, "repeat_rate": 2500, "word_length": 200}
 REACH = 3  # quartile distances
 POS_BITS = 21  # positions beside the hash in a sort key
 
