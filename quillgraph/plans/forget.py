@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import projection, scope
+from ..operators.graph import kept
 
 CONFIRM = "DELETE EVERYTHING"
 
@@ -46,21 +47,22 @@ def forget_sources(t: dict[str, DataFrame], source_ids: DataFrame) -> dict[str,
     hit = source_ids.select("source_id").distinct()
     now = lambda df: df.where("is_active").join(gen, "dataset_id").where("generation = active_generation").drop("active_generation")
     docs = now(t["documents"]).join(hit, "source_id", "left_semi")
-    chunks = now(t["chunks"]).join(hit, "source_id", "left_semi")
+    # Ids only, and each used several times below: kept, so that no step reads the tables again.
+    chunks = kept(now(t["chunks"]).join(hit, "source_id", "left_semi").select("chunk_id"))
     left = {"documents": _off(t["documents"], docs, "document_id"), "chunks": _off(t["chunks"], chunks, "chunk_id")}
-    visible = scope.authoritative_chunks(left["chunks"], left["documents"], t["sources"].join(hit, "source_id", "left_anti"), t["datasets"]).select("chunk_id", "dataset_id")
-    touched = t["evidence"].join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("relation_id").distinct()
+    visible = kept(scope.authoritative_chunks(left["chunks"], left["documents"], t["sources"].join(hit, "source_id", "left_anti"), t["datasets"]).select("chunk_id"))
+    touched = t["evidence"].join(chunks, "chunk_id", "left_semi").select("relation_id").distinct()
     live = t["relations"].where("is_active")
     proved = t["evidence"].join(visible.select("chunk_id"), "chunk_id", "left_semi").select("relation_id").distinct()
-    relations = live.join(touched, "relation_id", "left_semi").join(proved, "relation_id", "left_anti")
-    rest = live.join(relations.select("relation_id"), "relation_id", "left_anti")
+    relations = kept(live.join(touched, "relation_id", "left_semi").join(proved, "relation_id", "left_anti").select("relation_id"))
+    rest = live.join(relations, "relation_id", "left_anti")
     met = t["mentions"].join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("entity_id").distinct()
     mentioned = t["mentions"].join(visible.select("chunk_id"), "chunk_id", "left_semi").select("entity_id").distinct()
     ends = rest.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id")).distinct()
     entities = met.join(mentioned, "entity_id", "left_anti").join(ends, "entity_id", "left_anti")
     if "entities" in t:
         entities = t["entities"].where("is_active").join(entities, "entity_id", "left_semi").select("entity_id")
-    out = {"documents": docs.select("document_id"), "chunks": chunks.select("chunk_id"), "relations": relations.select("relation_id"), "entities": entities}
+    out = {"documents": docs.select("document_id"), "chunks": chunks, "relations": relations, "entities": entities}
     if "summaries" in t:
         s = t["summaries"]
         out["summaries"] = (scope.forget_summaries(s, out["documents"], entities, docs.select("dataset_id")) if "target_type" in s.columns else s.where("is_active").join(out["documents"], "document_id", "left_semi")).select("summary_id")

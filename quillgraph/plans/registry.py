@@ -548,13 +548,14 @@ met AS (SELECT DISTINCT entity_id FROM f_mentions WHERE chunk_id IN (SELECT chun
 
 
 def order_tables(t: Fixture) -> dict[str, DataFrame]:
-    """Orders as chunks of their customer as source, one dataset."""
-    o = t.table("orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("document_id"))
-    one = {"dataset_id": F.lit("d"), "generation": F.lit(1), "is_active": F.lit(True)}
-    docs = o.select("document_id", "source_id").withColumns(one)
+    """Orders as chunks of their customer as source, four datasets of customers."""
+    dataset = lambda key: F.concat(F.lit("d"), F.col(key) % 4)
+    o = t.table("orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("document_id"), dataset("o_custkey").alias("dataset_id"))
+    one = {"generation": F.lit(1), "is_active": F.lit(True)}
+    docs = o.select("document_id", "source_id", "dataset_id").withColumns(one)
     chunks = o.withColumns({**one, "ordinal": F.lit(0), "text": F.lit(""), "start_char": F.lit(0), "end_char": F.lit(0)})
-    src = t.table("customer").select(F.col("c_custkey").alias("source_id"), F.lit("d").alias("dataset_id"), F.lit("active").alias("status"), F.col("c_name").alias("name"))
-    sets = t.spark.createDataFrame([("d", "d", "active", 1)], "dataset_id string, slug string, status string, active_generation int")
+    src = t.table("customer").select(F.col("c_custkey").alias("source_id"), dataset("c_custkey").alias("dataset_id"), F.lit("active").alias("status"), F.col("c_name").alias("name"))
+    sets = t.spark.createDataFrame([(f"d{k}", f"d{k}", "active", 1) for k in range(4)], "dataset_id string, slug string, status string, active_generation int")
     return {"datasets": sets, "sources": src, "documents": docs, "chunks": chunks, "relations": t.relations, "evidence": t.evidence, "mentions": t.mentions}
 
 

@@ -1,6 +1,6 @@
 """The projection outbox as an append-only stream.
 
-The reference's row locks have no counterpart: a micro-batch owns its rows, and
+Row locks have no counterpart here: a micro-batch owns its rows, and
 the sink is idempotent by (query, batch), so a batch that runs again after a
 failure writes the same state.
 """
