@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mixed, row_key, text_of, written
 
@@ -150,7 +151,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     ours = {c: f"_ld_c{i}" for i, c in enumerate(names)}
     left = keyed.select("_ld_key", "_ld_text", *(F.col(c).alias(ours[c]) for c in names)).join(gone, "_ld_key", "left").drop("_ld_key")
     kept = [f for f in left.schema.fields if f.name not in ("_ld_text", "gone")]
-    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "_ld_text string, _ld_n_lines long, _ld_n_removed long"
+    out = T.StructType([*kept, T.StructField("_ld_text", T.StringType()), T.StructField("_ld_n_lines", T.LongType()), T.StructField("_ld_n_removed", T.LongType())])
     done = left.select(*(f.name for f in kept), "_ld_text", "gone").mapInArrow(_applied, out)
     order = [F.col("_ld_text").alias(text) if c == text else F.col(ours[c]).alias(c) for c in docs.columns]
     return done.select(*order, *([F.col("_ld_n_lines").alias("n_lines"), F.col("_ld_n_removed").alias("n_removed")] if counts else []))

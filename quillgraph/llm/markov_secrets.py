@@ -25,6 +25,7 @@ from .common import text_of, written
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = 16  # characters of a run that is compared
+BLOCK = 256  # spans whose offsets are summed together
 UNIT = 1000  # log ratios are whole numbers of 1/1000 nat
 THRESHOLD = 12 * UNIT
 
@@ -49,13 +50,22 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     parts = F.filter(F.zip_with(F.zip_with(gaps, found, lambda g, f: F.struct(F.length(g).alias("g"), F.length(f).alias("f"))), value, lambda x, v: F.struct(x["g"].alias("g"), x["f"].alias("f"), v.alias("v"))), lambda x: x["f"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["f"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + x["f"]).alias("e"), x["v"].alias("v")))).alias("out"),
-    )
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none)
+    length = lambda x: x["g"] + x["f"]
+
+    def placed(block: Column, at: Column) -> Column:
+        """Spans of a block of parts that begins at offset ``at``."""
+        step = lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("s"), (acc["at"] + length(x)).alias("e"), x["v"].alias("v")))).alias("out"))
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def all_placed(p: Column) -> Column:
+        # Arrays grow by copying, so offsets are summed in blocks: a text with a million matches stays affordable.
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,b:array<struct<g:int,f:int,v:string>>>>").alias("out"))
+        step = lambda acc, b: F.struct((acc["at"] + F.aggregate(b, F.lit(0), lambda s, x: s + length(x))).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), b.alias("b")))).alias("out"))
+        return F.flatten(F.transform(F.aggregate(blocks, start, step, lambda acc: acc["out"]), lambda x: placed(x["b"], x["at"])))
+
+    return F.when(F.size(found) > 0, F.transform(F.array(parts), all_placed)[0]).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -68,9 +78,10 @@ def scan(docs: DataFrame) -> DataFrame:
         spans(t, HEX).alias("hex"),
         spans(t, CHARS).alias("runs"),
     )
-    fixed = F.concat("assign", "access", "hex")
-    apart = F.filter("runs", lambda r: ~F.exists("fixed", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    return rows.withColumn("fixed", fixed).withColumn("runs", apart).drop("fixed")
+    # Access and hex spans lie inside one run each, so the run's own characters tell.
+    inside = lambda r: r["v"].rlike(rf"{HEX}|AKIA[A-Z0-9]{{14,}}")
+    apart = F.filter("runs", lambda r: ~inside(r) & ~F.exists("assign", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
+    return rows.withColumn("runs", apart)
 
 
 def transitions(rows: DataFrame) -> DataFrame:
