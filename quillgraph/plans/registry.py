@@ -132,10 +132,10 @@ def dataset_stats(t):
     return listing.dataset_stats(t.datasets, t.sources, t.documents, t.chunks, summaries=t.summaries)
 
 
-@query("SELECT source_id, created_at FROM f_sources WHERE dataset_id = 'en' ORDER BY created_at DESC, source_id LIMIT 20 OFFSET 40", ("f_sources",))
+@query("SELECT source_id, CAST(epoch(created_at) AS BIGINT) AS created FROM f_sources WHERE dataset_id = 'en' ORDER BY created_at DESC, source_id LIMIT 20 OFFSET 40", ("f_sources",))
 def source_page(t):
     """F05, Q25."""
-    return remember.source_page(t.sources, "en", 40, 20).select("source_id", "created_at")
+    return remember.source_page(t.sources, "en", 40, 20).select("source_id", F.unix_timestamp("created_at").alias("created"))
 
 
 @query("SELECT dataset_id, content_sha256, source_id, version FROM f_sources QUALIFY row_number() OVER (PARTITION BY dataset_id, content_sha256 ORDER BY version DESC, created_at DESC, source_id) = 1", ("f_sources",))
