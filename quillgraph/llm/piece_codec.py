@@ -81,7 +81,7 @@ class Memo(dict):
 
 
 class PieceCodec:
-    def __init__(self, model: bytes, memo: int = 120_000) -> None:
+    def __init__(self, model: bytes, memo: int = 160_000) -> None:
         pieces, self.dummy, squeeze, charsmap, bpe, self.unk_surface = [], True, True, b"", False, " ⁇ "
         for num, v in _fields(model):
             if num == 1:
