@@ -132,13 +132,14 @@ def removals(docs: DataFrame) -> DataFrame:
     occ = docs.mapInArrow(_occurrences, "_ld_id long, _ld_key string, idx int, h long")
     place = F.struct(F.col("_ld_id").isNull().alias("n"), F.col("_ld_id").alias("id"), F.col("_ld_key").alias("key"), F.col("idx").alias("idx"))
     occ = written(occ, "line-chunks")
-    repeated = occ.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first")
+    # A table of its own: a join of two plain shuffles is one whose hot keys Spark can split.
+    repeated = written(occ.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"), "line-chunks-firsts")
     wanted = occ.join(repeated, "h").select("_ld_key", "idx", "h", place.eqNullSafe(F.col("first")).alias("is_first"))
     wanted = written(wanted.distinct(), "line-chunks-repeated")
     cand = wanted.groupBy("_ld_key").agg(F.collect_list("idx").alias("cand"))
     bodies = written(docs.join(cand, "_ld_key").mapInArrow(_candidate_texts, "_ld_id long, _ld_key string, idx int, h long, body binary"), "line-chunk-bodies", free=True)
     marked = bodies.join(wanted.select("_ld_key", "idx", "is_first"), ["_ld_key", "idx"])
-    firsts = marked.where("is_first").groupBy("h", "body").agg(F.lit(True).alias("_"))
+    firsts = written(marked.where("is_first").select("h", "body").distinct(), "line-chunk-first-bodies")
     gone = marked.where("not is_first").join(firsts, ["h", "body"], "left_semi")
     return gone.groupBy("_ld_key").agg(F.array_distinct(F.collect_list("idx")).alias("gone"))
 
