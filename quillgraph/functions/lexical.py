@@ -95,6 +95,32 @@ def matches(vector: Column, query: Query) -> Column:
     return any_
 
 
+def matches_tokens(words: Column, query: Query) -> Column:
+    """X09 on the tokens in order, for texts without a stored vector: nothing is built for rows that do not match."""
+
+    def has(t: Term) -> Column:
+        if len(t.words) == 1:
+            found = F.array_contains(words, t.words[0])
+        else:
+            at = lambda i: F.slice(words, i + 1, len(t.words)) == F.array(*map(F.lit, t.words))
+            found = F.array_contains(words, t.words[0]) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), at)
+        found = F.coalesce(found, F.lit(False))
+        return ~found if t.negated else found
+
+    any_ = F.lit(False)
+    for b in query.branches:
+        all_ = F.lit(True)
+        for t in b:
+            all_ = all_ & has(t)
+        any_ = any_ | all_
+    return any_
+
+
+def token_rank(words: Column, query: Query) -> Column:
+    """``term_rank`` on the tokens."""
+    return F.size(F.filter(words, lambda w: w.isin(*query.words))) if query.words else F.lit(0)
+
+
 def term_rank(vector: Column, query: Query) -> Column:
     """Occurrences of the query's words in a text: a rank both engines can compute."""
     out = F.lit(0)

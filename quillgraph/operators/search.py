@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lexical import Query, cover_rank, matches, to_vector, tokens
+from ..functions.lexical import Query, cover_rank, matches, matches_tokens, tokens
 from ..functions.scalars import reference_quote, rrf_score
 from ..functions.vectors import cosine_to
 
@@ -31,12 +31,16 @@ def vector_top_k(rows: DataFrame, query: list[float], k: int = CANDIDATES, id_co
     return scored.where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
 
 
-def lexical_top_k(rows: DataFrame, query: Query, k: int = CANDIDATES, rank: Column | None = None) -> DataFrame:
-    """matching rows by falling rank, ties by id. ``rows`` has text, or a ready ``lexical`` vector."""
+def lexical_top_k(rows: DataFrame, query: Query, k: int = CANDIDATES, rank=None) -> DataFrame:
+    """matching rows by falling rank, ties by id. ``rows`` has text, or a ready ``lexical`` vector; ``rank`` is a function of it (or of the tokens) and the query."""
     stored = "lexical" in rows.columns
-    # Without a stored vector the rank reads the tokens: a Python function takes no lambda-made input.
-    found = rows.select("chunk_id", (F.col("lexical") if stored else to_vector(F.col("text"))).alias("_v"), *([] if stored else [tokens(F.col("text")).alias("_t")])).where(matches(F.col("_v"), query))
-    score = rank if rank is not None else cover_rank(query)(F.map_entries(F.col("_v"))) if stored else cover_rank(query, ordered=True)(F.col("_t"))
+    # Without a stored vector tokens do: a row that does not match costs one pass over its text.
+    if stored:
+        found = rows.select("chunk_id", F.col("lexical").alias("_v")).where(matches(F.col("_v"), query))
+        score = cover_rank(query)(F.map_entries(F.col("_v"))) if rank is None else rank(F.col("_v"), query)
+    else:
+        found = rows.select("chunk_id", tokens(F.col("text")).alias("_v")).where(matches_tokens(F.col("_v"), query))
+        score = cover_rank(query, ordered=True)(F.col("_v")) if rank is None else rank(F.col("_v"), query)
     return found.select("chunk_id", score.alias("rank_score")).orderBy(F.desc("rank_score"), "chunk_id").limit(k)
 
 

@@ -223,7 +223,7 @@ def lexical_match(t):
 def lexical_topk(t):
     """F02, ranked by occurrences so that SQL can check it; cover density is tested apart."""
     q = lexical.parse_query(" ".join(WORDS))
-    return search.lexical_top_k(t.chunks.where("is_active"), q, rank=lexical.term_rank(F.col("_v"), q))
+    return search.lexical_top_k(t.chunks.where("is_active"), q, rank=lexical.token_rank)
 
 
 @query(f"""WITH v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY round({COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) DESC, vec_id) AS rank FROM embeddings),

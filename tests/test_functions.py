@@ -108,6 +108,12 @@ def test_lexical(spark):
     assert got("quick -fox") == [2]
     assert got("dog or the") == [0, 1, 2]
     assert got("") == []
+    for q in ("quick brown", '"quick brown"', "quick -fox", "dog or the", "", '"brown fox" or dog'):
+        query = lexical.parse_query(q)
+        by_tokens = column(spark, docs, "string", F.coalesce(lexical.matches_tokens(lexical.tokens(F.col("v")), query), F.lit(False)))
+        assert [i for i, x in enumerate(by_tokens) if x and docs[i]] == got(q)
+        ranks = column(spark, docs[:3], "string", lexical.token_rank(lexical.tokens(F.col("v")), query))
+        assert ranks == column(spark, docs[:3], "string", lexical.term_rank(v, query))
 
 
 def test_cover_density():
