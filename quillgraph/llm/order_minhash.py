@@ -5,9 +5,10 @@ occurrence number. Each of ``BANDS`` sketches takes the ``ELL`` labelled k-mers
 of least hash and keeps them in text order, so texts agree on a sketch only if
 they share these k-mers in the same order. Texts that agree on a sketch form a
 bucket. Members of a bucket are compared with its hub - the member that shares
-most buckets with others - so candidates grow with the rows, not with pairs;
-members that are not yet connected are compared further: all of them in small
-buckets, with further hubs in large ones.
+most buckets with others - and then with further hubs, until all members that
+have not been hubs are of one class: so any two members have been compared or
+are of one class already. Candidates grow with the rows where copies of a text
+are alike, and with the pairs only among members that stay unlike.
 
 A pair is accepted if its sets of k-mers have a Jaccard similarity of at least
 ``SIMILAR`` and a banded alignment of the words matches at least that share of
@@ -35,7 +36,7 @@ from .components import connected
 K, SIMILAR, BANDS, ELL = 5, 0.8, 16, 3
 LOW = 64  # least k-mer hashes kept for the estimate before alignment
 SURE = 0.55  # pairs estimated below this are at least five deviations under SIMILAR
-SMALL, ROUNDS = 90, 3
+SMALL = 90  # members of a bucket that may all be hubs in one turn
 SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -173,39 +174,46 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = written(rows.join(crowded, "val"), "omh-shared")
     weight = shared.groupBy("fp").agg(F.sum("c").alias("w"))
     shared = written(shared.join(weight, "fp").select("val", "c", "fp", "size", "w"), "omh-weighted", free=True)
-    near_size = lambda x, y: (x >= SIMILAR * y) & (y >= SIMILAR * x)
-    texts = None
-    tried = accepted = labels = None
-    for turn in range(ROUNDS):
+    near_size = (F.col("size") >= SIMILAR * F.col("size_b")) & (F.col("size_b") >= SIMILAR * F.col("size"))
+    texts = tried = accepted = labels = None
+    # Members of open buckets that have not been hubs; a hub has met all the others, so it leaves.
+    left = shared
+    turn = 0
+    while True:
         if labels is None:
-            placed = shared.withColumn("root", F.col("fp"))
-            open_ = placed
+            placed = left.withColumn("root", F.col("fp"))
         else:
-            placed = shared.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-            split = written(placed.groupBy("val").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("val"), "omh-split")
-            open_ = written(placed.join(split, "val"), "omh-open")
-        # The hub of a bucket: at first its most connected member, later the most connected one that no hub is linked to.
-        best = F.max(F.struct("w", "fp", "size", "root"))
-        hubs = written(open_.groupBy("val").agg(best.alias("h")).select("val", "h.*"), "omh-hubs")
-        if labels is not None:
-            first = hubs.select("val", F.col("root").alias("first_root"))
-            hubs = written(open_.join(first, "val").where("root <> first_root").groupBy("val").agg(best.alias("h")).select("val", "h.*"), "omh-hubs")
-        hubs = hubs.select("val", F.col("fp").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-        pairs = open_.join(hubs, "val").where((F.col("fp") != F.col("b")) & (F.col("root") != F.col("root_b")) & near_size(F.col("size"), F.col("size_b"))).select(F.col("fp").alias("a"), "b")
+            placed = written(left.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "omh-placed")
         if turn:
-            left = open_.where(F.col("c") <= SMALL).select("val", F.col("fp").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-            right = open_.where(F.col("c") <= SMALL).select(F.col("val").alias("val_b"), F.col("fp").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-            on = (F.col("val") == F.col("val_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near_size(F.col("size_a"), F.col("size_b"))
-            pairs = pairs.union(left.join(right, on).select("a", "b"))
-        pairs = pairs.distinct()
+            # The largest class of a bucket needs no hubs: its members meet those of the others.
+            groups = written(placed.groupBy("val", "root").agg(F.count("*").alias("n")), "omh-groups")
+            tops = groups.groupBy("val").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("all"))
+            tops = written(tops.where("all > t.n").select("val", F.col("t.root").alias("top"), (F.col("all") - F.col("t.n")).alias("others")), "omh-tops")
+            if tops.isEmpty():
+                break
+            # In small buckets all of the others at once; in large ones about 4 times as many a turn, since each may link many.
+            chance = F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("others")) < 4**turn
+            is_hub = (F.col("root") != F.col("top")) & ((F.col("c") <= SMALL) | chance)
+            open_ = placed.join(tops, "val").withColumn("hub", is_hub)
+        else:
+            best = written(placed.groupBy("val").agg(F.max(F.struct("w", "fp")).alias("h")).select("val", F.col("h.fp").alias("best")), "omh-best")
+            open_ = placed.join(best, "val").withColumn("hub", F.col("fp") == F.col("best"))
+        open_ = written(open_.select("val", "c", "fp", "size", "w", "root", "hub"), "omh-open")
+        hubs = open_.where("hub").select("val", F.col("fp").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+        # Of two hubs of one turn the pair is made once.
+        pairs = open_.join(hubs, "val").where((F.col("root") != F.col("root_b")) & (~F.col("hub") | (F.col("fp") < F.col("b"))) & near_size)
+        pairs = pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        left = open_.where("not hub").select("val", "c", "fp", "size", "w")
+        turn += 1
         low = own.select("fp", "low")
         pairs_tried = written(pairs, "omh-pairs")
+        tried = pairs_tried if tried is None else tried.union(pairs_tried)
         screened = pairs_tried.join(low.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("low_b")), "b")
         screened = written(screened.mapInArrow(_screen, "a binary, b binary"), "omh-screened")
         if screened.isEmpty():
-            break
+            continue
         if texts is None:
             # Texts of all that share a bucket, one for each word sequence: its row of least doc_id.
             wanted = shared.select("fp").distinct().join(own.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"))
@@ -213,12 +221,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             texts = written(texts.dropDuplicates(["fp"]).select("fp", "text"), "omh-near-texts", free=True)
         full = screened.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
         found = written(full.mapInArrow(_verify, "a binary, b binary, ok boolean"), "omh-verified").where("ok").select("a", "b")
-        tried = pairs_tried if tried is None else tried.union(pairs_tried)
-        accepted = found if accepted is None else accepted.union(found)
         if not found.isEmpty():
+            accepted = found if accepted is None else accepted.union(found)
             labels = connected(accepted)
-        if labels is None:
-            break
     # The kept text of a class: that of the smallest doc_id; a text without one comes last.
     node = own.select("fp", "doc_id")
     if labels is not None:
