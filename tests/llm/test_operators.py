@@ -452,6 +452,13 @@ def test_links_in_large_buckets(spark):
     assert classes_of(spark, rows) == want
 
 
+def test_links_behind_an_isolated_hub(spark):
+    rng = random.Random(33)
+    rows = tailed(rng, 100, 25)
+    rows += [(1000 + i, near_copies(rng, rows[0][1], 1)) for i in range(30)]
+    assert classes_of(spark, rows) == order_minhash.brute_force(rows)
+
+
 def test_alignment():
     rng = random.Random(2)
     for _ in range(200):
