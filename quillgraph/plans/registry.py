@@ -247,6 +247,14 @@ def recall_references(t):
     return search.references(hits).select("chunk_id", "document_id", "ordinal", "quote")
 
 
+@query(f"""WITH v AS ({VISIBLE}), h AS (SELECT *, 1.0 / (1 + ordinal) AS sc FROM v), q AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS one FROM h)
+SELECT chunk_id, document_id, ordinal, CASE WHEN length(one) <= 500 THEN one ELSE rtrim(substr(one, 1, 499)) || '…' END AS quote FROM q""", SCOPE)
+def recall_references_all(t):
+    """Over all visible chunks."""
+    hits = visible(t).withColumn("score", 1 / (1 + F.col("ordinal")))
+    return search.references(hits).select("chunk_id", "document_id", "ordinal", "quote")
+
+
 @query()
 def recall_rag(t):
     """Q01: whole chunks recall with both channels, over summaries' vectors placed on first chunks."""
@@ -263,7 +271,7 @@ def with_vectors(t: Fixture) -> DataFrame:
 def recall_graph(t):
     """Q03: recall with graph expansion over the order graph."""
     src = t.table("orders").select(F.col("o_orderkey").alias("chunk_id"))
-    hits = src.where("chunk_id <= 40").withColumn("score", F.lit(1.0) / (F.col("chunk_id") + 1))
+    hits = src.withColumn("score", F.lit(1.0) / (F.col("chunk_id") + 1))
     relations = t.relations.where("is_active").withColumn("description", F.lit(""))
     entities = t.mentions.select("entity_id").distinct()
     return recall.graph_hits(hits, src.withColumn("text", F.lit("")), t.mentions, relations, entities, t.evidence, top_k=12)["relations"].select("relation_id", "score", "evidence_chunk_id")
@@ -276,6 +284,14 @@ BOTH = "SELECT source_entity_id AS a, target_entity_id AS b, relation_id FROM f_
 HOP = f"seeds AS ({SEEDS}), e AS ({BOTH}), hop AS (SELECT s.chunk_id, m.entity_id AS seed_entity_id, e.b AS neighbor_entity_id, e.relation_id, s.score FROM seeds s JOIN f_mentions m USING (chunk_id) LEFT JOIN e ON e.a = m.entity_id)"
 
 
+ALL_SEEDS = "SELECT o_orderkey AS chunk_id, 1.0::DOUBLE / (o_orderkey + 1) AS score FROM orders"
+ALL_HOP = f"seeds AS ({ALL_SEEDS}), e AS ({BOTH}), hop AS (SELECT s.chunk_id, m.entity_id AS seed_entity_id, e.b AS neighbor_entity_id, e.relation_id, s.score FROM seeds s JOIN f_mentions m USING (chunk_id) LEFT JOIN e ON e.a = m.entity_id)"
+
+
+def all_seeds(t: Fixture) -> DataFrame:
+    return t.table("orders").select(F.col("o_orderkey").alias("chunk_id"), (F.lit(1.0) / (F.col("o_orderkey") + 1)).alias("score"))
+
+
 def seeds(t: Fixture) -> DataFrame:
     return t.table("orders").where("o_orderkey <= 40").select(F.col("o_orderkey").alias("chunk_id"), (F.lit(1.0) / (F.col("o_orderkey") + 1)).alias("score"))
 
@@ -286,18 +302,36 @@ def graph_one_hop(t):
     return graph.one_hop(seeds(t), t.mentions, t.relations.where("is_active"))
 
 
+@query(f"WITH {ALL_HOP} SELECT DISTINCT chunk_id, seed_entity_id, neighbor_entity_id, relation_id FROM hop", ("f_relations", "f_mentions"))
+def graph_one_hop_all(t):
+    """From all orders."""
+    return graph.one_hop(all_seeds(t), t.mentions, t.relations.where("is_active"))
+
+
 @query(f"WITH {HOP}, p AS (SELECT seed_entity_id AS entity_id, score FROM hop UNION ALL SELECT neighbor_entity_id, score FROM hop WHERE neighbor_entity_id IS NOT NULL) SELECT entity_id, max(score) AS score FROM p GROUP BY 1", ("f_relations", "f_mentions"))
 def graph_scores(t):
     """D06."""
     return graph.graph_scores(graph.one_hop(seeds(t), t.mentions, t.relations.where("is_active")), seeds(t))[0]
 
 
+@query(f"WITH {ALL_HOP}, p AS (SELECT seed_entity_id AS entity_id, score FROM hop UNION ALL SELECT neighbor_entity_id, score FROM hop WHERE neighbor_entity_id IS NOT NULL) SELECT entity_id, max(score) AS score FROM p GROUP BY 1", ("f_relations", "f_mentions"))
+def graph_scores_all(t):
+    """From all orders."""
+    return graph.graph_scores(graph.one_hop(all_seeds(t), t.mentions, t.relations.where("is_active")), all_seeds(t))[0]
+
+
 @query(f"WITH {HOP} SELECT relation_id, max(score) AS score FROM hop WHERE relation_id IS NOT NULL GROUP BY 1", ("f_relations", "f_mentions"))
 def graph_relation_scores(t):
     """D06."""
     return graph.graph_scores(graph.one_hop(seeds(t), t.mentions, t.relations.where("is_active")), seeds(t))[1]
 
 
+@query(f"WITH {ALL_HOP} SELECT relation_id, max(score) AS score FROM hop WHERE relation_id IS NOT NULL GROUP BY 1", ("f_relations", "f_mentions"))
+def graph_relation_scores_all(t):
+    """From all orders."""
+    return graph.graph_scores(graph.one_hop(all_seeds(t), t.mentions, t.relations.where("is_active")), all_seeds(t))[1]
+
+
 @query(f"WITH e AS ({BOTH}), h1 AS (SELECT DISTINCT b FROM e WHERE a = 'c1'), h2 AS (SELECT DISTINCT e.b FROM e JOIN h1 ON e.a = h1.b), n AS (SELECT 'c1' AS entity_id, 0 AS hop UNION ALL SELECT b, 1 FROM h1 UNION ALL SELECT b, 2 FROM h2) SELECT entity_id, min(hop)::INT AS hop FROM n GROUP BY 1", ("f_relations",))
 def subgraph_2hop(t):
     """G02."""
@@ -505,10 +539,10 @@ def canonical_keys(t):
 
 @query()
 def cognify_graph(t):
-    """Q09, Q10: chunks, extraction and merged entities of some languages' documents."""
+    """Q09, Q10: chunks, extraction and merged entities of all active documents."""
     from .cognify import extracted_entities, merged_entities, prepared
 
-    rows = prepared(t.documents.where("is_active and dataset_id = 'de'"), most=300, overlap=30, least=20)
+    rows = prepared(t.documents.where("is_active"), most=300, overlap=30, least=20)
     return merged_entities(extracted_entities(rows)).select("dataset_id", "canonical_key", "name", "confidence", F.size("aliases").alias("n_aliases"))
 
 
@@ -674,6 +708,14 @@ def provenance_relation(t):
     return provenance.relation_lineage(rel, t.evidence, o).select("relation_id", "chunk_id", "confidence")
 
 
+@query("SELECT e.relation_id, e.chunk_id, e.confidence FROM f_evidence e JOIN f_relations r USING (relation_id) JOIN orders o ON o.o_orderkey = e.chunk_id WHERE r.is_active AND o.o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY relation_id ORDER BY e.confidence DESC, e.chunk_id) <= 50", ("f_relations", "f_evidence"))
+def provenance_relation_all(t):
+    """Of all active relations."""
+    o = t.table("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("document_id"), F.lit(0).alias("ordinal"), F.lit("").alias("text"))
+    rel = t.relations.where("is_active")
+    return provenance.relation_lineage(rel, t.evidence, o).select("relation_id", "chunk_id", "confidence")
+
+
 @query(f"WITH v AS ({VISIBLE}), q AS (SELECT document_id AS query_id, (row_number() OVER (PARTITION BY document_id ORDER BY ordinal) - 1)::INT AS position, chunk_id FROM f_chunks WHERE document_id % 10 = 4 AND ordinal < 12) SELECT query_id, position, CAST(q.chunk_id AS VARCHAR) AS chunk_id, v.chunk_id IS NOT NULL AS available FROM q LEFT JOIN v ON v.chunk_id = q.chunk_id", SCOPE)
 def provenance_query(t):
     """Q23, C18, X29."""
@@ -683,4 +725,13 @@ def provenance_query(t):
     return provenance.query_lineage(queries, visible(t)).select("query_id", "position", "chunk_id", "available")
 
 
+@query(f"WITH v AS ({VISIBLE}), q AS (SELECT document_id AS query_id, (row_number() OVER (PARTITION BY document_id ORDER BY ordinal) - 1)::INT AS position, chunk_id FROM f_chunks) SELECT query_id, position, CAST(q.chunk_id AS VARCHAR) AS chunk_id, v.chunk_id IS NOT NULL AS available FROM q LEFT JOIN v ON v.chunk_id = q.chunk_id", SCOPE)
+def provenance_query_all(t):
+    """Of all documents' chunks."""
+    rows = t.chunks
+    item = F.struct(F.col("source_id").cast("string").alias("source_id"), F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ordinal").alias("chunk_ordinal"), F.lit(1.0).alias("score"))
+    queries = rows.groupBy(F.col("document_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", item.alias("i")))), lambda x: x["i"]).alias("i")).select("query_id", scalars.write_references(F.col("i")).alias("references"))
+    return provenance.query_lineage(queries, visible(t)).select("query_id", "position", "chunk_id", "available")
+
+
 __all__ = ["ORACLES", "QUERIES", "effective_importance"]

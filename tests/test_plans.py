@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import providers
 from quillgraph.functions.scalars import valid_extraction
-from quillgraph.plans import cognify, forget, improve, provenance, recall, remember
+from quillgraph.plans import cognify, forget, improve, provenance, recall, registry, remember
 from quillgraph.sources.fixtures import Fixture
 
 
@@ -223,3 +223,21 @@ def test_lineage(spark):
     vis = spark.createDataFrame([("c1", "name", "a  b")], "chunk_id string, source_name string, text string")
     got = provenance.query_lineage(q, vis).orderBy("position").collect()
     assert [(r.available, r.quote, r.source_id) for r in got] == [(True, "a b", "s"), (False, None, provenance.ZERO)]
+
+
+def test_queries_over_whole_tables(spark, sf_dir):
+    t = Fixture(spark, sf_dir)
+    chunk = {r.chunk_id for r in registry.visible(t).select("chunk_id").collect()}
+    assert {r.chunk_id for r in registry.QUERIES["recall_references_all"](spark, sf_dir).collect()} == chunk
+    orders = {r.o_orderkey for r in t.table("orders").collect()}
+    assert {r.chunk_id for r in registry.QUERIES["graph_one_hop_all"](spark, sf_dir).select("chunk_id").distinct().collect()} == orders
+    assert registry.QUERIES["provenance_query_all"](spark, sf_dir).count() == t.chunks.count()
+    asked = {r.dataset_id for r in t.documents.where("is_active").select("dataset_id").distinct().collect()}
+    assert len(asked) > 1 and {r.dataset_id for r in registry.QUERIES["cognify_graph"](spark, sf_dir).select("dataset_id").distinct().collect()} == asked
+
+
+def test_recall_graph_reads_late_orders(spark, sf_dir, tmp_path):
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        moved = spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn(key, (F.col(key) + 1_000_000).cast("long"))
+        moved.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert registry.QUERIES["recall_graph"](spark, str(tmp_path)).count() == 12
