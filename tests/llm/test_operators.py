@@ -459,6 +459,13 @@ def test_links_behind_an_isolated_hub(spark):
     assert classes_of(spark, rows) == order_minhash.brute_force(rows)
 
 
+def test_links_in_a_small_table(spark):
+    rows = tailed(random.Random(5), 10, 1)
+    want = order_minhash.brute_force(rows)
+    assert want[10] == want[11] == 10
+    assert classes_of(spark, rows) == want
+
+
 def test_alignment():
     rng = random.Random(2)
     for _ in range(200):
