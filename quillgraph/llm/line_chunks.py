@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import mixed, row_key, text_of, written
 
-WINDOW, MEAN, LEAST, MOST = 2, 4, 2, 64
+WINDOW, MEAN, LEAST, MOST = 2, 2, 2, 64
 #: Fixed odd multipliers of the rolling hash, one for each line of the window.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 

@@ -107,6 +107,22 @@ def test_line_chunks_odd(odd, spark):
     assert line_chunks.dedup_lines(odd.where("false")).count() == 0
 
 
+def missed_passages(length, pairs=200):
+    """Of so many passages repeated in other surroundings, those of which no line goes."""
+    rng = random.Random(9)
+    missed = 0
+    for _ in range(pairs):
+        line = lambda: prose(rng, 12, 10**6)
+        passage = [line() for _ in range(length)]
+        texts = ["\n".join([line(), line(), *passage, line(), line()]) for _ in range(2)]
+        missed += line_chunks.brute_force(list(enumerate(texts)))[1] == texts[1]
+    return missed
+
+
+def test_passages_in_other_surroundings():
+    assert missed_passages(4) <= 150 and missed_passages(8) <= 60
+
+
 # --- op3 -----------------------------------------------------------------------------------------
 
 
