@@ -4,11 +4,18 @@ A text is a sequence of k-mers of ``K`` words, each labelled with its
 occurrence number. Each of ``BANDS`` sketches takes the ``ELL`` labelled k-mers
 of least hash and keeps them in text order, so texts agree on a sketch only if
 they share these k-mers in the same order. Texts that agree on a sketch form a
-bucket. Members of a bucket are compared with its hub - the member that shares
-most buckets with others - and then with further hubs, until all members that
-have not been hubs are of one class: so any two members have been compared or
-are of one class already. Candidates grow with the rows where copies of a text
-are alike, and with the pairs only among members that stay unlike.
+bucket, and any two members of a bucket are compared, or are of one class
+already, whatever the size of the bucket:
+
+1. Buckets of more than a tile are compared with one hub first, the member that
+   shares most buckets with others. That joins most copies of a hot text to one
+   class, with work in proportion to the members.
+2. Then every member outside the largest class of its bucket meets all members
+   of other classes. Members travel in tiles, one row for each pair of tiles, so
+   a hot bucket is many tasks and rows grow with the members, not with the
+   pairs. A pair is looked at in the first bucket that it shares. Within a pair
+   of tiles, what has been joined is not compared again, and only links that
+   join something leave the task.
 
 A pair is accepted if its sets of k-mers have a Jaccard similarity of at least
 ``SIMILAR`` and a banded alignment of the words matches at least that share of
@@ -17,8 +24,9 @@ are one node from the start and are not expanded.
 
 Null and empty texts are nobody's duplicate. Texts of under ``K`` words have
 one k-mer, all their words. The class id is the smallest doc_id of the class
-(null only if no member has one). Repeated rows fall in one class. Extra
-columns are kept by ``keep_one``.
+(null only if no member has one). Repeated rows fall in one class. Empty tables
+give no rows. Further columns, of any name but those that start with ``_omh_``,
+are kept by ``keep_one`` and not read by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -30,20 +38,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WordHashes, mixed, text_of, window_hashes, written
+from .common import WORD, WordHashes, mixed, text_of, window_hashes, written
 from .components import connected
 
 K, SIMILAR, BANDS, ELL = 5, 0.8, 16, 3
 LOW = 64  # least k-mer hashes kept for the estimate before alignment
 SURE = 0.55  # pairs estimated below this are at least five deviations under SIMILAR
-SMALL = 90  # members of a bucket that may all be hubs in one turn
+TILE = 512  # members of a bucket that travel together
+TILE_BYTES = 4 << 20  # of word hashes that travel together
 SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def fingerprint(text: Column) -> Column:
-    """16 bytes that name a word sequence; null where there is no word."""
-    joined = F.trim(F.regexp_replace(text, SPACES, " "))
-    return F.when(F.length(joined) > 0, F.unhex(F.md5(joined)))
+def fingerprint(tokens: list[bytes]) -> bytes:
+    """16 bytes that name a word sequence."""
+    return hashlib.md5(b" ".join(tokens)).digest()
 
 
 def kmers(h: np.ndarray) -> np.ndarray:
@@ -76,34 +84,50 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 def _sketches(batches):
     hashes = WordHashes()
     for b in batches:
-        sizes, sigs, lows = [], [], []
+        fps, sizes, weights, sigs, lows = [], [], [], [], []
         for t in b.column("text").cast(pa.binary()).to_pylist():
             tokens = t.split()
             if not tokens:
-                sizes.append(0)
-                sigs.append(None)
-                lows.append(None)
+                for x in (fps, sizes, weights, sigs, lows):
+                    x.append(None)
                 continue
             sh = kmers(hashes.of(tokens))
             distinct = np.unique(sh)
+            fps.append(fingerprint(tokens))
             sizes.append(len(distinct))
+            weights.append(len(tokens))
             sigs.append(sketch(sh).view(np.int64))
             lows.append((distinct[:LOW] >> np.uint64(16)).astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("fp"), pa.array(sizes, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
-            names=["doc_id", "fp", "size", "sig", "low"],
+            [b.column("doc_id"), b.column("th"), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
+            names=["doc_id", "th", "fp", "size", "n_words", "sig", "low"],
         )
 
 
-def estimate(a: bytes, b: bytes) -> float:
-    """Jaccard similarity from the least hashes; exact where both texts have at most LOW k-mers."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+def _word_hashes(batches):
+    """Word hashes of the texts that are wanted; a row whose words are not those of ``fp`` shares only its key."""
+    hashes = WordHashes()
+    for b in batches:
+        fps, out = [], []
+        for t, fp in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("fp").to_pylist(), strict=True):
+            tokens = t.split()
+            if fingerprint(tokens) == fp:
+                fps.append(fp)
+                out.append(hashes.of(tokens).astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(out, pa.binary())], names=["fp", "data"])
+
+
+def estimates(low: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities from the least hashes; exact where both texts have at most LOW k-mers."""
+    lengths = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    starts = np.cumsum(lengths) - lengths
+    both = np.add.reduceat(np.isin(flat, low), starts)
     # Beyond the end of a full list nothing is known of that text.
-    end = min([v[-1] for v in (x, y) if len(v) == LOW], default=None)
-    if end is not None:
-        x, y = x[x <= end], y[y <= end]
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    theirs = np.add.reduceat(flat <= low[-1], starts) if len(low) == LOW else lengths
+    ends = np.array([x[-1] for x in others])
+    mine = np.where(lengths == LOW, np.searchsorted(low, ends, side="right"), len(low))
+    return both / np.maximum(1, mine + theirs - both)
 
 
 def aligned_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -134,105 +158,174 @@ def aligned_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return head + tail + len(a) - v.bit_count()
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
-    """Whether two texts, as word hashes, are near duplicates."""
-    x, y = np.unique(kmers(a)), np.unique(kmers(b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < least * (len(x) + len(y) - both):
-        return False
+def aligned(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a banded alignment matches the share ``SIMILAR`` of the longer text's words."""
     most = max(len(a), len(b))
-    return aligned_words(a, b, int((1 - least) * most) + 1) >= least * most
-
-
-def _screen(batches):
-    for b in batches:
-        keep = [estimate(x, y) >= SURE for x, y in zip(b.column("low_a").to_pylist(), b.column("low_b").to_pylist(), strict=True)]
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verify(batches):
-    hashes = WordHashes()
-    last: tuple = (None, None)
-    for b in batches:
-        ok = []
-        for key, x, y in zip(b.column("b").to_pylist(), b.column("text_a").cast(pa.binary()).to_pylist(), b.column("text_b").cast(pa.binary()).to_pylist(), strict=True):
-            if last[0] != key:
-                last = (key, hashes.of(y.split()))
-            ok.append(similar(hashes.of(x.split()), last[1]))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+    return aligned_words(a, b, int((1 - SIMILAR) * most) + 1) >= SIMILAR * most
+
+
+class Tiles:
+    """The members of one row of tiles: which of them ask (``a``), which answer (``b``), and who is to be compared."""
+
+    def __init__(self, val: int, fp: list[bytes], root: list[bytes], out, size, sig, a, b) -> None:
+        self.val, self.fp, self.out, self.size, self.sig = val, fp, out, size, sig
+        self.asks, self.answers = np.flatnonzero(a), np.flatnonzero(b)
+        numbers: dict[bytes, int] = {}
+        self.group = np.array([numbers.setdefault(r, len(numbers)) for r in root])
+        self.order = np.empty(len(fp), dtype=np.int64)
+        self.order[sorted(range(len(fp)), key=fp.__getitem__)] = np.arange(len(fp))
+
+    def partners(self, i: int) -> np.ndarray:
+        """Answering members that ``i`` has to be compared with in this bucket."""
+        at = self.answers[self.group[self.answers] != self.group[i]]
+        # Of two that both ask, one asks the other.
+        at = at[~self.out[at] | (self.order[i] < self.order[at])]
+        small = np.minimum(self.size[at], self.size[i])
+        at = at[small >= SIMILAR * np.maximum(self.size[at], self.size[i])]
+        if len(at):
+            agree = self.sig[at] == self.sig[i]
+            at = at[self.sig[at, np.argmax(agree, axis=1)] == self.val]  # the first bucket that they share
+        return at
+
+    def join(self, i: int, j: int) -> None:
+        self.group[self.group == self.group[j]] = self.group[i]
+
+
+def _tiles(batch: pa.RecordBatch):
+    """(Tiles, data of its members) of each row."""
+    col = batch.column("m")
+    ends = np.cumsum(np.r_[0, [len(x) for x in col]])
+    cells = col.flatten()
+    fp, root, data = (cells.field(x).to_pylist() for x in ("fp", "root", "data"))
+    out, a, b = (cells.field(x).to_numpy(zero_copy_only=False) for x in ("out", "a", "b"))
+    size = cells.field("size").to_numpy(zero_copy_only=False)
+    sig = cells.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    for val, s, e in zip(batch.column("val").to_pylist(), ends, ends[1:], strict=False):
+        at = slice(s, e)
+        yield Tiles(val, fp[at], root[at], out[at], size[at], sig[at], a[at], b[at]), data[at]
+
+
+def _promising(batches):
+    """Members that some partner resembles by estimate."""
+    for batch in batches:
+        vals, fps = [], []
+        for t, data in _tiles(batch):
+            low = [np.frombuffer(x, "<u8") for x in data]
+            found = np.zeros(len(low), dtype=bool)
+            for i in t.asks:
+                at = t.partners(i)
+                if len(at):
+                    at = at[estimates(low[i], [low[j] for j in at]) >= SURE]
+                    found[at] = True
+                    found[i] |= len(at) > 0
+            here = np.flatnonzero(found)
+            vals += [t.val] * len(here)
+            fps += [t.fp[i] for i in here]
+        yield pa.RecordBatch.from_arrays([pa.array(vals, pa.int64()), pa.array(fps, pa.binary())], names=["val", "fp"])
+
+
+def _links(batches):
+    """Accepted pairs that join classes; those between members that are joined already are left out."""
+    for batch in batches:
+        left, right = [], []
+        for t, data in _tiles(batch):
+            word = [np.frombuffer(x, "<u8") for x in data]
+            sets: dict[int, np.ndarray] = {}
+
+            def of(i):
+                if i not in sets:
+                    sets[i] = np.unique(kmers(word[i]))
+                return sets[i]
+
+            for i in t.asks:
+                at = t.partners(i)
+                if not len(at):
+                    continue
+                theirs = [of(j) for j in at]
+                lengths = np.array([len(x) for x in theirs])
+                both = np.add.reduceat(np.isin(np.concatenate(theirs), of(i)), np.cumsum(lengths) - lengths)
+                for j in at[both >= SIMILAR * (len(of(i)) + lengths - both)]:
+                    if t.group[i] != t.group[j] and aligned(word[i], word[j]):
+                        t.join(i, j)
+                        left.append(t.fp[i])
+                        right.append(t.fp[j])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+
+def _dealt(cells: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """(val, m): one row for each pair of an asking and an answering tile of a bucket. ``cells``: val, fp, root, out, size, sig, data."""
+    total = cells.groupBy("val").agg(
+        F.count("*").alias("n"), F.sum(weight).alias("w"), F.count(F.when(F.col("out"), 1)).alias("n_out"), F.sum(F.when(F.col("out"), weight)).alias("w_out"))
+    parts = lambda n, w: F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(w) / limit), F.lit(1)).cast("int")
+    total = written(total.where("n > 1 and n_out > 0").select("val", parts("n_out", "w_out").alias("na"), parts("n", "w").alias("nb")), "omh-tiles")
+    cells = cells.join(total, "val").withColumns({"ta": F.pmod(F.xxhash64("fp", F.lit(1)), "na").cast("int"), "tb": F.pmod(F.xxhash64("fp"), "nb").cast("int")})
+    place = lambda ta, tb, a, b: F.struct(ta.alias("ta"), tb.alias("tb"), a.alias("a"), b.alias("b"))
+    answers = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda x: place(x, F.col("tb"), F.col("out") & (x == F.col("ta")), F.lit(True)))
+    asks = F.transform(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.col("out") & (x != F.col("tb"))), lambda x: place(F.col("ta"), x, F.lit(True), F.lit(False)))
+    cells = cells.withColumn("at", F.explode(F.concat(answers, asks)))
+    member = F.struct("fp", "root", "out", "size", "sig", "data", F.col("at.a").alias("a"), F.col("at.b").alias("b"))
+    return cells.groupBy("val", F.col("at.ta").alias("ta"), F.col("at.tb").alias("tb")).agg(F.collect_list(member).alias("m")).select("val", "m")
+
+
+def linked(cells: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): accepted pairs that join what asks (``out``) in ``cells(val, fp, root, out)`` to the other members of its buckets."""
+    sketched = cells.join(own.select("fp", "size", "sig", F.col("low").alias("data")), "fp")
+    near = _dealt(sketched, F.lit(1), TILE).mapInArrow(_promising, "val long, fp binary")
+    near = written(near.distinct(), "omh-promising")
+    wanted = near.select("fp").distinct().join(own, "fp").select("fp", "at", "th")
+    word = docs.join(wanted, ["at", "th"]).select("text", "fp").mapInArrow(_word_hashes, "fp binary, data binary")
+    word = written(word.dropDuplicates(["fp"]), "omh-words", free=True)
+    whole = cells.join(near, ["val", "fp"]).join(own.select("fp", "size", "sig", "n_words"), "fp").join(word, "fp")
+    return written(_dealt(whole, 8 * F.col("n_words"), TILE_BYTES).mapInArrow(_links, "a binary, b binary"), "omh-links")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, th, text): ``at`` and ``th`` find a row again by its id and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), F.xxhash64("text").alias("th"), "text")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): members(doc_id, fp) of every row, and classes(fp, class_id, kept_fp) of every word sequence."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    members = written(keyed.mapInArrow(_sketches, "doc_id long, fp binary, size int, sig array<long>, low binary"), "omh-members")
-    own = members.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low"))
-    own = written(own, "omh-texts")
-    rows = own.select("fp", "size", F.explode("sig").alias("val"))
+    """(members, classes): members(doc_id, fp) of every row, and classes(fp, class_id, kept_fp, kept_th) of every word sequence."""
+    docs = keyed(docs)
+    members = docs.select("doc_id", "th", "text").mapInArrow(_sketches, "doc_id long, th long, fp binary, size int, n_words int, sig array<long>, low binary")
+    members = written(members, "omh-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("h")
+    own = members.where("fp is not null").groupBy("fp").agg(first, *(F.first(c).alias(c) for c in ("size", "n_words", "sig", "low")))
+    own = written(own.select("fp", F.col("h.doc_id").alias("doc_id"), F.coalesce("h.doc_id", F.lit(-(1 << 63))).alias("at"), F.col("h.th").alias("th"), "size", "n_words", "sig", "low"), "omh-texts")
+    rows = own.select("fp", F.explode("sig").alias("val"))
     # Aggregates are tables of their own before they are joined: hot keys of a join of plain shuffles can be split.
     crowded = written(rows.groupBy("val").agg(F.count("*").alias("c")).where("c > 1"), "omh-crowded")
     shared = written(rows.join(crowded, "val"), "omh-shared")
-    weight = shared.groupBy("fp").agg(F.sum("c").alias("w"))
-    shared = written(shared.join(weight, "fp").select("val", "c", "fp", "size", "w"), "omh-weighted", free=True)
-    near_size = (F.col("size") >= SIMILAR * F.col("size_b")) & (F.col("size_b") >= SIMILAR * F.col("size"))
-    texts = tried = accepted = labels = None
-    # Members of open buckets that have not been hubs; a hub has met all the others, so it leaves.
-    left = shared
-    turn = 0
-    while True:
-        if labels is None:
-            placed = left.withColumn("root", F.col("fp"))
-        else:
-            placed = written(left.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "omh-placed")
-        if turn:
-            # The largest class of a bucket needs no hubs: its members meet those of the others.
-            groups = written(placed.groupBy("val", "root").agg(F.count("*").alias("n")), "omh-groups")
-            tops = groups.groupBy("val").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("all"))
-            tops = written(tops.where("all > t.n").select("val", F.col("t.root").alias("top"), (F.col("all") - F.col("t.n")).alias("others")), "omh-tops")
-            if tops.isEmpty():
-                break
-            # In small buckets all of the others at once; in large ones about 4 times as many a turn, since each may link many.
-            chance = F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("others")) < 4**turn
-            is_hub = (F.col("root") != F.col("top")) & ((F.col("c") <= SMALL) | chance)
-            open_ = placed.join(tops, "val").withColumn("hub", is_hub)
-        else:
-            best = written(placed.groupBy("val").agg(F.max(F.struct("w", "fp")).alias("h")).select("val", F.col("h.fp").alias("best")), "omh-best")
-            open_ = placed.join(best, "val").withColumn("hub", F.col("fp") == F.col("best"))
-        open_ = written(open_.select("val", "c", "fp", "size", "w", "root", "hub"), "omh-open")
-        hubs = open_.where("hub").select("val", F.col("fp").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-        # Of two hubs of one turn the pair is made once.
-        pairs = open_.join(hubs, "val").where((F.col("root") != F.col("root_b")) & (~F.col("hub") | (F.col("fp") < F.col("b"))) & near_size)
-        pairs = pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        left = open_.where("not hub").select("val", "c", "fp", "size", "w")
-        turn += 1
-        low = own.select("fp", "low")
-        pairs_tried = written(pairs, "omh-pairs")
-        tried = pairs_tried if tried is None else tried.union(pairs_tried)
-        screened = pairs_tried.join(low.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("fp").alias("b"), F.col("low").alias("low_b")), "b")
-        screened = written(screened.mapInArrow(_screen, "a binary, b binary"), "omh-screened")
-        if screened.isEmpty():
-            continue
-        if texts is None:
-            # Texts of all that share a bucket, one for each word sequence: its row of least doc_id.
-            wanted = shared.select("fp").distinct().join(own.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"))
-            texts = keyed.where("fp is not null").select("fp", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), "text").join(wanted, ["fp", "at"], "left_semi")
-            texts = written(texts.dropDuplicates(["fp"]).select("fp", "text"), "omh-near-texts", free=True)
-        full = screened.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-        found = written(full.mapInArrow(_verify, "a binary, b binary, ok boolean"), "omh-verified").where("ok").select("a", "b")
-        if not found.isEmpty():
-            accepted = found if accepted is None else accepted.union(found)
-            labels = connected(accepted)
+    links = labels = None
+    large = shared.where(F.col("c") > TILE)
+    if not large.isEmpty():
+        weight = shared.groupBy("fp").agg(F.sum("c").alias("w"))
+        hubs = written(large.join(weight, "fp").groupBy("val").agg(F.max(F.struct("w", "fp")).alias("h")).select("val", F.col("h.fp").alias("hub")), "omh-hubs")
+        cells = large.join(hubs, "val").select("val", "fp", F.col("fp").alias("root"), (F.col("fp") == F.col("hub")).alias("out"))
+        links = linked(written(cells, "omh-cells"), own, docs)
+        if not links.isEmpty():
+            labels = connected(links)
+    placed = shared.select("val", "fp", F.col("fp").alias("root"))
+    if labels is not None:
+        placed = shared.select("val", "fp").join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("val", "fp", F.coalesce("root", "fp").alias("root"))
+    # The largest class of a bucket does not ask: its members meet those of the others.
+    groups = placed.groupBy("val", "root").agg(F.count("*").alias("n"))
+    tops = groups.groupBy("val").agg(F.max(F.struct("n", "root")).alias("t"), F.count("*").alias("roots")).where("roots > 1").select("val", F.col("t.root").alias("top"))
+    cells = placed.join(written(tops, "omh-tops"), "val").select("val", "fp", "root", (F.col("root") != F.col("top")).alias("out"))
+    more = linked(written(cells, "omh-cells"), own, docs)
+    if not more.isEmpty():
+        labels = connected(more if links is None else links.union(more))
     # The kept text of a class: that of the smallest doc_id; a text without one comes last.
-    node = own.select("fp", "doc_id")
+    node = own.select("fp", "doc_id", "th")
     if labels is not None:
         node = node.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     else:
         node = node.withColumn("root", F.col("fp"))
     node = written(node, "omh-nodes")
-    head = node.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("class_id"), F.col("fp").alias("kept_fp"))).alias("h"))
-    return members.select("doc_id", "fp"), node.join(head, "root").select("fp", F.col("h.class_id").alias("class_id"), F.col("h.kept_fp").alias("kept_fp"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("class_id"), F.col("fp").alias("kept_fp"), F.col("th").alias("kept_th")))
+    head = written(node.groupBy("root").agg(head.alias("h")), "omh-heads")
+    return members.select("doc_id", "fp"), node.join(head, "root").select("fp", "h.class_id", "h.kept_fp", "h.kept_th")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -246,31 +339,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class; texts without words stay. Of repeated rows one stays."""
     _, found = classes(docs)
-    chosen = found.where(F.col("fp") == F.col("kept_fp")).select(F.col("fp").alias("_omh_fp"), F.coalesce("class_id", F.lit(-(1 << 63))).alias("_omh_at"))
-    keyed = docs.withColumns({"_omh_fp": fingerprint(text_of("text")), "_omh_at": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
-    kept = keyed.where("_omh_fp is not null").join(chosen, ["_omh_fp", "_omh_at"]).dropDuplicates(["_omh_fp", "_omh_at"])
-    return kept.select(*docs.columns).unionByName(keyed.where("_omh_fp is null").select(*docs.columns))
-
-
-def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, int]:
-    """Classes by comparing all pairs, for tests: doc_id -> class_id."""
-    hashes = WordHashes()
-    h = {i: hashes.of((t or "").encode().split()).copy() for i, t in rows}
-    root = {i: i for i, _ in rows}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(root)
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            if len(h[a]) and len(h[b]) and (np.array_equal(h[a], h[b]) or similar(h[a], h[b])):
-                r, s = sorted((top(a), top(b)))
-                root[s] = r
-    return {i: top(i) for i in ids}
-
-
-def fingerprint_of(text: str) -> bytes:
-    return hashlib.md5(b" ".join(text.encode().split())).digest()
+    chosen = found.where(F.col("fp") == F.col("kept_fp")).select(F.coalesce("class_id", F.lit(-(1 << 63))).alias("_omh_at"), F.col("kept_th").alias("_omh_th"))
+    rows = docs.withColumns({"_omh_at": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_omh_th": F.xxhash64(text_of("text"))})
+    worded = text_of("text").rlike(WORD)
+    kept = rows.where(worded).join(chosen, ["_omh_at", "_omh_th"]).dropDuplicates(["_omh_at", "_omh_th"])
+    return kept.select(*docs.columns).unionByName(rows.where(~worded).select(*docs.columns))

@@ -12,6 +12,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from near_model import near_classes
 from pyspark.sql import functions as F
 
 from quillgraph.llm import adaptive_quality, common, components, cover_dedup, cube_mix, extendible, line_chunks, markov_secrets, order_minhash, piece_codec, queries, rp_forest, url_filter
@@ -429,7 +430,7 @@ def test_near_duplicates_equal_brute_force(spark):
             rows.append((i, near_copies(rng, base, rng.choice([0, 1, 2, 3, 8])) if k else base))
             i += 1
     rows += [(i, ""), (i + 1, ""), (i + 2, None), (i + 3, "one two"), (i + 4, " one\ttwo "), (i + 5, "two one")]
-    want = order_minhash.brute_force(rows)
+    want = near_classes(rows)
     got = {r.doc_id: r for r in order_minhash.near_duplicates(frame(spark, rows)).collect()}
     assert {k: r.class_id for k, r in got.items()} == want
     assert sum(r.kept for r in got.values()) == len(set(want.values()))
@@ -463,7 +464,7 @@ def classes_of(spark, rows):
 
 def test_links_in_large_buckets(spark):
     rows = tailed(random.Random(21), 0, 80)
-    want = order_minhash.brute_force(rows)
+    want = near_classes(rows)
     assert len(set(want.values())) == 80
     assert classes_of(spark, rows) == want
 
@@ -472,16 +473,37 @@ def test_links_behind_an_isolated_hub(spark):
     rng = random.Random(33)
     rows = tailed(rng, 100, 25)
     rows += [(1000 + i, near_copies(rng, rows[0][1], 1)) for i in range(30)]
-    assert classes_of(spark, rows) == order_minhash.brute_force(rows)
+    assert classes_of(spark, rows) == near_classes(rows)
 
 
 def test_links_in_a_small_table(spark):
     rows = tailed(random.Random(5), 10, 1)
-    want = order_minhash.brute_force(rows)
+    want = near_classes(rows)
     assert want[10] == want[11] == 10
     assert classes_of(spark, rows) == want
 
 
+@pytest.mark.parametrize(("copies", "words", "edits"), [(900, 90, 1), (2000, 120, 2)])
+def test_family_without_its_base(spark, copies, words, edits):
+    """Copies of a text that is not there itself: no hub resembles all of them, and all are of few classes by chains."""
+    rng = random.Random(5)
+    base = prose(rng, words, 5000)
+    rows = [(i, near_copies(rng, base, edits)) for i in range(copies)]
+    want, got = near_classes(rows), classes_of(spark, rows)
+    assert sum(got[i] != c for i, c in want.items()) == 0
+
+
+@pytest.mark.parametrize("tile", [3, 16])
+def test_many_tiles(spark, monkeypatch, tile):
+    """Tiles smaller than the buckets, by number and by bytes: the same classes."""
+    rng = random.Random(8)
+    base = prose(rng, 90, 5000)
+    rows = [(i, near_copies(rng, base, rng.randrange(4))) for i in range(60)] + [(100 + i, t) for i, t in tailed(rng, 10, 5)]
+    monkeypatch.setattr(order_minhash, "TILE", tile)
+    monkeypatch.setattr(order_minhash, "TILE_BYTES", 2000)
+    assert classes_of(spark, rows) == near_classes(rows)
+
+
 def test_alignment():
     rng = random.Random(2)
     for _ in range(200):

@@ -5,10 +5,11 @@ import math
 
 import duckdb
 import pytest
+from near_model import near_classes
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import adaptive_quality, line_chunks, order_minhash, piece_codec, queries
+from quillgraph.llm import adaptive_quality, line_chunks, piece_codec, queries
 
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,7 +43,7 @@ def test_stages(spark, sf_dir):
     lines = dict(zip((i for i, _ in rows), line_chunks.brute_force(rows), strict=True))
     assert two.columns == DOCS and {r.doc_id: r.text for r in two.collect()} == lines
     three = corpus_pipeline.near_dedup(spark, two, sf_dir)
-    want = order_minhash.brute_force(list(lines.items()))
+    want = near_classes(list(lines.items()))
     assert three.columns == DOCS and {r.doc_id for r in three.collect()} == set(want.values())
     four = corpus_pipeline.mix_sources(spark, three, sf_dir)
     n = collections.Counter(r.doc_id for r in four.collect())
