@@ -2,17 +2,19 @@
 
 Statistics of a text are computed by built-in functions alone. Their
 distribution is kept in mergeable quantile sketches: integer histograms with
-relative-error buckets (16 to an octave), which add up over partitions, over
+relative-error buckets (128 to an octave), which add up over partitions, over
 sources to languages and over languages to the corpus, in any order, with the
-same result. A threshold is a fence outside the quartiles of the document's
-(lang, source) sketch - of its language, or of all documents, where the group
-has under ``least`` documents. Documents are then filtered by a join with the
-thresholds.
+same result. A threshold is a fence outside two quantiles of the documents of
+the same language and source, as far again as ``REACH`` times their distance.
+No threshold is fixed and none has a least room: the quantiles of a group are
+drawn towards those of its language, and these towards the corpus, as if
+``PRIOR`` documents of the wider group had been seen with it, so small groups
+are judged too. Documents are then filtered by a join with the thresholds.
 
 Null text has no words and fails the base rules. A null lang or source is a
-group of its own. Repeated rows count and are judged one by one. Further
-columns are kept by ``filter_documents``; names that start with ``_q_`` are
-ours.
+group of its own. Repeated rows count and are judged one by one. Empty tables
+give no rows. Further columns are kept by ``filter_documents``; names that
+start with ``_q_`` are ours.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, text_of, words, written
 
-SUB = 4  # bits of a bucket's mantissa: 16 buckets to an octave
+SUB = 7  # bits of a bucket's mantissa: 128 buckets to an octave
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: What is sketched: rates in 1 of 10,000 words (word length in 1/100 characters).
-METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-#: The least distance of a fence from its quartile, so that an even group does not lose its ordinary documents.
-SLACK = {"symbol_rate": 2000, "dup_line_rate": 5000, "repeat_rate": 2500, "word_length": 200}
-REACH = 3  # quartile distances
+#: What is sketched, with the percents between which a group's documents count as ordinary: rates in 1 of
+#: 10,000 words or lines (word length in 1/100 characters). Rates are mostly 0, so their upper quantile lies far out.
+LEVELS = {"symbol_rate": (50, 90), "dup_line_rate": (50, 99), "repeat_rate": (50, 98), "word_length": (25, 75)}
+METRICS = tuple(LEVELS)
+#: Occurrences in one document that are no sign of anything, whatever its length.
+ALLOWED = {"symbol_rate": 3, "dup_line_rate": 1, "repeat_rate": 6}
+REACH = 3  # quantile distances
+PRIOR = 200  # documents
 POS_BITS = 21  # positions beside the hash in a sort key
 
 
@@ -109,19 +114,18 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rates() -> dict[str, Column]:
-    per = F.greatest(F.col("n_words"), F.lit(1).cast("long"))
-    whole = lambda a, b: F.expr(f"cast({a} as bigint) div cast({b} as bigint)")
-    n = "greatest(n_words, 1)"
+    whole = lambda a, b: F.expr(f"cast({a} as bigint) div cast(greatest({b}, 1) as bigint)")
+    over = lambda c, m: f"10000 * greatest({c} - {ALLOWED[m]}, 0)"
     return {
-        "symbol_rate": whole("10000 * n_symbols", n),
-        "dup_line_rate": whole("10000 * n_dup_lines", "greatest(_q_n_lines, 1)"),
-        "repeat_rate": whole("10000 * n_repeat_words", n),
-        "word_length": whole("100 * word_chars", n),
+        "symbol_rate": whole(over("n_symbols", "symbol_rate"), "n_words"),
+        "dup_line_rate": whole(over("n_dup_lines", "dup_line_rate"), "_q_n_lines"),
+        "repeat_rate": whole(over("n_repeat_words", "repeat_rate"), "n_words"),
+        "word_length": whole("100 * word_chars", "n_words"),
     }
 
 
 def bucket(v: Column) -> Column:
-    """Bucket of an integer: itself below 16, then 16 to each octave, by integer arithmetic."""
+    """Bucket of an integer: itself below 2^SUB, then as many to each octave, by integer arithmetic."""
     e = F.length(F.bin(v)) - 1
     shift = F.greatest(e - SUB, F.lit(0))
     return F.when(v < 1 << SUB, v).otherwise((shift + 1).cast("long") * (1 << SUB) + F.call_function("shiftright", v, shift.cast("int")) - (1 << SUB))
@@ -144,47 +148,43 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, metrics: map metric -> (q1, q3)). A sketch has at most some thousand buckets, so a group's array is bounded."""
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, metric, n, lo, hi) at the levels of each metric. A sketch has at most some thousand buckets, so a group's array is bounded."""
     per = sketch.groupBy(*keys, "metric").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", F.col("n").alias("c")))).alias("cells"))
 
-    def at(percent: int) -> Column:
-        # The first bucket whose running count reaches percent of n; whole numbers only.
+    def at(k: int) -> Column:
+        # The first bucket whose running count reaches the level; whole numbers only.
+        percent = F.element_at(F.create_map(*(F.lit(x) for m, p in LEVELS.items() for x in (m, p[k]))), F.col("metric"))
         start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(None).cast("long").alias("hit"))
         step = lambda acc, x: F.struct((acc["run"] + x["c"]).alias("run"), F.coalesce(acc["hit"], F.when((acc["run"] + x["c"]) * 100 >= F.col("n") * percent, x["bucket"])).alias("hit"))
         return bucket_value(F.aggregate("cells", start, step, lambda acc: acc["hit"]))
 
-    per = per.select(*keys, "metric", "n", at(25).alias("q1"), at(75).alias("q3"))
-    return per.groupBy(*keys).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("metric", F.struct("q1", "q3")))).alias("q"))
+    return per.select(*keys, "metric", "n", at(0).alias("lo"), at(1).alias("hi"))
 
 
-def thresholds(sketch: DataFrame, *, least: int = 200, reach: int = REACH) -> DataFrame:
-    """(lang, source, low_word_length, and most_<metric>): fences of every group seen."""
-    own = quartiles(sketch, "lang", "source").select("lang", "source", F.col("n").alias("n_own"), F.col("q").alias("q_own"))
-    langs = quartiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("_l"), F.col("n").alias("n_lang"), F.col("q").alias("q_lang"))
-    every = quartiles(merged(sketch.withColumn("one", F.lit(1)), "one"), "one").select("q").scalar()  # one row
-    all_ = own.join(langs, F.col("lang").eqNullSafe(F.col("_l")))
-    all_ = all_.withColumn("q", F.when(F.col("n_own") >= least, F.col("q_own")).when(F.col("n_lang") >= least, F.col("q_lang")).otherwise(every))
-    out = {}
-    for m in METRICS:
-        q1, q3 = F.col("q")[m]["q1"], F.col("q")[m]["q3"]
-        room = F.greatest(reach * (q3 - q1), F.lit(SLACK[m]).cast("long"))
-        out[f"most_{m}"] = q3 + room
-        if m == "word_length":
-            out[f"least_{m}"] = q1 - room
-    return all_.select("lang", "source", *(c.alias(k) for k, c in out.items()))
+def thresholds(sketch: DataFrame, *, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
+    """(lang, source, metric, least, most): fences of every group seen; ``least`` is null for the rates."""
+    own = quantiles(sketch, "lang", "source")
+    langs = quantiles(merged(sketch, "lang"), "lang").select(F.col("lang").alias("_l"), "metric", F.col("n").alias("n_l"), F.col("lo").alias("lo_l"), F.col("hi").alias("hi_l"))
+    every = quantiles(merged(sketch)).select("metric", F.col("lo").alias("lo_e"), F.col("hi").alias("hi_e"))  # a row a metric
+    rows = own.join(langs, F.col("lang").eqNullSafe(F.col("_l")) & (own["metric"] == langs["metric"])).drop(langs["metric"]).join(every, "metric")
+    drawn = lambda q: F.expr(f"(n * {q} + {prior} * ((n_l * {q}_l + {prior} * {q}_e) div (n_l + {prior}))) div (n + {prior})")
+    rows = rows.select("lang", "source", "metric", drawn("lo").alias("lo"), drawn("hi").alias("hi"))
+    room = reach * (F.col("hi") - F.col("lo"))
+    return rows.select("lang", "source", "metric", F.when(F.col("metric") == "word_length", F.col("lo") - room).alias("least"), (F.col("hi") + room).alias("most"))
 
 
 def judge(stats: DataFrame, fences: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``stats`` with ``kept``. A group without a document that passes the base rules has no fences and keeps nothing."""
-    f = fences.select(F.col("lang").alias("_q_l"), F.col("source").alias("_q_s"), *(F.col(c).alias(f"_q_{c}") for c in fences.columns if c not in ("lang", "source")))
+    by = F.map_from_entries(F.collect_list(F.struct("metric", F.struct("least", "most"))))
+    f = fences.groupBy(F.col("lang").alias("_q_l"), F.col("source").alias("_q_s")).agg(by.alias("_q_f"))
     rows = stats.join(f, F.col(lang).eqNullSafe(F.col("_q_l")) & F.col(source).eqNullSafe(F.col("_q_s")), "left")
-    r = rates()
-    ok = (r["word_length"] >= F.col("_q_least_word_length"))
-    for m in METRICS:
-        ok = ok & (r[m] <= F.col(f"_q_most_{m}"))
+    ok = F.lit(True)
+    for m, v in rates().items():
+        fence, v = F.element_at("_q_f", F.lit(m)), bucket_value(bucket(v))  # no finer than what the sketch tells apart
+        ok = ok & (v <= fence["most"]) & (fence["least"].isNull() | (v >= fence["least"]))
     kept = ~F.col("base_failed") & F.coalesce(ok, F.lit(False))
-    return rows.withColumn("kept", kept).drop("_q_l", "_q_s", *(c for c in f.columns), "_q_n_lines")
+    return rows.withColumn("kept", kept).drop("_q_l", "_q_s", "_q_f", "_q_n_lines")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -52,30 +52,34 @@ st0 AS (SELECT r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST
 st AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM st0)"""
 
 
-def quality_rules(least: int = 200) -> str:
-    sub, slack, reach = quality.SUB, quality.SLACK, quality.REACH
+def quality_rules() -> str:
+    sub, reach, prior, ok = quality.SUB, quality.REACH, quality.PRIOR, quality.ALLOWED
     n = "greatest(n_words, 1)"
-    rate = {"symbol_rate": f"10000 * n_symbols // {n}", "dup_line_rate": "10000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": f"10000 * n_repeat_words // {n}", "word_length": f"100 * word_chars // {n}"}
+    over = lambda c, m, per: f"10000 * greatest({c} - {ok[m]}, 0) // greatest({per}, 1)"
+    rate = {
+        "symbol_rate": over("n_symbols", "symbol_rate", "n_words"), "dup_line_rate": over("n_dup_lines", "dup_line_rate", "n_lines"),
+        "repeat_rate": over("n_repeat_words", "repeat_rate", "n_words"), "word_length": f"100 * word_chars // {n}",
+    }
     rows = " UNION ALL ".join(f"SELECT r, lang, source, '{m}' AS metric, {x} AS v FROM st WHERE NOT base_failed" for m, x in rate.items())
-    # The least value of a bucket is the value with all bits below its leading five cleared.
-    low = f"CASE WHEN v < {1 << sub} THEN v ELSE (v >> (length(bin(v)) - {1 + sub})) << (length(bin(v)) - {1 + sub}) END"
+    # The least value of a bucket is the value with all but its leading bits cleared.
+    low = lambda v: f"CASE WHEN {v} < {1 << sub} THEN {v} ELSE ({v} >> (length(bin({v})) - {1 + sub})) << (length(bin({v})) - {1 + sub}) END"
+    level = lambda k: "CASE metric " + " ".join(f"WHEN '{m}' THEN {p[k]}" for m, p in quality.LEVELS.items()) + " END"
 
-    def level(name: str, keys: str) -> str:
+    def quantiles(name: str, keys: str) -> str:
         group = keys + ", " if keys else ""
         over = f"PARTITION BY {group}metric"
-        return f"""{name} AS (SELECT {group}metric, max(n) AS n, min(b) FILTER (run * 100 >= n * 25) AS q1, min(b) FILTER (run * 100 >= n * 75) AS q3 FROM (
+        return f"""{name} AS (SELECT {group}metric, CAST(max(n) AS BIGINT) AS n, min(b) FILTER (run * 100 >= n * {level(0)}) AS lo, min(b) FILTER (run * 100 >= n * {level(1)}) AS hi FROM (
   SELECT {group}metric, b, sum(c) OVER ({over} ORDER BY b) AS run, sum(c) OVER ({over}) AS n FROM (SELECT {group}metric, b, count(*) AS c FROM v GROUP BY {group}metric, b) x) y GROUP BY {group}metric)"""
 
-    slacks = "CASE a.metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in slack.items()) + " END"
-    tests = " AND ".join([*(f"({x}) <= hi['{m}']" for m, x in rate.items()), f"({rate['word_length']}) >= lo['word_length']"])
+    drawn = lambda q: f"(a.n * a.{q} + {prior} * ((l.n * l.{q} + {prior} * e.{q}) // (l.n + {prior}))) // (a.n + {prior})"
+    tests = " AND ".join([*(f"({low(f'({x})')}) <= most['{m}']" for m, x in rate.items()), f"({low('(' + rate['word_length'] + ')')}) >= least['word_length']"])
     return f"""
 WITH {quality_stats()},
-v0 AS ({rows}), v AS (SELECT *, {low} AS b FROM v0),
-{level('a', 'lang, source')}, {level('l', 'lang')}, {level('e', '')},
-q AS (SELECT a.lang, a.source, a.metric, CASE WHEN a.n >= {least} THEN a.q1 WHEN l.n >= {least} THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN a.n >= {least} THEN a.q3 WHEN l.n >= {least} THEN l.q3 ELSE e.q3 END AS q3
+v0 AS ({rows}), v AS (SELECT *, {low("v")} AS b FROM v0),
+{quantiles('a', 'lang, source')}, {quantiles('l', 'lang')}, {quantiles('e', '')},
+q AS (SELECT a.lang, a.source, a.metric, {drawn('lo')} AS lo, {drawn('hi')} AS hi
   FROM a JOIN l ON a.metric = l.metric AND a.lang IS NOT DISTINCT FROM l.lang JOIN e ON a.metric = e.metric),
-f AS (SELECT lang, source, map_from_entries(list((metric, q3 + greatest({reach} * (q3 - q1), sl)))) AS hi, map_from_entries(list((metric, q1 - greatest({reach} * (q3 - q1), sl)))) AS lo
-  FROM (SELECT a.*, {slacks} AS sl FROM q a) z GROUP BY lang, source)
+f AS (SELECT lang, source, map_from_entries(list((metric, hi + {reach} * (hi - lo)))) AS most, map_from_entries(list((metric, lo - {reach} * (hi - lo)))) AS least FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({tests}, false) AS kept
 FROM st LEFT JOIN f ON st.lang IS NOT DISTINCT FROM f.lang AND st.source IS NOT DISTINCT FROM f.source"""
 

@@ -232,6 +232,30 @@ def test_quality_verdicts(spark, odd):
     assert adaptive_quality.score_documents(odd.where("false")).count() == 0
 
 
+def test_thresholds_follow_the_group(spark):
+    """Equal texts pass in a source where such texts are ordinary and fail in one where they are not."""
+    rng = random.Random(3)
+    marked = lambda: " ".join(f"w{rng.randrange(3000)}" + ("$%" if k % 4 == 0 else "") for k in range(120))
+    same = marked()
+    rows = [(i, prose(rng, 120, 3000), "en", "plain", 0) for i in range(900)] + [(1000, same, "en", "plain", 0)]
+    rows += [(2000 + i, marked(), "en", "prices", 0) for i in range(900)] + [(3000, same, "en", "prices", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.kept for r in adaptive_quality.score_documents(docs).where("doc_id in (1000, 3000)").collect()}
+    assert got == {1000: False, 3000: True}
+
+
+def test_thresholds_are_set_by_the_data(spark):
+    """Every fence moves with the quantiles of its group; how many do is printed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sketch = common.written(adaptive_quality.sketches(adaptive_quality.statistics(docs)), "test-sketch")
+    one = {(r.lang, r.source, r.metric): (r.least, r.most) for r in adaptive_quality.thresholds(sketch).collect()}
+    moved = sketch.withColumn("bucket", F.col("bucket") + 128)
+    two = {(r.lang, r.source, r.metric): (r.least, r.most) for r in adaptive_quality.thresholds(moved).collect()}
+    other = sum(one[k] != two[k] for k in one)
+    print(f"{other} of {len(one)} fences follow the data; {len(set(one.values()))} different ones")
+    assert other == len(one)
+
+
 def test_sketches_merge(spark):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, prose(rng, 60 + i % 90, 900), "en", f"s{i % 4}", 0) for i in range(300)], DOCS)
@@ -242,9 +266,12 @@ def test_sketches_merge(spark):
 
 
 def test_native_plans(spark, sf_dir):
-    for f in (queries.op4_quality_rules, queries.op8_secret_scan):
-        plan = f(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|Arrow", plan)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stats = adaptive_quality.statistics(docs)
+    frames = [stats, adaptive_quality.thresholds(adaptive_quality.sketches(stats)), markov_secrets.scan(docs), markov_secrets.samples(docs), queries.op4_quality_rules(spark, sf_dir), queries.op8_secret_scan(spark, sf_dir)]
+    for f in frames:
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert "Scan" in plan and not re.search("Python|Pandas|Arrow", plan)
 
 
 # --- op5 -----------------------------------------------------------------------------------------
