@@ -1,11 +1,15 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
-Two first-order models over 67 characters are trained on labelled samples taken
-from the corpus itself: the values of the fixed patterns (random strings) and,
-of the other runs of at least ``RUN`` such characters, those made of words and
-short numbers (ordinary identifiers). A run outside the fixed spans is reported as ``markov`` if its log-likelihood
-ratio passes ``THRESHOLD``. Only built-in functions run on the executors; the
-driver gets the transition counts, at most 2 x 68 x 67 numbers.
+Two first-order models over 67 characters are trained on labelled samples that
+no pattern of the scan has made: random strings of five alphabets, ``RANDOM``
+of each, from a hash of their number; and ordinary identifiers of five forms
+(snake, camel, kebab and upper case, paths with a number), made of
+neighbouring words of ``SAMPLE`` documents drawn by hash, at most ``TRIPLES``
+of each. One sample in five, by hash, is held out of the training. A run of at
+least ``RUN`` such characters outside the fixed spans is reported as ``markov``
+if its log-likelihood ratio passes ``THRESHOLD``. Only built-in functions run
+on the executors; the driver gets the transition counts, at most
+2 x 68 x 67 numbers.
 
 Spans are code points, end exclusive, of the whole match. Null text is empty;
 empty tables give no rows; repeated rows are scanned one by one. Further
@@ -39,9 +43,9 @@ ASSIGN = rf"({KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the same spans as runs of any length of which the short ones are dropped
 CHARS = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
-#: A run that is labelled ordinary.
-ORDINARY = r"^([A-Za-z]+[0-9]{0,4}|[0-9]{1,4})([+/_=-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*[+/_=-]*$"
 PRIOR = 10.0  # weight, in characters, of the single-character model behind the ordinary one
+RANDOM, SAMPLE, TRIPLES, LENGTH = 1000, 2000, 25, 40
+PIECE = "[A-Za-z]{3,12}"
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -84,14 +88,31 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.withColumn("runs", apart)
 
 
-def transitions(rows: DataFrame) -> DataFrame:
-    """(random, prev, next, n): counts over the labelled samples; prev 0 is the start, a character its place from 1."""
-    value = lambda c: F.transform(c, lambda x: x["v"])
-    labelled = F.concat(
-        F.transform(F.concat(value("assign"), value("access"), value("hex")), lambda v: F.struct(F.lit(True).alias("random"), v.alias("v"))),
-        F.transform(F.filter(value("runs"), lambda v: v.rlike(ORDINARY)), lambda v: F.struct(F.lit(False).alias("random"), v.alias("v"))),
-    )
-    rows = rows.select(F.explode(labelled).alias("x")).select("x.random", F.transform(F.split("x.v", ""), place).alias("c"))
+def samples(docs: DataFrame) -> DataFrame:
+    """(random, v, held): labelled samples; ``held`` marks those kept out of the training."""
+    n = F.col("id").cast("string")
+    b64 = F.base64(F.unhex(F.sha2(n, 256)))
+    plain = F.translate(b64, "+/=", "xYz")
+    kinds = F.array(*(F.substring(c, 1, LENGTH) for c in (b64, plain, F.upper(plain), F.lower(plain), F.sha2(n, 256))))
+    random = docs.sparkSession.range(RANDOM).select(F.lit(True).alias("random"), F.explode(kinds).alias("v"))
+    drawn = docs.select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("a"), F.md5(text_of("text")).alias("b"), text_of("text").alias("t"))
+    drawn = drawn.orderBy("a", "b").limit(SAMPLE)
+    w = F.transform(F.regexp_extract_all("t", F.lit(PIECE), F.lit(0)), lambda x: F.lower(x))
+    i = F.col("i")
+    at = lambda k: F.col("w")[3 * i + k]
+    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 99))
+    forms = [
+        F.concat_ws("_", at(0), at(1), at(2)), F.concat(at(0), cap(at(1)), cap(at(2))), F.concat_ws("-", at(0), at(1), at(2)),
+        F.upper(F.concat_ws("_", at(0), at(1), at(2))), F.concat(F.concat_ws("/", at(0), at(1), at(2)), "i"),
+    ]
+    triples = drawn.select(w.alias("w")).where(F.size("w") >= 3).select("w", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.size("w") / 3), F.lit(TRIPLES)).cast("int") - 1)).alias("i"))
+    ordinary = triples.select(F.lit(False).alias("random"), F.element_at(F.array(*forms), i % len(forms) + 1).alias("v"))
+    return random.unionByName(ordinary).withColumn("held", F.substring(F.md5("v"), 1, 1).isin("0", "5", "a"))
+
+
+def transitions(labelled: DataFrame) -> DataFrame:
+    """(random, prev, next, n): counts over the samples that are not held out; prev 0 is the start, a character its place from 1."""
+    rows = labelled.where("not held").select("random", F.transform(F.split("v", ""), place).alias("c"))
     rows = rows.select("random", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), F.slice("c", 1, F.size("c") - 1)), "c", lambda a, b: a * 1000 + b)).alias("step"))
     return rows.groupBy("random", "step").agg(F.count("*").alias("n")).select("random", F.floor(F.col("step") / 1000).cast("int").alias("prev"), (F.col("step") % 1000).alias("next"), "n")
 
@@ -110,8 +131,7 @@ def log_ratios(counts: list[tuple[bool, int, int, int]]) -> list[int]:
     k = len(ALPHABET)
     n = {True: [[0] * k for _ in range(k + 1)], False: [[0] * k for _ in range(k + 1)]}
     for random, prev, nxt, c in counts:
-        if nxt:  # a character outside the alphabet, as in a value with a full stop, has place 0
-            n[random][prev][nxt - 1] = c
+        n[random][prev][nxt - 1] = c
     single = [sum(row[nxt] for row in n[False]) for nxt in range(k)]
     share = [(c + 0.5) / (sum(single) + 0.5 * k) for c in single]
     out = []
@@ -130,12 +150,16 @@ def score(run: Column, table: Column) -> Column:
     return F.aggregate(F.split(run, ""), start, step, lambda acc: acc["sum"])
 
 
+def trained(docs: DataFrame) -> Column:
+    """The log ratios of the models trained for ``docs``, as an array literal."""
+    counts = [tuple(r) for r in transitions(samples(docs)).collect()]
+    return F.split(F.lit(",".join(map(str, log_ratios(counts)))), ",").cast("array<bigint>")
+
+
 def find_secrets(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
-    rows = written(scan(docs), "secret-spans")
-    counts = [tuple(r) for r in transitions(rows).collect()]
-    table = F.split(F.lit(",".join(map(str, log_ratios(counts)))), ",").cast("array<bigint>")
-    rows = rows.withColumn("markov", F.filter("runs", lambda x: score(x["v"], table) > threshold))
+    table = trained(docs)
+    rows = written(scan(docs), "secret-spans").withColumn("markov", F.filter("runs", lambda x: score(x["v"], table) > threshold))
     as_kind = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
     listed = lambda a: F.array_join(F.transform(F.array_sort(a), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     base = F.concat(*(as_kind(k, i) for i, k in enumerate(KINDS[:3])))
@@ -164,14 +188,21 @@ m AS (SELECT r, kind, vs[i] AS v, (coalesce(list_sum(list_transform(gs[1:i], lam
 sp AS (SELECT r, kind, v, s, s + n AS e FROM m WHERE (kind = 'assign' AND length(v) >= 12) OR (kind = 'access' AND n >= 18) OR kind IN ('hex', 'run')),
 base AS (SELECT * FROM sp WHERE kind <> 'run'),
 runs AS (SELECT x.* FROM sp x WHERE kind = 'run' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.s < x.e AND x.s < b.e)),
-steps AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE instr('{ALPHABET}', v[i-1:i-1]) END AS prev, instr('{ALPHABET}', v[i:i]) AS next
-  FROM (SELECT kind <> 'run' AS random, r, s, v, unnest(range(1, length(v) + 1)) AS i FROM (SELECT * FROM base UNION ALL SELECT * FROM runs) u) y),
-c AS (SELECT random, prev, next, count(*) AS n FROM steps WHERE next > 0 AND (random OR regexp_matches(v, {q(ORDINARY)})) GROUP BY 1, 2, 3),
+steps AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE instr('{ALPHABET}', v[i-1:i-1]) END AS prev, instr('{ALPHABET}', v[i:i]) AS next FROM (SELECT r, s, v, unnest(range(1, length(v) + 1)) AS i FROM runs) y),
+b64 AS (SELECT x.x AS n, base64(unhex(sha256(CAST(x.x AS VARCHAR)))) AS e, translate(base64(unhex(sha256(CAST(x.x AS VARCHAR)))), '+/=', 'xYz') AS p FROM range(0, {RANDOM}) x(x)),
+tr AS (SELECT w, unnest(range(0, least(len(w) // 3, {TRIPLES}))) AS i FROM (
+  SELECT list_transform(regexp_extract_all(t, {q(PIECE)}), lambda x: lower(x)) AS w FROM d ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), md5(t) LIMIT {SAMPLE}) x WHERE len(w) >= 3),
+tw AS (SELECT i, w[3*i+1] AS a, w[3*i+2] AS b, w[3*i+3] AS c FROM tr),
+samples AS (SELECT true AS random, substr(unnest([e, p, upper(p), lower(p), sha256(CAST(n AS VARCHAR))]), 1, {LENGTH}) AS v FROM b64
+  UNION ALL SELECT false, CASE i % 5 WHEN 0 THEN a || '_' || b || '_' || c WHEN 1 THEN a || upper(b[1]) || b[2:] || upper(c[1]) || c[2:] WHEN 2 THEN a || '-' || b || '-' || c
+    WHEN 3 THEN upper(a || '_' || b || '_' || c) ELSE a || '/' || b || '/' || c || i END FROM tw),
+ss AS (SELECT random, v, unnest(range(1, length(v) + 1)) AS i FROM samples WHERE md5(v)[1] NOT IN ('0', '5', 'a')),
+c AS (SELECT random, prev, next, count(*) AS n FROM (SELECT random, CASE WHEN i = 1 THEN 0 ELSE instr('{ALPHABET}', v[i-1:i-1]) END AS prev, instr('{ALPHABET}', v[i:i]) AS next FROM ss) y GROUP BY 1, 2, 3),
 sg AS (SELECT n.n AS next, (coalesce(sum(c.n), 0) + 0.5::DOUBLE) / (coalesce((SELECT sum(n) FROM c WHERE NOT random), 0) + 0.5::DOUBLE * {k}) AS share FROM range(1, {k + 1}) n(n) LEFT JOIN c ON c.next = n.n AND NOT c.random GROUP BY 1),
 grid AS (SELECT p.p AS prev, n.n AS next FROM range(0, {k + 1}) p(p), range(1, {k + 1}) n(n)),
 lr AS (SELECT prev, next, floor({UNIT} * (ln((coalesce(rn, 0) + 1)::DOUBLE / (sum(coalesce(rn, 0)) OVER (PARTITION BY prev) + {k})) - ln((coalesce(on_, 0) + {PRIOR}::DOUBLE * share) / (sum(coalesce(on_, 0)) OVER (PARTITION BY prev) + {PRIOR}::DOUBLE))) + 0.5)::BIGINT AS llr
   FROM grid JOIN sg USING (next) LEFT JOIN (SELECT prev, next, n AS rn FROM c WHERE random) a USING (prev, next) LEFT JOIN (SELECT prev, next, n AS on_ FROM c WHERE NOT random) b USING (prev, next)),
-mk AS (SELECT r, 'markov' AS kind, any_value(v) AS v, s, any_value(s + length(v)) AS e FROM steps JOIN lr USING (prev, next) WHERE NOT random GROUP BY r, s HAVING sum(llr) > {THRESHOLD}),
+mk AS (SELECT r, 'markov' AS kind, any_value(v) AS v, s, any_value(s + length(v)) AS e FROM steps JOIN lr USING (prev, next) GROUP BY r, s HAVING sum(llr) > {THRESHOLD}),
 allsp AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, kind, s, e FROM mk),
 named AS (SELECT r, kind, s, e, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS k, kind || ':' || s || ':' || e AS txt FROM allsp),
 g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'markov') AS n_markov,

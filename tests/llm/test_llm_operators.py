@@ -438,6 +438,33 @@ def test_secrets(spark, odd):
     assert markov_secrets.find_secrets(odd.where("false")).count() == 0
 
 
+def test_models_on_held_out_samples(spark):
+    """Precision and recall of the log-likelihood ratio on samples that took no part in the training, by length."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = markov_secrets.samples(docs).where("held").distinct()
+    table = markov_secrets.trained(docs)
+    for length in (16, 20, 24, 32):
+        cut = held.where(F.length("v") >= length).select("random", F.substring("v", 1, length).alias("v"))
+        n = cut.groupBy("random").agg(F.count("*").alias("n"), F.count(F.when(markov_secrets.score(F.col("v"), table) > markov_secrets.THRESHOLD, 1)).alias("hits"))
+        n = {r.random: r for r in n.collect()}
+        recall, precision = n[True].hits / n[True].n, n[True].hits / max(1, n[True].hits + n[False].hits)
+        print(f"{length} characters: {n[True].n} random, {n[False].n} ordinary, recall {recall:.3f}, precision {precision:.3f}")
+        assert recall >= 0.9 and precision >= 0.9
+
+
+def test_unmarked_secrets(spark):
+    """Random strings that no pattern names are found between words, and the words' own identifiers are not."""
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    secret = lambda: "".join(rng.choice(rng.choice([markov_secrets.ALPHABET, markov_secrets.ALPHABET[:62], markov_secrets.ALPHABET[26:62]])) for _ in range(rng.randrange(24, 48)))
+    rows = [(10**6 + i, f"see {prose(rng, 30)} {s} and the_ordinary_name_{i} or someFunctionOfMany") for i, s in enumerate(secret() for _ in range(300))]
+    got = markov_secrets.find_secrets(docs.union(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = got.where("doc_id >= 1000000").select((F.size(F.split("spans", ",")) > 0).alias("any"), "spans", "n_markov").collect()
+    assert sum("markov" in r.spans or "hex" in r.spans or "access" in r.spans for r in found) >= 285
+    assert sum(r.n_markov for r in found) <= 300
+    assert got.where("doc_id < 1000000").agg(F.sum("n_markov")).first()[0] <= 2
+
+
 # --- op9 -----------------------------------------------------------------------------------------
 
 
