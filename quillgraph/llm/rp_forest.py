@@ -2,21 +2,26 @@
 
 Hyperplanes are fitted on a bounded sample (``sample`` rows, chosen by hash) and
 every row is placed in one leaf of every tree. A query walks all trees through
-one priority queue ordered by its margins to the hyperplanes, and takes leaves
-until they hold enough rows. How many that is follows from the sample: the
-share of rows after which ``aim`` of the true neighbours have been met. Rows of
-the chosen leaves are then compared exactly. Inner products become angles by
-one more coordinate that gives all rows the same length.
+one priority queue, ordered by the sum of its squared margins to the
+hyperplanes on the wrong side of which a leaf lies, and takes leaves until they
+hold enough rows. How many that is follows from the sample: the share of rows
+after which ``aim`` of the true neighbours have been met. It is small where
+rows have neighbours to find, and most of the table where all directions are
+alike. Rows of the chosen leaves are then compared exactly. Inner products
+become distances by one more coordinate that gives all rows the same length.
 
-Leaves are cut by hash into blocks of ``block`` rows, and queries into blocks
-likewise, so no group grows with the data and no pair leaves its task: only
-each block's nearest do. The model (hyperplanes and leaf counts) is bounded by
-``depth`` and broadcast.
+Leaves that lie together in a tree form a block; a block of more than ``block``
+rows is cut by hash. A task holds the rows of one cut and lets the queries that
+asked for one of its leaves stream by, so neither side is sent more often than
+it is asked for, and no group grows with the data. Only the nearest of a cut
+leave it; they are merged in two steps. The model (hyperplanes and leaf
+counts) is bounded by ``most_depth`` and broadcast.
 
 Vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part. A repeated vec_id keeps its smallest
-vector; a null vec_id takes no part. Ties go to the smaller vec_id. Tables with
-fewer than two usable rows give no rows.
+non-finite components take no part. Rows that repeat a vec_id are rows of their
+own: each is a query or a candidate. A null vec_id is a candidate that comes
+last among ties. Ties go to the smaller vec_id. Tables with fewer than two
+usable rows give no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,25 +75,26 @@ class Forest:
     def walk(self, q: np.ndarray, counts: np.ndarray, budget: float) -> list[int]:
         """Leaves in the order of the shared queue until they hold ``budget`` rows."""
         q = np.append(q, 0.0)
-        margin = np.einsum("tnd,d->tn", self.normals, q) - self.cuts
-        heap = [(-math.inf, t, 0) for t in range(self.trees)]
-        heapq.heapify(heap)
+        margin = (np.einsum("tnd,d->tn", self.normals, q) - self.cuts).tolist()
+        inner, count = self.leaves - 1, counts.tolist()
+        heap = [(0.0, t, 0) for t in range(self.trees)]
         out, held = [], 0
         while heap and held < budget:
             far, t, node = heapq.heappop(heap)
-            while node < self.leaves - 1:
-                m = margin[t, node]
-                near = 2 * node + 1 + (m > 0)
-                heapq.heappush(heap, (max(far, abs(m)), t, 4 * node + 3 - near))
+            m = margin[t]
+            while node < inner:
+                side = m[node]
+                near = 2 * node + 1 + (side > 0)
+                heapq.heappush(heap, (far + side * side, t, 4 * node + 3 - near))
                 node = near
-            leaf = node - (self.leaves - 1) + t * self.leaves
-            if counts[leaf]:
+            leaf = node - inner + t * self.leaves
+            if count[leaf]:
                 out.append(leaf)
-                held += counts[leaf]
+                held += count[leaf]
         return out
 
 
-def share_needed(forest: Forest, sample: np.ndarray, k: int, aim: float, queries: int = 200) -> float:
+def share_needed(forest: Forest, sample: np.ndarray, k: int, aim: float, queries: int = 400) -> float:
     """Rows to look at, as a share of all, until ``aim`` of the sample's true neighbours have been met."""
     placed = forest.place(sample)
     counts = np.bincount(placed.ravel(), minlength=forest.trees * forest.leaves)
@@ -108,10 +113,11 @@ def share_needed(forest: Forest, sample: np.ndarray, k: int, aim: float, queries
 
 
 def depth_for(n: int, leaf: int, most: int) -> int:
-    """64 leaves a tree as soon as they hold some rows each, more once they pass ``leaf`` rows, up to ``most`` bits."""
-    if n <= leaf and n < 2048:
-        return max(0, min(6, int(math.log2(n / 32)))) if n >= 64 else 0
-    return min(most, max(6, math.ceil(math.log2(n / leaf))))
+    """Levels after which leaves hold about ``leaf`` rows, up to ``most``."""
+    return max(0, min(most, math.ceil(math.log2(n / leaf)))) if n > leaf else 0
+
+
+NO_ID = (1 << 63) - 1  # stands for a null vec_id, which sorts last
 
 
 def exact_scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -127,107 +133,189 @@ def _vectors(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), dim)
 
 
+def _vectors_of(raw: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), dtype=np.float64).reshape(len(raw), dim)
+
+
 def usable(embeddings: DataFrame) -> tuple[DataFrame, int, int, float]:
-    """(vec_id, v: array<double>) of the rows that take part, their number, dimension and greatest length."""
+    """(row, vec_id, v: array<double>) of the rows that take part, their number, dimension and greatest length."""
     v = F.col("embedding").cast("array<double>")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    rows = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), v.alias("v")).where("v is not null and size(v) > 0")
     rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    rows = written(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "forest-rows")
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "forest-rows")
+    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))")).alias("top")).orderBy(F.desc("n"), "d").first()
     if size is None:
         return rows, 0, 0, 0.0
-    rows = rows.where(F.size("v") == size["d"])
-    top = rows.agg(F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()[0]
-    return rows, size["n"], size["d"], top
+    return rows.where(F.size("v") == size["d"]), size["n"], size["d"], size["top"]
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((ids, -scores))[:k]
+
+
+class Cut:
+    """The rows of one cut of a block, by leaf."""
+
+    def __init__(self, row: list[int], ids: list[int], raw: list[bytes], leaf: list[int], dim: int) -> None:
+        leaf = np.array(leaf)
+        order = np.argsort(leaf, kind="stable")
+        self.row, self.ids, self.leaf = np.array(row)[order], np.array(ids)[order], leaf[order]
+        self.v = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(row), dim)[order]
+        self.start = np.flatnonzero(np.r_[True, self.leaf[1:] != self.leaf[:-1]])
+        self.place = {int(x): i for i, x in enumerate(self.leaf[self.start])}
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, leaves: list[np.ndarray], k: int):
+        """For each query the packed (row, id, score) of its nearest rows in the leaves that it asked for."""
+        asked = [[] for _ in self.start]
+        for i, x in enumerate(leaves):
+            for leaf in x.tolist():
+                if (at := self.place.get(leaf)) is not None:
+                    asked[at].append(i)
+        s = np.full((len(q), len(self.row)), -np.inf)
+        for at, (a, b) in enumerate(zip(self.start, np.r_[self.start[1:], len(self.row)], strict=True)):
+            if asked[at]:
+                s[asked[at], a:b] = q[asked[at]] @ self.v[a:b].T
+        for i in range(len(q)):
+            line = s[i]
+            line[self.row == own[i]] = -np.inf
+            at = np.flatnonzero(np.isfinite(line))
+            if len(at) > k:
+                kth = np.partition(line[at], len(at) - k)[len(at) - k]
+                at = at[line[at] >= kth - 1e-9 * max(1.0, abs(kth))]
+            exact = exact_scores(q[i], self.v[at])
+            best = _best(exact, self.ids[at], k)
+            yield tuple(x[best].astype(t).tobytes() for x, t in ((self.row[at], "<i8"), (self.ids[at], "<i8"), (exact, "<f8")))
+
+
+FOUND = "query long, query_id long, salt int, rows binary, ids binary, scores binary"
+#: Queries that are compared with a cut together.
+TOGETHER = 256
+
+
+def _compared(dim: int, k: int, salts: int):
+    """Rows sorted by cut, those of the table before the queries: each query's nearest in each cut."""
+
+    def run(batches):
+        key, table, cut = None, ([], [], [], []), None
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("block", "part", "is_query", "row", "vec_id", "raw", "leaves")]
+            out = [[] for _ in range(6)]
+            waiting: list[tuple] = []
+
+            def answer():
+                if not waiting:
+                    return
+                own, ids, raw, leaves = zip(*waiting, strict=True)
+                waiting.clear()
+                q = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(own), dim)
+                for o, i, got in zip(own, ids, cut.nearest(np.array(own), q, [np.frombuffer(x, "<i4") for x in leaves], k), strict=True):
+                    if got[0]:
+                        for c, x in zip(out, (o, i, (key[0] * 31 + key[1]) % salts, *got), strict=True):
+                            c.append(x)
+
+            for block, part, is_query, row, vec_id, raw, leaves in zip(*cols, strict=True):
+                if (block, part) != key:
+                    answer()
+                    key, table, cut = (block, part), ([], [], [], []), None
+                if not is_query:
+                    for c, x in zip(table, (row, vec_id, raw, int.from_bytes(leaves, "little")), strict=True):
+                        c.append(x)
+                elif table[0]:
+                    cut = cut or Cut(*table, dim)
+                    waiting.append((row, vec_id, raw, leaves))
+                    if len(waiting) == TOGETHER:
+                        answer()
+            answer()
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query", "query_id", "salt", "rows", "ids", "scores"])
+
+    return run
+
+
+def _merged(k: int, final: bool):
+    """The nearest of a query over its cuts; a row that several trees found counts once."""
+
+    def run(batches):
+        for b in batches:
+            cols = [[] for _ in range(4 if final else 5)]
+            for query, own, x in zip(b.column("query").to_pylist(), b.column("query_id").to_pylist(), b.column("x").to_pylist(), strict=True):
+                rows, first = np.unique(np.frombuffer(b"".join(y["rows"] for y in x), "<i8"), return_index=True)
+                ids, scores = np.frombuffer(b"".join(y["ids"] for y in x), "<i8")[first], np.frombuffer(b"".join(y["scores"] for y in x), "<f8")[first]
+                best = _best(scores, ids, k)
+                if final:
+                    for c, v in zip(cols, ([own] * len(best), range(1, len(best) + 1), [i if i != NO_ID else None for i in ids[best].tolist()], scores[best].tolist()), strict=True):
+                        c.extend(v)
+                else:
+                    for c, v in zip(cols, (query, own, rows[best].tobytes(), ids[best].tobytes(), scores[best].tobytes()), strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64()) if final else (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            names = ["query_id", "rank", "vec_id", "score"] if final else ["query", "query_id", "rows", "ids", "scores"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return run
 
 
 def nearest(
-    embeddings: DataFrame, *, every: int = 20, k: int = 20, trees: int = 4, leaf: int = 16384, most_depth: int = 10,
-    sample: int = 8192, aim: float = 0.96, block: int = 16384, query_block: int = 4096,
+    embeddings: DataFrame, *, every: int = 20, k: int = 20, trees: int = 4, leaf: int = 48, most_depth: int = 10,
+    sample: int = 8192, aim: float = 0.94, block: int = 16384, report: dict | None = None,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the ``k`` nearest found."""
+    """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the ``k`` nearest found.
+
+    ``report`` receives the share of the rows that a query's leaves hold, each tree's counted.
+    """
     spark = embeddings.sparkSession
     rows, n, dim, top = usable(embeddings)
     out = "query_id long, rank int, vec_id long, score double"
     if n < 2:
         return spark.createDataFrame([], out)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    drawn = rows.orderBy(F.xxhash64("v"), "v").limit(sample).toPandas()
     drawn = np.array(drawn["v"].tolist(), dtype=np.float64)
     depth = depth_for(n, leaf, most_depth)
     forest = Forest(drawn, trees, depth, top)
-    share = share_needed(forest, drawn, k, aim)
+    share = share_needed(forest, drawn, math.ceil(k * len(drawn) / n), aim)  # as near in the sample as the k nearest are in the table
     model = spark.sparkContext.broadcast(forest)
+    if report is not None:
+        report["share"] = share
 
     def place(batches):
-        f = model.value
         for b in batches:
-            at = f.place(x := _vectors(b.column("v"), dim))
-            raw = pa.array([r.tobytes() for r in x], pa.binary())
-            who = np.repeat(np.arange(len(x)), f.trees)
-            yield pa.RecordBatch.from_arrays([pa.array(at.ravel(), pa.int32()), b.column("vec_id").take(pa.array(who)), raw.take(pa.array(who))], names=["leaf", "vec_id", "raw"])
+            at = model.value.place(x := _vectors(b.column("v"), dim))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), pa.array(list(at), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())], names=["row", "vec_id", "at", "raw"])
 
-    placed = rows.mapInArrow(place, "leaf int, vec_id long, raw binary")
-    leaf_rows = placed.groupBy("leaf").count().collect()  # at most trees x 2^most_depth rows
+    placed = written(rows.mapInArrow(place, "row long, vec_id long, at array<int>, raw binary"), "forest-placed")
     counts = np.zeros(trees << depth, dtype=np.int64)
-    for r in leaf_rows:
+    for r in placed.select(F.explode("at").alias("leaf")).groupBy("leaf").count().collect():  # at most trees x 2^most_depth rows
         counts[r["leaf"]] = r["count"]
-    budget = max(share * n, 50 * k)
     held = spark.sparkContext.broadcast(counts)
-    cuts = F.element_at(F.array(*(F.lit(int(max(1, math.ceil(c / block)))) for c in counts)), F.col("leaf") + 1)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    q_cuts = max(1, math.ceil(asked.count() / query_block))
+    budget = max(share * n, 50 * k)
+    # A block is a run of neighbouring leaves with about ``block`` rows.
+    wide = 1 << (depth - depth_for(n, block, depth))
+    cuts = np.maximum(1, -(-np.add.reduceat(counts, np.arange(0, len(counts), wide)) // block))
+    cuts_of = F.element_at(F.array(*(F.lit(int(c)) for c in cuts)), F.col("block") + 1)
 
     def route(batches):
-        f, c = model.value, held.value
         for b in batches:
-            x = _vectors(b.column("v"), dim)
-            found = [f.walk(q, c, budget) for q in x]
-            who = pa.array(np.repeat(np.arange(len(x)), [len(y) for y in found]))
-            raw = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(y, dtype=np.int32) for y in found] or [np.empty(0, np.int32)])), b.column("vec_id").take(who), raw.take(who)], names=["leaf", "query_id", "q"])
-
-    asked = asked.mapInArrow(route, "leaf int, query_id long, q binary").withColumns({
-        "part": F.explode(F.sequence(F.lit(0), cuts - 1)), "q_part": F.pmod(F.xxhash64("query_id"), F.lit(q_cuts)).cast("int")})
-    rows_in = placed.withColumns({
-        "part": F.pmod(F.xxhash64("vec_id"), cuts).cast("int"), "q_part": F.explode(F.sequence(F.lit(0), F.lit(q_cuts - 1)))})
-
-    def rank(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(vs):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ids": pd.Series(dtype="object"), "scores": pd.Series(dtype="object")})
-        ids = vs["vec_id"].to_numpy()
-        v = np.frombuffer(b"".join(vs["raw"]), dtype=np.float64).reshape(len(vs), dim)
-        got = []
-        for start in range(0, len(qs), 256):
-            part = qs.iloc[start : start + 256]
-            q = np.frombuffer(b"".join(part["q"]), dtype=np.float64).reshape(len(part), dim)
-            s = q @ v.T
-            for i, own in enumerate(part["query_id"].to_numpy()):
-                row = s[i]
-                row[ids == own] = -np.inf
-                if len(row) > k:
-                    kth = np.partition(row, len(row) - k)[len(row) - k]
-                    at = np.flatnonzero(row >= kth - 1e-9 * max(1.0, abs(kth))) if np.isfinite(kth) else np.flatnonzero(np.isfinite(row))
-                else:
-                    at = np.flatnonzero(np.isfinite(row))
-                exact = exact_scores(q[i], v[at])
-                best = np.lexsort((ids[at], -exact))[:k]
-                got.append((own, ids[at][best].astype("<i8").tobytes(), exact[best].astype("<f8").tobytes()))
-        return pd.DataFrame(got, columns=["query_id", "ids", "scores"])
-
-    def merge(batches):
-        """The nearest of a query over its blocks; a row that several trees found counts once."""
-        for b in batches:
-            cols = ([], [], [], [])
-            for own, ids, scores in zip(b.column("query_id").to_pylist(), b.column("ids").to_pylist(), b.column("scores").to_pylist(), strict=True):
-                i, first = np.unique(np.frombuffer(b"".join(ids), "<i8"), return_index=True)
-                s = np.frombuffer(b"".join(scores), "<f8")[first]
-                best = np.lexsort((i, -s))[:k]
-                for c, x in zip(cols, ([own] * len(best), range(1, len(best) + 1), i[best].tolist(), s[best].tolist()), strict=True):
-                    c.extend(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
-
-    keys = ["leaf", "part", "q_part"]
-    found = asked.groupBy(*keys).cogroup(rows_in.groupBy(*keys)).applyInPandas(rank, "query_id long, ids binary, scores binary")
-    # A query has at most one row from each leaf block that it took.
-    found = found.groupBy("query_id").agg(F.collect_list(F.struct("ids", "scores")).alias("x")).select("query_id", "x.ids", "x.scores")
-    return found.mapInArrow(merge, out)
+            row, blocks, leaves = [], [], []
+            for i, q in enumerate(_vectors_of(b.column("raw"), dim)):
+                found = np.sort(np.array(model.value.walk(q, held.value, budget), dtype=np.int32))
+                start = np.flatnonzero(np.r_[True, found[1:] // wide != found[:-1] // wide])
+                for s, e in zip(start, np.r_[start[1:], len(found)], strict=True):
+                    row.append(i)
+                    blocks.append(int(found[s]) // wide)
+                    leaves.append(found[s:e].astype("<i4").tobytes())
+            who = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(who), b.column("vec_id").take(who), b.column("raw").take(who), pa.array(blocks, pa.int32()), pa.array(leaves, pa.binary())], names=["row", "vec_id", "raw", "block", "leaves"])
+
+    asked = placed.where((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID)).select("row", "vec_id", "raw").mapInArrow(route, "row long, vec_id long, raw binary, block int, leaves binary")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), cuts_of - 1)))
+    table = placed.select("row", "vec_id", "raw", F.explode("at").alias("leaf")).select("*", F.floor(F.col("leaf") / wide).cast("int").alias("block"))
+    low = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright("leaf", 8 * i).bitwiseAND(255)), 2, "0") for i in range(4))))  # four bytes, little end first
+    table = table.select("*", low.alias("leaves"), F.pmod(F.xxhash64("row"), cuts_of).cast("int").alias("part"))
+    cols = ["block", "part", "is_query", "row", "vec_id", "raw", "leaves"]
+    both = table.withColumn("is_query", F.lit(False)).select(cols).unionByName(asked.withColumn("is_query", F.lit(True)).select(cols))
+    both = both.repartition("block", "part").sortWithinPartitions("block", "part", "is_query")
+    salts = max(1, math.isqrt(int(cuts.sum())))
+    found = both.mapInArrow(_compared(dim, k, salts), FOUND)
+    entry = F.collect_list(F.struct("rows", "ids", "scores")).alias("x")
+    found = found.groupBy("query", "query_id", "salt").agg(entry).drop("salt").mapInArrow(_merged(k, False), FOUND.replace("salt int, ", ""))
+    return found.groupBy("query", "query_id").agg(entry).mapInArrow(_merged(k, True), out)

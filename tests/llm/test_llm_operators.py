@@ -295,7 +295,7 @@ def test_nearest_recall(spark, sf_dir):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 24)) * rng.uniform(0.5, 2, (3000, 1))
     got = collections.defaultdict(list)
-    for r in rp_forest.nearest(vectors(spark, x), leaf=100, sample=1500, block=64, query_block=60).orderBy("query_id", "rank").collect():
+    for r in rp_forest.nearest(vectors(spark, x), leaf=100, sample=1500, block=64).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     want = truth(x, 20)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
@@ -312,13 +312,32 @@ def test_nearest_recall(spark, sf_dir):
     assert np.mean([len(set(got[q]) & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_nearest_looks_at_a_small_share(spark):
+    """Rows in clusters have neighbours to find: a small share of the table holds them."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((200, 32)), 100, axis=0) + 0.1 * rng.standard_normal((20_000, 32))
+    got, report = collections.defaultdict(set), {}
+    for r in rp_forest.nearest(vectors(spark, x), report=report).collect():
+        got[r.query_id].add(r.vec_id)
+    x = x.astype(np.float32).astype(np.float64)
+    scores = x[::20] @ x.T
+    scores[np.arange(1000), np.arange(0, 20_000, 20)] = -np.inf
+    want = np.argpartition(-scores, 20, axis=1)[:, :20]
+    recall = np.mean([len(got[20 * i] & set(w.tolist())) / 20 for i, w in enumerate(want)])
+    print(f"share {report['share']:.3f}, recall {recall:.3f}")
+    assert recall >= 0.9 and report["share"] < 0.3
+
+
 def test_nearest_ties_and_odd_vectors(spark):
     x = np.tile(np.array([[1.0, 0.0], [0.0, 1.0]]), (30, 1))
     extra = [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [float("inf"), 1.0]), (180, [1.0]), (200, [1.0, None]), (None, [1.0, 0.0]), (0, [1.0, 0.0])]
     got = collections.defaultdict(list)
     for r in rp_forest.nearest(vectors(spark, x, extra), leaf=8, block=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
-    assert set(got) == {0, 20, 40} and got[0] == [i for i in range(2, 60, 2)][:20]
+    # Both rows of vec_id 0 ask, and each is a candidate of the other; the row without an id comes after all with one.
+    assert set(got) == {0, 20, 40} and sorted(got[0]) == sorted(2 * [0, *range(2, 40, 2)]) and got[20][:3] == [0, 0, 2]
+    few = rp_forest.nearest(vectors(spark, np.ones((3, 2)), [(None, [1.0, 1.0])])).orderBy("rank").collect()
+    assert [r.vec_id for r in few] == [1, 2, None]
     assert rp_forest.nearest(vectors(spark, x[:1])).count() == 0
     few = rp_forest.nearest(vectors(spark, x[:5])).orderBy("rank").collect()
     assert [r.vec_id for r in few] == [2, 4, 1, 3] and [r["rank"] for r in few] == [1, 2, 3, 4]
