@@ -5,17 +5,17 @@ A text is split at newlines. A rolling hash over the hashes of the last
 with the content and an insertion disturbs only its surroundings. A chunk of
 two or more lines with words that occurs more than once in the corpus stays at
 its first place (smallest doc_id, then key, then position) and goes everywhere
-else, after its bytes have been compared with those of the first place.
+else. Chunks are matched by hash and then grouped by their bytes, so chunks that
+only share a hash leave each other alone and both find their own first place.
 
 Null text is empty. A null doc_id sorts last. Rows with equal doc_id and text
 count as one document and get the same result. Texts of one line never change.
+Empty tables give no rows.
 Further columns are kept as they are; names that start with ``_ld_`` are ours.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -129,19 +129,16 @@ def removals(docs: DataFrame) -> DataFrame:
 
     ``docs``: _ld_id, _ld_key, _ld_text.
     """
-    occ = docs.mapInArrow(_occurrences, "_ld_id long, _ld_key string, idx int, h long")
-    place = F.struct(F.col("_ld_id").isNull().alias("n"), F.col("_ld_id").alias("id"), F.col("_ld_key").alias("key"), F.col("idx").alias("idx"))
-    occ = written(occ, "line-chunks")
+    occ = written(docs.mapInArrow(_occurrences, "_ld_id long, _ld_key string, idx int, h long"), "line-chunks")
     # A table of its own: a join of two plain shuffles is one whose hot keys Spark can split.
-    repeated = written(occ.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"), "line-chunks-firsts")
-    wanted = occ.join(repeated, "h").select("_ld_key", "idx", "h", place.eqNullSafe(F.col("first")).alias("is_first"))
-    wanted = written(wanted.distinct(), "line-chunks-repeated")
-    cand = wanted.groupBy("_ld_key").agg(F.collect_list("idx").alias("cand"))
+    repeated = written(occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-chunks-repeated")
+    cand = occ.join(repeated, "h").groupBy("_ld_key").agg(F.collect_set("idx").alias("cand"))
     bodies = written(docs.join(cand, "_ld_key").mapInArrow(_candidate_texts, "_ld_id long, _ld_key string, idx int, h long, body binary"), "line-chunk-bodies", free=True)
-    marked = bodies.join(wanted.select("_ld_key", "idx", "is_first"), ["_ld_key", "idx"])
-    firsts = written(marked.where("is_first").select("h", "body").distinct(), "line-chunk-first-bodies")
-    gone = marked.where("not is_first").join(firsts, ["h", "body"], "left_semi")
-    return gone.groupBy("_ld_key").agg(F.array_distinct(F.collect_list("idx")).alias("gone"))
+    place = F.struct(F.col("_ld_id").isNull().alias("n"), F.col("_ld_id").alias("id"), F.col("_ld_key").alias("key"), F.col("idx").alias("idx"))
+    firsts = bodies.groupBy("h", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    firsts = written(firsts.select("h", "body", "first"), "line-chunk-firsts")
+    gone = bodies.join(firsts, ["h", "body"]).where(place != F.col("first"))
+    return gone.groupBy("_ld_key").agg(F.collect_set("idx").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", counts: bool = False) -> DataFrame:
@@ -156,22 +153,3 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     done = left.select(*(f.name for f in kept), "_ld_text", "gone").mapInArrow(_applied, out)
     order = [F.col("_ld_text").alias(text) if c == text else F.col(ours[c]).alias(c) for c in docs.columns]
     return done.select(*order, *([F.col("_ld_n_lines").alias("n_lines"), F.col("_ld_n_removed").alias("n_removed")] if counts else []))
-
-
-def brute_force(rows: list[tuple[int | None, str | None]]) -> list[str]:
-    """The same removal in plain Python, for tests: rows of (doc_id, text), all different."""
-    seen: dict[bytes, tuple] = {}
-    parsed = []
-    for doc_id, text in rows:
-        t = (text or "").encode()
-        key = hashlib.md5(f"{doc_id if doc_id is not None else chr(0)}\u0001{text if text is not None else chr(0)}".encode()).hexdigest()
-        lines, found = chunks(t)
-        parsed.append((lines, found, (doc_id is None, doc_id or 0, key)))
-        for k, s, e in found:
-            body = b"\n".join(lines[s:e])
-            seen[body] = min(seen.get(body, (True, 1 << 62, "~", 0)), (*parsed[-1][2], k))
-    out = []
-    for lines, found, me in parsed:
-        drop = {i for k, s, e in found if seen[b"\n".join(lines[s:e])] != (*me, k) for i in range(s, e)}
-        out.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode())
-    return out

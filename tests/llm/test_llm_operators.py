@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import line_model
 import numpy as np
 import public_tokenizers
 import pytest
@@ -89,10 +90,35 @@ def test_line_chunks(spark):
         rows.append((i, "\n".join(own[:at] + (block if i % 2 else []) + own[at:])))
     rows += [(100, "a\nb\nc\nd"), (101, "a\nb\nc\nd"), (102, "x"), (103, "x"), (None, "a\nb\nc\nd")]
     got = {r.doc_id: r.text for r in line_chunks.dedup_lines(frame(spark, rows)).collect()}
-    assert [got[i] for i, _ in rows] == line_chunks.brute_force(rows)
+    assert [got[i] for i, _ in rows] == line_model.removed(rows)
     assert sum(len(got[i].split("\n")) for i, _ in rows) < sum(len(t.split("\n")) for _, t in rows) - 200
 
 
+def test_chunks_that_share_a_hash(spark, monkeypatch):
+    """With one hash for all chunks only their bytes tell them apart: the result is the same."""
+    rng = random.Random(6)
+    block = [[prose(rng, 5, 50) for _ in range(6)] for _ in range(2)]
+    rows = [(i, "\n".join([prose(rng, 4, 50), *block[i % 2], prose(rng, 4, 50), *block[0]])) for i in range(12)]
+    want = line_model.removed(rows)
+    assert {r.doc_id: r.text for r in line_chunks.dedup_lines(frame(spark, rows)).collect()} == {i: t for (i, _), t in zip(rows, want, strict=True)}
+    key = lambda i: f"k{i}"
+    docs = spark.createDataFrame([(i, key(i), t) for i, t in rows], "_ld_id long, _ld_key string, _ld_text string").coalesce(1)
+    gone = {r._ld_key: sorted(r.gone) for r in line_chunks.removals(docs).collect()}
+
+    def blind(wide):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in wide(batches):
+                yield b.set_column(b.schema.get_field_index("h"), "h", pa.array([7] * b.num_rows, pa.int64()))
+
+        return run
+
+    monkeypatch.setattr(line_chunks, "_occurrences", blind(line_chunks._occurrences))
+    monkeypatch.setattr(line_chunks, "_candidate_texts", blind(line_chunks._candidate_texts))
+    assert {r._ld_key: sorted(r.gone) for r in line_chunks.removals(docs).collect()} == gone and gone
+
+
 def test_line_chunk_boundaries_move_with_the_content():
     rng = random.Random(1)
     lines = [prose(rng, 5).encode() for _ in range(300)]
@@ -116,7 +142,7 @@ def missed_passages(length, pairs=200):
         line = lambda: prose(rng, 12, 10**6)
         passage = [line() for _ in range(length)]
         texts = ["\n".join([line(), line(), *passage, line(), line()]) for _ in range(2)]
-        missed += line_chunks.brute_force(list(enumerate(texts)))[1] == texts[1]
+        missed += line_model.removed(list(enumerate(texts)))[1] == texts[1]
     return missed
 
 
@@ -315,7 +341,8 @@ def test_nearest_recall(spark, sf_dir):
 def test_nearest_looks_at_a_small_share(spark):
     """Rows in clusters have neighbours to find: a small share of the table holds them."""
     rng = np.random.default_rng(2)
-    x = np.repeat(rng.standard_normal((200, 32)), 100, axis=0) + 0.1 * rng.standard_normal((20_000, 32))
+    x = np.repeat(rng.standard_normal((200, 32)), 100, axis=0) + 0.2 * rng.standard_normal((20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     got, report = collections.defaultdict(set), {}
     for r in rp_forest.nearest(vectors(spark, x), report=report).collect():
         got[r.query_id].add(r.vec_id)

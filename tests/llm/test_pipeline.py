@@ -4,12 +4,13 @@ import collections
 import math
 
 import duckdb
+import line_model
 import pytest
 from near_model import near_classes
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import adaptive_quality, line_chunks, piece_codec, queries
+from quillgraph.llm import adaptive_quality, piece_codec, queries
 
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,7 +41,7 @@ def test_stages(spark, sf_dir):
     assert one.columns == DOCS and {r.doc_id for r in one.collect()} == kept
     rows = [x for x in rows if x[0] in kept]
     two = corpus_pipeline.line_dedup(spark, one, sf_dir)
-    lines = dict(zip((i for i, _ in rows), line_chunks.brute_force(rows), strict=True))
+    lines = dict(zip((i for i, _ in rows), line_model.removed(rows), strict=True))
     assert two.columns == DOCS and {r.doc_id: r.text for r in two.collect()} == lines
     three = corpus_pipeline.near_dedup(spark, two, sf_dir)
     want = near_classes(list(lines.items()))
