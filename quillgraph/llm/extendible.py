@@ -9,7 +9,9 @@ still too large after it enter the next span.
 A single row larger than the limit gets a shard of its own, which nothing can
 split. Null text has 0 bytes. Repeated rows are told apart by their ordinal, so
 copies of one row spread over shards too. Empty input gives no rows. A shard is
-named by its bits; the undivided table is the shard "" (no bits).
+named by its bits; the undivided table is the shard "" (no bits). A null doc_id
+is a value like others. Further columns are not read by ``assign_shards`` and
+kept by ``write_shards``; names that start with ``_xh_`` are ours.
 """
 
 from __future__ import annotations

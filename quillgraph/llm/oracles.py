@@ -6,9 +6,8 @@ from . import adaptive_quality as quality
 from . import cover_dedup, extendible, markov_secrets
 
 
-def url_filter(rules, hosts, langs) -> str:
+def url_filter(rules, junk) -> str:
     values = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
-    listed = " UNION ALL ".join(f"SELECT '{h}/{x}/' || i AS u FROM range(0, 1000) t(i)" for h in hosts for x in langs)
     return f"""
 WITH p AS (SELECT page_id, row_number() OVER () AS r, coalesce(url, '') AS url FROM pages),
 s AS (SELECT page_id, r, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -16,8 +15,8 @@ s AS (SELECT page_id, r, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?
 rules(verdict, h, pre) AS (VALUES {values}),
 fit AS (SELECT r, arg_max(struct_pack(rule := h || pre, verdict := verdict), length(h || pre) * 1000 + length(h)) AS x
   FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY r),
-listed AS ({listed}),
-c AS (SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html)?/*$', '') AS canonical_url FROM s)
+c AS (SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html)?/*$', '') AS canonical_url FROM s),
+listed AS (SELECT DISTINCT canonical_url AS u FROM c WHERE regexp_matches(host, '^((www|m)\\.)?({"|".join(junk)})\\.') AND canonical_url <> '')
 SELECT page_id, host, path, x.rule AS rule,
   coalesce(x.verdict, CASE WHEN canonical_url IN (SELECT u FROM listed) THEN 'block' ELSE 'allow' END) AS verdict, canonical_url,
   (x IS NULL AND canonical_url IN (SELECT u FROM listed)) AS listed
@@ -98,9 +97,9 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
 
 
-def statements(rules, hosts, langs, shard_bytes) -> dict[str, str]:
+def statements(rules, junk, shard_bytes) -> dict[str, str]:
     return {
-        "op1_url_filter": url_filter(rules, hosts, langs),
+        "op1_url_filter": url_filter(rules, junk),
         "op4_quality_rules": quality_rules(),
         "op6_sharding": sharding(shard_bytes),
         "op8_secret_scan": markov_secrets.oracle(),

@@ -14,7 +14,9 @@ text is cut there, and the encodings of short segments are kept in a bounded
 memo. The model file is only read: nothing is trained.
 
 Null text is empty and has no tokens; characters outside the vocabulary become
-byte tokens (or the unknown token where the model has none).
+byte tokens (or the unknown token where the model has none). Texts of any
+length are encoded whole. Repeated rows are encoded one by one, empty tables
+give no rows, and further columns are read only where they are to be kept.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import re
 import struct
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_of
 
@@ -372,31 +376,30 @@ def read_model(path: str, most: int = 64 << 20) -> bytes:
     return model
 
 
-def encode_documents(docs: DataFrame, path: str, *, ids: bool = True) -> DataFrame:
-    """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids and the decoded text."""
+def encode_documents(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, the columns ``keep`` as they are, n_tokens, ids and the text decoded from them."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches):
         c = codec(model.value)
         for b in batches:
-            cols = [[], [], [], [], []]
+            counts, listed, decoded = [], [], []
             for t in b.column("text").to_pylist():
-                n, listed, decoded = c.digest(t)
-                row = (n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                for k, v in enumerate(row):
-                    cols[k].append(v)
-                if ids:
-                    cols[3].append([int(x) for x in listed.split(",")] if listed else [])
-                    cols[4].append(decoded)
-            arrays = [b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                arrays += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
-    return docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).mapInArrow(run, schema)
+                n, ids, shown = c.digest(t)
+                counts.append(n)
+                listed.append(ids)
+                decoded.append(shown)
+            ids = np.fromstring(",".join(x for x in listed if x), dtype=np.int32, sep=",")
+            ends = np.cumsum([0, *counts]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *(b.column(f"_pc_{k}") for k in range(len(keep))), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(decoded, pa.string())],
+                names=["doc_id", *(f"_pc_{k}" for k in range(len(keep))), "n_tokens", "ids", "decoded"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long"), *(F.col(c).alias(f"_pc_{k}") for k, c in enumerate(keep)), text_of("text").alias("text"))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"])
+    schema = schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return rows.mapInArrow(run, schema).withColumnsRenamed({f"_pc_{k}": c for k, c in enumerate(keep)})
 
 
 def decode_ids(rows: DataFrame, path: str) -> DataFrame:
