@@ -32,13 +32,15 @@ def row_key(*cols: str | Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names; a folder of our own only in local mode, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     own = "/tmp/checkpoints/quillgraph"
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -13,7 +13,8 @@ nearest to the target.
 Null or empty text has size 0 and is taken 0 words of. A null source is a
 source of its own, ordered last. Rows with equal doc_id, source and text are
 one unit and share their decision. Empty input gives no rows. Decisions depend
-on the rows alone: reruns agree.
+on the rows alone: reruns agree. Further columns are kept by
+``mixed_documents``; names that start with ``_mix_`` are ours.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, row_key, text_of, written
+from .common import WORD, partitions, row_key, text_of, written
 
 LIMIT = 3.0  # a target stops at so many times its source's size
 BLOCK = 4096  # documents a flight block holds on average
@@ -38,29 +39,38 @@ def unit_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", row_key("doc_id", "source", "text").alias("key"), F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size"))
 
 
+def ranked(per: DataFrame) -> DataFrame:
+    """``per`` with the rank of each source by code point, null last: ranges of sources are counted and then numbered apart."""
+    null = F.col("source").isNull()
+    parts = written(per.repartitionByRange(partitions(per.sparkSession), null, "source").withColumn("_mix_part", F.spark_partition_id()), "cube-sources")
+    # A row a partition comes together for the sums.
+    sizes = parts.groupBy("_mix_part").count()
+    before = sizes.select("_mix_part", (F.sum("count").over(Window.orderBy("_mix_part")) - F.col("count")).alias("_mix_before"))
+    own = F.row_number().over(Window.partitionBy("_mix_part").orderBy(null, "source"))
+    return parts.join(before, "_mix_part").withColumn("rank", F.col("_mix_before") + own - 1).drop("_mix_part", "_mix_before")
+
+
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: float = LIMIT) -> DataFrame:
-    """(source, source_size, n_docs, target). ``sizes``: source, size. One row a source comes together for the ranks.
+    """(source, source_size, n_docs, target). ``sizes``: source, size.
 
     Targets share the total by weight; one that would pass ``limit`` times its
-    source's size stops there and the rest is shared again. Sorted by
-    size / weight the stopped sources are a prefix, so running sums find it.
+    source's size stops there and the rest is shared again. The common level
+    (target by weight) only rises as sources stop, so each round is one
+    aggregate over the sources, until no more stop.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
-    ranked = per.select("*", rank.alias("rank")).select("*", weight.alias("weight"))
-    order = Window.orderBy(F.col("source_size") * limit / F.col("weight"), "rank")
-    ranked = ranked.select(
-        "*",
-        (F.col("source_size") * limit / F.col("weight")).alias("stop"),
-        F.coalesce(F.sum(F.col("source_size") * limit).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("stopped"),
-        F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("open_weight"),
-        F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
-    )
-    level = (F.col("total") - F.col("stopped")) / F.col("open_weight")
-    ranked = ranked.select("*", F.first(F.when(level <= F.col("stop"), level), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("level"))
-    target = F.least(F.col("source_size") * limit, F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
-    return ranked.select("source", "source_size", "n_docs", "weight", target.alias("target"))
+    per = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = written(per.withColumn("weight", weight), "cube-ranked")
+    stop = F.col("source_size") * limit / F.col("weight")
+    level, stopped = -1.0, -1
+    while True:
+        under = stop < F.lit(level)
+        row = per.agg(F.sum("source_size").alias("total"), F.sum(F.when(under, F.col("source_size") * limit)).alias("stopped"), F.sum(F.when(~under, F.col("weight"))).alias("open"), F.count(F.when(under, 1)).alias("n")).first()
+        if row["n"] == stopped or not row["open"]:
+            break
+        stopped, level = row["n"], (row["total"] - (row["stopped"] or 0.0)) / row["open"]
+    target = F.least(F.col("source_size") * limit, F.lit(max(level, 0.0)) * F.col("weight"))
+    return per.select("source", "source_size", "n_docs", "weight", target.alias("target"))
 
 
 def draws(keys: np.ndarray) -> np.ndarray:
