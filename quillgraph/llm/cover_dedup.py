@@ -220,8 +220,8 @@ def _settle(parts: int):
 
 def _repeated(rows: DataFrame, pack, parts: int) -> DataFrame:
     """(key, pos): positions whose hash occurs elsewhere too, one row for each document that has any."""
-    sent = rows.mapInArrow(pack(parts), PACKED).repartition(parts, "part")
-    return sent.mapInArrow(_settle(parts), FOUND).repartition(parts, "part").mapInArrow(_gather, POSITIONS)
+    sent = rows.mapInArrow(pack(parts), PACKED).repartitionById(parts, "part")  # one part a task, so PART_BYTES holds
+    return sent.mapInArrow(_settle(parts), FOUND).repartitionById(parts, "part").mapInArrow(_gather, POSITIONS)
 
 
 def _anchored(parts: int):
