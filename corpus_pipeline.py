@@ -3,6 +3,11 @@
 SQL cannot express the stages from line dedup on (content-defined chunks,
 Order MinHash, the cube method, piece encoding), so ORACLE_SQL is None; the
 tests hold every stage against a brute-force version.
+
+Null texts are empty and fail the quality rules. Repeated rows are one document
+from near_dedup on. An empty table gives no rows. Columns beside those of
+``documents`` pass through every stage but the last, which returns doc_id,
+lang, source, n_tokens, ids and decoded.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_documents(docs, public_tokenizers.path(PIECES), ids=False)
+    return piece_codec.encode_documents(docs, public_tokenizers.path(PIECES), keep=("lang", "source"))
 
 
 STAGES = [
