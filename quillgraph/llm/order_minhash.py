@@ -97,7 +97,7 @@ def _sketches(batches):
             sizes.append(len(distinct))
             weights.append(len(tokens))
             sigs.append(sketch(sh).view(np.int64))
-            lows.append((distinct[:LOW] >> np.uint64(16)).astype("<u8").tobytes())
+            lows.append((distinct[:LOW] >> np.uint64(32)).astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("th"), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(weights, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(lows, pa.binary())],
             names=["doc_id", "th", "fp", "size", "n_words", "sig", "low"],
@@ -210,7 +210,7 @@ def _promising(batches):
     for batch in batches:
         vals, fps = [], []
         for t, data in _tiles(batch):
-            low = [np.frombuffer(x, "<u8") for x in data]
+            low = [np.frombuffer(x, "<u4") for x in data]
             found = np.zeros(len(low), dtype=bool)
             for i in t.asks:
                 at = t.partners(i)
@@ -252,31 +252,35 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
-def _dealt(cells: DataFrame, weight: Column, limit: int) -> DataFrame:
-    """(val, m): one row for each pair of an asking and an answering tile of a bucket. ``cells``: val, fp, root, out, size, sig, data."""
+def _dealt(cells: DataFrame, limit: int, payload: DataFrame) -> DataFrame:
+    """(val, m): one row for each pair of an asking and an answering tile of a bucket.
+
+    ``cells``: val, fp, root, out, weight; ``payload``: fp, size, sig, data. The
+    members are dealt to tiles while their rows are small.
+    """
     total = cells.groupBy("val").agg(
-        F.count("*").alias("n"), F.sum(weight).alias("w"), F.count(F.when(F.col("out"), 1)).alias("n_out"), F.sum(F.when(F.col("out"), weight)).alias("w_out"))
+        F.count("*").alias("n"), F.sum("weight").alias("w"), F.count(F.when(F.col("out"), 1)).alias("n_out"), F.sum(F.when(F.col("out"), F.col("weight"))).alias("w_out"))
     parts = lambda n, w: F.greatest(F.ceil(F.col(n) / TILE), F.ceil(F.col(w) / limit), F.lit(1)).cast("int")
     total = written(total.where("n > 1 and n_out > 0").select("val", parts("n_out", "w_out").alias("na"), parts("n", "w").alias("nb")), "omh-tiles")
     cells = cells.join(total, "val").withColumns({"ta": F.pmod(F.xxhash64("fp", F.lit(1)), "na").cast("int"), "tb": F.pmod(F.xxhash64("fp"), "nb").cast("int")})
     place = lambda ta, tb, a, b: F.struct(ta.alias("ta"), tb.alias("tb"), a.alias("a"), b.alias("b"))
     answers = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda x: place(x, F.col("tb"), F.col("out") & (x == F.col("ta")), F.lit(True)))
     asks = F.transform(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.col("out") & (x != F.col("tb"))), lambda x: place(F.col("ta"), x, F.lit(True), F.lit(False)))
-    cells = cells.withColumn("at", F.explode(F.concat(answers, asks)))
+    cells = cells.select("val", "fp", "root", "out", F.explode(F.concat(answers, asks)).alias("at")).join(payload, "fp")
     member = F.struct("fp", "root", "out", "size", "sig", "data", F.col("at.a").alias("a"), F.col("at.b").alias("b"))
     return cells.groupBy("val", F.col("at.ta").alias("ta"), F.col("at.tb").alias("tb")).agg(F.collect_list(member).alias("m")).select("val", "m")
 
 
 def linked(cells: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): accepted pairs that join what asks (``out``) in ``cells(val, fp, root, out)`` to the other members of its buckets."""
-    sketched = cells.join(own.select("fp", "size", "sig", F.col("low").alias("data")), "fp")
-    near = _dealt(sketched, F.lit(1), TILE).mapInArrow(_promising, "val long, fp binary")
-    near = written(near.distinct(), "omh-promising")
-    wanted = near.select("fp").distinct().join(own, "fp").select("fp", "at", "th")
-    word = docs.join(wanted, ["at", "th"]).select("text", "fp").mapInArrow(_word_hashes, "fp binary, data binary")
-    word = written(word.dropDuplicates(["fp"]), "omh-words", free=True)
-    whole = cells.join(near, ["val", "fp"]).join(own.select("fp", "size", "sig", "n_words"), "fp").join(word, "fp")
-    return written(_dealt(whole, 8 * F.col("n_words"), TILE_BYTES).mapInArrow(_links, "a binary, b binary"), "omh-links")
+    low = own.select("fp", "size", "sig", F.col("low").alias("data"))
+    near = written(_dealt(cells.withColumn("weight", F.lit(1)), TILE, low).mapInArrow(_promising, "val long, fp binary").distinct(), "omh-promising")
+    # A table, so that Spark knows its size before it moves texts to it.
+    wanted = written(near.select("fp").distinct().join(own, "fp").select("at", "th", "fp", "n_words", "size", "sig"), "omh-wanted")
+    word = docs.join(wanted.select("at", "th", "fp"), ["at", "th"]).select("text", "fp").mapInArrow(_word_hashes, "fp binary, data binary")
+    word = written(word.dropDuplicates(["fp"]).join(wanted.select("fp", "size", "sig"), "fp"), "omh-words", free=True)
+    whole = cells.join(near, ["val", "fp"]).join(wanted.select("fp", (8 * F.col("n_words")).alias("weight")), "fp")
+    return written(_dealt(written(whole, "omh-whole"), TILE_BYTES, word).mapInArrow(_links, "a binary, b binary"), "omh-links")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
