@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -27,12 +28,17 @@ def tokens(text: Column) -> Column:
 
 
 def to_vector(text: Column) -> Column:
-    """Map of lexeme to its increasing positions."""
-    placed = F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), F.least(i + 1, F.lit(POSITION_LIMIT)).alias("p")))
-    return F.transform(F.array(placed), lambda p: F.map_from_arrays(
-        F.array_distinct(F.transform(p, lambda x: x["w"])),
-        F.transform(F.array_distinct(F.transform(p, lambda x: x["w"])), lambda w: F.transform(F.filter(p, lambda x: x["w"] == w), lambda x: x["p"])),
-    ))[0]
+    """Map of lexeme to its increasing positions: one sort, then a slice for each run of a lexeme."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    placed = F.array_sort(F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), F.least(i + 1, F.lit(POSITION_LIMIT)).alias("p"))))
+
+    def runs(p: Column) -> Column:
+        at = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x["w"] != p[F.greatest(i - 1, F.lit(0))]["w"]), i)), lambda i: i.isNotNull())
+        end = lambda s, k: F.coalesce(F.try_element_at(s, k + 2), F.size(p))
+        return let(at, lambda s: F.map_from_arrays(
+            F.transform(s, lambda i: p[i]["w"]), F.transform(s, lambda i, k: F.transform(F.slice(p, i + 1, end(s, k) - i), lambda x: x["p"]))))
+
+    return let(placed, runs)
 
 
 @dataclass
@@ -61,7 +67,7 @@ def parse_query(text: str) -> Query:
             if branches[-1]:
                 branches.append([])
             continue
-        found = tuple(re.findall(r"[^\W_]+", raw.lower()))
+        found = tuple(regex.findall(TOKEN, raw.lower()))  # cut as texts are, combining marks included
         if found:
             branches[-1].append(Term(found, raw.startswith("-")))
     return Query([b for b in branches if b])

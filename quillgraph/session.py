@@ -21,6 +21,8 @@ def session(name: str = "quillgraph", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> None:
-    """Name a checkpoint folder where the cluster names none (local runs and tests)."""
+    """Use the shared folder that the cluster names; a folder of our own only in local mode, where none is named."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/quillgraph")

@@ -116,6 +116,18 @@ def test_lexical(spark):
         assert ranks == column(spark, docs[:3], "string", lexical.term_rank(v, query))
 
 
+def test_marks_stay_with_their_letters(spark):
+    """Queries are cut as texts are: words with combining marks find themselves."""
+    docs = ["हिन्दी text", "e\u0301te\u0301 ici", "ete"]
+    v = lexical.to_vector(F.col("v"))
+    for i, w in enumerate(d.split()[0] for d in docs):
+        assert column(spark, docs, "string", lexical.matches(v, lexical.parse_query(w))) == [k == i for k in range(3)]
+
+
+def test_vector_positions(spark):
+    assert column(spark, ["b a b c a b"], "string", lexical.to_vector(F.col("v"))) == [{"a": [2, 5], "b": [1, 3, 6], "c": [4]}]
+
+
 def test_cover_density():
     assert lexical.cover_density([[1], [2]]) > lexical.cover_density([[1], [9]]) > 0
     assert lexical.cover_density([[1], []]) == 0
