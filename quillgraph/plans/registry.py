@@ -735,3 +735,6 @@ def provenance_query_all(t):
 
 
 __all__ = ["ORACLES", "QUERIES", "effective_importance"]
+
+
+from . import registry_state  # noqa: E402, F401 - registers its queries

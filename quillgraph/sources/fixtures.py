@@ -27,8 +27,15 @@ VIEWS = {
     "f_runs": """SELECT event_id AS run_id, CASE WHEN user_id = 0 THEN NULL ELSE user_id % 50 END AS dataset_id,
       CASE WHEN event_type = 'click' AND event_id % 97 = 0 AND user_id <> 0 THEN 'running' WHEN event_type IN ('signup', 'purchase') THEN 'queued' WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status,
       ts AS created_at, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END AS next_attempt_at, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts END AS heartbeat_at FROM events""",
+    # Orders as passages of their customer, customers and parts as nodes, in four realms of which one is being deleted.
+    "f_realms": "SELECT DISTINCT concat('d', n_nationkey % 4) AS dataset_id, concat('d', n_nationkey % 4) AS slug, CASE WHEN n_nationkey % 4 = 3 THEN 'deleting' ELSE 'active' END AS status, 1 AS active_generation FROM nation",
+    "f_nodes": """SELECT concat('c', c_custkey) AS entity_id, concat('d', c_custkey % 4) AS dataset_id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 END AS generation, c_custkey % 7 <> 0 AS is_active FROM customer
+      UNION ALL SELECT concat('p', p_partkey), concat('d', p_partkey % 4), p_name, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END, p_partkey % 7 <> 0 FROM part""",
+    "f_links": "SELECT relation_id, concat('d', CAST(substr(source_entity_id, 2) AS BIGINT) % 4) AS dataset_id, source_entity_id, target_entity_id, predicate, 1 AS generation, is_active FROM f_relations",
+    "f_passages": """SELECT o_orderkey AS chunk_id, concat('d', o_custkey % 4) AS dataset_id, o_custkey AS source_id, o_custkey AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS ordinal,
+      1 AS generation, o_orderkey % 9 <> 8 AS is_active FROM orders""",
 }
-NEEDS = {"f_chunks": ("f_documents",), "f_summaries": ("f_documents",)}
+NEEDS = {"f_chunks": ("f_documents",), "f_summaries": ("f_documents",), "f_links": ("f_relations",)}
 SPARK = {
     "hash": "sha2", "hash_arg": ", 256", "seconds": "timestamp_seconds(CAST((1704067200 + doc_id * 60) AS BIGINT))",
     "lines": "SELECT d.*, u.ordinal, u.line FROM f_documents d LATERAL VIEW posexplode(split(normalized_text, '\\n', -1)) u AS ordinal, line",
