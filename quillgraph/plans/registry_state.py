@@ -13,7 +13,10 @@ from ..streaming import outbox, runs
 from . import cognify, forget, remember
 from .registry import AS_OF, MOVES, SCOPE, VISIBLE, query, visible
 
-NOW = F.expr(AS_OF)
+def as_of():
+    return F.expr(AS_OF)
+
+
 REALM = ("f_realms", "f_nodes", "f_links", "f_passages", "f_mentions", "f_evidence")
 LIVE = """g AS (SELECT dataset_id, active_generation FROM f_realms WHERE status = 'active'),
 e AS (SELECT n.* FROM f_nodes n JOIN g USING (dataset_id) WHERE is_active AND generation = active_generation),
@@ -317,7 +320,7 @@ CLAIMED = f"SELECT id FROM f_outbox WHERE status = 'pending' OR (status = 'proce
 @query(f"SELECT id, CASE WHEN id IN ({CLAIMED}) THEN 'processing' ELSE status END AS status, CAST(attempt + (id IN ({CLAIMED}))::INT AS INT) AS attempt, CASE WHEN id IN ({CLAIMED}) THEN 'w1' END AS worker_id FROM f_outbox", ("f_outbox",))
 def outbox_claimed(t):
     """One owner a row, an attempt more."""
-    return outbox.claimed(t.outbox, outbox.claimable_ids(t.outbox, NOW), "w1", NOW).select("id", "status", "attempt", "worker_id")
+    return outbox.claimed(t.outbox, outbox.claimable_ids(t.outbox, as_of()), "w1", as_of()).select("id", "status", "attempt", "worker_id")
 
 
 @query("SELECT id, CASE WHEN status = 'processing' AND id % 4 <> 0 AND id % 3 = id % 6 THEN (CASE WHEN id % 5 = 0 THEN 'failed' ELSE 'done' END) ELSE status END AS status FROM f_outbox", ("f_outbox",))
@@ -354,7 +357,7 @@ def moved_runs(t):
     """What a legal move changes."""
     r = full_runs(t)
     moves = r.select("run_id", F.expr(TARGET).alias("target"), F.lit("boom").alias("error_code"), F.lit(None).cast("timestamp").alias("next_attempt_at"), F.lit("n").alias("worker_id"))
-    return runs.moved(r, moves, NOW)[0].select("run_id", "status", "attempt", "progress", "worker_id", "error_code", F.col("finished_at").isNotNull().alias("finished"))
+    return runs.moved(r, moves, as_of())[0].select("run_id", "status", "attempt", "progress", "worker_id", "error_code", F.col("finished_at").isNotNull().alias("finished"))
 
 
 @query(f"SELECT run_id, status AS before, {TARGET} AS after FROM f_runs WHERE (status, {TARGET}) NOT IN ({MOVES})", ("f_runs",))
@@ -362,7 +365,7 @@ def refused_moves(t):
     """Moves that no rule allows."""
     r = full_runs(t)
     moves = r.select("run_id", F.expr(TARGET).alias("target"), F.lit("boom").alias("error_code"), F.lit(None).cast("timestamp").alias("next_attempt_at"), F.lit("n").alias("worker_id"))
-    return runs.moved(r, moves, NOW)[1].select("run_id", "before", "after")
+    return runs.moved(r, moves, as_of())[1].select("run_id", "before", "after")
 
 
 @query(f"WITH f AS (SELECT run_id, status, run_id % 6 AS attempt, run_id % 2 = 0 AND run_id % 6 < 5 AND status = 'running' AS again FROM f_runs) SELECT run_id, CASE WHEN again THEN 'queued' ELSE 'failed' END AS target, CASE WHEN again THEN CAST(epoch({AS_OF}) AS BIGINT) + CAST(least(60, pow(2, greatest(attempt - 1, 0))) AS BIGINT) END AS next_at FROM f", ("f_runs",))
@@ -370,7 +373,7 @@ def failed_attempts(t):
     """T16, X23."""
     rows = full_runs(t)
     failures = rows.select("run_id", (F.col("run_id") % 2 == 0).alias("retryable"), F.lit("boom").alias("error_code"))
-    return runs.failed_attempts(rows, failures, NOW, F.lit(0.0)).select("run_id", "target", F.unix_timestamp("next_attempt_at").alias("next_at"))
+    return runs.failed_attempts(rows, failures, as_of(), F.lit(0.0)).select("run_id", "target", F.unix_timestamp("next_attempt_at").alias("next_at"))
 
 
 @query("SELECT run_id, CASE WHEN status = 'queued' THEN 'cancelled' ELSE 'cancelling' END AS target FROM f_runs WHERE status IN ('queued', 'running') AND run_id % 3 = 0", ("f_runs",))
@@ -391,7 +394,7 @@ def guarded_heartbeats(t):
     """A beat counts only for the worker and attempt that hold the run."""
     rows = full_runs(t)
     beats = t.runs.select("run_id", F.concat(F.lit("w"), F.col("run_id") % 9).alias("worker_id"), (F.col("run_id") % 12).cast("int").alias("attempt"))
-    return runs.heartbeats(rows, beats, NOW).select("run_id", F.unix_timestamp("heartbeat_at").alias("beat"))
+    return runs.heartbeats(rows, beats, as_of()).select("run_id", F.unix_timestamp("heartbeat_at").alias("beat"))
 
 
 STEPS = "SELECT run_id, k AS position, 's' || k AS name, CASE WHEN (run_id + k) % 4 = 0 THEN 'running' WHEN (run_id + k) % 4 = 1 THEN 'queued' ELSE 'succeeded' END AS status, 'h' || (run_id % 3) AS input_hash FROM f_runs, (VALUES (0), (1), (2)) v(k) WHERE run_id % 10 <> 7"
@@ -421,13 +424,13 @@ SELECT run_id, status AS before, CASE WHEN error_code IS NOT NULL THEN 'failed'
 def recovered_runs(t):
     """Fingerprint, heartbeat, attempts and steps decide what becomes of a stale run."""
     rows = full_runs(t).withColumn("status", F.when(F.col("status") == "failed", "cancelling").otherwise(F.col("status")))
-    return runs.recovery(rows, steps(t), NOW, F.lit(0.0), fingerprint="f1").select("run_id", "before", "target", "error_code", "step_target")
+    return runs.recovery(rows, steps(t), as_of(), F.lit(0.0), fingerprint="f1").select("run_id", "before", "target", "error_code", "step_target")
 
 
 @query("SELECT run_id, 'queued' AS status, 0 AS attempt, 3 AS n_steps FROM f_runs WHERE run_id % 10 <> 7", ("f_runs",))
 def submitted_runs(t):
     """Runs and their steps start queued."""
-    r, s = runs.submitted(full_runs(t).where("run_id % 10 <> 7"), steps(t), NOW)
+    r, s = runs.submitted(full_runs(t).where("run_id % 10 <> 7"), steps(t), as_of())
     n = s.where("status = 'queued'").groupBy("run_id").agg(F.count("*").cast("int").alias("n_steps"))
     return r.join(n, "run_id").select("run_id", "status", "attempt", "n_steps")
 
