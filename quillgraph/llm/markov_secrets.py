@@ -95,8 +95,12 @@ def samples(docs: DataFrame) -> DataFrame:
     plain = F.translate(b64, "+/=", "xYz")
     kinds = F.array(*(F.substring(c, 1, LENGTH) for c in (b64, plain, F.upper(plain), F.lower(plain), F.sha2(n, 256))))
     random = docs.sparkSession.range(RANDOM).select(F.lit(True).alias("random"), F.explode(kinds).alias("v"))
-    drawn = docs.select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("a"), F.md5(text_of("text")).alias("b"), text_of("text").alias("t"))
-    drawn = drawn.orderBy("a", "b").limit(SAMPLE)
+    # Rows whose hash is low enough for some four times the sample, so that few texts come together to be ordered.
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\u0001"), F.col("t")))
+    drawn = docs.select("doc_id", text_of("text").alias("t")).select(key.alias("key"), "t")
+    if (rows := docs.count()) > 4 * SAMPLE:
+        drawn = drawn.where(F.substring("key", 1, 8) < f"{int(4294967296.0 * 4 * SAMPLE / rows):08x}")
+    drawn = drawn.dropDuplicates(["key"]).orderBy("key").limit(SAMPLE)
     w = F.transform(F.regexp_extract_all("t", F.lit(PIECE), F.lit(0)), lambda x: F.lower(x))
     i = F.col("i")
     at = lambda k: F.col("w")[3 * i + k]
@@ -191,7 +195,9 @@ runs AS (SELECT x.* FROM sp x WHERE kind = 'run' AND NOT EXISTS (SELECT 1 FROM b
 steps AS (SELECT *, CASE WHEN i = 1 THEN 0 ELSE instr('{ALPHABET}', v[i-1:i-1]) END AS prev, instr('{ALPHABET}', v[i:i]) AS next FROM (SELECT r, s, v, unnest(range(1, length(v) + 1)) AS i FROM runs) y),
 b64 AS (SELECT x.x AS n, base64(unhex(sha256(CAST(x.x AS VARCHAR)))) AS e, translate(base64(unhex(sha256(CAST(x.x AS VARCHAR)))), '+/=', 'xYz') AS p FROM range(0, {RANDOM}) x(x)),
 tr AS (SELECT w, unnest(range(0, least(len(w) // 3, {TRIPLES}))) AS i FROM (
-  SELECT list_transform(regexp_extract_all(t, {q(PIECE)}), lambda x: lower(x)) AS w FROM d ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), md5(t) LIMIT {SAMPLE}) x WHERE len(w) >= 3),
+  SELECT list_transform(regexp_extract_all(t, {q(PIECE)}), lambda x: lower(x)) AS w FROM (
+    SELECT md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || t) AS key, any_value(t) AS t FROM d GROUP BY 1) k, (SELECT count(*) AS n FROM d) c
+    WHERE n <= 4 * {SAMPLE} OR key[1:8] < lpad(lower(to_hex(CAST(floor(4294967296.0::DOUBLE * 4 * {SAMPLE} / n) AS BIGINT))), 8, '0') ORDER BY key LIMIT {SAMPLE}) x WHERE len(w) >= 3),
 tw AS (SELECT i, w[3*i+1] AS a, w[3*i+2] AS b, w[3*i+3] AS c FROM tr),
 samples AS (SELECT true AS random, substr(unnest([e, p, upper(p), lower(p), sha256(CAST(n AS VARCHAR))]), 1, {LENGTH}) AS v FROM b64
   UNION ALL SELECT false, CASE i % 5 WHEN 0 THEN a || '_' || b || '_' || c WHEN 1 THEN a || upper(b[1]) || b[2:] || upper(c[1]) || c[2:] WHEN 2 THEN a || '-' || b || '-' || c
