@@ -46,6 +46,11 @@ def cosine_to(query: list[float]):
     return run
 
 
+def valid_components(v: Column) -> Column:
+    """No null or non-finite component."""
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def valid_embedding(v: Column, dimensions: int) -> Column:
     """Right length, no null or non-finite component."""
-    return v.isNotNull() & (F.size(v) == dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.isNotNull() & (F.size(v) == dimensions) & valid_components(v)

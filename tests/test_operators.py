@@ -141,6 +141,26 @@ def test_merge_plan_is_the_greedy_one(spark, seed):
     assert dict(rows(plan, "entity_id", "survivor_id")) == greedy(sorted(ids, key=rank.get), pairs)
 
 
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_candidates_in_tiles_equal_all_pairs(spark, monkeypatch, tile):
+    """One large type, null and equal vectors, other lengths, a null dataset: every pair once, whatever the tiles."""
+    monkeypatch.setattr(dedup, "TILE", tile)
+    rng = random.Random(3)
+    data = [(f"e{i}", "a" if i % 4 else None, "Org" if i % 5 else " org", [rng.choice((0.0, 1.0, 2.0)) for _ in range(3 if i % 7 else 2)]) for i in range(40)]
+    data += [("n1", "a", "org", None), ("n2", "a", "org", [1.0, None, 1.0]), ("n3", "a", "org", [1.0, float("nan"), 1.0]), ("n4", "a", None, [1.0, 1.0, 1.0]), ("n5", "a", "org", [])]
+    ents = spark.createDataFrame(data, "entity_id string, dataset_id string, entity_type string, embedding array<float>")
+    want = set()
+    for x in data[:40]:
+        for y in data[:40]:
+            if x[0] < y[0] and x[1] == y[1] and len(x[3]) == len(y[3]) and any(x[3]) and any(y[3]):
+                dot = sum(p * q for p, q in zip(x[3], y[3], strict=True))
+                if dot / (sum(p * p for p in x[3]) * sum(q * q for q in y[3])) ** 0.5 >= 0.79:  # no pair of these is at 0.79
+                    want.add((x[0], y[0]))
+    got = rows(dedup.duplicate_candidates(ents, 0.79), "entity_id", "candidate_id")
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert dedup.duplicate_candidates(ents.where("false")).count() == 0
+
+
 def test_merges_are_not_transitive(spark):
     v = [[c, (1 - c * c) ** 0.5] for c in (1.0, 0.98, 0.92)]
     ents = spark.createDataFrame([(str(i), " Org", x, i) for i, x in enumerate(v)], "entity_id string, entity_type string, embedding array<float>, created_rank int").withColumn("dataset_id", F.lit("d"))
