@@ -116,14 +116,16 @@ def shortest_path(edges: DataFrame, start, end, most: int = MOST_PATH_DEPTH) ->
     if not 1 <= most <= MOST_PATH_DEPTH:
         raise ValueError(f"depth must be between 1 and {MOST_PATH_DEPTH}")
     spark = edges.sparkSession
-    both = undirected(edges).where("node <> other").groupBy("node", "other").agg(F.min("relation_id").alias("relation_id"))
+    both = undirected(edges).where("node <> other")
     first = spark.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("nodes"), F.array().cast("array<string>").alias("relations"))
     if start == end:
         return first.select(F.lit(0).alias("length"), "nodes", "relations")
     seen, frontier = first.select("node"), first
     for hop in range(1, most + 1):
-        step = frontier.join(both, "node").select(F.col("other").alias("node"), F.array_append("nodes", F.col("other")).alias("nodes"), F.array_append("relations", F.col("relation_id").cast("string")).alias("relations"))
-        step = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min(F.struct("nodes", "relations")).alias("p")).select("node", "p.nodes", "p.relations")
+        # The edges at the frontier only; paths to one node with equal nodes differ in their last relation alone.
+        step = frontier.join(both, "node").select(F.col("other").alias("node"), F.struct(F.array_append("nodes", F.col("other")).alias("nodes"), "relation_id", "relations").alias("p"))
+        step = step.groupBy("node").agg(F.min("p").alias("p")).join(seen, "node", "left_anti")
+        step = step.select("node", "p.nodes", F.array_append("p.relations", F.col("p.relation_id").cast("string")).alias("relations"))
         frontier = kept(step)
         hit = frontier.where(F.col("node") == F.lit(end))
         if not hit.isEmpty():

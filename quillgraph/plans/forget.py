@@ -46,7 +46,7 @@ def forget_sources(t: dict[str, DataFrame], source_ids: DataFrame) -> dict[str,
     gen = scope.current_datasets(t["datasets"])
     hit = source_ids.select("source_id").distinct()
     now = lambda df: df.where("is_active").join(gen, "dataset_id").where("generation = active_generation").drop("active_generation")
-    docs = now(t["documents"]).join(hit, "source_id", "left_semi")
+    docs = kept(now(t["documents"]).join(hit, "source_id", "left_semi").select("document_id", "dataset_id"))
     # Ids only, and each used several times below: kept, so that no step reads the tables again.
     chunks = kept(now(t["chunks"]).join(hit, "source_id", "left_semi").select("chunk_id"))
     left = {"documents": _off(t["documents"], docs, "document_id"), "chunks": _off(t["chunks"], chunks, "chunk_id")}
