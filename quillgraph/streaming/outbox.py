@@ -12,17 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..operators.graph import kept
 from ..operators.projection import COMMAND, EDGES, ORDER, dependency_order, latest_state
 from ..operators.scope import stale
 
 BURST = 50
+BUCKETS, WHOLE = 256, 64
 SCHEMA = "id bigint, " + ", ".join(f"{c} string" for c in COMMAND) + ", status string, attempt int, processing_started_at timestamp"
 
 
 def appended(commands: DataFrame, after: int, order: list[str]) -> DataFrame:
-    """Commands with ids that follow ``after`` in a total order. The ids of one writer's batch are contiguous, so they are numbered in one partition; batches are bounded by a transaction."""
-    w = Window.orderBy(*order)
-    return commands.withColumn("id", (F.lit(after) + F.row_number().over(w)).cast("bigint")).withColumns({"status": F.lit("pending"), "attempt": F.lit(0), "processing_started_at": F.lit(None).cast("timestamp")})
+    """Commands with contiguous ids that follow ``after`` in a total order.
+
+    Rows are sorted by ranges and numbered inside their partition; the sizes of
+    the partitions before it (one row a partition) are added.
+    """
+    inside = (1 << 33) - 1  # the bits of a monotonic id that count inside a partition
+    placed = kept(commands.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = placed.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    rows = rows.withColumn("id", (F.lit(after + 1) + F.col("_before") + F.col("_at").bitwiseAND(F.lit(inside))).cast("bigint"))
+    return rows.drop("_part", "_before", "_at").withColumns({"status": F.lit("pending"), "attempt": F.lit(0), "processing_started_at": F.lit(None).cast("timestamp")})
 
 
 def claimable(as_of: Column, *, stale_after: float = 300, most_attempts: int = 5) -> Column:
@@ -71,35 +83,48 @@ def consistent() -> Column:
 def apply_stream(spark: SparkSession, source: str, state: str, dead: str, checkpoint: str, *, per_batch: int = BURST, continuous_seconds: int | None = None) -> StreamingQuery:
     """Drain (or, with ``continuous_seconds``, keep draining) Parquet command files into the latest state of each aggregate.
 
-    Each batch writes its version of the state in a folder of its own and then
-    is the newest; a repeated batch overwrites its folder.
+    Aggregates fall into ``BUCKETS`` by hash. A batch reads and writes the
+    buckets that its commands touch, in a folder of its own; every ``WHOLE``-th
+    batch writes all buckets, so that nothing before it is looked at again. A
+    repeated batch overwrites its folder. A deleted aggregate stays as a delete.
     """
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(source)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.where(~consistent()).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
         good = batch.where(consistent()).drop("status", "attempt", "processing_started_at")
-        before = newest(batch.sparkSession, state, below=batch_id)
+        touched = None if batch_id % WHOLE == 0 else {r.bucket for r in good.select(bucket().alias("bucket")).distinct().collect()}
+        before = newest(batch.sparkSession, state, below=batch_id, buckets=touched)
         merged = good if before is None else before.unionByName(good)
-        latest_state(merged).write.mode("overwrite").parquet(f"{state}/batch={batch_id:012d}")
+        latest = latest_state(merged).withColumn("bucket", bucket())
+        latest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={batch_id:012d}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if continuous_seconds is None else writer.trigger(processingTime=f"{continuous_seconds} seconds")
     return writer.start()
 
 
-def newest(spark: SparkSession, state: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete state (before a batch), found through Hadoop's file system so that any store works."""
+def bucket() -> Column:
+    """The part of the state that a command's aggregate belongs to."""
+    return F.pmod(F.xxhash64("dataset_id", "aggregate_type", "aggregate_id"), F.lit(BUCKETS)).cast("int")
+
+
+def newest(spark: SparkSession, state: str, below: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """The newest complete state (before a batch; of some buckets), found through Hadoop's file system so that any store works."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(state)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    found = []
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            n = int(name[6:])
-            if below is None or n < below:
-                found.append(n)
-    return spark.read.parquet(f"{state}/batch={max(found):012d}") if found else None
+    numbered = lambda at, mark: {int(s.getPath().getName()[len(mark) :]) for s in fs.listStatus(at) if s.getPath().getName().startswith(mark)}
+    paths: dict[int, str] = {}
+    for n in sorted(numbered(path, "batch="), reverse=True):
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"batch={n:012d}")
+        if (below is not None and n >= below) or not fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            continue
+        for k in numbered(folder, "bucket="):
+            paths.setdefault(k, f"{state}/batch={n:012d}/bucket={k}")
+        if n % WHOLE == 0:
+            break
+    chosen = [p for k, p in paths.items() if buckets is None or k in buckets]
+    return spark.read.parquet(*chosen) if chosen else None

@@ -52,6 +52,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(dead).count() == cmds.where("aggregate_type = 'odd'").count()
 
 
+def test_state_is_rewritten_by_bucket(spark, tmp_path, monkeypatch):
+    """Whole rewrites at other distances give the same state, and a small batch touches few buckets."""
+    monkeypatch.setattr(outbox, "WHOLE", 3)
+    cmds = spark.range(40).select(
+        F.col("id"), F.lit("d").alias("dataset_id"), F.lit("entity").alias("aggregate_type"), F.when(F.col("id") < 30, F.col("id")).otherwise(F.col("id") % 2).cast("string").alias("aggregate_id"),
+        F.lit("upsert").alias("operation"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.lit("p").alias("payload"),
+        F.lit("pending").alias("status"), F.lit(0).alias("attempt"), F.lit(None).cast("timestamp").alias("processing_started_at"))
+    src, state, dead, chk = (str(tmp_path / x) for x in ("src", "state", "dead", "chk"))
+    for low, high in ((0, 30), (30, 32), (32, 34), (34, 38), (38, 40)):
+        cmds.where(F.col("id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(src)
+        outbox.apply_stream(spark, src, state, dead, chk, per_batch=1).awaitTermination(120)
+        want = projection.latest_state(cmds.where(F.col("id") < high))
+        assert rows(outbox.newest(spark, state), "aggregate_id", "id") == rows(want, "aggregate_id", "id")
+    count = lambda n: len(list((tmp_path / "state" / f"batch={n:012d}").glob("bucket=*")))
+    assert count(1) <= 2 and count(2) <= 2 < count(3) and count(4) <= 2
+    assert outbox.newest(spark, state, below=0) is None
+
+
+def test_appended_ids_are_contiguous(spark):
+    df = spark.range(1000).select((999 - F.col("id")).alias("k"), (F.col("id") % 3).alias("g")).repartition(7)
+    got = outbox.appended(df, 50, ["g", "k"]).orderBy("g", "k").collect()
+    assert [r.id for r in got] == list(range(51, 1051))
+    assert outbox.appended(df.where("false"), 50, ["g", "k"]).count() == 0
+
+
 def queue(spark, data):
     return spark.createDataFrame(data, "run_id int, dataset_id string, status string, created_at int, next_attempt_at timestamp")
 
