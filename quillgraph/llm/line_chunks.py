@@ -7,6 +7,8 @@ two or more lines with words that occurs more than once in the corpus stays at
 its first place (smallest doc_id, then key, then position) and goes everywhere
 else. Chunks are matched by hash and then grouped by their bytes, so chunks that
 only share a hash leave each other alone and both find their own first place.
+Hashes with more than a thousandth of all repeated chunks are fewer than a
+thousand; they are broadcast and their rows are salted.
 
 Null text is empty. A null doc_id sorts last. Rows with equal doc_id and text
 count as one document and get the same result. Texts of one line never change.
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 from .common import mixed, row_key, text_of, written
 
 WINDOW, MEAN, LEAST, MOST = 2, 2, 2, 64
+#: A key with more than 1 / HOT of the repeated chunks is hot; its rows are dealt over SALTS parts of a join.
+HOT, SALTS = 1000, 64
 #: Fixed odd multipliers of the rolling hash, one for each line of the window.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
@@ -130,17 +134,29 @@ def removals(docs: DataFrame) -> DataFrame:
     ``docs``: _ld_id, _ld_key, _ld_text.
     """
     occ = written(docs.mapInArrow(_occurrences, "_ld_id long, _ld_key string, idx int, h long"), "line-chunks")
-    # A table of its own: a join of two plain shuffles is one whose hot keys Spark can split.
-    repeated = written(occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-chunks-repeated")
-    cand = occ.join(repeated, "h").groupBy("_ld_key").agg(F.collect_set("idx").alias("cand"))
+    # A table of its own: the share of each key is known before any join deals rows by it.
+    repeated = written(occ.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line-chunks-repeated")
+    total = repeated.agg(F.sum("n")).scalar()
+    hot = repeated.where(F.col("n") * HOT > total).select("h")  # fewer than HOT keys
+    cand = _met(occ, repeated.select("h"), ["h"], hot).groupBy("_ld_key").agg(F.collect_set("idx").alias("cand"))
     bodies = written(docs.join(cand, "_ld_key").mapInArrow(_candidate_texts, "_ld_id long, _ld_key string, idx int, h long, body binary"), "line-chunk-bodies", free=True)
     place = F.struct(F.col("_ld_id").isNull().alias("n"), F.col("_ld_id").alias("id"), F.col("_ld_key").alias("key"), F.col("idx").alias("idx"))
     firsts = bodies.groupBy("h", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = written(firsts.select("h", "body", "first"), "line-chunk-firsts")
-    gone = bodies.join(firsts, ["h", "body"]).where(place != F.col("first"))
+    gone = _met(bodies, firsts, ["h", "body"], hot).where(place != F.col("first"))
     return gone.groupBy("_ld_key").agg(F.collect_set("idx").alias("gone"))
 
 
+def _met(rows: DataFrame, keys: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keys``; rows of a hot ``h`` are dealt over ``SALTS`` parts, to each of which its keys are copied."""
+    marked = F.broadcast(hot.withColumn("_ld_hot", F.lit(True)))
+    is_hot = F.col("_ld_hot").isNotNull()
+    salted = rows.join(marked, "h", "left").withColumn("_ld_salt", F.when(is_hot, F.pmod(F.xxhash64("_ld_key", "idx"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_ld_hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = keys.join(marked, "h", "left").withColumn("_ld_salt", F.explode(salts)).drop("_ld_hot")
+    return salted.join(copied, [*on, "_ld_salt"]).drop("_ld_salt")
+
+
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", counts: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text`` (null text comes back empty); with ``counts`` also n_lines and n_removed (long)."""
     keyed = docs.withColumns({"_ld_key": row_key(doc_id, text), "_ld_text": text_of(text)})
