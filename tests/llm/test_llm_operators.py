@@ -119,6 +119,20 @@ def test_chunks_that_share_a_hash(spark, monkeypatch):
     assert {r._ld_key: sorted(r.gone) for r in line_chunks.removals(docs).collect()} == gone and gone
 
 
+@pytest.mark.parametrize("hot", [1, 20, 10**6])
+def test_line_chunks_hot_or_not(spark, monkeypatch, hot):
+    """No hash, some or all hashes are hot: the same texts stay."""
+    monkeypatch.setattr(line_chunks, "HOT", hot)
+    common_, rng = "shared alpha one\nshared beta two\nshared gamma three\nshared delta four", random.Random(11)
+    own = lambda i: "\n".join(f"own {i} {rng.random()}" for _ in range(4))
+    pairs = [own(-k) for k in range(1, 21)]
+    rows = [(i, f"{own(i)}\n{common_ if i % 3 else pairs[i // 3 % 20]}\n{own(i)}") for i in range(120)]
+    got = {r.doc_id: r.text for r in line_chunks.dedup_lines(frame(spark, rows)).collect()}
+    want = line_model.removed(rows)
+    assert [got[i] for i, _ in rows] == want
+    assert want != [t for _, t in rows]
+
+
 def test_line_chunk_boundaries_move_with_the_content():
     rng = random.Random(1)
     lines = [prose(rng, 5).encode() for _ in range(300)]
