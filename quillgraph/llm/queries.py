@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, cover_dedup, cube_mix, extendible, line_chunks, markov_secrets, order_minhash, piece_codec, rp_forest, url_filter
+from . import adaptive_quality, byte_codec, cover_dedup, cube_mix, extendible, line_chunks, markov_secrets, order_minhash, piece_codec, rp_forest, url_filter
 from . import oracles
 
 #: The rules that op1 judges by.
@@ -23,6 +23,7 @@ URL_RULES = [
 JUNK = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 SHARD_BYTES = 64 << 10
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +83,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = byte_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_line_dedup, op3_source_mix, op4_quality_rules, op5_nearest_vectors, op6_sharding,
-        op7_sentencepiece, op8_secret_scan, op9_near_dedup, op10_substring_dedup, pipeline,
+        op7_sentencepiece, op8_secret_scan, op9_near_dedup, op10_substring_dedup, op13_byte_bpe, pipeline,
     )}
 
 
