@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, byte_codec, cover_dedup, cube_mix, extendible, line_chunks, markov_secrets, order_minhash, piece_codec, rp_forest, url_filter
+from . import adaptive_quality, byte_codec, cover_dedup, cube_mix, dialogue_repair, extendible, line_chunks, markov_secrets, order_minhash, piece_codec, rp_forest, url_filter
 from . import oracles
 
 #: The rules that op1 judges by.
@@ -83,6 +83,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.repeated_words(table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with faults made by crc32 of ``conv_id:turn``: dropped, emptied, unended, repeated or of another role."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20).alias("_d"))
+    text = F.when(F.col("_d") == 1, "").when(F.col("_d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_d") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("_d") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.where("_d <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    key = dialogue_repair.conversation_key("conv_id").alias("_c")
+    report, repaired = dialogue_repair.repair(damaged(rows))
+    done = rows.select("conv_id").distinct().select("conv_id", key).join(report.select(key, *report.columns[1:]), "_c", "left").join(dialogue_repair.digests(repaired), "_c", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return done.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = byte_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -97,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_line_dedup, op3_source_mix, op4_quality_rules, op5_nearest_vectors, op6_sharding,
-        op7_sentencepiece, op8_secret_scan, op9_near_dedup, op10_substring_dedup, op13_byte_bpe, pipeline,
+        op7_sentencepiece, op8_secret_scan, op9_near_dedup, op10_substring_dedup, op11_dialogue_repair, op13_byte_bpe, pipeline,
     )}
 
 
