@@ -33,7 +33,9 @@ tables give no rows, and further columns are read only where they are to be kept
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ from .common import text_of
 from .piece_codec import Memo, read_model
 
 #: Most states of the transducer that are kept at a time, and most pairs of tokens.
-STATES, PAIRS = 120_000, 400_000
+STATES, PAIRS = 250_000, 400_000
 ROOT = 0
 #: First byte of a longer character -> (bytes after it, least and greatest second byte).
 LEADS = (
@@ -115,8 +117,24 @@ class Utf8Stream:
         return "�" if held else ""
 
 
+def ascii_only(pattern: str) -> str:
+    """The pattern for texts of ASCII characters: letters and digits spelt out, which the built-in engine reads faster."""
+    out, inside, k = [], False, 0
+    classes = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9"}
+    while k < len(pattern):
+        if (name := pattern[k : k + 5]) in classes:
+            out.append(classes[name] if inside else f"[{classes[name]}]")
+            k += 5
+            continue
+        c = pattern[k : k + 2] if pattern[k] == "\\" else pattern[k]
+        inside = c == "[" or inside and c != "]"
+        out.append(c)
+        k += len(c)
+    return "".join(out)
+
+
 class ByteCodec:
-    def __init__(self, ranks: bytes, pattern: str, memo: int = 240_000) -> None:
+    def __init__(self, ranks: bytes, pattern: str, memo: int = 180_000) -> None:
         self.rank: dict[bytes, int] = {}
         for line in ranks.splitlines():
             if line.strip():
@@ -128,6 +146,7 @@ class ByteCodec:
         if len(self.token) != len(self.rank):
             raise ValueError("tokens of equal rank")
         self.cut = regex.compile(pattern)
+        self.ascii_cut = re.compile(ascii_only(pattern), re.ASCII)
         self._compile()
         self.states: dict[tuple, State] = {}
         self.start = self._state(((-1, ROOT, ()),))
@@ -137,8 +156,8 @@ class ByteCodec:
 
     def _compile(self) -> None:
         """The trie of the tokens that merges reach, and the last merge of each."""
-        self.child: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
+        child: dict[int, int] = {}
+        ends: dict[int, int] = {}
         self.split: dict[int, tuple[int, int]] = {}
         nodes = 1
         for t, i in self.rank.items():
@@ -149,13 +168,15 @@ class ByteCodec:
                 self.split[i] = (self.rank[parts[0]], self.rank[parts[1]])
             at = ROOT
             for b in t:
-                down = self.child.get(at << 8 | b)
+                down = child.get(at << 8 | b)
                 if down is None:
-                    down = self.child[at << 8 | b] = nodes
+                    down = child[at << 8 | b] = nodes
                     nodes += 1
                 at = down
-            self.ends[at] = i
-        self.inner = {k >> 8 for k in self.child}
+            ends[at] = i
+        inner = {k >> 8 for k in child}
+        #: node << 8 | byte -> (node below, token that ends there or -1, whether tokens go on from there).
+        self.child = {k: (down, ends.get(down, -1), down in inner) for k, down in child.items()}
 
     def merged(self, parts: list[bytes], stop: int = 1) -> list[bytes]:
         """Merge by rank, leftmost first, until ``stop`` parts are left or none go together. For tokens."""
@@ -213,23 +234,26 @@ class ByteCodec:
             self.start.arcs.clear()
             at.arcs.clear()
             self.states[self.start.paths] = self.start
-        child, ends, inner, ok = self.child, self.ends, self.inner, self.ok
-        ended, open_ = None, []
+            gc.collect()
+        child, ok = self.child, self.ok
+        ended, open_, waits = None, [], True
         for last, node, own in at.paths:
-            down = child.get(node << 8 | b)
-            if down is None:
+            below = child.get(node << 8 | b)
+            if below is None:
                 continue
-            token = ends.get(down)
-            if token is not None and ended is None:
+            down, token, goes_on = below
+            if token >= 0 and ended is None:
                 known = last < 0 or ok.get(last << 24 | token)
                 if known is None:
                     known = self.goes(last, token)
                 if known:
                     ended = (token, ROOT, (*own, token))
-            if down in inner:
+            if goes_on:
                 open_.append((last, down, own))
+                if not own:
+                    waits = False
         shared, first = 0, ended[2]
-        if all([own for *_, own in open_]):
+        if waits:
             while shared < len(first) and all(len(own) > shared and own[shared] == first[shared] for *_, own in open_):
                 shared += 1
         if shared:
@@ -253,12 +277,16 @@ class ByteCodec:
         whole = self.rank.get(data)
         return [whole] if whole is not None else list(self.run(data))
 
+    def matches(self, text: str) -> list[str]:
+        return (self.ascii_cut if text.isascii() else self.cut).findall(text)
+
     def encode(self, text: str) -> list[int]:
-        return [i for s in self.cut.findall(text) for i in self.match(s)]
+        return [i for s in self.matches(text) for i in self.match(s)]
 
     def _remembered(self, s: str) -> tuple[str, int, str]:
         ids = self.match(s)
-        return " " + " ".join(map(str, ids)), len(ids), self.decode(ids)
+        shown = self.decode(ids)
+        return " " + " ".join(map(str, ids)), len(ids), s if shown == s else shown
 
     def decode_from(self, ids, held: bytes = b"") -> tuple[str, bytes]:
         """(text, bytes of the unfinished character) of ``ids`` after ``held``; goes on from where it stopped."""
@@ -282,7 +310,7 @@ class ByteCodec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, their decimal digits joined by spaces, decoded text)."""
         self.memo.turn()
-        parts = list(map(self.memo.__getitem__, self.cut.findall(text)))
+        parts = list(map(self.memo.__getitem__, self.matches(text)))
         if not parts:
             return 0, "", ""
         ids, counts, shown = zip(*parts, strict=True)  # a match holds whole characters, so none goes on in the next
@@ -306,6 +334,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, keep: tuple[st
 
     def run(batches):
         c = codec(ranks.value, pattern)
+        gc.disable()  # cycles are states alone, and are collected when states are dropped
         for b in batches:
             counts, listed, decoded = [], [], []
             for t in b.column("text").to_pylist():
