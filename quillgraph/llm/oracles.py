@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import adaptive_quality as quality
-from . import cover_dedup, extendible, markov_secrets
+from . import collocations, cover_dedup, extendible, markov_secrets
 
 
 def url_filter(rules, junk) -> str:
@@ -97,6 +97,26 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
 
 
+def phrases() -> str:
+    c = collocations
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws FROM d),
+g AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, range(1, {c.LONGEST + 1}) x(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= {c.LEAST}),
+cut AS (SELECT lang, phrase, f, ws, unnest(range(1, m)) AS k FROM cand),
+scored AS (SELECT cut.lang, cut.phrase, k, l.f AS l, r.f AS r, (CAST(cut.f AS HUGEINT) * {c.SCALE}) // (l.f + r.f) AS score FROM cut
+  JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(ws[1:k], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+low AS (SELECT lang, phrase, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM scored GROUP BY lang, phrase),
+part AS (SELECT lang, f, m, ws, s, unnest(range(1, m - s + 2)) AS i FROM cand, range(2, {c.LONGEST}) x(s) WHERE s < m),
+around AS (SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(f) AS f FROM part GROUP BY ALL),
+kept AS (SELECT cand.lang, cand.phrase, cand.f AS a, b.l AS l, b.r AS r, CAST(b.score AS BIGINT) AS score FROM cand JOIN low ON low.lang = cand.lang AND low.phrase = cand.phrase
+  LEFT JOIN around ON around.lang = cand.lang AND around.phrase = cand.phrase WHERE around.f IS NULL OR 100 * CAST(around.f AS HUGEINT) < {c.COVERED_PERCENT} * CAST(cand.f AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) x JOIN n USING (lang) WHERE rank <= {c.TOP}"""
+
+
 def statements(rules, junk, shard_bytes) -> dict[str, str]:
     return {
         "op1_url_filter": url_filter(rules, junk),
@@ -104,4 +124,5 @@ def statements(rules, junk, shard_bytes) -> dict[str, str]:
         "op6_sharding": sharding(shard_bytes),
         "op8_secret_scan": markov_secrets.oracle(),
         "op10_substring_dedup": substring_dedup(),
+        "op12_collocations": phrases(),
     }

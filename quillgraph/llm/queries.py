@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, byte_codec, cover_dedup, cube_mix, dialogue_repair, extendible, line_chunks, markov_secrets, order_minhash, piece_codec, rp_forest, url_filter
+from . import adaptive_quality, byte_codec, collocations, cover_dedup, cube_mix, dialogue_repair, extendible, line_chunks, markov_secrets, order_minhash, piece_codec, rp_forest, url_filter
 from . import oracles
 
 #: The rules that op1 judges by.
@@ -102,6 +102,11 @@ def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return collocations.top_phrases(found).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = byte_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -116,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filter, op2_line_dedup, op3_source_mix, op4_quality_rules, op5_nearest_vectors, op6_sharding,
-        op7_sentencepiece, op8_secret_scan, op9_near_dedup, op10_substring_dedup, op11_dialogue_repair, op13_byte_bpe, pipeline,
+        op7_sentencepiece, op8_secret_scan, op9_near_dedup, op10_substring_dedup, op11_dialogue_repair, op12_collocations, op13_byte_bpe, pipeline,
     )}
 
 
