@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word, as every contract of this package defines it (Java, RE2 and Python read it alike).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +69,22 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def number_copies(rows: DataFrame, key: str, as_: str) -> DataFrame:
+    """``rows`` with the number of each among those of equal ``key``, from 1.
+
+    Rows are dealt by ranges of the key and all their columns, so that copies
+    of a hot key lie in many tasks; what came before in other tasks is a row a key and task.
+    """
+    part, place = f"{as_}_part", f"{as_}_place"
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
+    dealt = rows.withColumn(as_, whole).repartitionByRange(partitions(rows.sparkSession), key, as_).sortWithinPartitions(key, as_)
+    dealt = written(dealt.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()).drop(as_), "copies")
+    firsts = dealt.groupBy(key, part).agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = firsts.select(key, part, (before - F.col("_first") + 1).alias("_shift"))
+    return dealt.join(firsts, [key, part]).withColumn(as_, F.col(place) + F.col("_shift")).drop(part, place, "_shift")
+
+
 class WordHashes(dict):
     """word (bytes) -> row of two 64-bit hashes; the memo is emptied when it holds ``limit`` words."""
 

@@ -12,7 +12,9 @@ nearest to the target.
 
 Null or empty text has size 0 and is taken 0 words of. A null source is a
 source of its own, ordered last. Rows with equal doc_id, source and text are
-one unit and share their decision. Empty input gives no rows. Decisions depend
+one unit; of its n rows as many as the expected number, rounded down, are taken
+once more for certain, and at most one is left to the draw, so copies come as
+near to the target as different rows. Empty input gives no rows. Decisions depend
 on the rows alone: reruns agree. Further columns are kept by
 ``mixed_documents``; names that start with ``_mix_`` are ours.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, partitions, row_key, text_of, written
+from .common import WORD, number_copies, partitions, row_key, text_of, written
 
 LIMIT = 3.0  # a target stops at so many times its source's size
 BLOCK = 4096  # documents a flight block holds on average
@@ -130,7 +132,7 @@ def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _flight(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
-        size = (pdf["size"] * pdf["n"]).to_numpy(dtype=np.float64)
+        size = pdf["size"].to_numpy(dtype=np.float64)
         p = fly(pdf["prob"].to_numpy(dtype=np.float64), size, draws(pdf["key"].to_numpy()))
         pdf["prob"] = land(p, size) if last else p
         return pdf[["doc_id", "source", "key", "size", "n", "ratio", "prob"]]
@@ -166,23 +168,38 @@ def decide(units: DataFrame, most_docs: int, *, block: int = BLOCK) -> DataFrame
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
-    """One row for each distinct row (n: how often it occurs): doc_id, source, key, size, n, source_size, target, copies."""
+    """doc_id, source, key, size, first, n, source_size, target, copies: each of the ``n`` rows of that key from number ``first`` is taken ``copies`` times.
+
+    Distinct rows have one row here; of repeated rows, some may be taken once more than the others.
+    """
     units = written(unit_sizes(docs).groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n")), "cube-units")
     goal = written(targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), weights=weights, limit=limit), "cube-targets")
     goal_cols = goal.select(F.col("source").alias("_s"), "source_size", "n_docs", "target")
     rows = units.join(goal_cols, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("ratio", F.least(ratio, F.lit(limit)))
-    rows = rows.select("doc_id", "source", "key", "size", "n", "ratio", (F.col("ratio") - F.floor("ratio")).alias("prob"), "n_docs")
+    more = F.col("n") * (F.col("ratio") - F.floor("ratio"))  # rows of the unit that are to be taken once more
+    rows = rows.select("doc_id", "source", "key", "size", "n", "ratio", (more - F.floor(more)).alias("prob"), "n_docs")
     most = goal.agg(F.max("n_docs")).first()[0] or 0
     done = decide(rows, most, block=block)
-    done = done.withColumn("copies", (F.floor("ratio") + F.col("prob")).cast("long"))
-    return done.join(goal_cols, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "key", "size", "n", "source_size", "target", "copies")
+    done = done.withColumn("more", (F.floor(more) + F.col("prob")).cast("long")).withColumn("base", F.floor("ratio").cast("long"))
+    part = lambda first, n, copies: F.struct(first.alias("first"), n.alias("n"), copies.alias("copies"))
+    parts = F.array(part(F.lit(1).cast("long"), F.col("more"), F.col("base") + 1), part(F.col("more") + 1, F.col("n") - F.col("more"), F.col("base")))
+    done = done.select("doc_id", "source", "key", "size", F.explode(F.filter(parts, lambda x: x["n"] > 0)).alias("p"))
+    return done.join(goal_cols, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "key", "size", "p.first", "p.n", "source_size", "target", "p.copies")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    chosen = mix(docs, **options).where("copies > 0").select(F.col("key").alias("_mix_key"), F.col("copies").alias("_mix_copies"))
+    chosen = mix(docs, **options).select(F.col("key").alias("_mix_key"), F.col("first").alias("_mix_first"), F.col("n").alias("_mix_n"), F.col("copies").alias("_mix_copies"))
+    chosen = written(chosen, "cube-chosen")
     keyed = docs.withColumn("_mix_key", row_key("doc_id", "source", "text"))
-    taken = keyed.join(chosen, "_mix_key")
+    many = chosen.where("_mix_first > 1 or _mix_n > 1").select("_mix_key").distinct()
+    if many.isEmpty():
+        taken = keyed.join(chosen.where("_mix_copies > 0"), "_mix_key")
+    else:
+        once = keyed.join(many, "_mix_key", "left_anti").withColumn("_mix_ordinal", F.lit(1).cast("long"))
+        copies = number_copies(keyed.join(many, "_mix_key", "left_semi"), "_mix_key", "_mix_ordinal")
+        inside = F.col("_mix_ordinal").between(F.col("_mix_first"), F.col("_mix_first") + F.col("_mix_n") - 1)
+        taken = once.unionByName(copies).join(chosen.where("_mix_copies > 0"), "_mix_key").where(inside)
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)

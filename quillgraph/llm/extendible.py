@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, text_of, written
+from .common import number_copies, row_key, text_of, written
 
 BITS = 60  # of the hash; fifteen hex digits
 
@@ -79,9 +79,21 @@ def assign_shards(docs: DataFrame, *, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, *, limit: int) -> DataFrame:
-    """Write ``docs`` with a folder a shard and return the assignment. Repeated rows are written as often as they occur."""
+    """Write ``docs`` with a folder a shard and return the assignment.
+
+    Rows of equal doc_id and text are numbered and each goes to the shard of
+    its number, so rows that differ in further columns keep them.
+    """
     placed = written(assign_shards(docs, limit=limit), "extendible-placed")
-    keyed = docs.withColumn("_xh_key", row_key("doc_id", "text")).dropDuplicates(["_xh_key"])
-    out = keyed.join(placed.select(F.col("key").alias("_xh_key"), F.concat(F.lit("s"), "shard").alias("_xh_shard")), "_xh_key").drop("_xh_key")
-    out.repartition("_xh_shard").write.partitionBy("_xh_shard").parquet(path)
+    many = placed.where("ordinal = 2").select(F.col("key").alias("_xh_key"))
+    keyed = docs.withColumn("_xh_key", row_key("doc_id", "text"))
+    shard = F.concat(F.lit("s"), "shard").alias("_xh_shard")
+    if many.isEmpty():
+        out = keyed.join(placed.select(F.col("key").alias("_xh_key"), shard), "_xh_key")
+    else:
+        once = keyed.join(many, "_xh_key", "left_anti").withColumn("_xh_ordinal", F.lit(1).cast("long"))
+        copies = number_copies(keyed.join(many, "_xh_key", "left_semi"), "_xh_key", "_xh_ordinal")
+        by = placed.select(F.col("key").alias("_xh_key"), F.col("ordinal").alias("_xh_ordinal"), shard)
+        out = once.unionByName(copies).join(by, ["_xh_key", "_xh_ordinal"]).drop("_xh_ordinal")
+    out.drop("_xh_key").repartition("_xh_shard").write.partitionBy("_xh_shard").parquet(path)
     return placed

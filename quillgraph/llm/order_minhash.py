@@ -12,8 +12,9 @@ already, whatever the size of the bucket:
    class, with work in proportion to the members.
 2. Then every member outside the largest class of its bucket meets all members
    of other classes. Members travel in tiles, one row for each pair of tiles, so
-   a hot bucket is many tasks and rows grow with the members, not with the
-   pairs. A pair is looked at in the first bucket that it shares. Within a pair
+   a hot bucket is many tasks. A member goes to every tile on the other side,
+   so of n members that stay unlike n * n / ``TILE`` rows travel; copies of one
+   text are few after step 1. A pair is looked at in the first bucket that it shares. Within a pair
    of tiles, what has been joined is not compared again, and only links that
    join something leave the task.
 
@@ -22,6 +23,8 @@ A pair is accepted if its sets of k-mers have a Jaccard similarity of at least
 the longer text. Accepted pairs are joined to classes. Texts with equal words
 are one node from the start and are not expanded.
 
+Alignments take memory in proportion to the texts: bit vectors have ``WIDTH``
+bits, and long texts are first aligned through words that occur once in both.
 Null and empty texts are nobody's duplicate. Texts of under ``K`` words have
 one k-mer, all their words. The class id is the smallest doc_id of the class
 (null only if no member has one). Repeated rows fall in one class. Empty tables
@@ -32,6 +35,7 @@ are kept by ``keep_one`` and not read by ``near_duplicates``.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ from .components import connected
 K, SIMILAR, BANDS, ELL = 5, 0.8, 16, 3
 LOW = 64  # least k-mer hashes kept for the estimate before alignment
 SURE = 0.55  # pairs estimated below this are at least five deviations under SIMILAR
+WIDTH, GAP = 4096, 2048  # words of a bit vector, and of a stretch between anchors, at most
 TILE = 512  # members of a bucket that travel together
 TILE_BYTES = 4 << 20  # of word hashes that travel together
 SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -130,8 +135,8 @@ def estimates(low: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return both / np.maximum(1, mine + theirs - both)
 
 
-def aligned_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Words matched by the best alignment within ``band`` of the diagonal: the longest common subsequence, bit by bit."""
+def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(words of the common head and tail, what lies between them in ``a`` and in ``b``)."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -139,9 +144,14 @@ def aligned_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1]) if n else []
     tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return head + tail, a[: len(a) - tail], b[: len(b) - tail]
+
+
+def plain_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Words matched by the best alignment within ``band`` of the diagonal: the longest common subsequence, bit by bit."""
+    done, a, b = trimmed(a, b)
     if not len(a) or not len(b):
-        return head + tail
+        return done
     where: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         where[x] = where.get(x, 0) | 1 << i
@@ -155,13 +165,100 @@ def aligned_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
         m &= window << (j - band) if j >= band else window >> (band - j)
         u = v & m
         v = ((v + u) | (v - u)) & full
-    return head + tail + len(a) - v.bit_count()
+    return done + len(a) - v.bit_count()
+
+
+def aligned_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """``plain_words`` in blocks of ``WIDTH`` words of ``a``: bit vectors of that width, and a carry bit for each word of ``b``."""
+    done, a, b = trimmed(a, b)
+    if len(a) <= WIDTH:
+        return done + plain_words(a, b, band)
+    words = b.tolist()
+    carry, total = np.zeros(len(b), dtype=bool), 0
+    for start in range(0, len(a), WIDTH):
+        block = a[start : start + WIDTH].tolist()
+        where: dict[int, int] = {}
+        for i, x in enumerate(block):
+            where[x] = where.get(x, 0) | 1 << i
+        full = (1 << len(block)) - 1
+        # Rows whose band meets the block, and those that a carry comes in at.
+        low, high = max(0, start - band), min(len(b), start + len(block) + band)
+        rows = np.concatenate([np.flatnonzero(carry[:low]), np.arange(low, max(low, high)), max(low, high) + np.flatnonzero(carry[max(low, high) :])])
+        v, out = full, np.zeros(len(b), dtype=bool)
+        came = carry.tolist()
+        for j in rows.tolist():
+            m = where.get(words[j], 0)
+            if m:
+                left, right = j - band - start, j + band - start  # the band, in bits of the block
+                if left > 0:
+                    m = m >> left << left
+                if right < len(block) - 1:
+                    m &= (1 << right + 1) - 1 if right >= 0 else 0
+            if not m and not came[j]:
+                continue
+            u = v & m
+            s = v + u + came[j]
+            v = (s | (v - u)) & full
+            out[j] = s > full
+        total += len(block) - v.bit_count()
+        carry = out
+    return done + total
+
+
+def anchored_words(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Words matched by an alignment through anchors: no more than the best one's.
+
+    Anchors are k-mers that occur once in each text, inside the band, on the
+    longest chain that rises in both; short stretches between them are aligned.
+    """
+    done, a, b = trimmed(a, b)
+    if min(len(a), len(b)) < K:
+        return done + plain_words(a, b, band) if min(len(a), len(b)) and max(len(a), len(b)) <= WIDTH else done
+    (ha, ia, na), (hb, ib, nb) = (np.unique(window_hashes(x, K), return_index=True, return_counts=True) for x in (a, b))
+    ha, ia, hb, ib = ha[na == 1], ia[na == 1], hb[nb == 1], ib[nb == 1]
+    _, x, y = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    pairs = np.stack([ia[x], ib[y]], axis=1)
+    pairs = pairs[np.abs(pairs[:, 0] - pairs[:, 1]) <= band]
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    tops: list[int] = []
+    held: list[int] = []
+    back = np.full(len(pairs), -1, dtype=np.int64)
+    for k, j in enumerate(pairs[:, 1].tolist()):
+        at = bisect_left(tops, j)
+        back[k] = held[at - 1] if at else -1
+        if at == len(tops):
+            tops.append(j)
+            held.append(k)
+        else:
+            tops[at], held[at] = j, k
+    chain = []
+    k = held[-1] if held else -1
+    while k >= 0:
+        chain.append(k)
+        k = int(back[k])
+    found, i, j = 0, 0, 0
+    ends = [*pairs[chain[::-1]].tolist(), [len(a), len(b)]]
+    for p, q in ends:
+        skip = max(i - p, j - q, 0)
+        if not skip and p > i and q > j and max(p - i, q - j) <= GAP and max(p - j, q - i) <= band:
+            shift = abs(i - j)
+            found += plain_words(a[i:p], b[j:q], max(p - i, q - j) + shift)  # the whole stretch lies in the band
+        if p < len(a) and skip < K and p + skip >= i:
+            found += K - skip
+            i, j = p + K, q + K
+    return done + found
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether a banded alignment matches the share ``SIMILAR`` of the longer text's words."""
+    """Whether a banded alignment matches the share ``SIMILAR`` of the longer text's words.
+
+    In long texts, one through anchors that matches as many decides it without the best one.
+    """
     most = max(len(a), len(b))
-    return aligned_words(a, b, int((1 - SIMILAR) * most) + 1) >= SIMILAR * most
+    band = int((1 - SIMILAR) * most) + 1
+    if most > WIDTH and anchored_words(a, b, band) >= SIMILAR * most:
+        return True
+    return aligned_words(a, b, band) >= SIMILAR * most
 
 
 class Tiles:

@@ -709,3 +709,72 @@ def test_packing_over_several_flushes(spark, monkeypatch):
     for i, t in enumerate(texts):
         w = t.split()
         assert sorted(set(got.get(i, []))) == [p for p in cover_dedup.anchors(len(w)) if seen[tuple(w[p : p + 15])] > 1]
+
+
+# --- copies and long texts ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [2, 7, 1000])
+def test_mix_of_repeated_rows(spark, n):
+    """A source of one row repeated comes within one row's size of its target."""
+    rows = [(1, "w " * 20, "en", "a", k) for k in range(n)] + [(10 + k, "w " * (1 + k % 90), "en", "bc"[k % 2], 0) for k in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = cube_mix.mix(docs).collect()
+    own = [r for r in got if r.source == "a"]
+    assert sum(r.n for r in own) == n and all(0 <= r.copies <= 3 for r in own)
+    assert abs(sum(r["size"] * r.n * r.copies for r in own) - own[0].target) <= 20
+    out = collections.Counter(r.source for r in cube_mix.mixed_documents(docs).select("source").collect())
+    want = collections.Counter()
+    for r in got:
+        want[r.source] += r.n * r.copies
+    assert out == want
+
+
+def test_numbered_copies(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 30 else 9, k) for k in range(500)], "key long, other long").repartition(6)
+    by = collections.defaultdict(list)
+    for r in common.number_copies(rows, "key", "o").collect():
+        by[r.key].append(r.o)
+    assert {k: sorted(v) for k, v in by.items()} == {**{k: list(range(1, 11)) for k in range(3)}, 9: list(range(1, 471))}
+
+
+def test_written_shards_keep_every_column(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "same text", x) for x in "AB"] + [(1, "same text", "C")] * 5 + [(2, "x" * 100, "D"), (None, None, "E")], "doc_id long, text string, lang string")
+    extendible.write_shards(docs, str(tmp_path / "out"), limit=30)
+    back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "lang")
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_alignments_equal_the_plain_one(seed, monkeypatch):
+    """In blocks, and by anchors first: the same verdicts as one bit vector over the whole text."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(order_minhash, "WIDTH", 64)
+    for _ in range(40):
+        a = rng.integers(0, int(rng.choice([3, 40, 3000])), int(rng.integers(1, 700)))
+        b = np.array([x if rng.random() > 0.1 else int(rng.integers(0, 50)) for x in a if rng.random() > 0.08], dtype=np.int64)
+        if len(b) and rng.random() < 0.3:
+            b = np.concatenate([b[len(b) // 3 :], b[: len(b) // 3]])
+        a, b = a.astype(np.uint64), b.astype(np.uint64)
+        band = int(rng.integers(1, 300))
+        plain = order_minhash.plain_words(a, b, band)
+        assert order_minhash.aligned_words(a, b, band) == plain
+        assert order_minhash.anchored_words(a, b, band) <= plain
+        most = max(len(a), len(b))
+        if most:
+            assert order_minhash.aligned(a, b) == (order_minhash.plain_words(a, b, int(0.2 * most) + 1) >= 0.8 * most or order_minhash.plain_words(a, b, int((1 - 0.8) * most) + 1) >= 0.8 * most)
+
+
+def test_a_million_words_align(tmp_path):
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 50_000, 1_000_000).astype(np.uint64)
+    b = a[rng.random(len(a)) > 0.02].copy()
+    b[rng.random(len(b)) < 0.02] = 7
+    tracemalloc.start()
+    began = time.process_time()
+    assert order_minhash.aligned(a, b)
+    assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
