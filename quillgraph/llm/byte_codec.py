@@ -134,7 +134,7 @@ def ascii_only(pattern: str) -> str:
 
 
 class ByteCodec:
-    def __init__(self, ranks: bytes, pattern: str, memo: int = 180_000) -> None:
+    def __init__(self, ranks: bytes, pattern: str, memo: int = 220_000) -> None:
         self.rank: dict[bytes, int] = {}
         for line in ranks.splitlines():
             if line.strip():
@@ -152,6 +152,7 @@ class ByteCodec:
         self.start = self._state(((-1, ROOT, ()),))
         self.ok: dict[int, bool] = {}
         self.memo = Memo(self._remembered, memo)
+        self.other: dict[str, str] = {}
         self.read: dict[tuple[bytes, int], tuple[str, bytes]] = {}
 
     def _compile(self) -> None:
@@ -283,10 +284,13 @@ class ByteCodec:
     def encode(self, text: str) -> list[int]:
         return [i for s in self.matches(text) for i in self.match(s)]
 
-    def _remembered(self, s: str) -> tuple[str, int, str]:
+    def _remembered(self, s: str) -> str:
+        """The ids of a match, each behind a space; matches that decode to another text are noted."""
         ids = self.match(s)
         shown = self.decode(ids)
-        return " " + " ".join(map(str, ids)), len(ids), s if shown == s else shown
+        if shown != s:
+            self.other[s] = shown
+        return " " + " ".join(map(str, ids))
 
     def decode_from(self, ids, held: bytes = b"") -> tuple[str, bytes]:
         """(text, bytes of the unfinished character) of ``ids`` after ``held``; goes on from where it stopped."""
@@ -310,11 +314,11 @@ class ByteCodec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, their decimal digits joined by spaces, decoded text)."""
         self.memo.turn()
-        parts = list(map(self.memo.__getitem__, self.matches(text)))
-        if not parts:
-            return 0, "", ""
-        ids, counts, shown = zip(*parts, strict=True)  # a match holds whole characters, so none goes on in the next
-        return sum(counts), "".join(ids)[1:], "".join(shown)
+        parts = self.matches(text)
+        ids = "".join(map(self.memo.__getitem__, parts))
+        # A match holds whole characters, so none goes on in the next.
+        shown = "".join(parts) if not self.other else "".join([self.other.get(s, s) for s in parts])
+        return ids.count(" "), ids[1:], shown
 
 
 _CODECS: dict[bytes, ByteCodec] = {}
