@@ -8,13 +8,14 @@ then windows of two to four words whose words have all passed. A window is a
 candidate if its bucket and those of all windows inside it pass; no frequent
 phrase can be lost, whatever collides.
 
-The distinct candidates (128-bit keys of language and words, with their text)
-are dealt to waves of at most ``WAVE`` keys; a wave's keys get a minimal perfect
-hash of cascaded bit arrays and are stored in slot order, so a window that is
-no candidate is told by its key. With one wave broadcast, each task bincounts
-the slots of its windows into one array; arrays are summed in a tree. Counts of
-phrases, of both sides of each cut and of longer phrases around a phrase are
-then read by slot.
+The distinct candidates (128-bit keys of language and words, with the least
+task that has them) are dealt to waves of at most ``WAVE`` keys; a wave's keys
+get a minimal perfect hash of cascaded bit arrays and are stored in slot order,
+so a window that is no candidate is told by its key. With one wave broadcast,
+each task bincounts the slots of its windows into one array, and writes out the
+words of the candidates that it has as the first task; arrays are summed in a
+tree. Counts of phrases, of both sides of each cut and of longer phrases around
+a phrase are then read by slot.
 
 What is broadcast is bounded: ``BUCKETS`` bits and ``WAVE`` keys. The bits are
 as many as half the words of the corpus, up to that bound; beyond it the filter
@@ -23,13 +24,15 @@ is read once a wave. Results are exact at any size. For corpora far beyond,
 ``least`` should grow with the corpus, which keeps the candidates few.
 
 Null text is empty, null language is ``und``. Texts of any length are read
-whole, in pieces of whole words; repeated rows count as often as they occur;
+whole; repeated rows count as often as they occur;
 empty tables give no rows; further columns are not read. Two phrases share a
 key with probability 2^-128 a pair.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,8 +46,11 @@ LONGEST = 4
 LEAST, COVERED_PERCENT, SCALE, TOP = 30, 80, 2_000_000, 2000
 #: Most buckets (a bit each is broadcast: 64 MB), buckets of a segment, keys of a wave, slots of an array that travels, windows a task gathers at a time.
 BUCKETS, SEGMENT, WAVE, BLOCK, GATHERED = 1 << 29, 1 << 20, 1 << 21, 4096, 1 << 21
+GROUP = 1 << 20  # bytes of text whose windows are made together
 #: Tasks whose arrays are summed at the first level of the tree.
 FAN = 64
+_WORDS = re.compile(rb"[^ \t\n]+|\n").findall
+_MARK = np.uint64(xxhash.xxh3_128_intdigest(b"\n") & 0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
@@ -104,22 +110,39 @@ class PerfectHash:
 
 
 class Windows:
-    """Word windows of texts, with their keys."""
+    """Word windows of many texts at a time, with their keys. A mark stands between pieces; no window may hold one."""
 
     def __init__(self) -> None:
         self.hashes, self.langs = WordHashes(), {}
 
-    def words(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """The words, and how many words are left in the piece of each."""
+    def groups(self, batches, text: str = "text"):
+        """(lang, words and marks, their hashes, which are words, rows of the texts) in groups of one language and some ``GROUP`` bytes.
+
+        Rows are counted over all batches; ``row[i]`` is the row of word ``i``.
+        """
+        held: dict[str, tuple[list[bytes], list[int], list[int]]] = {}
+        n = 0
+        for b in batches:
+            for lang, t in zip(b.column("lang").to_pylist(), b.column(text).to_pylist(), strict=True):
+                parts, rows, size = held.setdefault(lang, ([], [], [0]))
+                parts.append(t.encode("utf-8", "surrogatepass").translate(_LOWER))
+                rows.append(n)
+                size[0] += len(parts[-1])
+                n += 1
+                if size[0] >= GROUP:
+                    yield self._group(lang, *held.pop(lang)[:2])
+        for lang, (parts, rows, _) in held.items():
+            yield self._group(lang, parts, rows)
+
+    def _group(self, lang: str, parts: list[bytes], rows: list[int]):
         tokens: list[bytes] = []
-        sizes = []
-        for piece in text.encode("utf-8", "surrogatepass").translate(_LOWER).split(b"\n"):
-            own = piece.replace(b"\t", b" ").split(b" ")
-            own = [w for w in own if w]
-            tokens += own
-            sizes.append(len(own))
-        sizes = np.array(sizes, np.int64)
-        return tokens, np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))
+        ends = []
+        for p in parts:
+            tokens += _WORDS(p)
+            tokens.append(b"\n")
+            ends.append(len(tokens))
+        both = self.hashes.of(tokens, wide=True)
+        return lang, tokens, both, both[0] != _MARK, np.repeat(rows, np.diff(ends, prepend=0))
 
     def salt(self, lang: str, m: int) -> tuple[np.uint64, np.uint64]:
         found = self.langs.get((lang, m))
@@ -128,10 +151,13 @@ class Windows:
             found = self.langs[lang, m] = (np.uint64(both & 0xFFFFFFFFFFFFFFFF), np.uint64(both >> 64))
         return found
 
-    def keys(self, lang: str, both, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit keys of all runs of ``m`` words, whatever pieces they lie in."""
-        a, b = self.salt(lang, m)
-        return mixed(window_hashes(both[0], m) ^ a), mixed(window_hashes(both[1], m) ^ b)
+    def keys(self, lang: str, both, m: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit keys of the runs of ``m`` words (those that start ``at`` some places)."""
+        out = []
+        for h, salt in zip(both, self.salt(lang, m), strict=True):
+            h = window_hashes(h, m)
+            out.append(mixed((h if at is None else h[at]) ^ salt))
+        return out[0], out[1]
 
 
 class Filter:
@@ -145,39 +171,26 @@ class Filter:
         at = first & np.uint64(8 * len(bits) - 1)
         return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def windows(self, w: Windows, lang: str, tokens: list[bytes], room: np.ndarray, *, until: int):
+    def windows(self, w: Windows, lang: str, both, is_word: np.ndarray):
         """(m, starts, keys) of the windows whose words pass; with both kinds of bits, of those that may be frequent."""
-        both = w.hashes.of(tokens, wide=True)
         one = w.keys(lang, both, 1)
-        word = self.passes(0, one[0])
-        yield 1, np.flatnonzero(word), (one[0][word], one[1][word])
-        inner = word
-        for m in range(2, until + 1):
-            n = len(tokens) - m + 1
-            if n <= 0:
-                return
+        inner = is_word & self.passes(0, one[0])
+        yield 1, np.flatnonzero(inner), (one[0][inner], one[1][inner])
+        for m in range(2, LONGEST + 1):
             # Windows inside are those from the same start and from the next one.
-            ok = inner[:n] & inner[1 : n + 1] & (room[:n] >= m)
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero(inner[:-1] & inner[1:])
             if not len(at):
                 return
-            a, b = w.keys(lang, both, m)
-            a, b = a[at], b[at]
+            a, b = w.keys(lang, both, m, at)
+            inner = inner[:-1] & inner[1:]
             if len(self.bits) > 1:
                 good = self.passes(1, a)
                 at, a, b = at[good], a[good], b[good]
-                inner = np.zeros(n, bool)
+                inner = np.zeros(len(inner), bool)
                 inner[at] = True
-            else:
-                inner = ok
             yield m, at, (a, b)
 
 
-def _texts(batches):
-    for b in batches:
-        yield from zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)
-
-
 def _size(words: int, most: int, least: int = 1 << 16) -> int:
     return min(most, max(least, 1 << max(0, int(words)).bit_length()))
 
@@ -185,7 +198,7 @@ def _size(words: int, most: int, least: int = 1 << 16) -> int:
 def _summed(rows: DataFrame, size: int, *by: str) -> DataFrame:
     """(by, at, counts) with the arrays of equal (by, at) added up; at most one array is in memory.
 
-    ``pos`` and ``counts`` are packed uint32 and uint64 values; where ``pos`` is empty, ``counts`` is the whole array.
+    ``pos`` and ``counts`` are packed uint32 values; where ``pos`` is empty, ``counts`` is the whole array, of 64-bit values.
     """
     names = [*by, "at"]
 
@@ -197,10 +210,10 @@ def _summed(rows: DataFrame, size: int, *by: str) -> DataFrame:
                 if key != held:
                     done += [(held, total)] if held is not None else []
                     held, total = key, np.zeros(size, np.int64)
-                counts = np.frombuffer(counts, np.int64)
                 if pos:
-                    total[np.frombuffer(pos, np.uint32)] += counts  # the places of one row differ
+                    total[np.frombuffer(pos, np.uint32)] += np.frombuffer(counts, np.uint32)  # the places of one row differ
                 else:
+                    counts = np.frombuffer(counts, np.int64)
                     total[: len(counts)] += counts
             if done:
                 yield packed(done)
@@ -232,17 +245,14 @@ def _bucket_bits(docs: DataFrame, bits: list, buckets: int, least: int) -> np.nd
             ends = [*cuts[1:], len(at)]
             return pa.RecordBatch.from_arrays([
                 pa.array(segment[cuts], pa.int64()), pa.array([(at[i:j] % size).astype(np.uint32).tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
-                pa.array([counts[i:j].astype(np.int64).tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                pa.array([counts[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
             ], names=["at", "pos", "counts"])
 
-        for lang, text in _texts(batches):
-            tokens, room = w.words(text)
-            if not tokens:
-                continue
+        for lang, _, both, is_word, _ in w.groups(batches):
             if not f.bits:
-                made = [w.keys(lang, w.hashes.of(tokens, wide=True), 1)[0]]
+                made = [w.keys(lang, both, 1)[0][is_word]]
             else:
-                made = [keys[0] for m, _, keys in f.windows(w, lang, tokens, room, until=LONGEST) if m > 1]
+                made = [keys[0] for m, _, keys in f.windows(w, lang, both, is_word) if m > 1]
             for first in made:
                 held.append((first & np.uint64(buckets - 1)).astype(np.int64))
                 n += len(first)
@@ -266,61 +276,75 @@ def _bucket_bits(docs: DataFrame, bits: list, buckets: int, least: int) -> np.nd
 
 
 def _candidates(docs: DataFrame, bits) -> DataFrame:
-    """(lang, m, phrase, first, second) of the distinct candidates; keys as signed longs."""
+    """(first, second, part) of the distinct candidates: their keys as signed longs, and the least task that has them."""
 
     def run(batches):
-        w, f, seen = Windows(), Filter(bits.value), set()
-        out: list[tuple] = []
-        for lang, text in _texts(batches):
-            tokens, room = w.words(text)
-            if not tokens:
-                continue
-            for m, at, (a, b) in f.windows(w, lang, tokens, room, until=LONGEST):
-                for i, x, y in zip(at.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True):
-                    if x not in seen:
-                        seen.add(x)
-                        out.append((lang, m, b" ".join(tokens[i : i + m]), x, y))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if len(out) > 20_000:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
-
-    def batch(out):
-        lang, m, phrase, x, y = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(m, pa.int32()), pa.array([p.decode("utf-8", "surrogatepass") for p in phrase], pa.string()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["lang", "m", "phrase", "first", "second"])
-
-    return docs.mapInArrow(run, "lang string, m int, phrase string, first long, second long").dropDuplicates(["first", "second"])
+        w, f = Windows(), Filter(bits.value)
+        part = TaskContext.get().partitionId()
+        held, n, known = [], 0, 0
+
+        def merged():
+            a, b = (np.concatenate([k[j] for k in held]) for j in (0, 1))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            return a[new], b[new]
+
+        for lang, _, both, is_word, _ in w.groups(batches):
+            for _, _, keys in f.windows(w, lang, both, is_word):
+                held.append(keys)
+                n += len(keys[0])
+            if n >= known + GATHERED:
+                held = [merged()]
+                n = known = len(held[0][0])
+        if n:
+            a, b = merged()
+            for i in range(0, len(a), 50_000):
+                cols = [x[i : i + 50_000].view(np.int64) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), part, np.int64))], names=["first", "second", "part"])
+
+    return docs.mapInArrow(run, "first long, second long, part long").groupBy("first", "second").agg(F.min("part").alias("part"))
 
 
 def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
-    """(slot, f) of all slots with windows, by arrays that tasks fill and a tree sums: those of FAN tasks first, then the sums."""
+    """Arrays (part, at, pos, counts) of the slots that a task has filled, and (slot, lang, m, phrase) of those that it has as the first task; a table."""
 
     def run(batches):
-        w, f, h = Windows(), Filter(bits.value), hashed.value
-        total = np.zeros(h.n, np.int64)
-        for lang, text in _texts(batches):
-            tokens, room = w.words(text)
-            if not tokens:
-                continue
-            found = [h.find(*keys) for _, _, keys in f.windows(w, lang, tokens, room, until=LONGEST)]
-            slots = np.concatenate(found)
-            # Adding at the distinct slots of a text costs as the text, not as the array.
-            at, n = np.unique(slots[slots >= 0], return_counts=True)
-            total[at] += n
+        w, f = Windows(), Filter(bits.value)
+        h, parts = hashed.value
         part = TaskContext.get().partitionId()
+        total, mine = np.zeros(h.n, np.int64), parts == part
+        for lang, tokens, both, is_word, _ in w.groups(batches):
+            told: list[tuple] = []
+            for m, at, keys in f.windows(w, lang, both, is_word):
+                slots = h.find(*keys)
+                at, slots = at[slots >= 0], slots[slots >= 0]
+                total += np.bincount(slots, minlength=h.n)
+                own = mine[slots]
+                first, i = np.unique(slots[own], return_index=True)
+                mine[first] = False
+                told += [(slot, lang, m, b" ".join(tokens[k : k + m]).decode("utf-8", "surrogatepass")) for slot, k in zip(first.tolist(), at[own][i].tolist(), strict=True)]
+            if told:
+                slot, langs, ms, phrases = zip(*told, strict=True)
+                none = pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.binary()), pa.nulls(len(slot), pa.binary())
+                yield pa.RecordBatch.from_arrays([*none, pa.array(slot, pa.int64()), pa.array(langs, pa.string()), pa.array(ms, pa.int32()), pa.array(phrases, pa.string())], names=names)
         used = [k for k in range(0, h.n, BLOCK) if total[k : k + BLOCK].any()]
         for i in range(0, len(used), 64):
             ks = used[i : i + 64]
+            none = pa.nulls(len(ks), pa.int64()), pa.nulls(len(ks), pa.string()), pa.nulls(len(ks), pa.int32()), pa.nulls(len(ks), pa.string())
             yield pa.RecordBatch.from_arrays([
                 pa.array([part] * len(ks), pa.int64()), pa.array([k // BLOCK for k in ks], pa.int64()), pa.array([b""] * len(ks), pa.binary()),
-                pa.array([total[k : k + BLOCK].tobytes() for k in ks], pa.binary()),
-            ], names=["part", "at", "pos", "counts"])
+                pa.array([total[k : k + BLOCK].tobytes() for k in ks], pa.binary()), *none,
+            ], names=names)
 
-    arrays = docs.mapInArrow(run, "part long, at long, pos binary, counts binary")
-    arrays = _summed(arrays.withColumn("part", F.expr(f"part DIV {FAN}")), BLOCK, "part")
+    names = ["part", "at", "pos", "counts", "slot", "lang", "m", "phrase"]
+    return written(docs.mapInArrow(run, "part long, at long, pos binary, counts binary, slot long, lang string, m int, phrase string"), "phrase-arrays")
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """(slot, f): the arrays summed in a tree, those of FAN tasks first, then the sums."""
+    arrays = rows.where("at is not null").select((F.expr(f"part DIV {FAN}")).alias("part"), "at", "pos", "counts")
 
     def slots(batches):
         for b in batches:
@@ -329,31 +353,28 @@ def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array(k * BLOCK + at), pa.array(c[at])], names=["slot", "f"])
 
-    return _summed(arrays, BLOCK).select("at", "counts").mapInArrow(slots, "slot long, f long")
+    return _summed(_summed(arrays, BLOCK, "part"), BLOCK).select("at", "counts").mapInArrow(slots, "slot long, f long")
 
 
-def _slots_of(phrases: DataFrame, hashed, *, inner: bool) -> DataFrame:
-    """Slots of the phrases (``inner``: of the phrases inside each, with their place)."""
+def _insides(phrases: DataFrame, hashed) -> DataFrame:
+    """(id, i, size, slot) of the phrases inside each of ``phrases(id, lang, m, phrase)``: ``size`` words from its word ``i``."""
 
     def run(batches):
-        w, h = Windows(), hashed.value
+        w, h = Windows(), hashed.value[0]
         for b in batches:
-            rows = []
-            for r, (lang, m, phrase) in enumerate(zip(*(b.column(c).to_pylist() for c in ("lang", "m", "phrase")), strict=True)):
-                both = w.hashes.of(phrase.encode("utf-8", "surrogatepass").split(b" "), wide=True)
-                for size in range(1, m) if inner else (m,):
-                    for i, slot in enumerate(h.find(*w.keys(lang, both, size)).tolist()):
-                        if slot >= 0:
-                            rows.append((r, i, size, slot))
-            if not rows:
-                continue
-            r, i, size, slot = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
-            cols = [b.column(c).take(r) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, *([i, size] if inner else []), slot], names=[*kept, *(["i", "size"] if inner else []), "slot"])
-
-    kept = ["id"] if inner else ["lang", "m", "phrase"]
-    ddl = "id long, i long, size long, slot long" if inner else "lang string, m int, phrase string, slot long"
-    return phrases.mapInArrow(run, ddl)
+            ids, ms = (b.column(c).to_numpy() for c in ("id", "m"))
+            for lang, _, both, is_word, row in w.groups([b], "phrase"):
+                start = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+                place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+                for size in range(1, LONGEST):
+                    n = len(row) - size + 1
+                    at = np.flatnonzero(is_word[:n] & (place[:n] + size <= ms[row[:n]]) & (ms[row[:n]] > size)) if n > 0 else []
+                    if len(at):
+                        slot = h.find(*w.keys(lang, both, size, at))
+                        at, slot = at[slot >= 0], slot[slot >= 0]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[row[at]]), pa.array(place[at]), pa.array(np.full(len(at), size)), pa.array(slot)], names=["id", "i", "size", "slot"])
+
+    return phrases.select("id", "lang", "m", "phrase").mapInArrow(run, "id long, i long, size long, slot long")
 
 
 def collocations(docs: DataFrame, *, least: int = LEAST, covered_percent: int = COVERED_PERCENT, wave: int = WAVE, most_buckets: int = BUCKETS) -> DataFrame:
@@ -377,17 +398,23 @@ def collocations(docs: DataFrame, *, least: int = LEAST, covered_percent: int =
 
     counted, hashes = None, []
     for k in range(waves):
-        keys = found.where(of == k).select("first", "second").orderBy("first", "second").toArrow()
-        hashed = sc.broadcast(PerfectHash(*(keys.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("first", "second"))))
+        keys = found.where(of == k).orderBy("first", "second").toArrow()
+        h = PerfectHash(*(keys.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("first", "second")))
+        parts = np.empty(h.n, np.int32)
+        parts[h.find(*(keys.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("first", "second")))] = keys.column("part").to_numpy()
+        hashed = sc.broadcast((h, parts))
         hashes.append(hashed)
-        wave_of = F.lit(k).cast("int").alias("wave")
-        part = _slots_of(found.where(of == k).select("lang", "m", "phrase"), hashed, inner=False).join(_counted(docs, bits, hashed), "slot").where(F.col("f") >= least).select(wave_of, "slot", "lang", "m", "phrase", "f")
+        rows = _counted(docs, bits, hashed)
+        part = _sums(rows).where(F.col("f") >= least).join(rows.where("slot is not null").select("slot", "lang", "m", "phrase"), "slot", "left")
+        part = part.select((F.lit(k) + F.col("slot") * waves).alias("id"), "lang", "m", "phrase", "f")
         counted = part if counted is None else counted.unionByName(part)
-    frequent = written(counted.withColumn("id", F.col("wave") + F.col("slot") * waves), "phrase-counts")
+    frequent = written(counted, "phrase-counts")
+    if not frequent.where("phrase is null").isEmpty():
+        raise RuntimeError("the tasks of docs are dealt anew each time it is read: write it as a table first")
 
     insides = None
     for k, hashed in enumerate(hashes):
-        part = _slots_of(frequent.where("m > 1").select("id", "lang", "m", "phrase"), hashed, inner=True).withColumn("inside", F.lit(k) + F.col("slot") * waves).drop("slot")
+        part = _insides(frequent.where("m > 1"), hashed).withColumn("inside", F.lit(k) + F.col("slot") * waves).drop("slot")
         insides = part if insides is None else insides.unionByName(part)
     counts = frequent.select(F.col("id").alias("inside"), F.col("f").alias("g"))
     insides = written(insides.join(counts, "inside"), "phrase-insides")
