@@ -8,6 +8,7 @@ signed numbers are not kept together as one token, and all weights are equal.
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass, field
 
@@ -139,22 +140,22 @@ def cover_density(positions: list[list[int]]) -> float:
     """Rank of a text for an AND of words with these positions: the sum over minimal covers of 1 / their span, times the weight.
 
     A cover is a shortest stretch that holds every word; ``span`` is one more
-    than the positions in it that are no query word, as in Clarke et al.
+    than the positions in it that are no query word, as in Clarke et al. One
+    sweep over the merged positions, which increase in each list: what lies in
+    a cover is told by places, not by counting.
     """
     if not positions or any(not p for p in positions):
         return 0.0
-    events = sorted((p, k) for k, ps in enumerate(positions) for p in ps)
-    last = [-1] * len(positions)
+    last: list[tuple[int, int]] = [(-1, -1)] * len(positions)  # of each word: its last position, and its place among all
     total, before = 0.0, -1
-    for at, k in events:
-        last[k] = at
-        start = min(last)
-        if start < 0 or start <= before:
+    for place, (at, k) in enumerate(heapq.merge(*([(p, k) for p in ps] for k, ps in enumerate(positions)))):
+        last[k] = at, place
+        start, first = min(last)
+        if start <= before:
             continue
         before = start
-        inside = sum(1 for p, _ in events if start <= p <= at)
-        noise = at - start - (inside - 1)
-        total += len(positions) * WEIGHT / len(positions) / max(1, 1 + noise)
+        noise = at - start - (place - first)
+        total += WEIGHT / max(1, 1 + noise)
     return total
 
 

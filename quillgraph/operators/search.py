@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lexical import Query, cover_rank, matches, matches_tokens, tokens
+from ..functions.lexical import POSITION_LIMIT, WEIGHT, Query, cover_rank, matches, matches_tokens, tokens
 from ..functions.scalars import reference_quote, rrf_score
 from ..functions.vectors import cosine_to
 
@@ -44,6 +44,28 @@ def lexical_top_k(rows: DataFrame, query: Query, k: int = CANDIDATES, rank=None)
     return found.select("chunk_id", score.alias("rank_score")).orderBy(F.desc("rank_score"), "chunk_id").limit(k)
 
 
+def cover_ranks(rows: DataFrame, words: list[str]) -> DataFrame:
+    """X10 natively, for an AND of words: (chunk_id, rank_score) of ``rows(chunk_id, text)`` by window functions over the positions.
+
+    At each occurrence the last ones of all words are known; the earliest of
+    them is where a cover that ends here begins, and it is a new cover if that
+    start has moved.
+    """
+    words = list(dict.fromkeys(words))
+    at = rows.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).where(F.col("word").isin(words))
+    over = Window.partitionBy("chunk_id").orderBy("pos")
+    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(over)
+    last = [F.max(F.when(F.col("word") == w, F.struct("pos", "place"))).over(so_far) for w in words]
+    seen = at.withColumn("pos", F.least(F.col("pos") + 1, F.lit(POSITION_LIMIT))).withColumn("place", place)
+    seen = seen.select("chunk_id", "pos", "place", *(x.alias(f"l{i}") for i, x in enumerate(last)))
+    start = F.least(*(f"l{i}" for i in range(len(words)))) if len(words) > 1 else F.col("l0")
+    whole = seen.where(" and ".join(f"l{i} is not null" for i in range(len(words)))).withColumn("start", start)
+    covers = whole.withColumn("before", F.lag("start.pos").over(Window.partitionBy("chunk_id").orderBy("place"))).where("before is null or start.pos > before")
+    noise = F.col("pos") - F.col("start.pos") - (F.col("place") - F.col("start.place"))
+    return covers.groupBy("chunk_id").agg(F.round(F.sum(F.lit(WEIGHT) / F.greatest(1 + noise, F.lit(1))), 9).alias("rank_score"))
+
+
 def ranked(df: DataFrame, *order: Column | str, as_: str = "rank") -> DataFrame:
     """1-based ranks of a channel. Channels are top-k results, so one partition holds them."""
     return df.withColumn(as_, F.row_number().over(Window.orderBy(*order)))

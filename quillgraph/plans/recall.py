@@ -16,16 +16,18 @@ from pyspark.sql.window import Window
 from ..functions.lexical import parse_query
 from ..functions.scalars import write_references
 from ..operators import graph, scope, search
+from ..operators.lexical_index import LexicalIndex
 
 SEEDS, MOST_RECORDS = 10, 100
 MODES = ("chunks", "rag", "graph", "triplets", "hybrid", "summaries")
 
 
-def chunk_hits(visible: DataFrame, vector: list[float], text: str, *, top_k: int | None = None, candidates: int = search.CANDIDATES, rrf_k: int = search.RRF_K) -> DataFrame:
-    """Q01: fused hits with their chunk columns. Text joins the few ids that stay."""
+def chunk_hits(visible: DataFrame, vector: list[float], text: str, *, top_k: int | None = None, candidates: int = search.CANDIDATES, rrf_k: int = search.RRF_K, index: LexicalIndex | None = None) -> DataFrame:
+    """Q01: fused hits with their chunk columns. Text joins the few ids that stay; with an ``index`` of the chunks no other text is read."""
     k = search.checked_top_k(top_k)
     near = search.ranked(search.vector_top_k(visible, vector, candidates), F.desc("score"), "chunk_id")
-    said = search.ranked(search.lexical_top_k(visible, parse_query(text), candidates), F.desc("rank_score"), "chunk_id")
+    found = index.top_k(parse_query(text), candidates, within=graph.kept(visible.select("chunk_id"))) if index else search.lexical_top_k(visible, parse_query(text), candidates)
+    said = search.ranked(found, F.desc("rank_score"), "chunk_id")
     fused = search.fuse(near, said, k=rrf_k, top_k=k)
     return visible.drop("embedding", "lexical").join(fused, "chunk_id")
 

@@ -226,6 +226,51 @@ def lexical_topk(t):
     return search.lexical_top_k(t.chunks.where("is_active"), q, rank=lexical.token_rank)
 
 
+def covers_sql(words: tuple[str, ...], source: str = MATCHED) -> str:
+    """(chunk_id, rank_score) by cover density for an AND of words: the last place of each word at every occurrence, by window functions."""
+    last = ", ".join(f"max(CASE WHEN word = '{w}' THEN pos END) OVER run AS p{i}, max(CASE WHEN word = '{w}' THEN place END) OVER run AS n{i}" for i, w in enumerate(words))
+    p, n = (", ".join(f"{c}{i}" for i in range(len(words))) for c in "pn")
+    whole = " AND ".join(f"p{i} IS NOT NULL" for i in range(len(words)))
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"""SELECT chunk_id, round(sum(0.1::DOUBLE / greatest(1 + (pos - start) - (place - first), 1)), 9) AS rank_score FROM (
+  SELECT *, lag(start) OVER (PARTITION BY chunk_id ORDER BY place) AS before FROM (
+  SELECT chunk_id, pos, place, least({p}) AS start, least({n}) AS first FROM (SELECT *, {last} FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS place FROM (SELECT chunk_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM ({source}) m) t WHERE word IN ({listed})) o
+  WINDOW run AS (PARTITION BY chunk_id ORDER BY place ROWS UNBOUNDED PRECEDING)) l WHERE {whole}) c) d WHERE before IS NULL OR start > before GROUP BY chunk_id"""
+
+
+@query(covers_sql(WORDS), ("f_chunks",))
+def cover_ranks(t):
+    """Cover density of every chunk that has all words, by window functions on both sides."""
+    return search.cover_ranks(t.chunks.where("is_active"), list(WORDS))
+
+
+@query(covers_sql(WORDS), ("f_chunks",))
+def cover_ranks_stored(t):
+    """The same from the stored index, by the linear sweep."""
+    return t.lexical_index().ranked(lexical.parse_query(" ".join(WORDS)))
+
+
+@query(f"SELECT chunk_id, rank_score FROM ({covers_sql(WORDS)}) r ORDER BY rank_score DESC, chunk_id LIMIT 50", ("f_chunks",))
+def lexical_cover_topk(t):
+    """The stored index, left by rank bounds."""
+    return t.lexical_index().top_k(lexical.parse_query(" ".join(WORDS)), 50)
+
+
+@query(f"SELECT chunk_id FROM ({MATCHED}) x WHERE (list_contains(w, 'the') AND list_contains(w, 'of') AND NOT list_contains(w, 'and')) OR list_contains(w, 'apache')", ("f_chunks",))
+def lexical_match_stored(t):
+    """AND, NOT and OR, from the stored index."""
+    return t.lexical_index().ranked(lexical.parse_query("the of -and or apache")).select("chunk_id")
+
+
+@query(f"SELECT word AS lexeme, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n_positions FROM (SELECT chunk_id, unnest(w) AS word FROM ({MATCHED}) m) x GROUP BY 1", ("f_chunks",))
+def stored_lexemes(t):
+    """What the stored index holds of every lexeme."""
+    posts = t.spark.read.parquet(f"{t.lexical_index().path}/postings")
+    sums = F.aggregate("posts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["positions"]))
+    return posts.groupBy("lexeme").agg(F.sum(F.size("posts")).cast("long").alias("n_chunks"), F.sum(sums).cast("long").alias("n_positions"))
+
+
 @query(f"""WITH v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY round({COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) DESC, vec_id) AS rank FROM embeddings),
 l AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 f AS (SELECT chunk_id, v.rank AS vector_rank, l.rank AS lexical_rank, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0) AS score FROM (SELECT * FROM v WHERE rank <= 50) v FULL JOIN (SELECT * FROM l WHERE rank <= 50) l USING (chunk_id))
@@ -255,10 +300,14 @@ def recall_references_all(t):
     return search.references(hits).select("chunk_id", "document_id", "ordinal", "quote")
 
 
-@query()
+@query(f"""WITH vis AS ({VISIBLE}), q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7),
+near AS (SELECT chunk_id, row_number() OVER (ORDER BY {COS.format(a='x.embedding', b='q.e')} DESC, chunk_id) AS vector_rank FROM vis JOIN embeddings x ON x.vec_id = vis.document_id AND vis.ordinal = 0, q ORDER BY 2 LIMIT 50),
+said AS (SELECT chunk_id, row_number() OVER (ORDER BY rank_score DESC, chunk_id) AS lexical_rank FROM ({covers_sql(('the', 'of'), f"SELECT chunk_id, {TOKENS} AS w FROM vis")}) r ORDER BY 2 LIMIT 50),
+f AS (SELECT chunk_id, vector_rank, lexical_rank, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS score FROM near FULL JOIN said USING (chunk_id))
+SELECT f.chunk_id, document_id, vector_rank::INT AS vector_rank, lexical_rank::INT AS lexical_rank, round(score, 9) AS score FROM (SELECT * FROM f ORDER BY score DESC, least(vector_rank, lexical_rank), CAST(chunk_id AS VARCHAR) LIMIT 12) f JOIN vis USING (chunk_id)""", SCOPE)
 def recall_rag(t):
-    """Q01: whole chunks recall with both channels, over summaries' vectors placed on first chunks."""
-    return recall.chunk_hits(with_vectors(t), query_vector(t), "the of").select("chunk_id", "document_id", "vector_rank", "lexical_rank", F.round("score", 9).alias("score"))
+    """Q01: whole chunks recall with both channels, over summaries' vectors placed on first chunks; words from the stored index."""
+    return recall.chunk_hits(with_vectors(t), query_vector(t), "the of", index=t.lexical_index()).select("chunk_id", "document_id", "vector_rank", "lexical_rank", F.round("score", 9).alias("score"))
 
 
 def with_vectors(t: Fixture) -> DataFrame:

@@ -26,3 +26,10 @@ def scratch(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/quillgraph")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for derived tables: the one for checkpoints."""
+    scratch(spark)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")

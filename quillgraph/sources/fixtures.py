@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lexical_index import LexicalIndex
+from .store import derived
+
 #: name -> (SQL, tables and views it reads). ``{hash}``, ``{seconds}`` and ``{lines}`` differ by engine.
 VIEWS = {
     "f_datasets": "SELECT DISTINCT lang AS dataset_id, lang AS slug, CASE WHEN lang = 'es' THEN 'deleting' ELSE 'active' END AS status, 1 AS active_generation FROM documents",
@@ -68,6 +71,11 @@ class Fixture:
             self._made[name] = self.spark.sql(sql, **reads)
         return self._made[name]
 
+    def lexical_index(self) -> LexicalIndex:
+        """The index over all active chunks, stored once for the present files."""
+        build = lambda path: LexicalIndex.build(self.chunks.where("is_active").select("chunk_id", "text"), path)
+        return LexicalIndex(self.spark, derived(self.spark, "lexical", [f"{self.dir}/documents.parquet"], build))
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"f_{name}" in VIEWS:
             return self.view(f"f_{name}")

@@ -7,8 +7,13 @@ marker, so a half-written one is never seen and a failed run costs nothing.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_dir
+
 MARKER = "_PUBLISHED"
 
 
@@ -17,6 +22,34 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def files_key(spark: SparkSession, *paths: str) -> str:
+    """A name for the present content of files and folders: paths, lengths and times of change."""
+    seen = []
+    for path in paths:
+        p, fs = _fs(spark, path)
+        for s in fs.globStatus(p):
+            found = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+            seen += [f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in found]
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
+def derived(spark: SparkSession, name: str, inputs: list[str], build) -> str:
+    """The folder of what ``build(folder)`` writes for the files ``inputs``; built once for their present content.
+
+    It is built aside and renamed when it is complete, so a failed or a second
+    build leaves nothing half-written.
+    """
+    final = f"{scratch_dir(spark)}/derived/{name}-{files_key(spark, *inputs)}"
+    p, fs = _fs(spark, final)
+    if not fs.exists(p):
+        aside = f"{final}-{uuid.uuid4().hex}"
+        build(aside)
+        a, _ = _fs(spark, aside)
+        if fs.exists(p) or not fs.rename(a, p):
+            fs.delete(a, True)
+    return final
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Published snapshots, oldest first."""
     p, fs = _fs(spark, root)
