@@ -45,8 +45,8 @@ from .common import WordHashes, mixed, partitions, text_of, window_hashes, writt
 LONGEST = 4
 LEAST, COVERED_PERCENT, SCALE, TOP = 30, 80, 2_000_000, 2000
 #: Most buckets (a bit each is broadcast: 64 MB), buckets of a segment, keys of a wave, slots of an array that travels, windows a task gathers at a time.
-BUCKETS, SEGMENT, WAVE, BLOCK, GATHERED = 1 << 29, 1 << 20, 1 << 21, 4096, 1 << 21
-GROUP = 1 << 20  # bytes of text whose windows are made together
+BUCKETS, SEGMENT, WAVE, BLOCK, GATHERED = 1 << 29, 1 << 20, 1 << 21, 4096, 1 << 19
+GROUP = 1 << 19  # bytes of text whose windows are made together
 #: Tasks whose arrays are summed at the first level of the tree.
 FAN = 64
 _WORDS = re.compile(rb"[^ \t\n]+|\n").findall
@@ -122,7 +122,7 @@ class Windows:
         """
         held: dict[str, tuple[list[bytes], list[int], list[int]]] = {}
         n = 0
-        for b in batches:
+        for b in (whole.slice(i, 128) for whole in batches for i in range(0, whole.num_rows, 128)):  # few texts are Python objects at a time
             for lang, t in zip(b.column("lang").to_pylist(), b.column(text).to_pylist(), strict=True):
                 parts, rows, size = held.setdefault(lang, ([], [], [0]))
                 parts.append(t.encode("utf-8", "surrogatepass").translate(_LOWER))
@@ -295,7 +295,7 @@ def _candidates(docs: DataFrame, bits) -> DataFrame:
             for _, _, keys in f.windows(w, lang, both, is_word):
                 held.append(keys)
                 n += len(keys[0])
-            if n >= known + GATHERED:
+            if n >= known + max(GATHERED, known):
                 held = [merged()]
                 n = known = len(held[0][0])
         if n:
