@@ -2,59 +2,35 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import folded_type
 from ..functions.vectors import valid_components
+from . import metric
 from .graph import kept
 
 CANDIDATE, MERGE = 0.90, 0.95
 TILE = 1024  # rows of one side of a matrix product
 
 
-def duplicate_candidates(entities: DataFrame, threshold: float = CANDIDATE) -> DataFrame:
+def duplicate_candidates(entities: DataFrame, threshold: float = CANDIDATE, *, tile: int = TILE) -> DataFrame:
     """Pairs (entity_id < candidate_id) of one dataset and type with a cosine of at least ``threshold``.
 
-    Exact. The entities of a dataset and type are dealt to tiles of about
-    ``TILE`` rows, and every two tiles of a block are one task's matrix product,
-    so a type that holds most entities is many tasks and only hits leave them.
-    Each row travels once for each tile of its block. ``blocked_candidates`` is
-    the approximate form. Vectors that are null, zero, of another length or with
-    null or non-finite components are like no other.
+    Exact: ``metric.similar_pairs`` over blocks of dataset, type and width. Large
+    blocks are cut into cells around pivots, and a row travels to its own cell
+    and to those that it may have partners in; a cell is compared in tiles of
+    about ``tile`` rows, so a type that holds most entities is many tasks and
+    only hits leave them. ``blocked_candidates`` is the approximate form. Vectors
+    that are null, zero, of another length or with null or non-finite
+    components are like no other.
     """
-    block = ["dataset_id", "t", "width"]
     known = "dataset_id" in entities.columns
-    rows = entities.where("embedding is not null").select((F.col("dataset_id") if known else F.lit(None)).cast("string").alias("dataset_id"), "entity_id", folded_type(F.col("entity_type")).alias("t"), F.size("embedding").alias("width"), "embedding")
-    rows = rows.where("t is not null and width > 0").where(valid_components(F.col("embedding")))
-    sizes = rows.groupBy(*block).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    same = F.col("r.dataset_id").eqNullSafe(F.col("s.dataset_id")) & (F.col("r.t") == F.col("s.t")) & (F.col("r.width") == F.col("s.width"))
-    dealt = rows.alias("r").join(sizes.alias("s"), same).select("r.*", "tiles", F.pmod(F.xxhash64("entity_id"), F.col("tiles")).cast("int").alias("own"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with")}).select(*block, "low", "high", "own", "entity_id", "embedding")
-    kind = dealt.schema["entity_id"].dataType.simpleString()
-
-    def compared(of: pa.Table) -> pa.Table:
-        low, high = of.column("low")[0].as_py(), of.column("high")[0].as_py()
-        own, ids = of.column("own").to_numpy(), of.column("entity_id").to_numpy()
-        vectors = of.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-        a, b = own == low, own == high
-        lengths = np.linalg.norm(vectors, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            near = vectors[a] @ vectors[b].T / np.outer(lengths[a], lengths[b])
-        i, j = np.nonzero(near >= threshold)
-        x, y = ids[a][i], ids[b][j]
-        # Within one tile every pair is met from both sides.
-        once = x < y if low == high else x != y
-        x, y, score = x[once], y[once], near[i, j][once]
-        kind = of.schema.field("entity_id").type
-        return pa.table({"entity_id": pa.array(np.where(x < y, x, y), kind), "candidate_id": pa.array(np.where(x < y, y, x), kind), "similarity": pa.array(score, pa.float64())})
-
-    pairs = dealt.groupBy(*block, "low", "high").applyInArrow(compared, f"entity_id {kind}, candidate_id {kind}, similarity double")
-    return pairs.orderBy(F.desc("similarity"), "entity_id", "candidate_id")
+    block = F.to_json(F.array((F.col("dataset_id") if known else F.lit(None)).cast("string"), folded_type(F.col("entity_type")), F.size("embedding").cast("string")))
+    rows = entities.where("embedding is not null and size(embedding) > 0").where(folded_type(F.col("entity_type")).isNotNull()).where(valid_components(F.col("embedding"))).where(F.exists("embedding", lambda x: x != 0))
+    pairs = metric.similar_pairs(rows.select(block.alias("block"), F.col("entity_id").alias("id"), "embedding"), threshold, tile=tile)
+    return pairs.select(F.col("a").alias("entity_id"), F.col("b").alias("candidate_id"), "similarity").orderBy(F.desc("similarity"), "entity_id", "candidate_id")
 
 
 def blocked_candidates(entities: DataFrame, threshold: float = CANDIDATE, *, bucket: float = 0.5, tables: int = 8) -> DataFrame:

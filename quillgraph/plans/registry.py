@@ -191,6 +191,12 @@ def vector_topk(t):
     return search.vector_top_k(rows, query_vector(t)).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT vec_id AS id, round({COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 50")
+def vector_topk_stored(t):
+    """behind the stored pivot index."""
+    return t.vector_index().top_k(query_vector(t), 50)[0].select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"""SELECT m.summary_id, m.document_id, round({COS.format(a='m.embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 7)')}, 6) AS score
   FROM f_summaries m JOIN f_datasets t USING (dataset_id) JOIN f_documents d ON d.document_id = m.document_id JOIN f_sources s ON s.source_id = d.source_id
   WHERE t.status = 'active' AND m.is_active AND m.generation = t.active_generation AND d.is_active AND d.generation = t.active_generation AND s.status = 'active' ORDER BY 3 DESC, 1 LIMIT 12""", ("f_datasets", "f_sources", "f_documents", "f_summaries"))

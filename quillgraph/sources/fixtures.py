@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.lexical_index import LexicalIndex
+from ..operators.metric import MetricIndex
 from .store import derived
 
 #: name -> (SQL, tables and views it reads). ``{hash}``, ``{seconds}`` and ``{lines}`` differ by engine.
@@ -76,6 +77,11 @@ class Fixture:
         build = lambda path: LexicalIndex.build(self.chunks.where("is_active").select("chunk_id", "text"), path)
         return LexicalIndex(self.spark, derived(self.spark, "lexical", [f"{self.dir}/documents.parquet"], build))
 
+    def vector_index(self) -> MetricIndex:
+        """The pivot index over all embeddings, stored once for the present files."""
+        build = lambda path: MetricIndex.build(self.table("embeddings"), path, id_col="vec_id")
+        return MetricIndex(self.spark, derived(self.spark, "vectors", [f"{self.dir}/embeddings.parquet"], build))
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"f_{name}" in VIEWS:
             return self.view(f"f_{name}")
