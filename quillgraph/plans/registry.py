@@ -391,7 +391,7 @@ def graph_relation_scores_all(t):
 def subgraph_2hop(t):
     """G02."""
     root = t.spark.createDataFrame([("c1",)], "entity_id string")
-    return graph.subgraph_nodes(t.relations.where("is_active"), root, 2)
+    return t.adjacency().subgraph_nodes(root, 2)
 
 
 @query("WITH n AS (SELECT DISTINCT target_entity_id AS x FROM f_relations WHERE is_active AND source_entity_id IN ('c1', 'c2') UNION SELECT 'c1' UNION SELECT 'c2' UNION SELECT 'c4') SELECT relation_id, source_entity_id, target_entity_id FROM f_relations WHERE is_active AND source_entity_id IN (SELECT x FROM n) AND target_entity_id IN (SELECT x FROM n)", ("f_relations",))
@@ -406,11 +406,11 @@ def relations_among(t):
 target AS (SELECT min(z) AS z FROM p2 WHERE z <> a) SELECT 2 AS length, a || ',' || min(m) || ',' || p2.z AS path FROM p2 JOIN target USING (z) GROUP BY a, p2.z""", ("f_relations",))
 def shortest_path(t):
     """Between the first customer and the first one that shares a part with it."""
-    live = t.relations.where("is_active")
-    start = live.agg(F.min("source_entity_id")).first()[0]
-    parts = live.where(F.col("source_entity_id") == start).select("target_entity_id")
-    end = live.join(parts, "target_entity_id", "left_semi").where(F.col("source_entity_id") != start).agg(F.min("source_entity_id")).first()[0]
-    return graph.shortest_path(live, start, end).select("length", F.concat_ws(",", "nodes").alias("path"))
+    near = t.adjacency()
+    start = near.rows.where("forward").agg(F.min("node")).first()[0]
+    parts = near.rows.where((F.col("node") == start) & F.col("forward")).select(F.col("other").alias("node"))
+    end = near.at(parts, parts.count()).where(F.col("other") != start).agg(F.min("other")).first()[0]
+    return near.shortest_path(start, end).select("length", F.concat_ws(",", "nodes").alias("path"))
 
 
 @query("SELECT 'entity_type' AS kind, entity_type AS value FROM f_entities UNION SELECT 'predicate', predicate FROM f_relations UNION SELECT * FROM (VALUES ('node_label', 'Entity'), ('node_label', 'Chunk'), ('relationship_type', 'RELATES_TO'), ('relationship_type', 'MENTIONED_IN'), ('relationship_type', 'NEXT')) v", ("f_entities", "f_relations"))

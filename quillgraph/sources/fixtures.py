@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.adjacency import Adjacency
 from ..operators.lexical_index import LexicalIndex
 from ..operators.metric import MetricIndex
 from .store import derived
@@ -82,6 +83,11 @@ class Fixture:
         build = lambda path: MetricIndex.build(self.table("embeddings"), path, id_col="vec_id")
         return MetricIndex(self.spark, derived(self.spark, "vectors", [f"{self.dir}/embeddings.parquet"], build))
 
+    def adjacency(self) -> Adjacency:
+        """Neighbours in the order graph, stored once for the present files."""
+        build = lambda path: Adjacency.build(self.relations.where("is_active"), path)
+        return Adjacency.open(self.spark, derived(self.spark, "adjacency", [f"{self.dir}/lineitem.parquet", f"{self.dir}/orders.parquet"], build))
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"f_{name}" in VIEWS:
             return self.view(f"f_{name}")
