@@ -16,9 +16,11 @@ from ..functions.rounding import clamp_weight, effective_importance
 from ..operators import dedup, feedback, graph, listing, projection, scope, search
 from ..sources import loaders, urls
 from ..sources.fixtures import Fixture, ctes
+from ..sources.store import derived
+from ..sources.versioned import Versions
 from ..streaming import events as ev
 from ..streaming import outbox, runs
-from . import forget, improve, provenance, recall, remember
+from . import forget, improve, provenance, recall, remember, support
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -660,6 +662,21 @@ def forget_source(t):
     return out
 
 
+def order_support(t: Fixture) -> Versions:
+    """Links and counts of the order graph, stored once for the present files."""
+    build = lambda path: support.build(order_tables(t), Versions(t.spark, path))
+    return Versions(t.spark, derived(t.spark, "support", [f"{t.dir}/{n}.parquet" for n in ("customer", "lineitem", "orders")], build))
+
+
+@query(f"WITH {ORDER_VIEW} SELECT 'chunks' AS kind, count(*) AS n FROM hit UNION ALL SELECT 'relations', count(*) FROM gone UNION ALL SELECT 'entities', count(*) FROM met WHERE entity_id NOT IN (SELECT entity_id FROM kept)", ("f_relations", "f_evidence", "f_mentions"))
+def forget_source_counted(t):
+    """Every tenth customer, from stored counts: only the links of these sources and the counts that they touch are read."""
+    v = order_support(t)
+    gone = support.removed(v, v.current()[1], t.table("customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("source_id")))
+    parts = [gone[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("chunks", "relations", "entities")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("SELECT 'documents' AS kind, count(*) AS n FROM f_documents WHERE is_active AND dataset_id IN ('fr', 'de') UNION ALL SELECT 'chunks', count(*) FROM f_chunks WHERE is_active AND dataset_id IN ('fr', 'de') UNION ALL SELECT 'summaries', count(*) FROM f_summaries WHERE is_active AND dataset_id IN ('fr', 'de')", ("f_documents", "f_chunks", "f_summaries"))
 def forget_dataset(t):
     """Q16."""
