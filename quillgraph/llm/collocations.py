@@ -26,12 +26,12 @@ is read once a wave. Results are exact at any size. For corpora far beyond,
 Null text is empty, null language is ``und``. Texts of any length are read
 whole; repeated rows count as often as they occur;
 empty tables give no rows; further columns are not read. Two phrases share a
-key with probability 2^-128 a pair.
+key with probability 2^-110 a pair at most.
 """
 
 from __future__ import annotations
 
-import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, partitions, text_of, window_hashes, written
+from .common import mixed, partitions, text_of, window_hashes, written
 
 LONGEST = 4
 LEAST, COVERED_PERCENT, SCALE, TOP = 30, 80, 2_000_000, 2000
 #: Most buckets (a bit each is broadcast: 64 MB), buckets of a segment, keys of a wave, slots of an array that travels, windows a task gathers at a time.
 BUCKETS, SEGMENT, WAVE, BLOCK, GATHERED = 1 << 29, 1 << 20, 1 << 21, 4096, 1 << 19
-GROUP = 1 << 19  # bytes of text whose windows are made together
+GROUP = 1 << 18  # bytes of text whose windows are made together
 #: Tasks whose arrays are summed at the first level of the tree.
 FAN = 64
-_WORDS = re.compile(rb"[^ \t\n]+|\n").findall
-_MARK = np.uint64(xxhash.xxh3_128_intdigest(b"\n") & 0xFFFFFFFFFFFFFFFF)
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
+SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))  # any two numbers
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
 class PerfectHash:
@@ -109,14 +108,26 @@ class PerfectHash:
         return at
 
 
+class Words(NamedTuple):
+    """Words of a buffer by their places."""
+
+    buf: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def text(self, k: int, m: int) -> str:
+        return b" ".join([self.buf[i:j] for i, j in zip(self.starts[k : k + m].tolist(), self.ends[k : k + m].tolist(), strict=True)]).decode("utf-8", "surrogatepass")
+
+
 class Windows:
     """Word windows of many texts at a time, with their keys. A mark stands between pieces; no window may hold one."""
 
     def __init__(self) -> None:
-        self.hashes, self.langs = WordHashes(), {}
+        self.langs: dict[tuple[str, int], tuple[np.uint64, np.uint64]] = {}
+        self.weights = tuple(np.empty(0, np.uint64) for _ in SEEDS)
 
     def groups(self, batches, text: str = "text"):
-        """(lang, words and marks, their hashes, which are words, rows of the texts) in groups of one language and some ``GROUP`` bytes.
+        """(lang, Words, hashes, which are words and not marks, rows of the texts) in groups of one language and some ``GROUP`` bytes.
 
         Rows are counted over all batches; ``row[i]`` is the row of word ``i``.
         """
@@ -135,14 +146,51 @@ class Windows:
             yield self._group(lang, parts, rows)
 
     def _group(self, lang: str, parts: list[bytes], rows: list[int]):
-        tokens: list[bytes] = []
-        ends = []
-        for p in parts:
-            tokens += _WORDS(p)
-            tokens.append(b"\n")
-            ends.append(len(tokens))
-        both = self.hashes.of(tokens, wide=True)
-        return lang, tokens, both, both[0] != _MARK, np.repeat(rows, np.diff(ends, prepend=0))
+        buf = b"\n".join([*parts, b""])
+        made, at = [], 0
+        while at < len(buf):  # cut behind a blank or mark, so that a word is in one block
+            end = min(len(buf), at + GROUP)
+            if end < len(buf):
+                cut = max(buf.rfind(b" ", at, end), buf.rfind(b"\n", at, end)) + 1
+                if cut <= at:
+                    cut = min(x for x in (buf.find(b" ", end), buf.find(b"\n", end)) if x >= 0) + 1
+                end = cut
+            made.append(self._words(buf, at, end))
+            at = end
+        starts, ends, first, second = (np.concatenate(x) for x in zip(*made, strict=True))
+        behind = np.cumsum([len(p) + 1 for p in parts])
+        return lang, Words(buf, starts, ends), (first, second), ends > 0, np.array(rows)[np.searchsorted(behind, starts, side="right")]
+
+    def _words(self, buf: bytes, at: int, end: int):
+        """(starts, ends or -1 for a mark, two hashes) of the words and marks of a block.
+
+        A word's hash is the sum of its bytes by the random weights of their
+        places in it: two words meet in both with probability 2^-114 at most.
+        """
+        data = np.frombuffer(buf, np.uint8, end - at, at)
+        mark, word = data == 10, (data != 10) & (data != 32)
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        marks = mark.copy()
+        marks[1:] &= ~mark[:-1]
+        starts = np.flatnonzero(begins | marks)
+        if not len(starts):
+            none = np.empty(0, np.uint64)
+            return starts, starts, none, none
+        stops = word.copy()
+        stops[:-1] &= ~word[1:]
+        is_word = word[starts]
+        ends = np.full(len(starts), -1, np.int64)
+        ends[is_word] = at + np.flatnonzero(stops) + 1
+        place = np.arange(len(data))
+        place[starts[0] :] -= np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+        place[~word] = 0
+        longest = int(place.max()) + 1
+        if longest > len(self.weights[0]):
+            self.weights = tuple(mixed(np.arange(longest, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed) for seed in SEEDS)
+        value = np.where(word, data, 0).astype(np.uint64)
+        value[word] += np.uint64(1)
+        return at + starts, ends, *(np.add.reduceat(value * w[place], starts) for w in self.weights)
 
     def salt(self, lang: str, m: int) -> tuple[np.uint64, np.uint64]:
         found = self.langs.get((lang, m))
@@ -315,7 +363,7 @@ def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
         h, parts = hashed.value
         part = TaskContext.get().partitionId()
         total, mine = np.zeros(h.n, np.int64), parts == part
-        for lang, tokens, both, is_word, _ in w.groups(batches):
+        for lang, words, both, is_word, _ in w.groups(batches):
             told: list[tuple] = []
             for m, at, keys in f.windows(w, lang, both, is_word):
                 slots = h.find(*keys)
@@ -324,7 +372,7 @@ def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
                 own = mine[slots]
                 first, i = np.unique(slots[own], return_index=True)
                 mine[first] = False
-                told += [(slot, lang, m, b" ".join(tokens[k : k + m]).decode("utf-8", "surrogatepass")) for slot, k in zip(first.tolist(), at[own][i].tolist(), strict=True)]
+                told += [(slot, lang, m, words.text(k, m)) for slot, k in zip(first.tolist(), at[own][i].tolist(), strict=True)]
             if told:
                 slot, langs, ms, phrases = zip(*told, strict=True)
                 none = pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.binary()), pa.nulls(len(slot), pa.binary())
