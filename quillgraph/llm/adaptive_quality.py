@@ -9,7 +9,11 @@ the same language and source, as far again as ``REACH`` times their distance.
 No threshold is fixed and none has a least room: the quantiles of a group are
 drawn towards those of its language, and these towards the corpus, as if
 ``PRIOR`` documents of the wider group had been seen with it, so small groups
-are judged too. Documents are then filtered by a join with the thresholds.
+are judged too. Most documents have none of what a rate counts, so rates are
+sketched with half an occurrence more in each document: what a text of its
+length may well have, which differs from document to document and is never 0.
+A document is judged by its plain rate, so one without any passes.
+Documents are then filtered by a join with the thresholds.
 
 Null text has no words and fails the base rules. A null lang or source is a
 group of its own. Repeated rows count and are judged one by one. Empty tables
@@ -27,11 +31,9 @@ from .common import SPACES, text_of, words, written
 SUB = 7  # bits of a bucket's mantissa: 128 buckets to an octave
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: What is sketched, with the percents between which a group's documents count as ordinary: rates in 1 of
-#: 10,000 words or lines (word length in 1/100 characters). Rates are mostly 0, so their upper quantile lies far out.
-LEVELS = {"symbol_rate": (50, 90), "dup_line_rate": (50, 99), "repeat_rate": (50, 98), "word_length": (25, 75)}
+#: 10,000 words (word length in 1/100 characters). Rates are mostly 0, so their upper quantile lies far out.
+LEVELS = {"symbol_rate": (50, 90), "dup_line_rate": (50, 98), "repeat_rate": (50, 98), "word_length": (25, 75)}
 METRICS = tuple(LEVELS)
-#: Occurrences in one document that are no sign of anything, whatever its length.
-ALLOWED = {"symbol_rate": 3, "dup_line_rate": 1, "repeat_rate": 6}
 REACH = 3  # quantile distances
 PRIOR = 200  # documents
 POS_BITS = 21  # positions beside the hash in a sort key
@@ -106,22 +108,17 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]", ""))).cast("long"),
         "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-        "_q_n_lines": F.size("_q_lines").cast("long"),
         "n_repeat_words": repeat_words(F.col("_q_words")),
     }).drop("_q_text", "_q_words", "_q_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return docs.withColumn("base_failed", failed)
 
 
-def rates() -> dict[str, Column]:
-    whole = lambda a, b: F.expr(f"cast({a} as bigint) div cast(greatest({b}, 1) as bigint)")
-    over = lambda c, m: f"10000 * greatest({c} - {ALLOWED[m]}, 0)"
-    return {
-        "symbol_rate": whole(over("n_symbols", "symbol_rate"), "n_words"),
-        "dup_line_rate": whole(over("n_dup_lines", "dup_line_rate"), "_q_n_lines"),
-        "repeat_rate": whole(over("n_repeat_words", "repeat_rate"), "n_words"),
-        "word_length": whole("100 * word_chars", "n_words"),
-    }
+def rates(*, half: bool = False) -> dict[str, Column]:
+    """The metrics of a document; ``half``: with half an occurrence more, as they are sketched."""
+    whole = lambda a, b: F.expr(f"cast({a} as bigint) div cast({b} as bigint)")
+    rate = lambda c: whole(f"10000 * (2 * {c} + {int(half)})", "2 * greatest(n_words, 1)")
+    return {"symbol_rate": rate("n_symbols"), "dup_line_rate": rate("n_dup_lines"), "repeat_rate": rate("n_repeat_words"), "word_length": whole("100 * word_chars", "greatest(n_words, 1)")}
 
 
 def bucket(v: Column) -> Column:
@@ -139,7 +136,7 @@ def bucket_value(b: Column) -> Column:
 
 def sketches(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, metric, bucket, n): the sketch of each group, over documents that pass the base rules."""
-    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(v).alias("bucket")) for m, v in rates().items()))
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(v).alias("bucket")) for m, v in rates(half=True).items()))
     rows = stats.where("not base_failed").select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
     return rows.groupBy("lang", "source", "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
@@ -184,7 +181,7 @@ def judge(stats: DataFrame, fences: DataFrame, lang: str = "lang", source: str =
         fence, v = F.element_at("_q_f", F.lit(m)), bucket_value(bucket(v))  # no finer than what the sketch tells apart
         ok = ok & (v <= fence["most"]) & (fence["least"].isNull() | (v >= fence["least"]))
     kept = ~F.col("base_failed") & F.coalesce(ok, F.lit(False))
-    return rows.withColumn("kept", kept).drop("_q_l", "_q_s", "_q_f", "_q_n_lines")
+    return rows.withColumn("kept", kept).drop("_q_l", "_q_s", "_q_f")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

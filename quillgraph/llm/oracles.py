@@ -52,14 +52,13 @@ st AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {qualit
 
 
 def quality_rules() -> str:
-    sub, reach, prior, ok = quality.SUB, quality.REACH, quality.PRIOR, quality.ALLOWED
-    n = "greatest(n_words, 1)"
-    over = lambda c, m, per: f"10000 * greatest({c} - {ok[m]}, 0) // greatest({per}, 1)"
-    rate = {
-        "symbol_rate": over("n_symbols", "symbol_rate", "n_words"), "dup_line_rate": over("n_dup_lines", "dup_line_rate", "n_lines"),
-        "repeat_rate": over("n_repeat_words", "repeat_rate", "n_words"), "word_length": f"100 * word_chars // {n}",
-    }
-    rows = " UNION ALL ".join(f"SELECT r, lang, source, '{m}' AS metric, {x} AS v FROM st WHERE NOT base_failed" for m, x in rate.items())
+    sub, reach, prior = quality.SUB, quality.REACH, quality.PRIOR
+    per = lambda c, half: f"10000 * (2 * {c} + {half}) // (2 * greatest(n_words, 1))"
+    counted = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words"}
+    length = {"word_length": "100 * word_chars // greatest(n_words, 1)"}
+    rate = {m: per(c, 0) for m, c in counted.items()} | length
+    sketched = {m: per(c, 1) for m, c in counted.items()} | length
+    rows = " UNION ALL ".join(f"SELECT r, lang, source, '{m}' AS metric, {x} AS v FROM st WHERE NOT base_failed" for m, x in sketched.items())
     # The least value of a bucket is the value with all but its leading bits cleared.
     low = lambda v: f"CASE WHEN {v} < {1 << sub} THEN {v} ELSE ({v} >> (length(bin({v})) - {1 + sub})) << (length(bin({v})) - {1 + sub}) END"
     level = lambda k: "CASE metric " + " ".join(f"WHEN '{m}' THEN {p[k]}" for m, p in quality.LEVELS.items()) + " END"

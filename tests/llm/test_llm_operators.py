@@ -778,3 +778,17 @@ def test_a_million_words_align(tmp_path):
     assert order_minhash.aligned(a, b)
     assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 400 << 20
     tracemalloc.stop()
+
+
+def test_verdicts_hang_on_rates_and_groups(spark):
+    """No count is allowed or forbidden alone, and two groups with other tails judge one text differently."""
+    rng = random.Random(12)
+    some = lambda n, k: " ".join(f"w{rng.randrange(5000)}" + ("|" if i < k else "") for i in range(n))
+    long_, short = some(20_000, 5), some(60, 20)
+    rows = [(i, some(rng.randrange(80, 300), 0), "en", "clean", 0) for i in range(700)] + [(1, long_, "en", "clean", 0), (2, short, "en", "clean", 0)]
+    rows += [(1000 + i, some(rng.randrange(80, 300), rng.randrange(0, 25)), "en", "tables", 0) for i in range(700)] + [(3, short, "en", "tables", 0)]
+    docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], DOCS)
+    kept = {r.doc_id: r.kept for r in adaptive_quality.score_documents(docs).collect()}
+    assert kept[700] and not kept[701] and kept[1402]
+    clean = [kept[k] for k in range(700)]
+    assert all(clean)  # documents without any symbol pass in every group
