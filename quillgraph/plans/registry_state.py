@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import dedup, graph, listing, projection, scope, search
+from ..operators import dedup, digests, feedback, graph, listing, projection, scope, search
 from ..sources import loaders, urls
 from ..sources.fixtures import Fixture
+from ..sources.store import derived
 from ..streaming import outbox, runs
 from . import cognify, forget, remember
 from .registry import AS_OF, MOVES, SCOPE, VISIBLE, query, visible
@@ -261,15 +262,34 @@ def rebuild_all_kinds(t):
     return graph_ids(t).groupBy("dataset_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {LIVE}, {IDS}, y AS (SELECT dataset_id, kind, id FROM i WHERE instr('13579', right(id, 1)) > 0 OR kind = 'chunk' AND right(id, 1) = '4' UNION SELECT dataset_id, kind, 'old' || id FROM i WHERE right(id, 1) = '7')
-SELECT coalesce(i.dataset_id, y.dataset_id) AS dataset_id, coalesce(i.kind, y.kind) AS kind, count(i.id) AS expected, count(y.id) AS actual, count(*) FILTER (y.id IS NULL) AS missing, count(*) FILTER (i.id IS NULL) AS extra
-FROM i FULL JOIN y ON i.dataset_id = y.dataset_id AND i.kind = y.kind AND i.id = y.id GROUP BY 1, 2""", REALM)
-def reconcile_all_kinds(t):
-    """Missing and extra identities of all five kinds."""
+def graph_sides(t: Fixture) -> tuple[DataFrame, DataFrame]:
+    """The identities of all five kinds, and those that a graph in part gone astray has."""
     want = graph_ids(t)
     end = F.expr("right(id, 1)")
     have = want.where(F.contains(F.lit("13579"), end) | ((F.col("kind") == "chunk") & (end == "4"))).unionByName(want.where(end == "7").withColumn("id", F.concat(F.lit("old"), "id")))
-    return projection.reconciled(want, have)
+    return want, have
+
+
+RECONCILED = f"""WITH {LIVE}, {IDS}, y AS (SELECT dataset_id, kind, id FROM i WHERE instr('13579', right(id, 1)) > 0 OR kind = 'chunk' AND right(id, 1) = '4' UNION SELECT dataset_id, kind, 'old' || id FROM i WHERE right(id, 1) = '7')
+SELECT coalesce(i.dataset_id, y.dataset_id) AS dataset_id, coalesce(i.kind, y.kind) AS kind, count(i.id) AS expected, count(y.id) AS actual, count(*) FILTER (y.id IS NULL) AS missing, count(*) FILTER (i.id IS NULL) AS extra
+FROM i FULL JOIN y ON i.dataset_id = y.dataset_id AND i.kind = y.kind AND i.id = y.id GROUP BY 1, 2"""
+
+
+@query(RECONCILED, REALM)
+def reconcile_all_kinds(t):
+    """Missing and extra identities of all five kinds."""
+    return projection.reconciled(*graph_sides(t))
+
+
+@query(RECONCILED, REALM)
+def reconcile_by_digests(t):
+    """The same from stored digests; only ranges that differ are read."""
+    sides = []
+    for k, name in enumerate(("expected", "actual")):
+        build = lambda path, k=k: digests.IdentityStore.build(graph_sides(t)[k], path)
+        inputs = [f"{t.dir}/{n}.parquet" for n in ("customer", "part", "nation", "orders", "lineitem")]
+        sides.append(digests.IdentityStore(t.spark, derived(t.spark, f"ids-{name}", inputs, build)))
+    return digests.reconciled(*sides)
 
 
 @query("SELECT dataset_id, aggregate_type, aggregate_id, count(*) AS n FROM (SELECT dataset_id, aggregate_type, aggregate_id % 30 AS aggregate_id FROM f_outbox) x GROUP BY ALL HAVING count(*) > 1", ("f_outbox",))
@@ -560,3 +580,43 @@ def folded_keys(t):
     c = t.table("customer")
     wide = F.concat(F.lit("Ｓtraße  "), "c_name")
     return c.select("c_custkey", F.regexp_replace(scalars.canonical_entity_key(F.col("c_mktsegment"), wide), "strasse", "straße").alias("canonical_key"), scalars.relation_predicate(F.concat(F.lit("ﬁ "), "c_name")).alias("predicate"))
+
+
+# --- ids that had no query ------------------------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT source_entity_id AS a, target_entity_id AS b FROM f_relations WHERE is_active UNION SELECT target_entity_id, source_entity_id FROM f_relations WHERE is_active),
+n AS (SELECT 'c1' AS id, 0 AS hop UNION ALL SELECT b, 1 FROM e WHERE a = 'c1' UNION ALL SELECT y.b, 2 FROM e x JOIN e y ON x.b = y.a WHERE x.a = 'c1'),
+m AS (SELECT id AS entity_id, min(hop)::INT AS hop FROM n GROUP BY 1), k AS (SELECT *, (SELECT count(*) FROM m) > 50 AS truncated FROM m ORDER BY hop, entity_id LIMIT 50)
+SELECT entity_id, hop, truncated FROM k""", ("f_relations",))
+def capped_subgraph(t):
+    """The first nodes by (hop, id) under a cap, and whether there were more."""
+    live = t.relations.where("is_active")
+    ents = t.adjacency().rows.select(F.col("node").alias("entity_id")).distinct()
+    parts = graph.subgraph(live, ents, "c1", 2, cap=50)
+    return parts["entities"].select("entity_id", "hop").crossJoin(parts["truncated"])  # one row
+
+
+@query("WITH n AS (SELECT DISTINCT target_entity_id AS z FROM f_relations WHERE is_active AND source_entity_id = 'c1') SELECT true AS found, 1 AS length, 'c1,' || min(z) AS path FROM n", ("f_relations",))
+def path_between(t):
+    """The path of a customer to the first part that it has."""
+    live = t.relations.where("is_active")
+    ents = t.adjacency().rows.select(F.col("node").alias("entity_id")).distinct()
+    end = live.where("source_entity_id = 'c1'").agg(F.min("target_entity_id")).first()[0]
+    return graph.path(live, ents, "c1", end).select("found", "length", F.concat_ws(",", "nodes").alias("path"))
+
+
+@query("SELECT relation_id, chunk_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY relation_id ORDER BY confidence DESC, chunk_id) AS k FROM f_evidence) x WHERE k = 1", ("f_evidence",))
+def first_evidence(t):
+    """Of each relation the surest evidence, then the first chunk."""
+    best = t.evidence.groupBy("relation_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "chunk_id")).alias("b"))
+    return best.select("relation_id", "b.chunk_id", (-F.col("b.c")).alias("confidence"))
+
+
+@query("SELECT doc_id AS feedback_id, l.quality AS score, d.lang AS dataset_id FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic = 0")
+def unapplied_feedback(t):
+    """Feedback not applied yet, joined with the query that it belongs to."""
+    d = t.table("documents")
+    told = t.table("labels").select(F.col("doc_id").alias("feedback_id"), F.col("doc_id").alias("query_id"), F.col("quality").alias("score"), F.when(F.col("toxic") == 1, F.current_timestamp()).alias("applied_at"), F.timestamp_seconds("doc_id").alias("created_at"))
+    asked = d.select(F.col("doc_id").alias("query_id"), F.array("lang").alias("dataset_ids"), F.lit("[]").alias("references"))
+    return feedback.unapplied(told, asked).select("feedback_id", F.col("score").cast("long").alias("score"), F.element_at("dataset_ids", 1).alias("dataset_id"))
