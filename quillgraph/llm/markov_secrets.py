@@ -1,17 +1,19 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two first-order models over 67 characters are trained on labelled samples that
-no pattern of the scan has made: random strings of five alphabets, ``RANDOM``
-of each, from a hash of their number; and ordinary identifiers of five forms
-(snake, camel, kebab and upper case, paths with a number), made of
-neighbouring words of ``SAMPLE`` documents drawn by hash, at most ``TRIPLES``
-of each. One sample in five, by hash, is held out of the training. A run of at
-least ``RUN`` such characters outside the fixed spans is reported as ``markov``
-if its log-likelihood ratio passes ``THRESHOLD``. Only built-in functions run
-on the executors; the driver gets the transition counts, at most
-2 x 68 x 67 numbers.
-
-Spans are code points, end exclusive, of the whole match. Null text is empty;
+no pattern of the scan has made: random strings of four alphabets, ``RANDOM``
+of each, from a hash of their number (hexadecimal ones are left to the fixed
+pattern); and ordinary runs of ``FORMS`` forms: identifiers in snake, camel,
+kebab and upper case, paths, file names and versions, dates and dated paths,
+telephone and book numbers, UUIDs, rulers of one character, alphabets. They are
+made of neighbouring words of ``SAMPLE`` documents drawn by hash, at most
+``TRIPLES`` of each, and of digits of a hash of the words. One sample in five,
+by hash, is held out of the training. A run of at least ``RUN`` such characters
+outside the fixed spans is reported as ``markov`` if its log-likelihood ratio
+passes ``THRESHOLD``, and ``EACH`` times its length. Only built-in functions run on
+the executors; the driver gets the transition counts, at most 2 x 68 x 67 numbers.
+
+Texts of any length are read whole. Spans are code points, end exclusive, of the whole match. Null text is empty;
 empty tables give no rows; repeated rows are scanned one by one. Further
 columns of the input are not read.
 """
@@ -31,7 +33,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RUN = 16  # characters of a run that is compared
 BLOCK = 256  # spans whose offsets are summed together
 UNIT = 1000  # log ratios are whole numbers of 1/1000 nat
-THRESHOLD = 12 * UNIT
+THRESHOLD, EACH = 12 * UNIT, 5 * UNIT // 4  # of the run, and a character
 
 
 def either_case(word: str) -> str:
@@ -45,6 +47,9 @@ HEX = r"[0-9a-f]{16,}"  # the same spans as runs of any length of which the shor
 CHARS = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
 PRIOR = 10.0  # weight, in characters, of the single-character model behind the ordinary one
 RANDOM, SAMPLE, TRIPLES, LENGTH = 1000, 2000, 25, 40
+FORMS = 18
+RULERS = "-=_+/xX0-=_ab9z-"  # a character for each hexadecimal digit
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 2
 PIECE = "[A-Za-z]{3,12}"
 
 
@@ -88,12 +93,32 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.withColumn("runs", apart)
 
 
+def forms() -> list[str]:
+    """The forms of ordinary runs, as SQL over words a, b, c, their number i, and hexadecimal (h) and decimal (g) digits."""
+    g = lambda s, n: f"substr(g, {s}, {n})"
+    h = lambda s, n: f"substr(h, {s}, {n})"
+    cap = lambda c: f"upper(substr({c}, 1, 1)), substr({c}, 2)"
+    letters = f"substr('{LETTERS}', i % 26 + 1, 24)"
+    return [f"concat({x})" for x in (
+        "a, '_', b, '_', c", f"a, {cap('b')}, {cap('c')}", "a, '-', b, '-', c", "upper(a), '_', upper(b), '_', upper(c)", "a, '/', b, '/', c, CAST(i AS STRING)",
+        f"{g(1, 4)}, '-', {g(5, 2)}, '-', {g(7, 2)}, '-', {g(9, 2)}, '-', {g(11, 2)}, '-', {g(13, 2)}",
+        f"'/', {g(1, 4)}, '/', {g(5, 2)}, '/', {g(7, 2)}, '/', a, '-', b, '-', {g(9, 6)}",
+        f"'+', {g(1, 2)}, '-', {g(3, 3)}, '-', {g(6, 8)}, '-', {g(14, 2)}",
+        f"{h(1, 8)}, '-', {h(9, 4)}, '-', {h(13, 4)}, '-', {h(17, 4)}, '-', {h(21, 12)}",
+        f"repeat(substr('{RULERS}', instr('0123456789abcdef', substr(h, 1, 1)), 1), 24)",
+        f"'/', a, '/', b, {g(1, 1)}, '/', c, '_', {g(2, 4)}", f"a, '_', b, '_', {g(1, 8)}, '_', {g(9, 4)}",
+        f"a, '-', {g(1, 1)}, '/', b, '-', {g(2, 4)}, '-', {g(6, 1)}, '/', c, {g(7, 4)}",
+        f"CASE WHEN i % 2 = 1 THEN {letters} ELSE lower({letters}) END", f"upper(a), '_', upper(b), {g(1, 4)}, '_', upper(c)", f"a, {cap('b')}, {g(1, 3)}, {cap('c')}",
+        "upper(a), upper(b), upper(c)", f"upper(substr(a, 1, 3)), {cap('b')}, {cap('c')}",
+    )]
+
+
 def samples(docs: DataFrame) -> DataFrame:
     """(random, v, held): labelled samples; ``held`` marks those kept out of the training."""
     n = F.col("id").cast("string")
     b64 = F.base64(F.unhex(F.sha2(n, 256)))
     plain = F.translate(b64, "+/=", "xYz")
-    kinds = F.array(*(F.substring(c, 1, LENGTH) for c in (b64, plain, F.upper(plain), F.lower(plain), F.sha2(n, 256))))
+    kinds = F.array(*(F.substring(c, 1, LENGTH) for c in (b64, plain, F.upper(plain), F.lower(plain))))
     random = docs.sparkSession.range(RANDOM).select(F.lit(True).alias("random"), F.explode(kinds).alias("v"))
     # Rows whose hash is low enough for some four times the sample, so that few texts come together to be ordered.
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\u0001"), F.col("t")))
@@ -103,14 +128,10 @@ def samples(docs: DataFrame) -> DataFrame:
     drawn = drawn.dropDuplicates(["key"]).orderBy("key").limit(SAMPLE)
     w = F.transform(F.regexp_extract_all("t", F.lit(PIECE), F.lit(0)), lambda x: F.lower(x))
     i = F.col("i")
-    at = lambda k: F.col("w")[3 * i + k]
-    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 99))
-    forms = [
-        F.concat_ws("_", at(0), at(1), at(2)), F.concat(at(0), cap(at(1)), cap(at(2))), F.concat_ws("-", at(0), at(1), at(2)),
-        F.upper(F.concat_ws("_", at(0), at(1), at(2))), F.concat(F.concat_ws("/", at(0), at(1), at(2)), "i"),
-    ]
     triples = drawn.select(w.alias("w")).where(F.size("w") >= 3).select("w", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.size("w") / 3), F.lit(TRIPLES)).cast("int") - 1)).alias("i"))
-    ordinary = triples.select(F.lit(False).alias("random"), F.element_at(F.array(*forms), i % len(forms) + 1).alias("v"))
+    triples = triples.select("i", *(F.col("w")[3 * i + k].alias(c) for k, c in enumerate("abc")))
+    triples = triples.withColumn("h", F.md5(F.concat("a", "b", "c", F.col("i").cast("string")))).withColumn("g", F.translate("h", "abcdef", "012345"))
+    ordinary = triples.select(F.lit(False).alias("random"), F.element_at(F.array(*(F.expr(f) for f in forms())), i % FORMS + 1).alias("v"))
     return random.unionByName(ordinary).withColumn("held", F.substring(F.md5("v"), 1, 1).isin("0", "5", "a"))
 
 
@@ -163,7 +184,7 @@ def trained(docs: DataFrame) -> Column:
 def find_secrets(docs: DataFrame, *, threshold: int = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov."""
     table = trained(docs)
-    rows = written(scan(docs), "secret-spans").withColumn("markov", F.filter("runs", lambda x: score(x["v"], table) > threshold))
+    rows = written(scan(docs), "secret-spans").withColumn("markov", F.filter("runs", lambda x: score(x["v"], table) > F.greatest(F.lit(threshold), EACH * F.length(x["v"]))))
     as_kind = lambda c, k: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
     listed = lambda a: F.array_join(F.transform(F.array_sort(a), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     base = F.concat(*(as_kind(k, i) for i, k in enumerate(KINDS[:3])))
@@ -183,6 +204,7 @@ def oracle() -> str:
         return f"""(SELECT r, '{kind}' AS kind, gs, ms, unnest(range(1, len(ms) + 1)) AS i, vs FROM (
             SELECT r, string_split_regex(t, {q(pattern)}) AS gs, regexp_extract_all(t, {q(pattern)}) AS ms, regexp_extract_all(t, {q(pattern)}, {group}) AS vs FROM d) x)"""
 
+    ordinary = " ".join(f"WHEN {n} THEN {f}" for n, f in enumerate(forms()))
     found = " UNION ALL ".join(f"SELECT * FROM {find(*x)}" for x in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("run", CHARS, 0)))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -198,17 +220,17 @@ tr AS (SELECT w, unnest(range(0, least(len(w) // 3, {TRIPLES}))) AS i FROM (
   SELECT list_transform(regexp_extract_all(t, {q(PIECE)}), lambda x: lower(x)) AS w FROM (
     SELECT md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(1) || t) AS key, any_value(t) AS t FROM d GROUP BY 1) k, (SELECT count(*) AS n FROM d) c
     WHERE n <= 4 * {SAMPLE} OR key[1:8] < lpad(lower(to_hex(CAST(floor(4294967296.0::DOUBLE * 4 * {SAMPLE} / n) AS BIGINT))), 8, '0') ORDER BY key LIMIT {SAMPLE}) x WHERE len(w) >= 3),
-tw AS (SELECT i, w[3*i+1] AS a, w[3*i+2] AS b, w[3*i+3] AS c FROM tr),
-samples AS (SELECT true AS random, substr(unnest([e, p, upper(p), lower(p), sha256(CAST(n AS VARCHAR))]), 1, {LENGTH}) AS v FROM b64
-  UNION ALL SELECT false, CASE i % 5 WHEN 0 THEN a || '_' || b || '_' || c WHEN 1 THEN a || upper(b[1]) || b[2:] || upper(c[1]) || c[2:] WHEN 2 THEN a || '-' || b || '-' || c
-    WHEN 3 THEN upper(a || '_' || b || '_' || c) ELSE a || '/' || b || '/' || c || i END FROM tw),
+tw0 AS (SELECT i, w[3*i+1] AS a, w[3*i+2] AS b, w[3*i+3] AS c, md5(w[3*i+1] || w[3*i+2] || w[3*i+3] || i) AS h FROM tr),
+tw AS (SELECT *, translate(h, 'abcdef', '012345') AS g FROM tw0),
+samples AS (SELECT true AS random, substr(unnest([e, p, upper(p), lower(p)]), 1, {LENGTH}) AS v FROM b64
+  UNION ALL SELECT false, CASE i % {FORMS} {ordinary} END FROM tw),
 ss AS (SELECT random, v, unnest(range(1, length(v) + 1)) AS i FROM samples WHERE md5(v)[1] NOT IN ('0', '5', 'a')),
 c AS (SELECT random, prev, next, count(*) AS n FROM (SELECT random, CASE WHEN i = 1 THEN 0 ELSE instr('{ALPHABET}', v[i-1:i-1]) END AS prev, instr('{ALPHABET}', v[i:i]) AS next FROM ss) y GROUP BY 1, 2, 3),
 sg AS (SELECT n.n AS next, (coalesce(sum(c.n), 0) + 0.5::DOUBLE) / (coalesce((SELECT sum(n) FROM c WHERE NOT random), 0) + 0.5::DOUBLE * {k}) AS share FROM range(1, {k + 1}) n(n) LEFT JOIN c ON c.next = n.n AND NOT c.random GROUP BY 1),
 grid AS (SELECT p.p AS prev, n.n AS next FROM range(0, {k + 1}) p(p), range(1, {k + 1}) n(n)),
 lr AS (SELECT prev, next, floor({UNIT} * (ln((coalesce(rn, 0) + 1)::DOUBLE / (sum(coalesce(rn, 0)) OVER (PARTITION BY prev) + {k})) - ln((coalesce(on_, 0) + {PRIOR}::DOUBLE * share) / (sum(coalesce(on_, 0)) OVER (PARTITION BY prev) + {PRIOR}::DOUBLE))) + 0.5)::BIGINT AS llr
   FROM grid JOIN sg USING (next) LEFT JOIN (SELECT prev, next, n AS rn FROM c WHERE random) a USING (prev, next) LEFT JOIN (SELECT prev, next, n AS on_ FROM c WHERE NOT random) b USING (prev, next)),
-mk AS (SELECT r, 'markov' AS kind, any_value(v) AS v, s, any_value(s + length(v)) AS e FROM steps JOIN lr USING (prev, next) GROUP BY r, s HAVING sum(llr) > {THRESHOLD}),
+mk AS (SELECT r, 'markov' AS kind, any_value(v) AS v, s, any_value(s + length(v)) AS e FROM steps JOIN lr USING (prev, next) GROUP BY r, s HAVING sum(llr) > greatest({THRESHOLD}, {EACH} * any_value(length(v)))),
 allsp AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, kind, s, e FROM mk),
 named AS (SELECT r, kind, s, e, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS k, kind || ':' || s || ':' || e AS txt FROM allsp),
 g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'markov') AS n_markov,

@@ -792,3 +792,27 @@ def test_verdicts_hang_on_rates_and_groups(spark):
     assert kept[700] and not kept[701] and kept[1402]
     clean = [kept[k] for k in range(700)]
     assert all(clean)  # documents without any symbol pass in every group
+
+
+#: Runs as they stand in texts; none was made by the sampler.
+ORDINARY_RUNS = (
+    "-------------------- ==================== ____________________ xxxxxxxxxxxxxxxx 2024-01-15-12-00-00 2001-12-31/23-59-59 /2024/01/15/story-123456 123e4567-e89b-12d3-a456-426614174000 "
+    "00000000-0000-0000-0000-000000000000 978-3-16-148410-0-55 +49-30-1234567890 +1-800-555-0199-1234 1234567890123456 utf-8/iso-8859-1/cp1252 session_id_20240115_0001 ABCDEFGHIJKLMNOP abcdefghijklmnopqrstuvwxyz "
+    "/usr/local/lib/python3/site-packages README_FINAL_VERSION_2 internationalization docs/images/screenshot-2021-03 http2-server-v1-10-3-rc1 com/google/android/gms max_connections_per_user IMG_20210304_123456 "
+    "E2E_TEST_SUITE_RUNNER node_modules/lodash/fp 2001-0db8-85a3-0000 XMLHttpRequestEventTarget python-3-11-4-amd64 s3/bucket-name/key/part-00000 verylongsinglewordhere UPPERCASEWORDSWITHOUTBREAK a1-b2-c3-d4-e5-f6 "
+    "9780306406157-0306 windows-nt-10-0-win64-x64 base64-encoded-string MIT_LICENSE_2019_2023 foo/bar/baz/qux/index getElementsByClassName backup-2023-11-05-full"
+).split()
+
+
+def test_markov_on_runs_of_other_makers(spark):
+    """Ordinary runs written by hand are left alone; random strings of another generator are found."""
+    table = markov_secrets.trained(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(77)
+    alphabets = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
+    made = ["".join(rng.choice(a) for _ in range(20)) for a in alphabets for _ in range(250)]
+    df = spark.createDataFrame([(x, False) for x in ORDINARY_RUNS] + [(x, True) for x in made], "v string, random boolean")
+    rows = df.select("v", "random", (markov_secrets.score(F.col("v"), table) > F.greatest(F.lit(markov_secrets.THRESHOLD), markov_secrets.EACH * F.length("v"))).alias("found")).collect()
+    wrong = [r.v for r in rows if r.found and not r.random]
+    recall = sum(r.found for r in rows if r.random) / len(made)
+    print(f"flagged {len(wrong)} of {len(ORDINARY_RUNS)}: {wrong}; recall {recall:.3f}")
+    assert len(wrong) <= len(ORDINARY_RUNS) // 20 and recall >= 0.99
