@@ -243,37 +243,38 @@ def _size(words: int, most: int, least: int = 1 << 16) -> int:
     return min(most, max(least, 1 << max(0, int(words)).bit_length()))
 
 
-def _summed(rows: DataFrame, size: int, *by: str) -> DataFrame:
-    """(by, at, counts) with the arrays of equal (by, at) added up; at most one array is in memory.
+def _summed(rows: DataFrame, size: int, *by: str, finish=None, ddl: str = "") -> DataFrame:
+    """(by, at, pos, counts) with the arrays of equal (by, at) added up; at most one array is in memory.
 
     ``pos`` and ``counts`` are packed uint32 values; where ``pos`` is empty, ``counts`` is the whole array, of 64-bit values.
+    ``finish(at, array)`` gives batches of ``ddl`` in place of a sum, in the same task and worker.
     """
     names = [*by, "at"]
 
+    def packed(key, total):
+        yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in key), pa.array([b""], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=[*names, "pos", "counts"])
+
+    def out(key, total):
+        return packed(key, total) if finish is None else finish(key[-1], total)
+
     def run(batches):
         held, total = None, None
         for b in batches:
-            done = []
             for *key, pos, counts in zip(*(b.column(c).to_pylist() for c in (*names, "pos", "counts")), strict=True):
                 if key != held:
-                    done += [(held, total)] if held is not None else []
+                    if held is not None:
+                        yield from out(held, total)
                     held, total = key, np.zeros(size, np.int64)
                 if pos:
                     total[np.frombuffer(pos, np.uint32)] += np.frombuffer(counts, np.uint32)  # the places of one row differ
                 else:
                     counts = np.frombuffer(counts, np.int64)
                     total[: len(counts)] += counts
-            if done:
-                yield packed(done)
         if held is not None:
-            yield packed([(held, total)])
-
-    def packed(done):
-        cols = [pa.array([k[j] for k, _ in done], pa.int64()) for j in range(len(names))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array([b""] * len(done), pa.binary()), pa.array([t.tobytes() for _, t in done], pa.binary())], names=[*names, "pos", "counts"])
+            yield from out(held, total)
 
     sorted_ = rows.repartition(partitions(rows.sparkSession), *names).sortWithinPartitions(*names)
-    return sorted_.select(*names, "pos", "counts").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", pos binary, counts binary")
+    return sorted_.select(*names, "pos", "counts").mapInArrow(run, ddl or ", ".join(f"{c} long" for c in names) + ", pos binary, counts binary")
 
 
 def _bucket_bits(docs: DataFrame, bits: list, buckets: int, least: int) -> np.ndarray:
@@ -310,15 +311,12 @@ def _bucket_bits(docs: DataFrame, bits: list, buckets: int, least: int) -> np.nd
         if n:
             yield out()
 
-    summed = _summed(docs.mapInArrow(run, "at long, pos binary, counts binary"), size)
-
-    def flags(batches):
-        for b in batches:
-            made = [np.packbits(np.frombuffer(c, np.int64) >= least, bitorder="little").tobytes() for c in b.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(made, pa.binary())], names=["at", "bits"])
+    def flags(at, total):
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["at", "bits"])
 
+    summed = _summed(docs.mapInArrow(run, "at long, pos binary, counts binary"), size, finish=flags, ddl="at long, bits binary")
     out = np.zeros(buckets // 8, np.uint8)
-    for r in summed.select("at", "counts").mapInArrow(flags, "at long, bits binary").toLocalIterator():
+    for r in summed.toLocalIterator():
         out[r.at * size // 8 : (r.at + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -394,14 +392,11 @@ def _sums(rows: DataFrame) -> DataFrame:
     """(slot, f): the arrays summed in a tree, those of FAN tasks first, then the sums."""
     arrays = rows.where("at is not null").select((F.expr(f"part DIV {FAN}")).alias("part"), "at", "pos", "counts")
 
-    def slots(batches):
-        for b in batches:
-            for k, c in zip(b.column("at").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                c = np.frombuffer(c, np.int64)
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(k * BLOCK + at), pa.array(c[at])], names=["slot", "f"])
+    def slots(k, total):
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k * BLOCK + at), pa.array(total[at])], names=["slot", "f"])
 
-    return _summed(_summed(arrays, BLOCK, "part"), BLOCK).select("at", "counts").mapInArrow(slots, "slot long, f long")
+    return _summed(_summed(arrays, BLOCK, "part"), BLOCK, finish=slots, ddl="slot long, f long")
 
 
 def _insides(phrases: DataFrame, hashed) -> DataFrame:
