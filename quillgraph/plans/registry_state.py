@@ -594,7 +594,7 @@ def capped_subgraph(t):
     live = t.relations.where("is_active")
     ents = t.adjacency().rows.select(F.col("node").alias("entity_id")).distinct()
     parts = graph.subgraph(live, ents, "c1", 2, cap=50)
-    return parts["entities"].select("entity_id", "hop").crossJoin(parts["truncated"])  # one row
+    return parts["entities"].select("entity_id", "hop").withColumn("truncated", parts["truncated"].scalar())
 
 
 @query("WITH n AS (SELECT DISTINCT target_entity_id AS z FROM f_relations WHERE is_active AND source_entity_id = 'c1') SELECT true AS found, 1 AS length, 'c1,' || min(z) AS path FROM n", ("f_relations",))
