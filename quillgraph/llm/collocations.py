@@ -9,7 +9,7 @@ candidate if its bucket and those of all windows inside it pass; no frequent
 phrase can be lost, whatever collides.
 
 The distinct candidates (128-bit keys of language and words, with the least
-task that has them) are dealt to waves of at most ``WAVE`` keys; a wave's keys
+task that has them; a task sends its own packed by ranges) are dealt to waves of at most ``WAVE`` keys; a wave's keys
 get a minimal perfect hash of cascaded bit arrays and are stored in slot order,
 so a window that is no candidate is told by its key. With one wave broadcast,
 each task bincounts the slots of its windows into one array, and writes out the
@@ -46,6 +46,8 @@ LONGEST = 4
 LEAST, COVERED_PERCENT, SCALE, TOP = 30, 80, 2_000_000, 2000
 #: Most buckets (a bit each is broadcast: 64 MB), buckets of a segment, keys of a wave, slots of an array that travels, windows a task gathers at a time.
 BUCKETS, SEGMENT, WAVE, BLOCK, GATHERED = 1 << 29, 1 << 20, 1 << 21, 4096, 1 << 19
+#: Ranges of the first half of a key (2^10) in which candidates travel: a task sends at most one row for each.
+RANGE_BITS = 10
 GROUP = 1 << 18  # bytes of text whose windows are made together
 #: Tasks whose arrays are summed at the first level of the tree.
 FAN = 64
@@ -243,16 +245,30 @@ def _size(words: int, most: int, least: int = 1 << 16) -> int:
     return min(most, max(least, 1 << max(0, int(words)).bit_length()))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Values as bytes, the lowest of all of them first: small values leave runs of zeros, which the codec of the shuffle folds."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Ascending values, packed as their differences."""
+    return _packed(np.r_[values[:1], np.diff(values)])
+
+
 def _summed(rows: DataFrame, size: int, *by: str, finish=None, ddl: str = "") -> DataFrame:
     """(by, at, pos, counts) with the arrays of equal (by, at) added up; at most one array is in memory.
 
-    ``pos`` and ``counts`` are packed uint32 values; where ``pos`` is empty, ``counts`` is the whole array, of 64-bit values.
+    ``pos`` are packed steps and ``counts`` packed values of 32 bits; where ``pos`` is empty, ``counts`` is the whole array, packed, of 64-bit values.
     ``finish(at, array)`` gives batches of ``ddl`` in place of a sum, in the same task and worker.
     """
     names = [*by, "at"]
 
     def packed(key, total):
-        yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in key), pa.array([b""], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=[*names, "pos", "counts"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in key), pa.array([b""], pa.binary()), pa.array([_packed(total)], pa.binary())], names=[*names, "pos", "counts"])
 
     def out(key, total):
         return packed(key, total) if finish is None else finish(key[-1], total)
@@ -266,9 +282,9 @@ def _summed(rows: DataFrame, size: int, *by: str, finish=None, ddl: str = "") ->
                         yield from out(held, total)
                     held, total = key, np.zeros(size, np.int64)
                 if pos:
-                    total[np.frombuffer(pos, np.uint32)] += np.frombuffer(counts, np.uint32)  # the places of one row differ
+                    total[np.cumsum(_unpacked(pos, np.uint32), dtype=np.int64)] += _unpacked(counts, np.uint32)  # the places of one row differ
                 else:
-                    counts = np.frombuffer(counts, np.int64)
+                    counts = _unpacked(counts, np.int64)
                     total[: len(counts)] += counts
         if held is not None:
             yield from out(held, total)
@@ -293,8 +309,8 @@ def _bucket_bits(docs: DataFrame, bits: list, buckets: int, least: int) -> np.nd
             cuts = np.flatnonzero(np.diff(segment, prepend=-1))
             ends = [*cuts[1:], len(at)]
             return pa.RecordBatch.from_arrays([
-                pa.array(segment[cuts], pa.int64()), pa.array([(at[i:j] % size).astype(np.uint32).tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
-                pa.array([counts[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                pa.array(segment[cuts], pa.int64()), pa.array([_steps((at[i:j] % size).astype(np.uint32)) for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                pa.array([_packed(counts[i:j].astype(np.uint32)) for i, j in zip(cuts, ends, strict=True)], pa.binary()),
             ], names=["at", "pos", "counts"])
 
         for lang, _, both, is_word, _ in w.groups(batches):
@@ -321,36 +337,71 @@ def _bucket_bits(docs: DataFrame, bits: list, buckets: int, least: int) -> np.nd
     return out
 
 
+def _distinct(held: list[tuple]) -> tuple:
+    """The distinct keys (first, second, part) of arrays, in order; of equal ones the least part stays."""
+    a, b, part = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((part, b, a))
+    a, b, part = a[order], b[order], part[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], part[new]
+
+
 def _candidates(docs: DataFrame, bits) -> DataFrame:
-    """(first, second, part) of the distinct candidates: their keys as signed longs, and the least task that has them."""
+    """(first, second, part) of the distinct candidates: their keys as signed longs, and the least task that has them.
+
+    A task sends its distinct keys packed, by ranges of their first half; a
+    range is made distinct piece by piece, so that only its keys are in memory.
+    """
+    shift = np.uint64(64 - RANGE_BITS)
 
     def run(batches):
         w, f = Windows(), Filter(bits.value)
         part = TaskContext.get().partitionId()
         held, n, known = [], 0, 0
-
-        def merged():
-            a, b = (np.concatenate([k[j] for k in held]) for j in (0, 1))
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            return a[new], b[new]
-
         for lang, _, both, is_word, _ in w.groups(batches):
             for _, _, keys in f.windows(w, lang, both, is_word):
-                held.append(keys)
+                held.append((*keys, np.full(len(keys[0]), part, np.int32)))
                 n += len(keys[0])
             if n >= known + max(GATHERED, known):
-                held = [merged()]
+                held = [_distinct(held)]
                 n = known = len(held[0][0])
         if n:
-            a, b = merged()
+            a, b, _ = _distinct(held)
+            ranges = (a >> shift).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+            for k in range(0, len(cuts), 64):
+                some = list(zip(cuts[k : k + 64], np.r_[cuts, len(a)][k + 1 : k + 65], strict=True))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ranges[cuts[k : k + 64]]), pa.array([part] * len(some), pa.int32()),
+                    pa.array([_steps(a[i:j]) for i, j in some], pa.binary()), pa.array([b[i:j].tobytes() for i, j in some], pa.binary()),
+                ], names=["at", "part", "first", "second"])
+
+    def merged(batches):
+        def out():
+            a, b, part = _distinct(held)
             for i in range(0, len(a), 50_000):
-                cols = [x[i : i + 50_000].view(np.int64) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), part, np.int64))], names=["first", "second", "part"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[i : i + 50_000].view(np.int64)) for x in (a, b)), pa.array(part[i : i + 50_000].astype(np.int64))], names=["first", "second", "part"])
+
+        now, held, n, known = None, [], 0, 0
+        for batch in batches:
+            for at, part, first, second in zip(*(batch.column(c).to_pylist() for c in ("at", "part", "first", "second")), strict=True):
+                if at != now:
+                    if held:
+                        yield from out()
+                    now, held, n, known = at, [], 0, 0
+                first = np.cumsum(_unpacked(first, np.uint64), dtype=np.uint64)
+                held.append((first, np.frombuffer(second, np.uint64), np.full(len(first), part, np.int32)))
+                n += len(first)
+                if n >= known + max(GATHERED, known):
+                    held = [_distinct(held)]
+                    n = known = len(held[0][0])
+        if held:
+            yield from out()
 
-    return docs.mapInArrow(run, "first long, second long, part long").groupBy("first", "second").agg(F.min("part").alias("part"))
+    sent = docs.mapInArrow(run, "at long, part int, first binary, second binary")
+    dealt = sent.repartition(partitions(docs.sparkSession), "at").sortWithinPartitions("at")
+    return dealt.mapInArrow(merged, "first long, second long, part long")
 
 
 def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
@@ -381,7 +432,7 @@ def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
             none = pa.nulls(len(ks), pa.int64()), pa.nulls(len(ks), pa.string()), pa.nulls(len(ks), pa.int32()), pa.nulls(len(ks), pa.string())
             yield pa.RecordBatch.from_arrays([
                 pa.array([part] * len(ks), pa.int64()), pa.array([k // BLOCK for k in ks], pa.int64()), pa.array([b""] * len(ks), pa.binary()),
-                pa.array([total[k : k + BLOCK].tobytes() for k in ks], pa.binary()), *none,
+                pa.array([_packed(total[k : k + BLOCK]) for k in ks], pa.binary()), *none,
             ], names=names)
 
     names = ["part", "at", "pos", "counts", "slot", "lang", "m", "phrase"]
