@@ -89,6 +89,14 @@ def scope_metadata(t):
     return rows.select("chunk_id")
 
 
+@query(f"SELECT chunk_id FROM ({VISIBLE} AND s.meta_origin = 'src3') v", SCOPE)
+def scope_metadata_index(t):
+    """Containment through the stored index of paths and values, in an array of objects too."""
+    src = t.sources.withColumn("metadata", F.to_json(F.struct(F.array(F.struct(F.col("meta_origin").alias("origin"), F.lit(1).alias("n"))).alias("a"), F.array(F.lit(1), F.lit(2)).alias("list"))))
+    found = t.metadata_index(src).containing(src, {"a": [{"origin": "src3"}], "list": [2]})
+    return scope.authoritative_chunks(t.chunks, t.documents, found, t.datasets).select("chunk_id")
+
+
 @query("SELECT position::INT AS position, slug, dataset_id FROM (VALUES (0, 'fr'), (1, 'en'), (2, 'de')) v(position, slug) JOIN f_datasets USING (slug) WHERE status = 'active'", ("f_datasets",))
 def resolved_datasets(t):
     """B06."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.adjacency import Adjacency
 from ..operators.lexical_index import LexicalIndex
+from ..operators.metadata_index import MetadataIndex
 from ..operators.metric import MetricIndex
 from .store import derived
 
@@ -83,6 +84,11 @@ class Fixture:
         build = lambda path: MetricIndex.build(self.table("embeddings"), path, id_col="vec_id")
         return MetricIndex(self.spark, derived(self.spark, "vectors", [f"{self.dir}/embeddings.parquet"], build))
 
+    def metadata_index(self, sources: DataFrame) -> MetadataIndex:
+        """The index of the metadata of all sources, stored once for the present files."""
+        build = lambda path: MetadataIndex.build(sources, path)
+        return MetadataIndex(self.spark, derived(self.spark, "metadata", [f"{self.dir}/documents.parquet"], build))
+
     def adjacency(self) -> Adjacency:
         """Neighbours in the order graph, stored once for the present files."""
         build = lambda path: Adjacency.build(self.relations.where("is_active"), path)
