@@ -229,3 +229,25 @@ def test_projection(spark):
 def test_next_edges_skip_gaps(spark):
     c = spark.createDataFrame([("d", "x", 1, o, f"c{o}") for o in (0, 1, 3, 4)], "dataset_id string, document_id string, generation int, ordinal int, chunk_id string")
     assert rows(graph.next_edges(c), "chunk_id", "next_chunk_id") == [("c0", "c1"), ("c3", "c4")]
+
+
+def test_scores_around_equal_those_of_the_records(spark):
+    seeds = spark.createDataFrame([("c1", 0.9), ("c2", 0.4), ("c3", None)], "chunk_id string, score double")
+    men = spark.createDataFrame([("b", "c1"), ("d", "c2"), ("zz", "c2"), ("b", "c2"), ("a", "c3"), ("f", "c9"), (None, "c1")], "entity_id string, chunk_id string")
+    edges = spark.createDataFrame([*EDGES, (None, "b", "n"), ("7", "d", None), ("8", "a", "b")], "relation_id string, source_entity_id string, target_entity_id string")
+    for a, b in zip(graph.graph_scores(graph.one_hop(seeds, men, edges), seeds), graph.scores_around(seeds, men, edges), strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("name", ["graph_scores_all", "graph_relation_scores_all"])
+def test_scores_from_all_seeds_make_no_records(spark, sf_dir, monkeypatch, name):
+    from quillgraph.plans import registry
+
+    monkeypatch.setattr(graph, "one_hop", lambda *_: pytest.fail("a row for each chunk, entity and relation"))
+    assert not registry.QUERIES[name](spark, sf_dir).isEmpty()
+
+
+def test_an_edge_is_turned_in_one_pass(spark, edges):
+    plan = graph.undirected(edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    assert len(rows(graph.undirected(edges), "node")) == 2 * len(EDGES) - 1
