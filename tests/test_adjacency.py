@@ -73,3 +73,11 @@ def test_edges_are_not_exchanged(spark, stored):
     scan = plan.index("FileScan")
     above = [line for line in plan[:scan].splitlines() if "Exchange" in line and "+- Exchange" in line or ":- Exchange" in line]
     assert "Bucketed: true" in plan and not above, plan
+
+
+def test_edges_are_read_once_for_both_directions(spark):
+    df = spark.createDataFrame([("r2", "a", "b"), ("r1", "b", "a"), ("r3", "c", "b"), ("r4", "c", "c"), ("r5", "c", None)], EDGES)
+    got = sorted(tuple(r) for r in adjacency.pairs(df).select("node", "other", "relation_id", "forward").collect())
+    assert got == [("a", "b", "r1", True), ("b", "a", "r1", True), ("b", "c", "r3", False), ("c", "b", "r3", True)]
+    plan = adjacency.pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
