@@ -65,3 +65,34 @@ def test_rank_file_counter(spark):
     docs = spark.createDataFrame([("d", 1, "One two three four. " * 30)], "document_id string, generation int, normalized_text string")
     rows = chunk_documents(docs, most=20, overlap=4, least=3, counter=rank_counter(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)).collect()
     assert len(rows) > 5 and all(0 < r.token_count <= 20 for r in rows)
+
+
+def test_shuffles_begin_in_proportion_to_the_input(spark):
+    from quillgraph import session
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    try:
+        session.dealt(spark, 400 * session.PART)
+        assert int(spark.conf.get(key)) >= 400
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_names_of_relations_are_made_after_the_grouping(spark, sf_dir):
+    from quillgraph.sources.fixtures import SPARK, VIEWS, Fixture, _named
+
+    for name in ("f_relations", "f_evidence", "f_mentions"):
+        t = Fixture(spark, sf_dir)
+        sql = VIEWS[name].format(**SPARK)
+        used = {n: t.table(n) for n in ("lineitem", "orders")}
+        # Some keys null: a null name is one group.
+        used["lineitem"] = used["lineitem"].selectExpr("* except (l_partkey)", "if(l_partkey % 9 = 0, null, l_partkey) as l_partkey")
+        t._made.update(used)
+        for n in used:
+            sql = _named(sql, n)
+        want = spark.sql(sql, **used)
+        assert t.view(name).schema.simpleString() == want.schema.simpleString()
+        assert t.view(name).exceptAll(want).isEmpty() and want.exceptAll(t.view(name)).isEmpty()
+        exchanges = [line for line in t.view(name)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("concat" in line or "_groupingexpression" in line and name == "f_relations" for line in exchanges), exchanges
