@@ -4,10 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.functions import lexical
 from quillgraph.functions.chunker import TOKENS, spans
-from quillgraph.operators import search
+from quillgraph.operators import lexical_index, search
 from quillgraph.operators.lexical_index import LexicalIndex
 
 
@@ -130,3 +131,19 @@ def test_spans_equal_the_written_rules(seed):
         assert spans(text, most=most, overlap=overlap, least=least) == model_spans(text, most, overlap, least)
     assert [a for a, _ in spans("  alpha beta gamma delta", most=2, overlap=1, least=1)][:2] == [0, 7]
     assert spans("   ", most=2, overlap=1, least=1) == [(0, 3)] and spans("", most=2, overlap=1, least=1) == []
+
+
+def test_postings_are_those_of_the_vectors(spark, tmp_path):
+    texts = ["b a b", "", None, "A a ä", "... !", "c " * 3, "b c a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    index = lexical_index.LexicalIndex.build(df, str(tmp_path / "i"), buckets=4, block=2)
+    got = index.every_posting.selectExpr("lexeme", "most", "inline(posts)").collect()
+    want = df.select("chunk_id", F.explode(lexical.to_vector(F.coalesce("text", F.lit("")))).alias("lexeme", "positions")).collect()
+    assert sorted((r.lexeme, r.chunk_id, r.positions) for r in got) == sorted((r.lexeme, r.chunk_id, r.positions) for r in want)
+    assert all(r.most >= len(r.positions) for r in got)
+
+
+def test_building_groups_no_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(F, "collect_list", lambda *_: pytest.fail("a row of the shuffle for each chunk and lexeme"))
+    df = spark.createDataFrame([(k, f"x{k} y") for k in range(9)], "chunk_id long, text string")
+    assert lexical_index.LexicalIndex.build(df, str(tmp_path / "i")).every_posting.where("lexeme = 'y'").selectExpr("explode(posts)").count() == 9
