@@ -9,18 +9,20 @@ candidate if its bucket and those of all windows inside it pass; no frequent
 phrase can be lost, whatever collides.
 
 The distinct candidates (128-bit keys of language and words, with the least
-task that has them; a task sends its own packed by ranges) are dealt to waves of at most ``WAVE`` keys; a wave's keys
-get a minimal perfect hash of cascaded bit arrays and are stored in slot order,
-so a window that is no candidate is told by its key. With one wave broadcast,
-each task bincounts the slots of its windows into one array, and writes out the
-words of the candidates that it has as the first task; arrays are summed in a
-tree. Counts of phrases, of both sides of each cut and of longer phrases around
-a phrase are then read by slot.
-
-What is broadcast is bounded: ``BUCKETS`` bits and ``WAVE`` keys. The bits are
-as many as half the words of the corpus, up to that bound; beyond it the filter
-lets more windows pass, and with more candidates than a wave holds the corpus
-is read once a wave. Results are exact at any size. For corpora far beyond,
+task that has them; a task sends its own packed by ranges) get a minimal perfect
+hash of cascaded bit arrays, made range by range in the tasks that make them
+distinct. Every window that passes the filter is a candidate, so the hash is
+never asked for another key and keys need not be stored: some 6 bits and the
+number of a task are left of each. Ranges are dealt to waves of at most ``WAVE``
+keys. With one wave broadcast, each task counts the slots of its windows in one
+array, and writes out the words of the candidates that it has as the first
+task; arrays are summed in a tree. Counts of phrases, of both sides of each cut
+and of longer phrases around a phrase are then read by slot.
+
+What is broadcast is bounded: ``BUCKETS`` bits, and a hash of ``WAVE`` keys. The
+bits are as many as half the words of the corpus, up to that bound; beyond it
+the filter lets more windows pass, and with more candidates than a wave holds
+the corpus is read once a wave. Results are exact at any size. For corpora far beyond,
 ``least`` should grow with the corpus, which keeps the candidates few.
 
 Null text is empty, null language is ``und``. Texts of any length are read
@@ -44,8 +46,8 @@ from .common import mixed, partitions, text_of, window_hashes, written
 
 LONGEST = 4
 LEAST, COVERED_PERCENT, SCALE, TOP = 30, 80, 2_000_000, 2000
-#: Most buckets (a bit each is broadcast: 64 MB), buckets of a segment, keys of a wave, slots of an array that travels, windows a task gathers at a time.
-BUCKETS, SEGMENT, WAVE, BLOCK, GATHERED = 1 << 29, 1 << 20, 1 << 21, 4096, 1 << 19
+#: Most buckets (a bit each is broadcast: 64 MB), buckets of a segment, keys of a wave (some 3 bytes each are broadcast, 5 more are in a worker), slots of an array that travels, windows a task gathers at a time.
+BUCKETS, SEGMENT, WAVE, BLOCK, GATHERED = 1 << 29, 1 << 20, 1 << 24, 4096, 1 << 19
 #: Ranges of the first half of a key (2^10) in which candidates travel: a task sends at most one row for each.
 RANGE_BITS = 10
 GROUP = 1 << 18  # bytes of text whose windows are made together
@@ -78,8 +80,8 @@ class PerfectHash:
         self.first[slots], self.second[slots] = first, second
 
     @staticmethod
-    def _place(first, second, k: int, size: int) -> np.ndarray:
-        return (mixed(first ^ (second * np.uint64(2 * k + 1)) ^ np.uint64(k)) % np.uint64(size)).astype(np.int64)
+    def _place(first, second, k: int, size: int | np.ndarray) -> np.ndarray:
+        return (mixed(first ^ (second * np.uint64(2 * k + 1)) ^ np.uint64(k)) % np.asarray(size, np.uint64)).astype(np.int64)
 
     def _rank(self) -> None:
         ones = np.bitwise_count(self.bits).astype(np.int64)
@@ -110,6 +112,43 @@ class PerfectHash:
         return at
 
 
+class Slots:
+    """The perfect hashes of a run of ranges of keys as one, for keys that are in them; keys of other ranges have no slot.
+
+    ``ranges``: (at, sizes, bits) of each by ``at``; ``parts``: the least task of each slot.
+    """
+
+    def __init__(self, ranges: list[tuple[int, np.ndarray, np.ndarray]], parts: np.ndarray) -> None:
+        self.low, last = (ranges[0][0], ranges[-1][0]) if ranges else (0, -1)
+        rounds = max((len(sizes) for _, sizes, _ in ranges), default=0)
+        self.sizes, self.starts = np.ones((rounds, last + 1 - self.low), np.uint64), np.zeros((rounds, last + 1 - self.low), np.int64)
+        behind = 0
+        for at, sizes, bits in ranges:
+            self.sizes[: len(sizes), at - self.low] = sizes
+            self.starts[: len(sizes), at - self.low] = behind + np.cumsum(sizes) - sizes
+            behind += 8 * len(bits)
+        held = np.concatenate([*(bits for _, _, bits in ranges), np.zeros(-(behind >> 3) % 8, np.uint8)])
+        self.bits = held.view(">u8").astype(np.uint64)
+        ones = np.bitwise_count(self.bits).astype(np.uint32)
+        self.before = np.cumsum(ones, dtype=np.uint32) - ones
+        self.parts, self.n = parts, len(parts)
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        out = np.full(len(first), -1, np.int64)
+        own = (first >> np.uint64(64 - RANGE_BITS)).astype(np.int64) - self.low
+        left = np.flatnonzero((own >= 0) & (own < self.sizes.shape[1]))
+        for k in range(len(self.sizes)):
+            if not len(left):
+                break
+            at = self.starts[k][own[left]] + PerfectHash._place(first[left], second[left], k, self.sizes[k][own[left]])
+            word, bit = self.bits[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> (np.uint64(63) - bit)) & np.uint64(1) == 1
+            high = word[hit] & ~(np.uint64((1 << 64) - 1) >> bit[hit])
+            out[left[hit]] = self.before[at[hit] >> 6] + np.bitwise_count(high)
+            left = left[~hit]
+        return out
+
+
 class Words(NamedTuple):
     """Words of a buffer by their places."""
 
@@ -348,7 +387,7 @@ def _distinct(held: list[tuple]) -> tuple:
 
 
 def _candidates(docs: DataFrame, bits) -> DataFrame:
-    """(first, second, part) of the distinct candidates: their keys as signed longs, and the least task that has them.
+    """(at, n, sizes, bits, parts): of each range of the distinct candidates their number, their perfect hash, and by slot the least task that has them.
 
     A task sends its distinct keys packed, by ranges of their first half; a
     range is made distinct piece by piece, so that only its keys are in memory.
@@ -380,8 +419,13 @@ def _candidates(docs: DataFrame, bits) -> DataFrame:
     def merged(batches):
         def out():
             a, b, part = _distinct(held)
-            for i in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[i : i + 50_000].view(np.int64)) for x in (a, b)), pa.array(part[i : i + 50_000].astype(np.int64))], names=["first", "second", "part"])
+            h = PerfectHash(a, b)
+            parts = np.empty(h.n, np.int32)
+            parts[h.find(a, b)] = part
+            yield pa.RecordBatch.from_arrays([
+                pa.array([now], pa.int64()), pa.array([h.n], pa.int64()), pa.array([np.array(h.sizes, np.int64).tobytes()], pa.binary()),
+                pa.array([h.bits.tobytes()], pa.binary()), pa.array([parts.tobytes()], pa.binary()),
+            ], names=["at", "n", "sizes", "bits", "parts"])
 
         now, held, n, known = None, [], 0, 0
         for batch in batches:
@@ -401,7 +445,27 @@ def _candidates(docs: DataFrame, bits) -> DataFrame:
 
     sent = docs.mapInArrow(run, "at long, part int, first binary, second binary")
     dealt = sent.repartition(partitions(docs.sparkSession), "at").sortWithinPartitions("at")
-    return dealt.mapInArrow(merged, "first long, second long, part long")
+    return dealt.mapInArrow(merged, "at long, n long, sizes binary, bits binary, parts binary")
+
+
+def _waves(found: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Runs of ranges (first, last) of at most ``most`` candidates, but whole ranges."""
+    out, held = [], 0
+    for at, n in sorted((r.at, r.n) for r in found.select("at", "n").collect()):  # at most 2^RANGE_BITS rows
+        if not out or held + n > most:
+            out.append((at, at))
+            held = 0
+        out[-1] = out[-1][0], at
+        held += n
+    return out or [(0, -1)]
+
+
+def _slots(found: DataFrame, low: int, high: int) -> Slots:
+    rows = found.where(F.col("at").between(low, high)).orderBy("at").toArrow()
+    at, sizes, bits, parts = (rows.column(c).to_pylist() for c in ("at", "sizes", "bits", "parts"))
+    parts = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(p, np.int32) for p in parts)])
+    parts = parts.astype(np.min_scalar_type(int(parts.max(initial=0))))
+    return Slots([(k, np.frombuffer(s, np.int64), np.frombuffer(b, np.uint8)) for k, s, b in zip(at, sizes, bits, strict=True)], parts)
 
 
 def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
@@ -409,15 +473,15 @@ def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
 
     def run(batches):
         w, f = Windows(), Filter(bits.value)
-        h, parts = hashed.value
+        h = hashed.value
         part = TaskContext.get().partitionId()
-        total, mine = np.zeros(h.n, np.int64), parts == part
+        total, mine = np.zeros(h.n, np.uint32), h.parts == part
         for lang, words, both, is_word, _ in w.groups(batches):
             told: list[tuple] = []
             for m, at, keys in f.windows(w, lang, both, is_word):
-                slots = h.find(*keys)
+                slots = h.of(*keys)
                 at, slots = at[slots >= 0], slots[slots >= 0]
-                total += np.bincount(slots, minlength=h.n)
+                np.add.at(total, slots, np.uint32(1))  # costs by windows; a bincount would cost by slots
                 own = mine[slots]
                 first, i = np.unique(slots[own], return_index=True)
                 mine[first] = False
@@ -426,13 +490,13 @@ def _counted(docs: DataFrame, bits, hashed) -> DataFrame:
                 slot, langs, ms, phrases = zip(*told, strict=True)
                 none = pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.binary()), pa.nulls(len(slot), pa.binary())
                 yield pa.RecordBatch.from_arrays([*none, pa.array(slot, pa.int64()), pa.array(langs, pa.string()), pa.array(ms, pa.int32()), pa.array(phrases, pa.string())], names=names)
-        used = [k for k in range(0, h.n, BLOCK) if total[k : k + BLOCK].any()]
-        for i in range(0, len(used), 64):
-            ks = used[i : i + 64]
+        for i in range(0, h.n, 64 * BLOCK):
+            ks = [k for k in range(i, min(h.n, i + 64 * BLOCK), BLOCK) if total[k : k + BLOCK].any()]
+            used = [np.flatnonzero(total[k : k + BLOCK]) for k in ks]
             none = pa.nulls(len(ks), pa.int64()), pa.nulls(len(ks), pa.string()), pa.nulls(len(ks), pa.int32()), pa.nulls(len(ks), pa.string())
             yield pa.RecordBatch.from_arrays([
-                pa.array([part] * len(ks), pa.int64()), pa.array([k // BLOCK for k in ks], pa.int64()), pa.array([b""] * len(ks), pa.binary()),
-                pa.array([_packed(total[k : k + BLOCK]) for k in ks], pa.binary()), *none,
+                pa.array([part] * len(ks), pa.int64()), pa.array([k // BLOCK for k in ks], pa.int64()), pa.array([_steps(u.astype(np.uint32)) for u in used], pa.binary()),
+                pa.array([_packed(total[k + u]) for k, u in zip(ks, used, strict=True)], pa.binary()), *none,
             ], names=names)
 
     names = ["part", "at", "pos", "counts", "slot", "lang", "m", "phrase"]
@@ -454,7 +518,7 @@ def _insides(phrases: DataFrame, hashed) -> DataFrame:
     """(id, i, size, slot) of the phrases inside each of ``phrases(id, lang, m, phrase)``: ``size`` words from its word ``i``."""
 
     def run(batches):
-        w, h = Windows(), hashed.value[0]
+        w, h = Windows(), hashed.value
         for b in batches:
             ids, ms = (b.column(c).to_numpy() for c in ("id", "m"))
             for lang, _, both, is_word, row in w.groups([b], "phrase"):
@@ -464,7 +528,7 @@ def _insides(phrases: DataFrame, hashed) -> DataFrame:
                     n = len(row) - size + 1
                     at = np.flatnonzero(is_word[:n] & (place[:n] + size <= ms[row[:n]]) & (ms[row[:n]] > size)) if n > 0 else []
                     if len(at):
-                        slot = h.find(*w.keys(lang, both, size, at))
+                        slot = h.of(*w.keys(lang, both, size, at))
                         at, slot = at[slot >= 0], slot[slot >= 0]
                         yield pa.RecordBatch.from_arrays([pa.array(ids[row[at]]), pa.array(place[at]), pa.array(np.full(len(at), size)), pa.array(slot)], names=["id", "i", "size", "slot"])
 
@@ -487,16 +551,12 @@ def collocations(docs: DataFrame, *, least: int = LEAST, covered_percent: int =
     more = _bucket_bits(docs, [words], _size(size // 2, most_buckets), least)
     bits = sc.broadcast([words, more])
     found = written(_candidates(docs, bits), "phrase-candidates")
-    waves = max(1, -(-found.count() // wave))
-    of = F.pmod(F.xxhash64("first"), F.lit(waves))
+    runs = _waves(found, wave)
+    waves = len(runs)
 
     counted, hashes = None, []
-    for k in range(waves):
-        keys = found.where(of == k).orderBy("first", "second").toArrow()
-        h = PerfectHash(*(keys.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("first", "second")))
-        parts = np.empty(h.n, np.int32)
-        parts[h.find(*(keys.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("first", "second")))] = keys.column("part").to_numpy()
-        hashed = sc.broadcast((h, parts))
+    for k, (low, high) in enumerate(runs):
+        hashed = sc.broadcast(_slots(found, low, high))
         hashes.append(hashed)
         rows = _counted(docs, bits, hashed)
         part = _sums(rows).where(F.col("f") >= least).join(rows.where("slot is not null").select("slot", "lang", "m", "phrase"), "slot", "left")
