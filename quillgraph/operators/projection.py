@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shares
 from .graph import next_edges
 
 #: The kinds of rows in the order they depend on each other.
@@ -85,12 +86,13 @@ def rebuilt(datasets: DataFrame, entities: DataFrame, chunks: DataFrame, mention
     e = ent.select("dataset_id", F.col("entity_id").alias("_e"))
     men = mentions.join(chk.select("dataset_id", "chunk_id"), "chunk_id").join(e.withColumnRenamed("_e", "entity_id"), ["dataset_id", "entity_id"], "left_semi")
     rel = now(relations).join(e.withColumnRenamed("_e", "source_entity_id"), ["dataset_id", "source_entity_id"], "left_semi").join(e.withColumnRenamed("_e", "target_entity_id"), ["dataset_id", "target_entity_id"], "left_semi")
+    each = lambda df, id_: df.select("dataset_id", id_.alias("id")).repartition(shares(df.sparkSession), "dataset_id", "id").distinct()
     return {
-        "entity": ent.select("dataset_id", F.col("entity_id").cast("string").alias("id")).distinct(),
-        "chunk": chk.select("dataset_id", F.col("chunk_id").cast("string").alias("id")).distinct(),
-        "entity_mention": men.select("dataset_id", F.concat_ws("@", "entity_id", "chunk_id").alias("id")).distinct(),
-        "relation": rel.select("dataset_id", F.col("relation_id").cast("string").alias("id")).distinct(),
-        "chunk_next": next_edges(chk).select("dataset_id", F.concat_ws(">", "chunk_id", "next_chunk_id").alias("id")).distinct(),
+        "entity": each(ent, F.col("entity_id").cast("string")),
+        "chunk": each(chk, F.col("chunk_id").cast("string")),
+        "entity_mention": each(men, F.concat_ws("@", "entity_id", "chunk_id")),
+        "relation": each(rel, F.col("relation_id").cast("string")),
+        "chunk_next": each(next_edges(chk), F.concat_ws(">", "chunk_id", "next_chunk_id")),
     }
 
 
@@ -101,12 +103,26 @@ def identities(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def reconciled(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(dataset_id, kind, expected, actual, missing, extra), from one full outer join of the identities."""
-    a = expected.distinct().withColumn("_a", F.lit(1))
-    b = actual.distinct().withColumn("_b", F.lit(1))
-    rows = a.join(b, ["dataset_id", "kind", "id"], "full_outer")
+    """(dataset_id, kind, expected, actual, missing, extra), as a full outer join of the distinct identities would give it."""
+    side = lambda df, a: df.select("dataset_id", "kind", "id", F.lit(a).alias("wanted"), F.lit(not a).alias("there"))
+    return compared(side(expected, True).unionByName(side(actual, False)))
+
+
+def compared(sides: DataFrame) -> DataFrame:
+    """``reconciled`` for identities that say whether they are ``wanted``, ``there`` or both; an identity may come in several rows.
+
+    Identities are dealt once and meet as equal keys of a grouping, which holds
+    a share of them that is bounded by the partitions. Those with a null are
+    equal to none of the other side.
+    """
+    keys = ["dataset_id", "kind", "id"]
+    null = F.col("dataset_id").isNull() | F.col("kind").isNull() | F.col("id").isNull()
+    one = lambda wanted, there: F.struct(wanted.alias("wanted"), there.alias("there"))
+    apart = F.when(null & F.col("wanted") & F.col("there"), F.array(one(F.lit(True), F.lit(False)), one(F.lit(False), F.lit(True)))).otherwise(F.array(one(F.col("wanted"), F.col("there"))))
+    rows = sides.select(*keys, F.explode(apart).alias("s")).select(*keys, "s.*").withColumn("lone", F.when(null, F.col("wanted")))
+    rows = rows.repartition(shares(sides.sparkSession), *keys).groupBy(*keys, "lone").agg(F.max("wanted").alias("wanted"), F.max("there").alias("there"))
     return rows.groupBy("dataset_id", "kind").agg(
-        F.count("_a").alias("expected"), F.count("_b").alias("actual"), F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("extra"))
+        F.count_if("wanted").alias("expected"), F.count_if("there").alias("actual"), F.count_if(~F.col("there")).alias("missing"), F.count_if(~F.col("wanted")).alias("extra"))
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, rebuild=None) -> tuple[DataFrame, str]:
