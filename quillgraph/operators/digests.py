@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shares
+
 RANGES, GROUPS = 1024, 32
 KEY = ("dataset_id", "kind")
 
@@ -38,10 +40,11 @@ class IdentityStore:
 
     @classmethod
     def build(cls, identities: DataFrame, path: str) -> IdentityStore:
-        rows = identities.select("dataset_id", "kind", "id").distinct().withColumn("range", range_of())
+        rows = identities.select("dataset_id", "kind", "id").withColumn("range", range_of())
         rows = rows.withColumn("group", (F.col("range") / (RANGES // GROUPS)).cast("int"))
-        rows.repartition(GROUPS, "group").sortWithinPartitions("range").write.partitionBy("group").parquet(f"{path}/ids")
-        own = rows.select("dataset_id", "kind", "range", "group", F.lit(1).cast("long").alias("n"), F.xxhash64(F.lit("sum"), "id").cast("decimal(20,0)").alias("s"), F.xxhash64(F.lit("xor"), "id").alias("x"))
+        # Dealt by range, equal identities are in one task already; the digests are made from what is stored.
+        rows.repartition(min(RANGES, shares(identities.sparkSession)), "range").distinct().sortWithinPartitions("group", "range").write.partitionBy("group").parquet(f"{path}/ids")
+        own = cls(spark=identities.sparkSession, path=path).ids().select("dataset_id", "kind", "range", "group", F.lit(1).cast("long").alias("n"), F.xxhash64(F.lit("sum"), "id").cast("decimal(20,0)").alias("s"), F.xxhash64(F.lit("xor"), "id").alias("x"))
         own = own.groupBy(*KEY, "range", "group").agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,0)").alias("s"), F.bit_xor("x").alias("x"))
         own.repartition(GROUPS, "group").sortWithinPartitions("range").write.partitionBy("group").parquet(f"{path}/digests")
         groups = cls(spark=identities.sparkSession, path=path)
