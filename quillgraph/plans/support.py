@@ -38,20 +38,34 @@ def links(t: dict[str, DataFrame]) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("source_id", "chunk_id", "kind", "id", "visible")
 
 
-def counts(t: dict[str, DataFrame], every: DataFrame) -> DataFrame:
-    """(kind, id, n, ends, source_entity_id, target_entity_id, is_active): ``n`` links of visible chunks, ``ends`` of active relations."""
-    seen = every.groupBy("kind", "id").agg(F.count_if("visible").alias("n"))
+def relation_counts(t: dict[str, DataFrame], every: DataFrame) -> DataFrame:
+    """A row for each relation that is linked or active; ``n`` counts its links of visible chunks."""
+    seen = every.where("kind = 'relation'").groupBy("id").agg(F.count_if("visible").alias("n"))
     live = t["relations"].where("is_active").select(F.col("relation_id").cast("string").alias("id"), F.col("source_entity_id").cast("string").alias("source_entity_id"), F.col("target_entity_id").cast("string").alias("target_entity_id"))
-    ends = live.select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("id")).groupBy("id").agg(F.count("*").alias("ends"))
-    rel = seen.where("kind = 'relation'").join(live.withColumn("is_active", F.lit(True)), "id", "full_outer").select(F.lit("relation").alias("kind"), "id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("ends"), "source_entity_id", "target_entity_id", F.coalesce("is_active", F.lit(False)).alias("is_active"))
+    return seen.join(live.withColumn("is_active", F.lit(True)), "id", "full_outer").select(F.lit("relation").alias("kind"), "id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("ends"), "source_entity_id", "target_entity_id", F.coalesce("is_active", F.lit(False)).alias("is_active"))
+
+
+def entity_counts(relations: DataFrame, every: DataFrame) -> DataFrame:
+    """A row for each entity that is linked or an end of an active one of ``relations``, which are rows of ``relation_counts``."""
+    seen = every.where("kind = 'entity'").groupBy("id").agg(F.count_if("visible").alias("n"))
+    ends = relations.where("is_active").select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("id")).groupBy("id").agg(F.count("*").alias("ends"))
     none = F.lit(None).cast("string")
-    ent = seen.where("kind = 'entity'").join(ends, "id", "full_outer").select(F.lit("entity").alias("kind"), "id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends"), none.alias("source_entity_id"), none.alias("target_entity_id"), F.lit(True).alias("is_active"))
-    return rel.unionByName(ent)
+    return seen.join(ends, "id", "full_outer").select(F.lit("entity").alias("kind"), "id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ends", F.lit(0)).alias("ends"), none.alias("source_entity_id"), none.alias("target_entity_id"), F.lit(True).alias("is_active"))
+
+
+def counts(t: dict[str, DataFrame], every: DataFrame) -> DataFrame:
+    """(kind, id, n, ends, source_entity_id, target_entity_id, is_active): ``n`` links of visible chunks, ``ends`` of active relations."""
+    rel = relation_counts(t, every)
+    return rel.unionByName(entity_counts(rel, every))
 
 
 def build(t: dict[str, DataFrame], versions: Versions) -> int:
-    every = kept(links(t))
-    return versions.create({"links": (every, bucket_of(link_key())), "counts": (counts(t, every), bucket_of("id"))})
+    """Each part is written once and what comes after it reads it from there: links, counts of relations, counts of entities."""
+    return versions.create_in_turn([
+        ("links", bucket_of(link_key()), lambda _: links(t)),
+        ("counts", bucket_of("id"), lambda done: relation_counts(t, done["links"])),
+        ("counts", bucket_of("id"), lambda done: entity_counts(done["counts"], done["links"])),
+    ])
 
 
 def _buckets(rows: DataFrame, column) -> list[int]:
@@ -62,7 +76,7 @@ def removed(versions: Versions, manifest: Manifest, source_ids: DataFrame) -> di
     """What goes with the sources: ``chunks`` with links, ``relations``, ``entities`` (ids), and ``counts``: the rows that change, as they will be."""
     hit = kept(source_ids.select(link_key().alias("source")).distinct())
     own = versions.read("links", manifest=manifest, buckets=_buckets(hit, F.col("source")))
-    own = kept(own.join(hit, link_key() == F.col("source"), "left_semi"))
+    own = own.join(hit, link_key() == F.col("source"), "left_semi")  # read once for counts, once for chunks: cheaper than to keep it
     less = kept(own.groupBy("kind", "id").agg(F.count_if("visible").alias("less")))
     held = versions.read("counts", manifest=manifest, buckets=_buckets(less, "id")).join(less, ["kind", "id"])
     held = kept(held.withColumn("left", F.col("n") - F.col("less")))

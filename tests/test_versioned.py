@@ -123,6 +123,34 @@ def test_forgetting_by_counts(spark, tmp_path, seed):
     assert v.current()[0] == 4 and v.read("links").count() == 0
 
 
+def test_support_reads_relations_once(spark, tmp_path):
+    g = graph(random.Random(3))
+    t = tables(spark, g)
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    t["relations"] = t["relations"].withColumn("source_entity_id", F.udf(read).asNondeterministic()("source_entity_id"))
+    support.build(t, Versions(spark, str(tmp_path / "s")))
+    assert seen.value == len(g[1])
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    many = spark.range(0, 60000, 1, 6).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    share = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(share, None)
+    spark.conf.set(share, "256k")
+    try:
+        v = Versions(spark, str(tmp_path / "v"))
+        v.create({"t": (many, F.lit(5))})
+    finally:
+        spark.conf.set(share, before) if before else spark.conf.unset(share)
+    assert v.read("t").count() == 60000 and v.read("t", buckets=[4]).isEmpty()
+    assert len(v.read("t", buckets=[5]).inputFiles()) > 1
+
+
 def test_ingest_of_two_writers(spark, tmp_path):
     kinds = "source_id string, dataset_id string, name string, content_sha256 string, version int, status string"
     v = Versions(spark, str(tmp_path / "i"))
