@@ -1,5 +1,6 @@
 """Ingest, extraction, upkeep, forgetting and provenance as whole flows."""
 
+import hashlib
 import json
 
 import pytest
@@ -241,3 +242,30 @@ def test_recall_graph_reads_late_orders(spark, sf_dir, tmp_path):
         moved = spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn(key, (F.col(key) + 1_000_000).cast("long"))
         moved.write.parquet(f"{tmp_path}/{name}.parquet")
     assert registry.QUERIES["recall_graph"](spark, str(tmp_path)).count() == 12
+
+
+def test_entities_are_merged_in_one_pass(spark):
+    kinds = "dataset_id string, canonical_key string, entity_id string, generation int, name string, type string, description string, aliases array<string>, confidence double, seen struct<document_id:long,ordinal:int,at:int>"
+    found = spark.createDataFrame([
+        ("d", "t:a", "1", 1, "A", "t", " ", ["x", "y"], 0.5, (1, 0, 1)), ("d", "t:a", "1", 2, "a", "t", "late", ["z", "x"], 0.9, (1, 1, 0)), ("d", "t:a", "1", 1, "first", "t", "said", ["y", "y"], 0.1, (1, 0, 0)),
+        ("d", "t:b", "2", 1, "B", "t", "", [], 0.2, (2, 0, 0)), (None, "t:a", "3", 1, "N", "t", "", ["n"], 0.3, (3, 0, 0)),
+    ], kinds)
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    got = {r.entity_id: r for r in cognify.merged_entities(found.withColumn("name", F.udf(read).asNondeterministic()("name"))).collect()}
+    assert seen.value == 5
+    assert got["1"].asDict() == {"dataset_id": "d", "canonical_key": "t:a", "entity_id": "1", "generation": 2, "name": "first", "entity_type": "t", "description": "said", "confidence": 0.9, "aliases": ["y", "x", "z"]}
+    assert got["2"].aliases == [] and got["2"].description == "" and got["3"].aliases == ["n"]
+
+
+def test_a_word_is_hashed_once(monkeypatch):
+    made = []
+    real = hashlib.blake2b
+    monkeypatch.setattr(providers.hashlib, "blake2b", lambda *a, **k: made.append(a) or real(*a, **k))
+    one, two = providers.HashEmbedding(8).embed_texts(["onceonly hashed onceonly", "hashed Onceonly hashed"])
+    assert len(made) == 2 and len(one) == 8 and one != two
+    assert providers.CapitalizedExtraction(2).extract("One Two One Three")["entities"][-1]["name"] == "Two"
