@@ -96,3 +96,17 @@ def test_names_of_relations_are_made_after_the_grouping(spark, sf_dir):
         assert t.view(name).exceptAll(want).isEmpty() and want.exceptAll(t.view(name)).isEmpty()
         exchanges = [line for line in t.view(name)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
         assert not any("concat" in line or "_groupingexpression" in line and name == "f_relations" for line in exchanges), exchanges
+
+
+def test_a_large_share_of_the_session_is_lowered(spark):
+    from quillgraph.session import SHARE, dealt
+
+    share = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(share, None)
+    try:
+        for named, want in (("64m", SHARE), ("67108864b", SHARE), ("1m", "1m"), (SHARE, SHARE)):
+            spark.conf.set(share, named)
+            dealt(spark, 1)
+            assert spark.conf.get(share) == want
+    finally:
+        spark.conf.set(share, before) if before else spark.conf.unset(share)
