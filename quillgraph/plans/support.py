@@ -5,7 +5,8 @@ by source. ``counts`` has a row for each relation and entity, in buckets by id:
 how many links of visible chunks it has, and for an entity at how many ends of
 active relations it stands. Forgetting reads the links of its sources and the
 counts that they touch; what comes to 0 goes. The buckets touched are written
-anew and published together, so a failed run changes nothing.
+anew and published together, so a failed run changes nothing. Both are made in
+steps, each of which drops its shuffles before the next begins.
 """
 
 from __future__ import annotations
@@ -15,32 +16,56 @@ from pyspark.sql import functions as F
 
 from ..operators import scope
 from ..operators.graph import kept
-from ..sources.versioned import Conflict, Manifest, Versions, bucket_of
+from ..session import sifted, tidy
+from ..sources.versioned import BUCKETS, Conflict, Manifest, Versions, bucket_of
 from .remember import remembered
 
+KINDS = {"relation": ("evidence", "relation_id"), "entity": ("mentions", "entity_id")}
+SMALL = 1 << 20  # ids of sources that are broadcast, so that the links are not dealt to meet them
 
 
 def link_key() -> Column:
     return F.col("source_id").cast("string")
 
 
+def link_bucket() -> Column:
+    return bucket_of(link_key())
+
+
+def id_bucket() -> Column:
+    """By the hash by which Spark deals rows by ``id``, so that tasks to which they were dealt write few buckets each."""
+    return F.pmod(F.hash("id"), F.lit(BUCKETS)).cast("int")
+
+
 def content_key() -> tuple[Column, Column]:
     return F.col("dataset_id").cast("string"), F.col("content_sha256")
 
 
-def links(t: dict[str, DataFrame]) -> DataFrame:
-    """(source_id, chunk_id, kind, id, visible) of all current chunks."""
+def current_chunks(t: dict[str, DataFrame]) -> DataFrame:
+    """(chunk_id, source_id, visible) of all current chunks."""
     gen = scope.current_datasets(t["datasets"])
     now = t["chunks"].where("is_active").join(gen, "dataset_id").where("generation = active_generation").select("chunk_id", "source_id")
     seen = scope.authoritative_chunks(t["chunks"], t["documents"], t["sources"], t["datasets"]).select("chunk_id").distinct().withColumn("visible", F.lit(True))
-    now = now.join(seen, "chunk_id", "left").select("chunk_id", "source_id", F.coalesce("visible", F.lit(False)).alias("visible"))
-    parts = [t[name].select("chunk_id", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id")).join(now, "chunk_id") for name, kind, key in (("evidence", "relation", "relation_id"), ("mentions", "entity", "entity_id"))]
-    return parts[0].unionByName(parts[1]).select("source_id", "chunk_id", "kind", "id", "visible")
+    return now.join(seen, "chunk_id", "left").select("chunk_id", "source_id", F.coalesce("visible", F.lit(False)).alias("visible"))
+
+
+def links_of(kind: str, t: dict[str, DataFrame], now: DataFrame) -> DataFrame:
+    """(source_id, chunk_id, kind, id, visible) of the chunks ``now``, for relations or entities."""
+    name, key = KINDS[kind]
+    rows = t[name].select("chunk_id", F.col(key).cast("string").alias("id")).join(now, "chunk_id")
+    return rows.select("source_id", "chunk_id", F.lit(kind).alias("kind"), "id", "visible")
+
+
+def links(t: dict[str, DataFrame]) -> DataFrame:
+    """(source_id, chunk_id, kind, id, visible) of all current chunks."""
+    now = current_chunks(t)
+    return links_of("relation", t, now).unionByName(links_of("entity", t, now))
 
 
 def relation_counts(t: dict[str, DataFrame], every: DataFrame) -> DataFrame:
     """A row for each relation that is linked or active; ``n`` counts its links of visible chunks."""
-    seen = every.where("kind = 'relation'").groupBy("id").agg(F.count_if("visible").alias("n"))
+    # Hardly any relation recurs in a task's links, so they are dealt before they are counted.
+    seen = every.where("kind = 'relation'").select("id", "visible").repartition("id").groupBy("id").agg(F.count_if("visible").alias("n"))
     live = t["relations"].where("is_active").select(F.col("relation_id").cast("string").alias("id"), F.col("source_entity_id").cast("string").alias("source_entity_id"), F.col("target_entity_id").cast("string").alias("target_entity_id"))
     return seen.join(live.withColumn("is_active", F.lit(True)), "id", "full_outer").select(F.lit("relation").alias("kind"), "id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("ends"), "source_entity_id", "target_entity_id", F.coalesce("is_active", F.lit(False)).alias("is_active"))
 
@@ -60,32 +85,43 @@ def counts(t: dict[str, DataFrame], every: DataFrame) -> DataFrame:
 
 
 def build(t: dict[str, DataFrame], versions: Versions) -> int:
-    """Each part is written once and what comes after it reads it from there: links, counts of relations, counts of entities."""
-    return versions.create_in_turn([
-        ("links", bucket_of(link_key()), lambda _: links(t)),
-        ("counts", bucket_of("id"), lambda done: relation_counts(t, done["links"])),
-        ("counts", bucket_of("id"), lambda done: entity_counts(done["counts"], done["links"])),
-    ])
+    """Each part is written once and what comes after it reads it from there: links and counts of relations, links and counts of entities."""
+    now = _kept(current_chunks(t))
+    with tidy(versions.spark, BUCKETS):
+        return versions.create_in_turn([
+            ("links", link_bucket(), lambda _: links_of("relation", t, now), False),
+            ("counts", id_bucket(), lambda done: relation_counts(t, done["links"]), True),
+            ("links", link_bucket(), lambda _: links_of("entity", t, now), False),
+            ("counts", id_bucket(), lambda done: entity_counts(done["counts"], done["links"]), True),
+        ])
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """``kept``, and the shuffles that made it are dropped."""
+    with tidy(rows.sparkSession):
+        return kept(rows.select("*"))
 
 
-def _buckets(rows: DataFrame, column) -> list[int]:
-    return sorted(r[0] for r in rows.select(bucket_of(column)).distinct().collect())  # at most BUCKETS numbers
+def _buckets(rows: DataFrame, bucket: Column) -> list[int]:
+    with tidy(rows.sparkSession):
+        return sorted(r[0] for r in rows.select(bucket).distinct().collect())  # at most BUCKETS numbers
 
 
 def removed(versions: Versions, manifest: Manifest, source_ids: DataFrame) -> dict[str, DataFrame]:
     """What goes with the sources: ``chunks`` with links, ``relations``, ``entities`` (ids), and ``counts``: the rows that change, as they will be."""
-    hit = kept(source_ids.select(link_key().alias("source")).distinct())
-    own = versions.read("links", manifest=manifest, buckets=_buckets(hit, F.col("source")))
-    own = own.join(hit, link_key() == F.col("source"), "left_semi")  # read once for counts, once for chunks: cheaper than to keep it
-    less = kept(own.groupBy("kind", "id").agg(F.count_if("visible").alias("less")))
-    held = versions.read("counts", manifest=manifest, buckets=_buckets(less, "id")).join(less, ["kind", "id"])
-    held = kept(held.withColumn("left", F.col("n") - F.col("less")))
-    relations = kept(held.where("kind = 'relation' and is_active and left = 0").select("id", "source_entity_id", "target_entity_id"))
-    lost = kept(relations.select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("id")).groupBy("id").agg(F.count("*").alias("lost")))
+    hit = _kept(source_ids.select(link_key().alias("source")).distinct())
+    own = versions.read("links", manifest=manifest, buckets=_buckets(hit, bucket_of("source")))
+    own = own.join(F.broadcast(hit) if hit.count() <= SMALL else hit, link_key() == F.col("source"), "left_semi")  # read once for counts, once for chunks: cheaper than to keep it
+    less = _kept(own.groupBy("kind", "id").agg(F.count_if("visible").alias("less")))
+    held = versions.read("counts", manifest=manifest, buckets=_buckets(less, id_bucket())).join(less.where("less >= 0"), ["id", "kind"])
+    with sifted(versions.spark, less.count()):  # of all counts only those touched are dealt
+        held = _kept(held.withColumn("left", F.col("n") - F.col("less")))
+    relations = _kept(held.where("kind = 'relation' and is_active and left = 0").select("id", "source_entity_id", "target_entity_id"))
+    lost = _kept(relations.select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("id")).groupBy("id").agg(F.count("*").alias("lost")))
     # Ends of removed relations that are mentioned elsewhere change their counts too.
-    ends = versions.read("counts", manifest=manifest, buckets=_buckets(lost, "id")).where("kind = 'entity'").join(lost.select("id"), "id", "left_semi") if not lost.isEmpty() else held.select("kind", "id", "n", "ends", "source_entity_id", "target_entity_id", "is_active").where("false")
+    ends = versions.read("counts", manifest=manifest, buckets=_buckets(lost, id_bucket())).where("kind = 'entity'").join(lost.select("id"), "id", "left_semi") if not lost.isEmpty() else held.select("kind", "id", "n", "ends", "source_entity_id", "target_entity_id", "is_active").where("false")
     ent = ends.unionByName(held.where("kind = 'entity'").select(*ends.columns)).dropDuplicates(["id"]).join(lost, "id", "left").join(less.where("kind = 'entity'").select("id", "less"), "id", "left")
-    ent = kept(ent.select("kind", "id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"), (F.col("ends") - F.coalesce("lost", F.lit(0))).alias("ends"), "source_entity_id", "target_entity_id", "is_active", F.col("less").isNotNull().alias("met")))
+    ent = _kept(ent.select("kind", "id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"), (F.col("ends") - F.coalesce("lost", F.lit(0))).alias("ends"), "source_entity_id", "target_entity_id", "is_active", F.col("less").isNotNull().alias("met")))
     rel = held.where("kind = 'relation'").select("kind", "id", F.col("left").alias("n"), "ends", "source_entity_id", "target_entity_id", (F.col("is_active") & (F.col("left") > 0)).alias("is_active"))
     return {
         "chunks": own.select("chunk_id").distinct(), "relations": relations.select(F.col("id").alias("relation_id")),
@@ -100,12 +136,13 @@ def forget(versions: Versions, source_ids: DataFrame, *, tries: int = 5) -> tupl
     def change(v: Versions, manifest: Manifest) -> Manifest:
         gone.clear()
         gone.update(removed(v, manifest, source_ids))
-        at = _buckets(gone["sources"], F.col("source"))
+        at = _buckets(gone["sources"], bucket_of("source"))
         rest = v.read("links", manifest=manifest, buckets=at).join(gone["sources"], link_key() == F.col("source"), "left_anti")
-        new = kept(gone["counts"])
-        ids = _buckets(new, "id")
+        new = _kept(gone["counts"])
+        ids = _buckets(new, id_bucket())
         old = v.read("counts", manifest=manifest, buckets=ids).join(new.select("kind", "id"), ["kind", "id"], "left_anti")
-        return {"links": v.write("links", rest, bucket_of(link_key()), at), "counts": v.write("counts", old.unionByName(new), bucket_of("id"), ids)}
+        with tidy(v.spark):
+            return {"links": v.write("links", rest, link_bucket(), at), "counts": v.write("counts", old.unionByName(new), id_bucket(), ids)}
 
     return versions.update(change, tries=tries), gone
 

@@ -1,11 +1,13 @@
 """Versions under two writers; forgetting by counts and ingest against the base version, both against plain recomputation."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.plans import forget, support
+from quillgraph.session import sifted
 from quillgraph.sources.versioned import Conflict, Versions, bucket_of
 
 KEY = "k"
@@ -137,6 +139,93 @@ def test_support_reads_relations_once(spark, tmp_path):
     assert seen.value == len(g[1])
 
 
+def test_support_keeps_no_shuffles(spark, tmp_path):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    t = tables(spark, graph(random.Random(4)))
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    settings = {k: spark.conf.get(k, None) for k in (clean, first)}
+    before = shuffled()
+    v = Versions(spark, str(tmp_path / "s"))
+    support.build(t, v)
+    for _ in range(50):  # files are dropped beside the driver's work
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert {k: spark.conf.get(k, None) for k in settings} == settings
+
+
+def test_counts_lie_in_few_files(spark, tmp_path):
+    """Tasks of rows dealt by id write to the buckets of their own shares, not each to all buckets."""
+    rels = [(f"r{k}", f"e{k}", f"e{k + 1}", True) for k in range(3000)]
+    t = tables(spark, ([(k, k % 12, k, "d0", 1, True) for k in range(120)], rels, [(r[0], k % 120) for k, r in enumerate(rels)], [("e1", 1)]))
+    share = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(share, None)
+    spark.conf.set(share, "4k")
+    try:
+        v = Versions(spark, str(tmp_path / "s"))
+        support.build(t, v)
+    finally:
+        spark.conf.set(share, before) if before else spark.conf.unset(share)
+    assert v.read("counts").where("kind = 'relation'").count() == 3000
+    assert len(v.read("counts").inputFiles()) <= 2 * 32  # a file a share and kind
+
+
+def test_relations_dealt_by_id(spark, sf_dir):
+    from quillgraph.plans.registry import order_tables, relations_by_id
+    from quillgraph.sources.fixtures import Fixture
+
+    t = Fixture(spark, sf_dir)
+    want, got = t.relations.where("is_active"), relations_by_id(t).select(t.relations.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    links = spark.createDataFrame([("c1-R-p1", True)], "id string, visible boolean").withColumn("kind", F.lit("relation"))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, "-1")
+    try:
+        plan = support.relation_counts(order_tables(t) | {"relations": relations_by_id(t)}, links)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before) if before else spark.conf.unset(limit)
+    assert plan.count("Exchange hashpartitioning") == 4, plan  # lineitem, orders, relations, links
+
+
+def test_forgetting_deals_only_counts_touched(spark):
+    every = spark.range(2000).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("relation").alias("kind"), F.lit(1).alias("n"))
+    less = support.kept(spark.range(20).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("relation").alias("kind"), F.lit(1).alias("less")))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit, None)
+    spark.conf.set(limit, "-1")
+    try:
+        for n in (0, 20):
+            with sifted(spark, n):
+                out = every.join(less.where("less >= 0"), ["id", "kind"])
+                assert "might_contain" in out._jdf.queryExecution().optimizedPlan().toString()
+                assert out.count() == 20
+        with sifted(spark, 0):
+            assert every.join(less.where("less > 5"), ["id", "kind"]).count() == 0
+    finally:
+        spark.conf.set(limit, before) if before else spark.conf.unset(limit)
+
+
+def test_forgetting_many_sources(spark, tmp_path, monkeypatch):
+    """Above ``SMALL`` sources their ids are not broadcast; the same goes."""
+    t = tables(spark, graph(random.Random(5)))
+    v = Versions(spark, str(tmp_path / "s"))
+    support.build(t, v)
+    ids = spark.createDataFrame([(s,) for s in (1, 4, 5, 9)], "source_id long")
+    gone = []
+    for most in (support.SMALL, 0):
+        monkeypatch.setattr(support, "SMALL", most)
+        out = support.removed(v, v.current()[1], ids)
+        gone.append({k: sorted(map(str, out[k].collect())) for k in ("chunks", "relations", "entities", "counts")})
+    assert gone[0] == gone[1] and gone[0]["relations"]
+    assert all(not x.collect() for x in (support.removed(v, v.current()[1], ids.where("false"))[k] for k in ("chunks", "relations", "entities")))
+
+
 def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     many = spark.range(0, 60000, 1, 6).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
     share = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
