@@ -22,6 +22,7 @@ from .remember import remembered
 
 KINDS = {"relation": ("evidence", "relation_id"), "entity": ("mentions", "entity_id")}
 SMALL = 1 << 20  # ids of sources that are broadcast, so that the links are not dealt to meet them
+HOT = 1 << 20  # links of ids of one hash that make them hot
 
 
 def link_key() -> Column:
@@ -42,11 +43,13 @@ def content_key() -> tuple[Column, Column]:
 
 
 def current_chunks(t: dict[str, DataFrame]) -> DataFrame:
-    """(chunk_id, source_id, visible) of all current chunks."""
-    gen = scope.current_datasets(t["datasets"])
-    now = t["chunks"].where("is_active").join(gen, "dataset_id").where("generation = active_generation").select("chunk_id", "source_id")
-    seen = scope.authoritative_chunks(t["chunks"], t["documents"], t["sources"], t["datasets"]).select("chunk_id").distinct().withColumn("visible", F.lit(True))
-    return now.join(seen, "chunk_id", "left").select("chunk_id", "source_id", F.coalesce("visible", F.lit(False)).alias("visible"))
+    """(chunk_id, source_id, visible) of all current chunks; visible are those of ``scope.authoritative_chunks``, told in one pass over the chunks."""
+    gen, yes = scope.current_datasets(t["datasets"]), F.lit(True)
+    now = t["chunks"].where("is_active").join(gen, "dataset_id").where("generation = active_generation").select("chunk_id", "source_id", "document_id", "dataset_id", "generation")
+    src = t["sources"].where("status = 'active'").select("source_id", "dataset_id").distinct().withColumn("of_source", yes)
+    docs = t["documents"].where("is_active").select("document_id", "dataset_id", "generation").distinct().withColumn("of_document", yes)
+    now = now.join(src, ["source_id", "dataset_id"], "left").join(docs, ["document_id", "dataset_id", "generation"], "left")
+    return now.select("chunk_id", "source_id", (F.col("of_source").isNotNull() & F.col("of_document").isNotNull()).alias("visible"))
 
 
 def links_of(kind: str, t: dict[str, DataFrame], now: DataFrame) -> DataFrame:
@@ -62,10 +65,22 @@ def links(t: dict[str, DataFrame]) -> DataFrame:
     return links_of("relation", t, now).unionByName(links_of("entity", t, now))
 
 
-def relation_counts(t: dict[str, DataFrame], every: DataFrame) -> DataFrame:
+def _slot() -> Column:
+    return F.pmod(F.hash("id"), F.lit(1 << 16))
+
+
+def hot_slots(every: DataFrame) -> list[int]:
+    """Hashes of relation ids with over ``HOT`` links: at most one for each ``HOT`` links."""
+    return [r[0] for r in every.where("kind = 'relation'").groupBy(_slot().alias("slot")).count().where(F.col("count") > HOT).select("slot").collect()]
+
+
+def relation_counts(t: dict[str, DataFrame], every: DataFrame, hot: list[int] | None = None) -> DataFrame:
     """A row for each relation that is linked or active; ``n`` counts its links of visible chunks."""
-    # Hardly any relation recurs in a task's links, so they are dealt before they are counted.
-    seen = every.where("kind = 'relation'").select("id", "visible").repartition("id").groupBy("id").agg(F.count_if("visible").alias("n"))
+    # Hardly any relation recurs in a task's links, so they are dealt before they are counted; hot ones are counted first.
+    rows, n = every.where("kind = 'relation'").select("id", "visible"), F.count_if("visible").alias("n")
+    seen = (rows.where(~_slot().isin(hot)) if hot else rows).repartition("id").groupBy("id").agg(n)
+    if hot:
+        seen = seen.unionByName(rows.where(_slot().isin(hot)).groupBy("id").agg(n))
     live = t["relations"].where("is_active").select(F.col("relation_id").cast("string").alias("id"), F.col("source_entity_id").cast("string").alias("source_entity_id"), F.col("target_entity_id").cast("string").alias("target_entity_id"))
     return seen.join(live.withColumn("is_active", F.lit(True)), "id", "full_outer").select(F.lit("relation").alias("kind"), "id", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("ends"), "source_entity_id", "target_entity_id", F.coalesce("is_active", F.lit(False)).alias("is_active"))
 
@@ -90,7 +105,7 @@ def build(t: dict[str, DataFrame], versions: Versions) -> int:
     with tidy(versions.spark, BUCKETS):
         return versions.create_in_turn([
             ("links", link_bucket(), lambda _: links_of("relation", t, now), False),
-            ("counts", id_bucket(), lambda done: relation_counts(t, done["links"]), True),
+            ("counts", id_bucket(), lambda done: relation_counts(t, done["links"], hot_slots(done["links"])), True),
             ("links", link_bucket(), lambda _: links_of("entity", t, now), False),
             ("counts", id_bucket(), lambda done: entity_counts(done["counts"], done["links"]), True),
         ])
@@ -111,7 +126,9 @@ def removed(versions: Versions, manifest: Manifest, source_ids: DataFrame) -> di
     """What goes with the sources: ``chunks`` with links, ``relations``, ``entities`` (ids), and ``counts``: the rows that change, as they will be."""
     hit = _kept(source_ids.select(link_key().alias("source")).distinct())
     own = versions.read("links", manifest=manifest, buckets=_buckets(hit, bucket_of("source")))
-    own = own.join(F.broadcast(hit) if hit.count() <= SMALL else hit, link_key() == F.col("source"), "left_semi")  # read once for counts, once for chunks: cheaper than to keep it
+    # Compared as the links hold them, which is cheaper than as strings; a string that is no such value's is no source's.
+    ids = hit.select(F.col("source").try_cast(own.schema["source_id"].dataType).alias("source_id"), "source").where(link_key() == F.col("source")).select("source_id")
+    own = own.join(F.broadcast(ids) if hit.count() <= SMALL else ids, "source_id", "left_semi")  # read once for counts, once for chunks: cheaper than to keep it
     less = _kept(own.groupBy("kind", "id").agg(F.count_if("visible").alias("less")))
     held = versions.read("counts", manifest=manifest, buckets=_buckets(less, id_bucket())).join(less.where("less >= 0"), ["id", "kind"])
     with sifted(versions.spark, less.count()):  # of all counts only those touched are dealt

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import scope
 from quillgraph.plans import forget, support
 from quillgraph.session import sifted
 from quillgraph.sources.versioned import Conflict, Versions, bucket_of
@@ -139,6 +140,16 @@ def test_support_reads_relations_once(spark, tmp_path):
     assert seen.value == len(g[1])
 
 
+def test_current_chunks_are_visible_as_in_scope(spark):
+    t = tables(spark, graph(random.Random(7)))
+    t["documents"] = t["documents"].withColumn("is_active", F.expr("document_id % 5 <> 0")).withColumn("generation", F.expr("if(document_id % 7 = 0, 2, 1)"))
+    t["documents"], t["sources"] = t["documents"].union(t["documents"]), t["sources"].union(t["sources"].where("source_id = 3")).where("source_id <> 4 or dataset_id = 'd0'")
+    seen = {r[0] for r in scope.authoritative_chunks(t["chunks"], t["documents"], t["sources"], t["datasets"]).select("chunk_id").collect()}
+    got = support.current_chunks(t).collect()
+    assert seen and {r.chunk_id for r in got if r.visible} == seen
+    assert sorted((r.chunk_id, r.source_id) for r in got) == sorted((r.chunk_id, r.source_id) for r in t["chunks"].where("is_active").collect())
+
+
 def test_support_keeps_no_shuffles(spark, tmp_path):
     def shuffled():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
@@ -159,6 +170,16 @@ def test_support_keeps_no_shuffles(spark, tmp_path):
     assert {k: spark.conf.get(k, None) for k in settings} == settings
 
 
+def test_hot_relations_are_counted_before_they_are_dealt(spark, monkeypatch):
+    g = graph(random.Random(6))
+    t = tables(spark, (*g[:2], g[2] + [("r7", k) for k in range(100)] + [(None, k) for k in range(100)], g[3]))
+    every, rows = support.kept(support.links(t)), lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(support, "HOT", 50)
+    hot = support.hot_slots(every)
+    assert len(hot) == 2
+    assert rows(support.relation_counts(t, every, hot)) == rows(support.relation_counts(t, every))
+
+
 def test_counts_lie_in_few_files(spark, tmp_path):
     """Tasks of rows dealt by id write to the buckets of their own shares, not each to all buckets."""
     rels = [(f"r{k}", f"e{k}", f"e{k + 1}", True) for k in range(3000)]
@@ -223,6 +244,8 @@ def test_forgetting_many_sources(spark, tmp_path, monkeypatch):
         out = support.removed(v, v.current()[1], ids)
         gone.append({k: sorted(map(str, out[k].collect())) for k in ("chunks", "relations", "entities", "counts")})
     assert gone[0] == gone[1] and gone[0]["relations"]
+    named = support.removed(v, v.current()[1], spark.createDataFrame([("4",), ("05",), ("x",)], "source_id string"))
+    assert sorted(named["chunks"].collect()) == sorted(support.removed(v, v.current()[1], ids.where("source_id = 4"))["chunks"].collect()) and not named["chunks"].isEmpty()
     assert all(not x.collect() for x in (support.removed(v, v.current()[1], ids.where("false"))[k] for k in ("chunks", "relations", "entities")))
 
 
